@@ -31,6 +31,16 @@ def counter_columns() -> dict[str, Column]:
     }
 
 
+def arrival_counters() -> dict[str, Column]:
+    """The same counters over streamed decision rows, where a held-back row appears once as `buffered` on
+    arrival and once more when its gap ends."""
+    return {
+        **counter_columns(),
+        S.RECEIVED: F.count_if(F.col("decision").isin("invalid", "forwarded", "command", "gap_dropped", "buffered")),
+        S.BUFFERED: _of("buffered"),
+    }
+
+
 def gap_counters(decided: DataFrame) -> DataFrame:
     """All counters in one row."""
     return decided.agg(*[c.alias(_column(n)) for n, c in counter_columns().items()],

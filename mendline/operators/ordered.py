@@ -50,13 +50,15 @@ def cut_hot_keys(df: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
     if PART in df.columns:
         return df
     keys = list(layout.keys)
+    # `_from` is 0 for hot keys and, after the left join, null for others; being added, it makes `part` null
+    # for them, and a filter on `part` turns the join into an inner one.
     hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
            .filter(F.col("_n") > layout.hot_rows)
-           .select(*keys, F.lit(True).alias("_hot")))
-    stretch = F.floor(F.col(layout.order[0]) / F.lit(layout.span)).cast("bigint")
+           .select(*keys, F.lit(0).cast("bigint").alias("_from")))
+    stretch = F.expr(f"`{layout.order[0]}` div {int(layout.span)}")
     return (df.join(F.broadcast(hot), keys, "left")
-            .withColumn(PART, F.when(F.col("_hot"), stretch))
-            .drop("_hot"))
+            .withColumn(PART, stretch + F.col("_from"))
+            .drop("_from"))
 
 
 def _key_of(layout: Layout):
