@@ -27,13 +27,15 @@ class Layout:
     """How rows are keyed, ordered and cut.
 
     `order` must be unique within a key. Its first column is a whole number; a stretch of a hot key covers
-    `span` units of it. With a row number as order (`seq`) a stretch holds at most `span` rows.
+    `span` units of it. With a row number as order (`seq`) a stretch holds at most `span` rows. For an order
+    by time, where rows per unit are not known, span=None gives each hot key stretches that hold `hot_rows`
+    rows on average.
     """
 
     keys: tuple[str, ...] = ("record_id",)
     order: tuple[str, ...] = ("seq",)
     hot_rows: int = 1_000_000
-    span: int = 1_000_000
+    span: int | None = 1_000_000
 
     def by(self, *keys: str) -> "Layout":
         return replace(self, keys=tuple(keys))
@@ -41,6 +43,9 @@ class Layout:
     def ordered(self, *order: str) -> "Layout":
         return replace(self, order=tuple(order))
 
+    def by_density(self) -> "Layout":
+        return replace(self, span=None)
+
 
 DEFAULT = Layout()
 
@@ -50,15 +55,22 @@ def cut_hot_keys(df: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
     if PART in df.columns:
         return df
     keys = list(layout.keys)
-    # `_from` is 0 for hot keys and, after the left join, null for others; being added, it makes `part` null
-    # for them, and a filter on `part` turns the join into an inner one.
-    hot = (df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-           .filter(F.col("_n") > layout.hot_rows)
-           .select(*keys, F.lit(0).cast("bigint").alias("_from")))
-    stretch = F.expr(f"`{layout.order[0]}` div {int(layout.span)}")
-    return (df.join(F.broadcast(hot), keys, "left")
-            .withColumn(PART, stretch + F.col("_from"))
-            .drop("_from"))
+    first = layout.order[0]
+    # Columns of `hot` are null for other keys after the left join, and so is every sum with them: `part` is
+    # null there, and a filter on `part` turns the join into an inner one.
+    found = (df.groupBy(*keys)
+             .agg(F.count(F.lit(1)).alias("_n"),
+                  *([F.min(first).alias("_lo"), F.max(first).alias("_hi")] if layout.span is None else []))
+             .filter(F.col("_n") > layout.hot_rows))
+    if layout.span is None:
+        width = F.greatest(F.lit(1).cast("bigint"),
+                           F.floor((F.col("_hi") - F.col("_lo")) / F.col("_n") * layout.hot_rows).cast("bigint"))
+        hot = found.select(*keys, F.col("_lo").alias("_from"), width.alias("_width"))
+        part = F.expr(f"(`{first}` - _from) div _width")
+    else:
+        hot = found.select(*keys, F.lit(0).cast("bigint").alias("_from"))
+        part = F.expr(f"`{first}` div {int(layout.span)} + _from")
+    return df.join(F.broadcast(hot), keys, "left").withColumn(PART, part).drop("_from", "_width")
 
 
 def _key_of(layout: Layout):

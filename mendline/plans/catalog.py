@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schemas as S
 from ..functions import (backoff_ms, epoch_ms, is_gap_type, jitter_ms, lookup_path, outage_breached,
                          parse_long, parse_long_strict, seconds_or_millis, values_differ)
-from ..operators import counters, gaps, lookup, retries, tables
+from ..operators import counters, gaps, limits, lookup, retries, tables
 from ..operators.ordered import DEFAULT, Layout
 from ..sources import codecs, tables as src
 
@@ -293,6 +293,41 @@ def replay_failed_gaps(spark, d):
     return tables.replay_failed_gaps(decided(spark, d, "strict", failing=True))
 
 
+# --- timeout and buffer limit -------------------------------------------------------------------------------
+
+TIMEOUT_MS = 48 * 3_600_000
+MAX_BUFFER = 2
+
+
+def limited(spark, d, timeout_ms=None, max_buffer=None, layout=DEFAULT):
+    rows = src.cdc_input(spark, d).withColumn("arrived", F.col("ts"))
+    return limits.decide_limited(rows, timeout_ms, max_buffer, layout=layout)
+
+
+def gap_timeout(spark, d, layout=DEFAULT):
+    return limited(spark, d, TIMEOUT_MS, layout=layout).select(*GAP_COLUMNS)
+
+
+def gap_overflow(spark, d, layout=DEFAULT):
+    return limited(spark, d, max_buffer=MAX_BUFFER, layout=layout).select(*GAP_COLUMNS)
+
+
+def gap_limits(spark, d, layout=DEFAULT):
+    return limited(spark, d, TIMEOUT_MS, MAX_BUFFER, layout).select(*GAP_COLUMNS)
+
+
+def failed_gaps(spark, d):
+    return limits.failed_gaps(limited(spark, d, TIMEOUT_MS, MAX_BUFFER))
+
+
+def late_fill(spark, d):
+    return limits.late_fills(limited(spark, d, TIMEOUT_MS, MAX_BUFFER))
+
+
+def reissued_commands(spark, d):
+    return limits.reissue(limited(spark, d, TIMEOUT_MS, MAX_BUFFER))
+
+
 QUERIES: dict[str, Query] = {
     "cdc_source_parse": cdc_source_parse,
     "tagged_union_input": tagged_union_input,
@@ -345,4 +380,11 @@ QUERIES: dict[str, Query] = {
     "scalar_functions": scalar_functions,
     "duplicate_fills": duplicate_fills,
     "replay_failed_gaps": replay_failed_gaps,
+    "gap_timeout": gap_timeout,
+    "gap_overflow": gap_overflow,
+    "gap_limits": gap_limits,
+    "gap_limits_split": partial(gap_limits, layout=SPLIT),
+    "failed_gaps": failed_gaps,
+    "late_fill": late_fill,
+    "reissued_commands": reissued_commands,
 }

@@ -111,6 +111,45 @@ def _retries(doubling: bool) -> str:
       - CAST(floor(delay_ms * 0.2) AS BIGINT)) AS jittered_ms FROM y"""
 
 
+def _limited(timeout_ms: int | None, max_buffer: int | None) -> str:
+    """Row by row per record: the open gap and its size are carried from row to row. Ends in `d`."""
+    expired = f"(s.opened_at IS NOT NULL AND r.ts > s.opened_at + {timeout_ms})" if timeout_ms else "false"
+    over = f"s.n + 1 > {max_buffer}" if max_buffer else "false"
+    return f"""WITH RECURSIVE {_INPUT},
+r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS rn FROM b),
+st AS (
+  SELECT record_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS opened_at,
+    CAST(NULL AS BIGINT) AS open_seq, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS expired_seq,
+    CAST(NULL AS BIGINT) AS acted_seq, CAST(NULL AS VARCHAR) AS act
+  FROM r WHERE rn = 1
+  UNION ALL
+  SELECT r.record_id, r.rn, r.seq,
+    CASE WHEN r.kind = 'F' THEN NULL WHEN r.kind = 'G' THEN CASE WHEN s.opened_at IS NULL OR {expired} THEN r.ts ELSE s.opened_at END
+      WHEN s.opened_at IS NULL OR {expired} OR {over} THEN NULL ELSE s.opened_at END,
+    CASE WHEN r.kind = 'F' THEN NULL WHEN r.kind = 'G' THEN CASE WHEN s.opened_at IS NULL OR {expired} THEN r.seq ELSE s.open_seq END
+      WHEN s.opened_at IS NULL OR {expired} OR {over} THEN NULL ELSE s.open_seq END,
+    CASE WHEN r.kind = 'N' AND s.opened_at IS NOT NULL AND NOT {expired} THEN s.n + 1
+      WHEN r.kind = 'G' AND s.opened_at IS NOT NULL AND NOT {expired} THEN s.n ELSE 0 END,
+    CASE WHEN {expired} THEN s.open_seq END,
+    CASE WHEN s.opened_at IS NOT NULL AND NOT {expired} THEN s.open_seq END,
+    CASE WHEN s.opened_at IS NULL OR {expired} THEN CASE r.kind WHEN 'F' THEN 'fill_ignored' WHEN 'G' THEN 'command' ELSE 'forwarded' END
+      ELSE CASE r.kind WHEN 'F' THEN 'filled' WHEN 'G' THEN 'gap_dropped' ELSE CASE WHEN {over} THEN 'overflowed' ELSE 'held' END END END
+  FROM st s JOIN r ON r.record_id = s.record_id AND r.rn = s.rn + 1),
+ends AS (
+  SELECT record_id, expired_seq AS open_seq, 'timeout' AS why, CAST(NULL AS BIGINT) AS cutoff FROM st WHERE expired_seq IS NOT NULL
+  UNION ALL SELECT record_id, acted_seq, 'overflow', NULL FROM st WHERE act = 'overflowed'
+  UNION ALL SELECT st.record_id, acted_seq, 'fill', cutoff FROM st JOIN b USING (record_id, seq) WHERE act = 'filled'),
+d AS (SELECT b.*, CASE WHEN act NOT IN ('held', 'overflowed') THEN act WHEN why IS NULL THEN 'pending'
+    WHEN why <> 'fill' THEN 'dead_letter' WHEN b.ts > ends.cutoff THEN 'flushed' ELSE 'dropped' END AS decision, expired_seq
+  FROM st JOIN b USING (record_id, seq)
+  LEFT JOIN ends ON ends.record_id = st.record_id AND ends.open_seq = st.acted_seq AND act IN ('held', 'overflowed')),
+g AS (SELECT c.record_id, c.seq AS open_seq, 'User' AS entity, CAST(c.seq AS VARCHAR) AS event_id, why AS failed
+  FROM d c JOIN ends ON ends.record_id = c.record_id AND ends.open_seq = c.seq WHERE why <> 'fill')
+"""
+
+
+_LIMITS = _limited(48 * 3600000, 2)
+
 ORACLES: dict[str, str] = {
     "cdc_source_parse": f"""WITH {_INPUT} SELECT CAST(record_id AS VARCHAR) AS key, ts AS rec_ts, seq AS rec_offset,
       CAST(seq AS VARCHAR) AS event_id, 'User' AS entity, CAST(record_id AS VARCHAR) AS record_id, kind AS type, ts,
@@ -277,4 +316,19 @@ ORACLES: dict[str, str] = {
         FROM d GROUP BY record_id)
       SELECT record_id, 'User' AS entity_type, CAST(failed_seq AS VARCHAR) AS event_id, failed_seq FROM m
       WHERE failed_seq IS NOT NULL AND coalesce(mended_seq, -1) < failed_seq""",
+    "gap_timeout": _limited(48 * 3600000, None) + _ROWS,
+    "gap_overflow": _limited(None, 2) + _ROWS,
+    "gap_limits": _LIMITS + _ROWS,
+    "gap_limits_split": _LIMITS + _ROWS,
+    "failed_gaps": _LIMITS + "SELECT record_id, open_seq, entity, event_id, failed FROM g",
+    # A fill is late if a gap opened after the fill before it and has failed.
+    "late_fill": _LIMITS + """, u AS (SELECT *, coalesce(max(CASE WHEN kind = 'F' THEN seq END) OVER (PARTITION BY record_id
+        ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS prev FROM d)
+      SELECT record_id, seq, cutoff, decision FROM u WHERE decision = 'fill_ignored' AND EXISTS (
+        SELECT 1 FROM g WHERE g.record_id = u.record_id AND g.open_seq > u.prev AND g.open_seq < u.seq)""",
+    "reissued_commands": _LIMITS + """, m AS (SELECT record_id, max(seq) AS mended_seq FROM d WHERE decision = 'filled' GROUP BY 1)
+      SELECT g.record_id, 'User' AS entity_type, max(event_id) FILTER (open_seq = top) AS event_id, top AS open_seq,
+        max(failed) FILTER (open_seq = top) AS failed
+      FROM (SELECT *, max(open_seq) OVER (PARTITION BY record_id) AS top FROM g) g LEFT JOIN m ON m.record_id = g.record_id
+      WHERE coalesce(mended_seq, -1) < top GROUP BY g.record_id, top""",
 }

@@ -44,6 +44,7 @@ def output_schema(key_type: T.DataType) -> T.StructType:
     ])
 
 
+_TS = _CARRIED.index("ts")
 _OUT = Row("record_id", *_CARRIED, "decision", "out_seq", "pos")
 
 
@@ -74,16 +75,15 @@ class GapProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         record = key[0]
         gap = self._load()
-        at_start = gap
-        fresh: list[tuple] = []  # held back in this micro-batch, not yet in the list state
+        held = _Held(self.held, stored=gap is not None)
         for row in sorted(rows, key=lambda r: tuple(r[c] for c in self.order)):
             values = tuple(row[c] for c in _CARRIED)
             if gap and self.timeout_ms is not None and row["arrived"] > gap["opened_at"] + self.timeout_ms:
-                yield from self._fail(record, gap, fresh, "timeout")
-                gap, fresh = None, []
+                yield from self._fail(record, gap, held, "timeout")
+                gap = None
             if row["kind"] == "F":
-                yield from self._fill(record, row, values, gap, fresh)
-                gap, fresh = None, []
+                yield from self._fill(record, row, values, gap, held)
+                gap = None
             elif row["kind"] == "G":
                 if not gap:
                     gap = {"opened_at": row["arrived"], "deadline_clock": self._deadline(timerValues),
@@ -95,36 +95,35 @@ class GapProcessor(StatefulProcessor):
             elif not gap:
                 yield _OUT(record, *values, "forwarded", row["seq"], 0)
             else:
-                fresh.append(values)
-                gap = {**gap, "n_buffered": gap["n_buffered"] + 1}
+                held.fresh.append(values)
+                gap["n_buffered"] += 1
                 yield _OUT(record, *values, "buffered", row["seq"], 0)
                 if self.max_buffer is not None and gap["n_buffered"] > self.max_buffer:
-                    yield from self._fail(record, gap, fresh, "overflow")
-                    gap, fresh = None, []
+                    yield from self._fail(record, gap, held, "overflow")
+                    gap = None
         if gap:
             self.gap_state.update(tuple(gap[f.name] for f in GAP.fields))
-            if fresh:
-                self.held.appendList(fresh)
-        elif at_start:
-            self._clear()
+            if held.fresh:
+                self.held.appendList(held.fresh)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         gap = self._load()
         # The timer may belong to an earlier gap of this record.
         if gap and gap["deadline_clock"] is not None and gap["deadline_clock"] <= expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._fail(key[0], gap, [], "timeout")
+            yield from self._fail(key[0], gap, _Held(self.held, stored=True), "timeout")
 
     def close(self) -> None:
         pass
 
     def _load(self) -> dict | None:
-        if not self.gap_state.exists():
-            return None
-        return dict(zip((f.name for f in GAP.fields), self.gap_state.get()))
+        stored = self.gap_state.get()
+        return None if stored is None else dict(zip((f.name for f in GAP.fields), stored))
 
-    def _clear(self) -> None:
-        self.gap_state.clear()
-        self.held.clear()
+    def _end(self, held: "_Held") -> None:
+        if held.stored:
+            self.gap_state.clear()
+            self.held.clear()
+        held.stored, held.fresh = False, []
 
     def _deadline(self, timer_values) -> int | None:
         if not self.timers:
@@ -133,46 +132,53 @@ class GapProcessor(StatefulProcessor):
         self.handle.registerTimer(at)
         return at
 
-    def _waiting(self, fresh: list[tuple]) -> Iterator[tuple]:
-        """Held-back rows, oldest first."""
-        for stored in self.held.get():
-            yield tuple(stored)
-        yield from fresh
-
-    def _fail(self, record, gap: dict, fresh: list[tuple], why: str) -> Iterator[Row]:
+    def _fail(self, record, gap: dict, held: "_Held", why: str) -> Iterator[Row]:
         at = {c: None for c in _CARRIED} | {
             "seq": gap["open_seq"], "arrived": gap["opened_at"], "kind": "G", "event_id": gap["open_event"],
             "entity": gap["entity"], "err": why}
         yield _OUT(record, *(at[c] for c in _CARRIED), "gap_failed", gap["open_seq"], 0)
-        for i, values in enumerate(self._waiting(fresh)):
+        for i, values in enumerate(held.rows()):
             yield _OUT(record, *values, "dead_letter", gap["open_seq"], i + 1)
-        self._clear()
+        self._end(held)
 
-    def _fill(self, record, row, values, gap: dict | None, fresh: list[tuple]) -> Iterator[Row]:
+    def _fill(self, record, row, values, gap: dict | None, held: "_Held") -> Iterator[Row]:
         seq, cutoff = row["seq"], row["cutoff"]
         ok = row["is_success"] if row["is_success"] is not None else cutoff is not None and cutoff >= 0
         if self.strict and not ok:
             yield _OUT(record, *values, "fill_error", seq, 0)
-            if gap:
-                for i, v in enumerate(self._waiting(fresh)):
-                    yield _OUT(record, *v, "dead_letter", seq, i + 1)
+            for i, v in enumerate(held.rows()):
+                yield _OUT(record, *v, "dead_letter", seq, i + 1)
         elif gap:
             yield _OUT(record, *values, "filled", seq, 0)
-            total = sum(self._newer(v, cutoff) for v in self._waiting(fresh))
+            # Two passes instead of a list: the buffer may be far larger than a micro-batch.
+            total = 0 if self.strict else sum(self._newer(v, cutoff) for v in held.rows())
             kept = 0
-            for v in self._waiting(fresh):
+            for v in held.rows():
                 if self._newer(v, cutoff):
                     kept += 1
                     yield _OUT(record, *v, "flushed", seq, kept if self.strict else total - kept + 1)
                 else:
                     yield _OUT(record, *v, "dropped", seq, 0)
         else:
-            forced = self.strict and "force" in row.asDict() and row["force"]
+            forced = self.strict and "force" in row and row["force"]
             yield _OUT(record, *values, "forced" if forced else "fill_ignored", seq, 0)
-        self._clear()
+        self._end(held)
 
     def _newer(self, values: tuple, cutoff: int | None) -> bool:
-        ts = values[_CARRIED.index("ts")]
+        ts = values[_TS]
         if ts is None or cutoff is None:
             return False
         return _millis(ts) > _millis(cutoff) if self.strict else ts > cutoff
+
+
+class _Held:
+    """Rows held back for one record: those in the list state, then those of this micro-batch."""
+
+    def __init__(self, state, stored: bool):
+        self.state, self.stored, self.fresh = state, stored, []
+
+    def rows(self) -> Iterator[tuple]:
+        if self.stored:
+            for row in self.state.get():
+                yield tuple(row)
+        yield from self.fresh
