@@ -7,6 +7,8 @@ join. Whether the images are broadcast is left to Spark's own size check.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import lookup_path, parse_long
@@ -14,21 +16,21 @@ from ..functions import lookup_path, parse_long
 _ON = ["entity_type", "record_id"]
 
 
-def fill_lookup(commands: DataFrame, images: DataFrame, base: str = "") -> DataFrame:
+def fill_lookup(commands: DataFrame, images: DataFrame, base: str = "", keep: Sequence[str] = ()) -> DataFrame:
     """One fill per command. No image, or an image without a usable modification time, gives a failed fill
-    (cutoff -1, no fields, a message)."""
+    (cutoff -1, no fields, a message). `keep` names further command columns to pass on."""
     found = images.withColumn("_hit", F.lit(True))
     cutoff = parse_long(F.col("last_modified"))
     ok = cutoff.isNotNull()
     path = lookup_path(F.col("entity_type"), F.col("record_id"), base)
     message = (F.when(ok, "")
                .when(F.col("_hit").isNull(), F.concat(F.lit("not found: "), path))
-               .otherwise(F.concat(F.lit("bad modification time: "), F.col("last_modified"))))
+               .otherwise(F.concat(F.lit("bad modification time: "), F.coalesce("last_modified", F.lit("none")))))
     return commands.join(found, _ON, "left").select(
         "record_id", "entity_type", "event_id", "seq",
         F.coalesce(cutoff, F.lit(-1)).alias("cutoff"),
         F.when(ok, F.col("image")).otherwise("{}").alias("all_fields"),
-        ok.alias("is_success"), message.alias("err"))
+        ok.alias("is_success"), message.alias("err"), *keep)
 
 
 def fill_lookup_hits(commands: DataFrame, images: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from ..functions import (backoff_ms, epoch_ms, is_gap_type, jitter_ms, lookup_pa
 from ..operators import counters, gaps, limits, lookup, retries, tables
 from ..operators.ordered import DEFAULT, Layout
 from ..sources import codecs, tables as src
+from . import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -387,4 +388,9 @@ QUERIES: dict[str, Query] = {
     "failed_gaps": failed_gaps,
     "late_fill": late_fill,
     "reissued_commands": reissued_commands,
+    "gap_stream_equals_batch": streams.gap_stream,
+    "gap_stream_limits": partial(streams.gap_stream, timeout_ms=TIMEOUT_MS, max_buffer=MAX_BUFFER),
+    "stream_pending": streams.stream_pending,
+    "stream_outputs": streams.stream_outputs,
+    "fill_loop": streams.fill_loop,
 }

@@ -148,6 +148,17 @@ g AS (SELECT c.record_id, c.seq AS open_seq, 'User' AS entity, CAST(c.seq AS VAR
 """
 
 
+def _event_json(entity: str, event_id: str, ts: str, type_: str, fields: str) -> str:
+    """A change event as text; `event_id` and `ts` are SQL for JSON values."""
+    return f"""'{{"eventId":' || {event_id} || ',"entity":"' || {entity} || '","recordId":"' || record_id
+      || '","type":"' || {type_} || '","timestamp":' || {ts} || ',"changedFields":' || {fields} || '}}'"""
+
+
+_COMMAND_JSON = """'{"recordId":"' || record_id || '","entityType":"User","eventId":"' || seq || '"}'"""
+_CHANGE_JSON = _event_json("'User'", "'\"' || seq || '\"'", "ts", "'N'", """'{"k":' || k || '}'""")
+_FILL_JSON = _event_json("record_id", "'null'", "'null'", "'F'", """'{"k":' || k || '}'""")
+
+
 _LIMITS = _limited(48 * 3600000, 2)
 
 ORACLES: dict[str, str] = {
@@ -331,4 +342,28 @@ ORACLES: dict[str, str] = {
         max(failed) FILTER (open_seq = top) AS failed
       FROM (SELECT *, max(open_seq) OVER (PARTITION BY record_id) AS top FROM g) g LEFT JOIN m ON m.record_id = g.record_id
       WHERE coalesce(mended_seq, -1) < top GROUP BY g.record_id, top""",
+    "gap_stream_equals_batch": _decided() + _ROWS,
+    "gap_stream_limits": _LIMITS + _ROWS,
+    "stream_pending": _decided() + "SELECT record_id, seq, ts, payload FROM d WHERE decision = 'pending'",
+    "stream_outputs": _decided() + f""", p AS (SELECT *, row_number() OVER (PARTITION BY record_id, close_seq, decision
+        ORDER BY seq DESC) AS nth FROM d WHERE decision IN ('forwarded', 'filled', 'flushed', 'command'))
+      SELECT CASE decision WHEN 'command' THEN 'CDC-FILL-COMMAND' ELSE 'CDC-OUTPUT' END AS topic,
+        CAST(record_id AS VARCHAR) AS key,
+        CASE decision WHEN 'command' THEN {_COMMAND_JSON} WHEN 'filled' THEN {_FILL_JSON} ELSE {_CHANGE_JSON} END AS value,
+        CASE decision WHEN 'flushed' THEN close_seq ELSE seq END AS rec_offset,
+        CASE decision WHEN 'flushed' THEN nth ELSE 0 END AS pos FROM p""",
+    # Each record with a gap stays open from its first G to the worker's answer, which comes last.
+    "fill_loop": f"""WITH {_INPUT}, {_SNAPSHOT},
+      o AS (SELECT record_id, min(seq) AS open_seq FROM e WHERE kind = 'G' GROUP BY record_id),
+      a AS (SELECT o.*, coalesce(TRY_CAST(last_modified AS BIGINT), -1) AS cut,
+        CASE WHEN TRY_CAST(last_modified AS BIGINT) IS NULL THEN '{{}}' ELSE '{{"name":"' || image || '"}}' END AS img
+        FROM o LEFT JOIN s ON record_id = rid),
+      n AS (SELECT e.*, open_seq, cut FROM e LEFT JOIN a USING (record_id) WHERE kind = 'N'),
+      h AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY seq DESC) AS pos FROM n
+        WHERE seq > open_seq AND ts > cut)
+      SELECT 'CDC-OUTPUT' AS topic, CAST(record_id AS VARCHAR) AS key, {_CHANGE_JSON} AS value, 0 AS pos FROM n
+        WHERE open_seq IS NULL OR seq < open_seq
+      UNION ALL SELECT 'CDC-OUTPUT', CAST(record_id AS VARCHAR), {_CHANGE_JSON}, pos FROM h
+      UNION ALL SELECT 'CDC-FILL-COMMAND', CAST(record_id AS VARCHAR), {_COMMAND_JSON}, 0 FROM (SELECT record_id, open_seq AS seq FROM a)
+      UNION ALL SELECT 'CDC-OUTPUT', CAST(record_id AS VARCHAR), {_event_json("record_id", "'null'", "'null'", "'F'", "img")}, 0 FROM a""",
 }

@@ -71,5 +71,6 @@ def write_batch(df: DataFrame, fmt: str, path_or_topic: str, **options: str) ->
 
 
 def write_batch_once(df: DataFrame, fmt: str, folder: str, batch_id: int) -> None:
-    """Write a micro-batch to its own sub-folder, replacing what a failed attempt at the same batch left."""
-    df.write.format(fmt).mode("overwrite").save(f"{folder}/batch_id={batch_id}")
+    """Write a micro-batch to a sub-folder of its own, replacing what a failed attempt at the same batch left.
+    Read the whole with `folder/*`."""
+    df.write.format(fmt).mode("overwrite").save(f"{folder}/batch-{batch_id:010d}")

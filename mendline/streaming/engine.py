@@ -58,6 +58,11 @@ def run_to_end(stream: DataFrame, folder: str, checkpoint: str, *, partition_by:
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
+def first_fills(fills: DataFrame, time: str, within: str) -> DataFrame:
+    """A stream of fills without later copies of the same answer; `time` is a timestamp column."""
+    return fills.withWatermark(time, within).dropDuplicatesWithinWatermark(["record_id", "event_id"])
+
+
 def held_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
     """Rows now held back, read from the state store of a stopped or running query."""
     state = (spark.read.format("statestore").option("path", checkpoint)
@@ -130,9 +135,7 @@ def fill_worker(commands_wire: DataFrame, read_images: Callable[[], DataFrame],
         commands = codecs.decode(batch, S.FILL_COMMAND).select(
             F.col("v.recordId").alias("record_id"), F.col("v.entityType").alias("entity_type"),
             F.col("v.eventId").alias("event_id"), F.col("rec_offset").alias("seq"), "rec_ts")
-        times = commands.select("record_id", "event_id", "rec_ts")
-        fills = lookup.fill_lookup(commands.drop("rec_ts"), read_images(), base).join(
-            times, ["record_id", "event_id"]).select(
+        fills = lookup.fill_lookup(commands, read_images(), base, keep=["rec_ts"]).select(
             F.col("record_id").alias("key"),
             codecs.encode(F.col("record_id").alias("recordId"), F.col("entity_type").alias("entityType"),
                           F.col("event_id").alias("eventId"), F.col("cutoff").alias("cutoffLastModifiedEpochMs"),
