@@ -49,7 +49,9 @@ def final_decisions(decisions: DataFrame) -> DataFrame:
 def run_to_end(stream: DataFrame, folder: str, checkpoint: str, *, partition_by: str | None = None) -> DataFrame:
     """Run over all data there is now, then return what has been written to `folder` in total.
 
-    The Parquet file sink writes each micro-batch exactly once, also when a batch is repeated."""
+    The Parquet file sink writes each micro-batch exactly once, also when a batch is repeated. Not for streams
+    with timers: these wait for the clock and so never come to an end.
+    """
     writer = (stream.writeStream.format("parquet").outputMode("append").option("path", folder)
               .option("checkpointLocation", checkpoint).trigger(availableNow=True))
     if partition_by:

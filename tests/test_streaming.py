@@ -36,12 +36,22 @@ def test_stream_is_the_fold(spark, tmp_path, mode, timeout, most):
 
 def test_timer_ends_a_quiet_gap(spark, tmp_path):
     folder = str(tmp_path / "in")
-    stream = lambda: engine.gap_stream(spark.readStream.schema(SCHEMA).parquet(folder), timeout_ms=1_000, timers=True)
-    frame(spark, [row("a", 0, "G", 10), row("a", 1, "N", 11)]).write.parquet(folder)
-    engine.run_to_end(stream(), f"{tmp_path}/out", f"{tmp_path}/cp")
-    time.sleep(1.5)
-    frame(spark, [row("b", 2, "N", 12)]).write.mode("append").parquet(folder)
-    written = engine.run_to_end(stream(), f"{tmp_path}/out", f"{tmp_path}/cp")
+    frame(spark, [row("a", 0, "G", 10), row("a", 1, "N", 11), row("b", 2, "N", 12)]).write.parquet(folder)
+    stream = engine.gap_stream(spark.readStream.schema(SCHEMA).parquet(folder), timeout_ms=1_000, timers=True)
+    query = (stream.writeStream.format("parquet").option("path", f"{tmp_path}/out")
+             .option("checkpointLocation", f"{tmp_path}/cp").trigger(processingTime="500 milliseconds").start())
+    try:
+        until = time.time() + 60
+        while time.time() < until:
+            time.sleep(1)
+            try:
+                written = spark.read.schema(stream.schema).parquet(f"{tmp_path}/out")
+                if written.filter("decision = 'gap_failed'").count():
+                    break
+            except Exception:  # nothing written yet
+                continue
+    finally:
+        query.stop()
     assert decisions(written) == {("a", 0): "command", ("a", 1): "dead_letter", ("b", 2): "forwarded"}
     assert written.filter("decision = 'gap_failed'").first().err == "timeout"
 
