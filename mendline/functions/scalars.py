@@ -19,8 +19,10 @@ def wire_kind(type_: Column) -> Column:
 
 
 def epoch_ms(ts: Column) -> Column:
-    """Milliseconds since 1970 of a zone-less timestamp, cut off; free of the session time zone."""
-    return F.timestamp_diff("MILLISECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
+    """Whole milliseconds since 1970 of a zone-less timestamp. The difference of two zone-less timestamps
+    does not pass through the session's time zone, so clock changes there have no effect."""
+    since = ts - F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
+    return F.floor(since.cast("interval second").cast("decimal(20,6)") * 1000).cast("bigint")
 
 
 def seconds_or_millis(x: Column) -> Column:

@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas as S
 from ..functions import seconds_or_millis
+from ..sources.io import stored
 from .ordered import DEFAULT, PART, Layout, number_rows, scan
 
 MODES = ("compat", "strict")
@@ -155,7 +156,9 @@ def pending(decided: DataFrame) -> DataFrame:
 
 
 def episodes(decided: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
-    """One row per opened gap: where it opened and closed and what became of the rows in between."""
+    """One row per opened gap: where it opened and closed and what became of the rows in between.
+
+    The rows per gap are stored in the shared folder when this is called, before they are numbered."""
     count = lambda *d: F.count(F.when(F.col("decision").isin(*d), 1))
     closes = F.col("decision").isin("filled") | ((F.col("decision") == "fill_error") & F.col("in_gap"))
     gaps = (decided.filter(F.col("in_gap") | (F.col("decision") == "command"))
@@ -169,12 +172,12 @@ def episodes(decided: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
                  count("dropped").alias("n_dropped"),
                  count("pending").alias("n_pending"),
                  count("dead_letter").alias("n_dead_letter")))
-    return scan_ordinal(gaps, layout).select(
+    return _numbered(stored(gaps), layout).select(
         "record_id", "episode", "open_seq", "close_seq", "cutoff", "n_gap_dropped", "n_buffered",
         "n_flushed", "n_dropped", "n_pending", "n_dead_letter")
 
 
-def scan_ordinal(gaps: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
+def _numbered(gaps: DataFrame, layout: Layout) -> DataFrame:
     """Number a record's episodes from 1."""
     by_open = scan(gaps, layout.ordered("open_seq"), count_before={"_n": F.lit(True)})
     return by_open.withColumn("episode", F.col("_n") + 1).drop("_n", PART)

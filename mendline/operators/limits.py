@@ -22,7 +22,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import seconds_or_millis
-from ..sources.io import shared_dir
+from ..sources.io import stored
 from .gaps import _check, fill_succeeded
 from .ordered import DEFAULT, PART, Layout, scan
 
@@ -84,13 +84,13 @@ def _follow(links: DataFrame) -> DataFrame:
     jump = links.filter(F.col("next_seq").isNotNull()).select("record_id", "seq", "next_seq")
     while True:
         known = reduce(DataFrame.unionByName, reached)
-        new = known.join(jump, ["record_id", "seq"]).select("record_id", F.col("next_seq").alias("seq")).checkpoint()
+        new = stored(known.join(jump, ["record_id", "seq"]).select("record_id", F.col("next_seq").alias("seq")))
         if new.isEmpty():
             return known
         reached.append(new)
         then = jump.select("record_id", F.col("seq").alias("next_seq"), F.col("next_seq").alias("_then"))
-        jump = jump.join(then, ["record_id", "next_seq"]).select(
-            "record_id", "seq", F.col("_then").alias("next_seq")).checkpoint()
+        jump = stored(jump.join(then, ["record_id", "next_seq"]).select(
+            "record_id", "seq", F.col("_then").alias("next_seq")))
 
 
 def decide_limited(rows: DataFrame, timeout_ms: int | None = None, max_buffer: int | None = None,
@@ -103,8 +103,7 @@ def decide_limited(rows: DataFrame, timeout_ms: int | None = None, max_buffer: i
     """
     _check(mode)
     strict = mode == "strict"
-    shared_dir(rows.sparkSession)
-    links = _links(rows, timeout_ms, max_buffer, layout).checkpoint()
+    links = stored(_links(rows, timeout_ms, max_buffer, layout))
     opened = _follow(links).join(links, ["record_id", "seq"]).select(
         "record_id", "seq", F.lit(0).alias("rank"),
         F.struct("seq", "arrived", "epoch", "over_seq").alias("opening"))

@@ -13,6 +13,7 @@ from ..functions import (backoff_ms, epoch_ms, is_gap_type, jitter_ms, lookup_pa
 from ..operators import counters, gaps, limits, lookup, retries, tables
 from ..operators.ordered import DEFAULT, Layout
 from ..sources import codecs, tables as src
+from ..sources.io import stored
 from . import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -250,11 +251,11 @@ def fill_outcome_class(spark, d):
 
 
 def retry_schedule(spark, d, doubling=True, layout=DEFAULT):
-    return retries.retry_schedule(_attempts(spark, d), layout, doubling=doubling)
+    return retries.retry_schedule(stored(_attempts(spark, d)), layout, doubling=doubling)
 
 
 def outage_windows(spark, d, layout=DEFAULT):
-    return retries.outage_windows(_attempts(spark, d), layout)
+    return retries.outage_windows(stored(_attempts(spark, d)), layout)
 
 
 # --- scalar functions, duplicates, failed gaps -------------------------------------------------------------

@@ -9,7 +9,7 @@ from ..sources import io, tables as src
 from ..streaming import engine
 
 
-def deliver(df: DataFrame, order: str, folder: str, checkpoint: str, out: str, transform, n: int = 3) -> DataFrame:
+def deliver(df: DataFrame, order: str, folder: str, checkpoint: str, out: str, transform, n: int = 2) -> DataFrame:
     """Hand `df` to a stream in `n` deliveries, oldest rows first, and run the query to the end after each.
 
     A file stream keeps the order of deliveries but not of the files within one, so each delivery is one

@@ -19,12 +19,17 @@ REASONS = (*INVALID, "bad_json", "null_type", "key_mismatch")
 
 def decode(wire: DataFrame, schema: T.StructType, *, fail_fast: bool = False) -> DataFrame:
     """Parse `value` into the struct column `v`. A null stays null. Text that is no such record ends the
-    query with `fail_fast`; otherwise it is kept in `v._corrupt_record`."""
+    query with `fail_fast`; otherwise it is kept in `v._corrupt_record`.
+
+    The explode of a one-element array keeps later filters above the parse. Pushed below, they would parse
+    the text once more for each field they look at.
+    """
     if fail_fast:
-        return wire.withColumn("v", F.from_json("value", schema, {"mode": "FAILFAST"}))
-    open_schema = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
-    return wire.withColumn("v", F.from_json("value", open_schema, {
-        "mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD}))
+        parsed = F.from_json("value", schema, {"mode": "FAILFAST"})
+    else:
+        open_schema = T.StructType([*schema.fields, T.StructField(BAD, T.StringType())])
+        parsed = F.from_json("value", open_schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BAD})
+    return wire.select("*", F.explode(F.array(parsed)).alias("v"))
 
 
 def encode(*fields: Column) -> Column:

@@ -32,6 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write an intermediate result to the shared folder once, for plans that read it several times."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint()
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 

@@ -24,7 +24,7 @@ def test_stream_is_the_fold(spark, tmp_path, mode, timeout, most):
     rows = rand_rows(f"stream {mode}", 240)
     written = streams.deliver(
         frame(spark, rows), "seq", f"{tmp_path}/in", f"{tmp_path}/cp", f"{tmp_path}/out",
-        lambda s: engine.gap_stream(s, mode, timeout_ms=timeout, max_buffer=most))
+        lambda s: engine.gap_stream(s, mode, timeout_ms=timeout, max_buffer=most), n=3)
     decision, place, failed = fold(rows, mode, timeout, most)
     assert decisions(written) == decision
     got = written.filter("decision = 'flushed'").collect()

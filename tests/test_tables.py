@@ -167,3 +167,14 @@ def test_parse_long_strict(spark):
     assert df.filter("x = '12'").select(parse_long_strict(F.col("x")).alias("v")).first().v == 12
     with pytest.raises(Exception, match="not a number"):
         df.select(parse_long_strict(F.col("x"))).collect()
+
+
+def test_epoch_ms_ignores_the_session_zone(spark):
+    from mendline.functions import epoch_ms
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:  # 02:30 does not exist on that day in New York
+        df = spark.sql("SELECT timestamp_ntz'2024-03-10 02:30:00.123999' AS ts")
+        assert df.select(epoch_ms(F.col("ts")).alias("v")).first().v == 1710037800123
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
