@@ -136,15 +136,15 @@ st AS (
       ELSE CASE r.kind WHEN 'F' THEN 'filled' WHEN 'G' THEN 'gap_dropped' ELSE CASE WHEN {over} THEN 'overflowed' ELSE 'held' END END END
   FROM st s JOIN r ON r.record_id = s.record_id AND r.rn = s.rn + 1),
 ends AS (
-  SELECT record_id, expired_seq AS open_seq, 'timeout' AS why, CAST(NULL AS BIGINT) AS cutoff FROM st WHERE expired_seq IS NOT NULL
-  UNION ALL SELECT record_id, acted_seq, 'overflow', NULL FROM st WHERE act = 'overflowed'
-  UNION ALL SELECT st.record_id, acted_seq, 'fill', cutoff FROM st JOIN b USING (record_id, seq) WHERE act = 'filled'),
+  SELECT record_id, expired_seq AS open_seq, 1 AS why, CAST(NULL AS BIGINT) AS cutoff FROM st WHERE expired_seq IS NOT NULL
+  UNION ALL SELECT record_id, acted_seq, 2, NULL FROM st WHERE act = 'overflowed'
+  UNION ALL SELECT st.record_id, acted_seq, 3, cutoff FROM st JOIN b USING (record_id, seq) WHERE act = 'filled'),
 d AS (SELECT b.*, CASE WHEN act NOT IN ('held', 'overflowed') THEN act WHEN why IS NULL THEN 'pending'
-    WHEN why <> 'fill' THEN 'dead_letter' WHEN b.ts > ends.cutoff THEN 'flushed' ELSE 'dropped' END AS decision, expired_seq
+    WHEN why <> 3 THEN 'dead_letter' WHEN b.ts > ends.cutoff THEN 'flushed' ELSE 'dropped' END AS decision, expired_seq
   FROM st JOIN b USING (record_id, seq)
   LEFT JOIN ends ON ends.record_id = st.record_id AND ends.open_seq = st.acted_seq AND act IN ('held', 'overflowed')),
-g AS (SELECT c.record_id, c.seq AS open_seq, 'User' AS entity, CAST(c.seq AS VARCHAR) AS event_id, why AS failed
-  FROM d c JOIN ends ON ends.record_id = c.record_id AND ends.open_seq = c.seq WHERE why <> 'fill')
+g AS (SELECT c.record_id, c.seq AS open_seq, 'User' AS entity, CAST(c.seq AS VARCHAR) AS event_id, why
+  FROM d c JOIN ends ON ends.record_id = c.record_id AND ends.open_seq = c.seq WHERE why <> 3)
 """
 
 
@@ -159,6 +159,8 @@ _CHANGE_JSON = _event_json("'User'", "'\"' || seq || '\"'", "ts", "'N'", """'{"k
 _FILL_JSON = _event_json("record_id", "'null'", "'null'", "'F'", """'{"k":' || k || '}'""")
 
 
+# Reasons are numbers inside the SQL.
+_WHY = "CASE why WHEN 1 THEN 'timeout' ELSE 'overflow' END"
 _LIMITS = _limited(48 * 3600000, 2)
 
 ORACLES: dict[str, str] = {
@@ -237,7 +239,7 @@ ORACLES: dict[str, str] = {
     "gap_counters": _decided() + f""", {_COUNTED} SELECT received AS events_received, forwarded AS events_forwarded,
       dropped AS "buffered_events_dropped", flushed AS buffered_events_flushed, buffered AS events_buffered,
       filled AS gap_events_filled, detected AS gap_event_detected, gap_dropped AS gap_event_dropped,
-      command AS fill_commands_published, 0 AS fill_commands_timeout, fills AS fill_event_received, 0 AS invalid
+      command AS fill_commands_published, CAST(0 AS BIGINT) AS fill_commands_timeout, fills AS fill_event_received, CAST(0 AS BIGINT) AS invalid
       FROM n""",
     "gap_counter_report": _decided() + f""", {_COUNTED}
       SELECT name, CAST(value AS DOUBLE) AS value FROM (
@@ -257,7 +259,7 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'NOT_NORMAL=GAP_DETECTED_OR_BUFFERED',
           CASE WHEN received - forwarded = detected + buffered THEN 1 ELSE 0 END FROM n) ORDER BY name""",
     "gap_conservation": _decided() + f""", {_COUNTED} SELECT received - forwarded AS not_normal,
-      detected + buffered AS detected_or_buffered, 0 AS invalid,
+      detected + buffered AS detected_or_buffered, CAST(0 AS BIGINT) AS invalid,
       received - forwarded = detected + buffered AS balanced,
       received - forwarded = detected + buffered AS balanced_valid FROM n""",
     "buffer_per_episode": _decided() + """, u AS (SELECT *, sum(CASE WHEN kind = 'F' THEN 1 ELSE 0 END)
@@ -331,17 +333,17 @@ ORACLES: dict[str, str] = {
     "gap_overflow": _limited(None, 2) + _ROWS,
     "gap_limits": _LIMITS + _ROWS,
     "gap_limits_split": _LIMITS + _ROWS,
-    "failed_gaps": _LIMITS + "SELECT record_id, open_seq, entity, event_id, failed FROM g",
+    "failed_gaps": _LIMITS + "SELECT record_id, open_seq, entity, event_id, " + _WHY + " AS failed FROM g",
     # A fill is late if a gap opened after the fill before it and has failed.
     "late_fill": _LIMITS + """, u AS (SELECT *, coalesce(max(CASE WHEN kind = 'F' THEN seq END) OVER (PARTITION BY record_id
         ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS prev FROM d)
       SELECT record_id, seq, cutoff, decision FROM u WHERE decision = 'fill_ignored' AND EXISTS (
         SELECT 1 FROM g WHERE g.record_id = u.record_id AND g.open_seq > u.prev AND g.open_seq < u.seq)""",
-    "reissued_commands": _LIMITS + """, m AS (SELECT record_id, max(seq) AS mended_seq FROM d WHERE decision = 'filled' GROUP BY 1)
-      SELECT g.record_id, 'User' AS entity_type, max(event_id) FILTER (open_seq = top) AS event_id, top AS open_seq,
-        max(failed) FILTER (open_seq = top) AS failed
-      FROM (SELECT *, max(open_seq) OVER (PARTITION BY record_id) AS top FROM g) g LEFT JOIN m ON m.record_id = g.record_id
-      WHERE coalesce(mended_seq, -1) < top GROUP BY g.record_id, top""",
+    "reissued_commands": _LIMITS + """, m AS (SELECT record_id, max(seq) AS mended_seq FROM st WHERE act = 'filled' GROUP BY 1)
+      , t AS (SELECT record_id, max(open_seq) AS open_seq, arg_max(why, open_seq) AS why FROM g GROUP BY 1)
+      SELECT t.record_id, 'User' AS entity_type, CAST(t.open_seq AS VARCHAR) AS event_id, t.open_seq,
+        """ + _WHY + """ AS failed
+      FROM t LEFT JOIN m ON m.record_id = t.record_id WHERE coalesce(mended_seq, -1) < t.open_seq""",
     "gap_stream_equals_batch": _decided() + _ROWS,
     "gap_stream_limits": _LIMITS + _ROWS,
     "stream_pending": _decided() + "SELECT record_id, seq, ts, payload FROM d WHERE decision = 'pending'",
