@@ -42,12 +42,15 @@ def fill_succeeded() -> Column:
     return F.coalesce(F.col("is_success"), F.col("cutoff") >= 0, F.lit(False))
 
 
+def opens_or_closes() -> Column:
+    """True for a control row after which a gap is open, false for one after which none is, else null."""
+    return F.when(F.col("kind") != "N", F.col("kind") == "G")
+
+
 def in_gap(rows: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
     """Add `in_gap`: does the record have an open gap just before this row?"""
-    control = F.when(F.col("kind") != "N", F.col("kind"))
-    return (scan(rows, layout, before={"_control": control})
-            .withColumn("in_gap", F.coalesce(F.col("_control") == "G", F.lit(False)))
-            .drop("_control"))
+    return (scan(rows, layout, before={"in_gap": opens_or_closes()})
+            .withColumn("in_gap", F.coalesce("in_gap", F.lit(False))))
 
 
 def decide(rows: DataFrame, mode: str = "compat", layout: Layout = DEFAULT) -> DataFrame:
@@ -58,10 +61,10 @@ def decide(rows: DataFrame, mode: str = "compat", layout: Layout = DEFAULT) -> D
     fill = F.struct(F.col("seq").alias("seq"), F.col("cutoff").alias("cutoff"),
                     fill_succeeded().alias("ok"))
     seen = scan(rows, layout,
-                before={"_control": F.when(F.col("kind") != "N", F.col("kind")),
+                before={"in_gap": opens_or_closes(),
                         "epoch": F.when(is_fill, F.col("seq"))},
                 after={"_fill": F.when(is_fill, fill)})
-    gap = F.coalesce(F.col("_control") == "G", F.lit(False))
+    gap = F.coalesce(F.col("in_gap"), F.lit(False))
     ts, cutoff = F.col("ts"), F.col("_fill.cutoff")
     if strict:
         ts, cutoff = seconds_or_millis(ts), seconds_or_millis(cutoff)
@@ -87,7 +90,7 @@ def decide(rows: DataFrame, mode: str = "compat", layout: Layout = DEFAULT) -> D
         "epoch": F.coalesce(F.col("epoch"), F.lit(-1)),
         "close_seq": F.when(buffered, F.col("_fill.seq")),
         "close_cutoff": F.when(buffered, F.col("_fill.cutoff")),
-    }).drop("_control", "_fill"))
+    }).drop("_fill"))
 
 
 def replayed(decided: DataFrame, mode: str = "compat", layout: Layout = DEFAULT) -> DataFrame:

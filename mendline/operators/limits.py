@@ -17,13 +17,14 @@ not run backwards within a record.
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import seconds_or_millis
 from ..sources.io import stored
-from .gaps import _check, fill_succeeded
+from .gaps import _check, fill_succeeded, opens_or_closes
 from .ordered import DEFAULT, PART, Layout, scan
 
 
@@ -32,14 +33,14 @@ def _links(rows: DataFrame, timeout_ms: int | None, max_buffer: int | None, layo
     and the G that would open next (`next_seq`)."""
     is_gap, is_fill = F.col("kind") == "G", F.col("kind") == "F"
     seen = scan(rows.select("record_id", "seq", "kind", "arrived"), layout,
-                before={"_control": F.when(F.col("kind") != "N", F.col("kind")),
+                before={"_open": opens_or_closes(),
                         "epoch": F.when(is_fill, F.col("seq"))},
                 after={"_gap_after": F.when(is_gap, F.col("seq")), "_fill_after": F.when(is_fill, F.col("seq"))},
                 count_before={"_n": F.col("kind") == "N"}).drop(PART)
     seen = seen.withColumn("epoch", F.coalesce("epoch", F.lit(-1)))
     gaps = seen.filter(is_gap).select(
         "record_id", "seq", "epoch", "arrived", "_n",
-        F.coalesce(F.col("_control") == "F", F.lit(True)).alias("first"))
+        (~F.coalesce(F.col("_open"), F.lit(False))).alias("first"))
 
     if max_buffer is None:
         gaps = gaps.withColumns({"over_seq": F.lit(None).cast("bigint"), "_over_next": F.lit(None).cast("bigint")})
@@ -113,9 +114,13 @@ def decide_limited(rows: DataFrame, timeout_ms: int | None = None, max_buffer: i
         last = rows.groupBy("record_id").agg((F.max("seq") + 1).alias("seq"), F.max("arrived").alias("arrived"))
         merged = merged.unionByName(last.withColumns({"rank": F.lit(2), "kind": F.lit("E")}), allowMissingColumns=True)
 
+    # One number for (seq, rank): an opening comes before its row, the closing row after all others.
+    merged = merged.withColumn("place", F.col("seq") * 3 + F.col("rank"))
+    by_place = replace(layout, order=("place",), span=layout.span and layout.span * 3)
+
     is_fill = F.col("kind") == "F"
-    end = F.struct("kind", "seq", "arrived", "cutoff", fill_succeeded().alias("ok"))
-    seen = scan(merged, layout.ordered("seq", "rank"),
+    end = F.struct(is_fill.alias("fill"), "arrived", "cutoff", fill_succeeded().alias("ok"))
+    seen = scan(merged, by_place,
                 before={"_open": F.col("opening"), "epoch": F.when(is_fill, F.col("seq"))},
                 after={"_end": F.when(F.col("kind").isin("F", "E"), end)}).filter(F.col("rank") == 1)
 
@@ -127,7 +132,7 @@ def decide_limited(rows: DataFrame, timeout_ms: int | None = None, max_buffer: i
     expires = F.lit(False) if timeout_ms is None else F.coalesce(F.col("_end.arrived") > deadline, F.lit(False))
     reason = F.when(F.col("_open.over_seq").isNotNull(), "overflow").when(expires, "timeout")
 
-    filled = F.coalesce(F.col("_end.kind") == "F", F.lit(False))
+    filled = F.coalesce(F.col("_end.fill"), F.lit(False))
     ts, cutoff = F.col("ts"), F.col("_end.cutoff")
     if strict:
         ts, cutoff = seconds_or_millis(ts), seconds_or_millis(cutoff)

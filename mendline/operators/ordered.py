@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 PART = "part"
 
@@ -78,6 +78,30 @@ def _key_of(layout: Layout):
     return cols[0] if len(cols) == 1 else F.struct(*cols)
 
 
+def _fields(rows: DataFrame, name: str) -> list[str]:
+    kind = rows.schema[f"_x_{name}"].dataType
+    return kind.fieldNames() if isinstance(kind, T.StructType) else []
+
+
+def _edge(rows: DataFrame, name: str, pick, at, order: Column) -> list[Column]:
+    """Aggregates for the value of `name` nearest to the end of a stretch. A struct is picked field by field:
+    buffers of plain numbers let Spark aggregate by hash, without sorting the rows first."""
+    x = F.col(f"_x_{name}")
+    where = F.when(x.isNotNull(), order)
+    fields = _fields(rows, name)
+    if not fields:
+        return [pick(x, where).alias(name)]
+    return [at(where).alias(f"{name}__at"), *[pick(x[f], where).alias(f"{name}__{f}") for f in fields]]
+
+
+def _rebuilt(rows: DataFrame, name: str) -> Column:
+    fields = _fields(rows, name)
+    if not fields:
+        return F.col(name)
+    whole = F.struct(*[F.col(f"{name}__{f}").alias(f) for f in fields])
+    return F.when(F.col(f"{name}__at").isNotNull(), whole)
+
+
 def scan(df: DataFrame, layout: Layout = DEFAULT, *,
          before: Mapping[str, Column] | None = None,
          after: Mapping[str, Column] | None = None,
@@ -114,14 +138,12 @@ def scan(df: DataFrame, layout: Layout = DEFAULT, *,
         local[n] = F.count(F.when(F.col(f"_x_{n}"), 1)).over(earlier)
     out = rows.withColumns(local)
 
-    # Across the stretches of hot keys.
+    # Across the stretches of hot keys: first and last value per stretch, then the nearest stretch that has one.
     edge: list[Column] = []
     for n in before:
-        x = F.col(f"_x_{n}")
-        edge.append(F.max_by(x, F.when(x.isNotNull(), order)).alias(n))
+        edge += _edge(rows, n, F.max_by, F.max, order)
     for n in after:
-        x = F.col(f"_x_{n}")
-        edge.append(F.min_by(x, F.when(x.isNotNull(), order)).alias(n))
+        edge += _edge(rows, n, F.min_by, F.min, order)
     edge += [F.max(f"_x_{n}").alias(n) for n in max_before]
     edge += [F.count(F.when(F.col(f"_x_{n}"), 1)).alias(n) for n in count_before]
     along = Window.partitionBy(*keys).orderBy(PART)
@@ -136,8 +158,10 @@ def scan(df: DataFrame, layout: Layout = DEFAULT, *,
         carried[n] = F.max(n).over(past)
     for n in count_before:
         carried[n] = F.sum(n).over(past)
-    carry = (rows.filter(F.col(PART).isNotNull()).groupBy(*keys, PART).agg(*edge)
-             .select(*keys, PART, *[c.alias(f"_c_{n}") for n, c in carried.items()]))
+    stretches = rows.filter(F.col(PART).isNotNull()).groupBy(*keys, PART).agg(*edge)
+    for n in [*before, *after]:
+        stretches = stretches.withColumn(n, _rebuilt(rows, n))
+    carry = stretches.select(*keys, PART, *[c.alias(f"_c_{n}") for n, c in carried.items()])
 
     out = out.join(carry, [*keys, PART], "left")
     merged: dict[str, Column] = {}
