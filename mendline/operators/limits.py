@@ -59,7 +59,7 @@ def _links(rows: DataFrame, timeout_ms: int | None, max_buffer: int | None, layo
     if timeout_ms is None:
         expired_next = F.lit(None).cast("bigint")
     else:
-        gaps = _first_gap_after(gaps, timeout_ms, layout)
+        gaps = _first_gap_after(stored(gaps), timeout_ms, layout)
         expired_next = F.when(F.col("_hit.epoch") == F.col("epoch"), F.col("_hit.seq"))
     following = F.when(F.col("over_seq").isNotNull(), F.col("_over_next")).otherwise(expired_next)
     return gaps.select("record_id", "seq", "epoch", "arrived", "first", "over_seq", following.alias("next_seq"))

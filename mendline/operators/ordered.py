@@ -26,7 +26,7 @@ PART = "part"
 class Layout:
     """How rows are keyed, ordered and cut.
 
-    `order` must be unique within a key. Its first column is a whole number; a stretch of a hot key covers
+    With no keys the whole table is one sequence, always cut. `order` must be unique within a key. Its first column is a whole number; a stretch of a hot key covers
     `span` units of it. With a row number as order (`seq`) a stretch holds at most `span` rows. For an order
     by time, where rows per unit are not known, span=None gives each hot key stretches that hold `hot_rows`
     rows on average.
@@ -56,6 +56,8 @@ def cut_hot_keys(df: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
         return df
     keys = list(layout.keys)
     first = layout.order[0]
+    if not keys:
+        return df.withColumn(PART, F.expr(f"`{first}` div {int(layout.span)}"))
     # Columns of `hot` are null for other keys after the left join, and so is every sum with them: `part` is
     # null there, and a filter on `part` turns the join into an inner one.
     found = (df.groupBy(*keys)
@@ -102,6 +104,13 @@ def _rebuilt(rows: DataFrame, name: str) -> Column:
     return F.when(F.col(f"{name}__at").isNotNull(), whole)
 
 
+def _next(name: str, keys: list[str], order: list[str]) -> Column:
+    """First non-null value after the row; in the same sort as a backward look, and in linear time."""
+    quoted = lambda names: ", ".join(f"`{n}`" for n in names)
+    by = f"PARTITION BY {quoted(keys)} " if keys else ""
+    return F.expr(f"lead(`{name}`) IGNORE NULLS OVER ({by}ORDER BY {quoted(order)})")
+
+
 def scan(df: DataFrame, layout: Layout = DEFAULT, *,
          before: Mapping[str, Column] | None = None,
          after: Mapping[str, Column] | None = None,
@@ -125,13 +134,11 @@ def scan(df: DataFrame, layout: Layout = DEFAULT, *,
     # Inside a stretch (or a whole key that is not hot): one shuffle, one sort, all in linear time.
     inside = Window.partitionBy(*keys, PART).orderBy(*layout.order)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
-    names = ", ".join(f"`{k}`" for k in [*keys, PART])
-    ordering = ", ".join(f"`{c}`" for c in layout.order)
     local: dict[str, Column] = {}
     for n in before:
         local[n] = F.last(f"_x_{n}", ignorenulls=True).over(earlier)
     for n in after:
-        local[n] = F.expr(f"lead(`_x_{n}`) IGNORE NULLS OVER (PARTITION BY {names} ORDER BY {ordering})")
+        local[n] = _next(f"_x_{n}", [*keys, PART], list(layout.order))
     for n in max_before:
         local[n] = F.max(f"_x_{n}").over(earlier)
     for n in count_before:
@@ -148,12 +155,11 @@ def scan(df: DataFrame, layout: Layout = DEFAULT, *,
     edge += [F.count(F.when(F.col(f"_x_{n}"), 1)).alias(n) for n in count_before]
     along = Window.partitionBy(*keys).orderBy(PART)
     past = along.rowsBetween(Window.unboundedPreceding, -1)
-    key_names = ", ".join(f"`{k}`" for k in keys)
     carried: dict[str, Column] = {}
     for n in before:
         carried[n] = F.last(n, ignorenulls=True).over(past)
     for n in after:
-        carried[n] = F.expr(f"lead(`{n}`) IGNORE NULLS OVER (PARTITION BY {key_names} ORDER BY `{PART}`)")
+        carried[n] = _next(n, keys, [PART])
     for n in max_before:
         carried[n] = F.max(n).over(past)
     for n in count_before:

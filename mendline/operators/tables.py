@@ -63,15 +63,12 @@ def change_capture(versions: DataFrame, fields: Sequence[str], layout: Layout =
 
 
 def replay_gaps(rows: DataFrame, number: str, layout: Layout = DEFAULT, by: Sequence[str] = ()) -> DataFrame:
-    """Ranges of missing numbers. Without `by` the whole stream is one key, cut into stretches if large.
+    """Ranges of missing numbers. Without `by` the whole stream is one sequence.
 
     Repeated deliveries are merged first, so that numbers are unique.
     """
-    keys = list(by) or ["stream"]
-    if not by:
-        rows = rows.withColumn("stream", F.lit("all"))
-    ids = rows.select(*keys, number).distinct()
-    seen = scan(ids, layout.by(*keys).ordered(number), before={"_prev": F.col(number)})
+    ids = rows.select(*by, number).distinct()
+    seen = scan(ids, layout.by(*by).ordered(number), before={"_prev": F.col(number)})
     return (seen.filter(F.col(number) - F.col("_prev") > 1)
             .select(*by, (F.col("_prev") + 1).alias("from_id"), (F.col(number) - 1).alias("to_id"),
                     (F.col(number) - F.col("_prev") - 1).alias("n_missing")))

@@ -19,11 +19,11 @@ def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder (`spark.checkpoint.dir`). Only a local session without that setting, as
     in tests, gets a folder of its own."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    current = spark.sparkContext.getCheckpointDir()
     if configured:
-        if not spark.sparkContext.getCheckpointDir():
+        if not current or configured.rstrip("/") not in current:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
-    current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
     if not spark.sparkContext.master.startswith("local"):

@@ -1,6 +1,9 @@
 """JSON codecs, quarantine, tagging and ordering of wire rows."""
 
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 
@@ -73,3 +76,20 @@ def test_json_lines_source(spark, tmp_path):
     io.write_batch(wire, "json", str(tmp_path / "w"))
     back = io.read_wire(spark, "json", str(tmp_path / "w"))
     assert sorted(map(str, back.collect())) == sorted(map(str, wire.collect()))
+
+
+def test_work_goes_to_the_shared_folder(tmp_path):
+    """In a session of its own, since the setting is fixed at start."""
+    shared = tmp_path / "shared"
+    code = f"""
+from pyspark.sql import SparkSession
+from mendline.sources import io
+spark = (SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", {str(shared)!r}).getOrCreate())
+assert io.fresh_dir(spark, "x").startswith({str(shared)!r})
+assert io.stored(spark.range(3)).count() == 3
+spark.stop()
+"""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=root)
+    assert list(shared.rglob("part-*"))
