@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -15,31 +14,37 @@ WIRE = T.StructType([
 ])
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (`spark.checkpoint.dir`). Only a local session without that setting, as
-    in tests, gets a folder of its own."""
-    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    current = spark.sparkContext.getCheckpointDir()
-    if configured:
-        if not current or configured.rstrip("/") not in current:
-            spark.sparkContext.setCheckpointDir(configured)
-        return configured
-    if current:
-        return current
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="mendline-"))
-    return spark.sparkContext.getCheckpointDir()
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """Write an intermediate result to the shared folder once, for plans that read it several times."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """The cluster's shared folder: `spark.checkpoint.dir`. Where that is unset, as in tests, a folder of the
+    warehouse, which all executors see too."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/mendline-shared"
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new folder name in the shared folder; `release` deletes all that were given out."""
+    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def stored(df: DataFrame, label: str = "stored") -> DataFrame:
+    """Write an intermediate result to the shared folder as Parquet, once, for plans that read it several times.
+    It cuts the lineage, keeps column pruning and filters, and survives the loss of executors."""
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> int:
+    """Delete the folders of intermediate results once their consumers have run; returns how many."""
+    done = 0
+    while _made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return done
 
 
 def _from_kafka(df: DataFrame) -> DataFrame:
