@@ -65,9 +65,10 @@ def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     base = F.filter("spans", lambda s: ~s.added)
+    of_kind = lambda kind: lambda s: s.kind == kind
     listed = lambda spans: F.concat_ws(",", F.transform(spans, lambda s: F.concat_ws(":", s.kind, s.start, s.end)))
     return pii.extract(docs).select(
-        "doc_id", *(F.size(F.filter(base, lambda s, k=k: s.kind == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS),
+        "doc_id", *(F.size(F.filter(base, of_kind(k))).cast("long").alias(f"n_{k}") for k in pii.KINDS),
         F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 

@@ -295,7 +295,7 @@ def substring_duplicates(df: DataFrame, *, width: int = 13, text: str = "text",
         F.collect_list(F.struct("start", "n", "ref", "ref_start")).alias(r_runs))
     keyed = df.withColumn(key, (F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")) - F.lit(1 << 31)).cast("int"))
     joined = keyed.join(lists, (F.coalesce(F.col(id_col), F.lit(LAST)) == F.col(r_doc)) & (F.col(key) == F.col(r_key)), "left")
-    schema = T.StructType([*df.schema.fields, *RESULT])
+    schema, columns = T.StructType([*df.schema.fields, *RESULT]), df.columns
 
     def make():
         def step(batch, texts):
@@ -314,10 +314,10 @@ def substring_duplicates(df: DataFrame, *, width: int = 13, text: str = "text",
                 kept.append(line.decode("utf-8"))
                 spans.append([dict(zip(FACTOR.names, f)) for f in parsed])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref", pa.int64()), ("ref_start", pa.int32())]))
-            own = batch.select(df.columns)
+            own = batch.select(columns)
             yield with_arrays(own, results, [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                                              pa.array(kept, pa.string()), pa.array(spans, kind)])
 
         return step
 
-    return map_chunks(joined.select(*df.columns, r_runs), schema, make, text)
+    return map_chunks(joined.select(*columns, r_runs), schema, make, text)

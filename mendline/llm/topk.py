@@ -59,10 +59,10 @@ def packs(rows: DataFrame, keys: list[str], extra: str = "") -> DataFrame:
     """One row per group of (id, vec) rows, longest vectors first."""
     types = dict(rows.dtypes)
 
-    def pack(key, table: pa.Table) -> pa.Table:
+    def pack(key, table):
         ids, vecs = pack_rows(table)
         order = np.lexsort((ids, -np.square(vecs.astype(np.float64)).sum(axis=1)))
-        values = [pa.array([k.as_py()]) for k in key]
+        values = [pa.array([k.as_py()], k.type) for k in key]
         data = [pa.array([vecs.shape[1]], pa.int32()), pa.array([len(ids)], pa.int32()),
                 pa.array([ids[order].astype(np.int64).tobytes()]), pa.array([vecs[order].tobytes()])]
         return pa.Table.from_arrays([*values, *data], names=[*keys, "dim", "n", "ids", "vecs"])
@@ -191,6 +191,8 @@ def top_k(df: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id"
     listed = of_query.join(kth, "query_id").where("bound IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("query_id", "bound")).alias("known"))
     bounded = stored(queries.join(listed, "block", "left"), "bounded")
 
+    names = queries.columns
+
     def lay(batches):
         for batch in batches:
             out = []
@@ -198,8 +200,8 @@ def top_k(df: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id"
                                   batch.column(batch.schema.get_field_index("known")).to_pylist()):
                 by_id = {x["query_id"]: x["bound"] for x in known or []}
                 out.append(np.array([by_id.get(i, -np.inf) for i in np.frombuffer(ids, np.int64).tolist()]).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.select(queries.columns).columns, pa.array(out, pa.binary())],
-                                             names=[*queries.columns, "bounds"])
+            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(out, pa.binary())],
+                                             names=[*names, "bounds"])
 
     laid = bounded.mapInArrow(lay, T.StructType([*queries.schema.fields, T.StructField("bounds", T.BinaryType())]))
     pairs = (laid.select("bounds", *_side(laid, "q"), F.explode(F.sequence(F.lit(0), F.lit(len(marks)))).alias("bucket"))
