@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import os
 import re
 import unicodedata
 from array import array
@@ -25,8 +26,10 @@ from pyspark.sql import DataFrame, types as T
 
 from mendline.llm.common import map_chunks, with_arrays
 
-#: Chunks and pieces remembered per Python worker; a memory is emptied when it is full.
-CHUNKS, PIECES = 300_000, 600_000
+#: Chunks and pieces remembered per Python worker, at most twice as many.
+CHUNKS, PIECES = 300_000, 200_000
+#: Marks that often follow a word.
+BEHIND = frozenset(".,;:!?")
 #: Code points whose class depends on the age of the Unicode tables; the vocabulary's own library must tell it.
 YOUNG = re.compile("[^\x00-\u052F]")
 
@@ -39,16 +42,21 @@ def byte_letters() -> list[str]:
 
 
 class Memory(dict):
-    """A dictionary that works out what it lacks and starts anew when full."""
+    """A dictionary that works out what it lacks. When it is full it becomes the older generation, from which entries in
+    use come back, and that one is dropped."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most = make, most
+        self.make, self.most, self.older = make, most, {}
 
     def __missing__(self, key):
         if len(self) >= self.most:
+            self.older = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
 
 
@@ -65,7 +73,7 @@ class WordCoder:
         self.suffix = model["end_of_word_suffix"] or ""
         self.rules = [(self.ids[a], self.ids[b], self.ids[a + b]) for a, b in model["merges"]]
         self.ranks = {a << 32 | b: rank for rank, (a, b, _) in enumerate(self.rules)}
-        letters = byte_letters()
+        self.letters = letters = byte_letters()
         self.inner = [self.ids[x] for x in letters]
         self.last = [self.ids[x + self.suffix] for x in letters]
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
@@ -73,7 +81,7 @@ class WordCoder:
         self.byte_of = {letter: b for b, letter in enumerate(letters)}
         self.path, self.added = path, added
         self.special = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")")
-        self.marks = tuple({t[:2] for t in added})
+        self.mark = os.path.commonprefix(list(added))
         self.pieces = Memory(self.merge, PIECES)
         self.chunks = Memory(self.encode_chunk, CHUNKS)
 
@@ -114,7 +122,12 @@ class WordCoder:
                 return None
             # Lower case letter by letter: a final sigma is a sigma.
             part = unicodedata.normalize("NFC", part).replace("Σ", "σ")
-        return self.piece.findall(part.lower())
+        part = part.lower()
+        if part.isalpha():
+            return [part]
+        if part[-1:] in BEHIND and part[:-1].isalpha():
+            return [part[:-1], part[-1]]
+        return self.piece.findall(part)
 
     def split_by_library(self, part: str) -> list[bytes]:
         plain = self.library.normalizer.normalize_str(part)
@@ -124,7 +137,7 @@ class WordCoder:
     def encode_chunk(self, chunk: bytes) -> bytes:
         """32-bit ids of a run without ASCII white space."""
         text, out = chunk.decode("utf-8"), []
-        parts = self.special.split(text) if any(m in text for m in self.marks) else (text,)
+        parts = self.special.split(text) if self.mark in text else (text,)
         for part in parts:
             if part in self.added:
                 out.append(array("I", [self.added[part]]).tobytes())

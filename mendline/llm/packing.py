@@ -21,6 +21,7 @@ from __future__ import annotations
 import itertools
 import os
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
@@ -34,7 +35,7 @@ from mendline.llm.common import chunks
 #: Price of a cut behind a sentence and elsewhere, in tokens of padding; behind a document it is free.
 SENTENCE, ELSEWHERE = 4, 24
 #: Farthest distance of two neighbouring places where a cut may fall.
-APART = 16
+APART = 32
 #: Tokens of a stream solved together, at least.
 BLOCK = 400_000
 
@@ -52,28 +53,31 @@ class LibraryIds:
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.rules = WordCoder(path)
-        self.encode_batch = self.rules.library.encode_batch_fast
+        self.library = self.rules.library
         self.chunks = Memory(self.chunk, CHUNKS)
         self.pieces = Memory(self.piece, PIECES)
 
     def piece(self, piece: str) -> bytes:
-        return np.array(self.encode_batch([piece], add_special_tokens=False)[0].ids, np.uint32).tobytes()
+        """Ids of a piece that the library's normaliser and splitter would leave as it is: its model alone."""
+        letters = piece if piece.isascii() else "".join(map(self.rules.letters.__getitem__, piece.encode("utf-8")))
+        return array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
 
     def chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8")
-        plain = not any(m in text for m in self.rules.marks)
-        if plain and (found := self.rules.split(text)) is not None:
+        if self.rules.mark not in text and (found := self.rules.split(text)) is not None and "\x7f" not in text and text.isprintable():
             return b"".join(map(self.pieces.__getitem__, found))
-        return self.piece(text)
+        return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join(map(self.chunks.__getitem__, (text or "").encode("utf-8").split())), np.uint32)
 
     def sentence_ends(self) -> np.ndarray:
-        """Ids of the strings that close a sentence: a full stop or the like, alone or before closing signs."""
-        end = self.rules.suffix
-        return np.array([i for s, i in self.rules.ids.items() if s.endswith(end) and (body := s[: len(s) - len(end)])
-                         and body.rstrip("\"')]").endswith((".", "!", "?")) and not any(c.isalnum() for c in body)])
+        """For each id, whether its string closes a sentence: a full stop or the like, alone or before closing signs."""
+        end, out = self.rules.suffix, np.zeros(max(self.rules.strings) + 1, bool)
+        for s, i in self.rules.ids.items():
+            body = s.removesuffix(end)
+            out[i] = body != s and body.rstrip("\"')]").endswith((".", "!", "?")) and not any(c.isalnum() for c in body)
+        return out
 
 
 _libraries: dict[str, LibraryIds] = {}
@@ -146,7 +150,7 @@ class Stream:
         """Rows of the windows that are final."""
         ids = np.concatenate([d[3] for d in self.docs])
         doc_ends = np.cumsum([len(d[3]) for d in self.docs])
-        sentences = np.flatnonzero(np.isin(ids, self.ends)) + 1
+        sentences = np.flatnonzero(self.ends[ids]) + 1
         windows = cuts(*places(doc_ends, sentences), self.width)
         if last:
             start = windows[-2] if len(windows) > 1 else 0
