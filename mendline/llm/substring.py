@@ -32,7 +32,7 @@ from mendline.llm.common import SPACE, chunks, free_name, map_chunks, with_array
 #: Words of an anchor.
 ANCHOR = 6
 #: Windows of a block between two flushes, and about as many in an index partition.
-BLOCK = 1 << 21
+BLOCK = 1 << 20
 #: Words of a text hashed at once.
 WORDS = 1 << 18
 #: Bytes of a window's hash that travel, beside four of its anchor.
@@ -154,18 +154,22 @@ def runs_of(doc, key, place, ref, ref_place) -> np.ndarray:
     return out
 
 
-def first_occurrences(hashes, anchors, doc, place) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that an earlier document holds too, and for each the first occurrence."""
-    by_hash = np.argsort(hashes)
-    twin = hashes[by_hash[1:]] == hashes[by_hash[:-1]]
+def first_occurrences(hashes, anchors, docs, row, place) -> tuple[np.ndarray, np.ndarray]:
+    """Windows that an earlier document holds too, and for each the first occurrence. docs: order keys of the documents that
+    `row` counts."""
+    by_hash = np.argsort(hashes).astype(np.int32)
+    sorted_hashes = hashes[by_hash]
+    twin = sorted_hashes[1:] == sorted_hashes[:-1]
+    del sorted_hashes
     again = np.zeros(len(hashes), bool)
     again[by_hash[1:][twin]] = again[by_hash[:-1][twin]] = True
-    some = np.flatnonzero(again)
-    some = some[np.lexsort((place[some], doc[some], anchors[some], hashes[some]))]
+    del by_hash, twin
+    some = np.flatnonzero(again).astype(np.int32)
+    some = some[np.lexsort((place[some], docs[row[some]], anchors[some], hashes[some]))]
     new = np.ones(len(some), bool)
     new[1:] = (hashes[some[1:]] != hashes[some[:-1]]) | (anchors[some[1:]] != anchors[some[:-1]])
     first = some[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(some) else some
-    later = doc[some] > doc[first]
+    later = docs[row[some]] > docs[row[first]]
     return some[later], first[later]
 
 
@@ -192,11 +196,11 @@ class Block:
         hashes, anchors = np.concatenate(self.hashes), np.concatenate(self.anchors)
         docs, keys = np.array(self.docs, np.int64), np.array(self.keys, np.int64)
         self.clear()
-        row = np.repeat(np.arange(len(lengths)), lengths)
-        place = np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        row = np.repeat(np.arange(len(lengths), dtype=np.int32), lengths)
+        place = (np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
 
         # A window that an earlier document of this block holds is resolved here.
-        later, first = first_occurrences(hashes, anchors, docs[row], place)
+        later, first = first_occurrences(hashes, anchors, docs, row, place)
         known = runs_of(docs[row[later]], keys[row[later]], place[later], docs[row[first]], place[first])
         left = np.ones(len(hashes), bool)
         left[later] = False
@@ -226,20 +230,24 @@ class Block:
 
 def look_up(segments: pa.Table) -> pa.Table:
     """One index partition: the runs of windows that earlier documents hold."""
-    doc, key, place, hashes, anchors, known = [], [], [], [], [], []
-    for r in segments.to_pylist():
+    docs, keys, row, place, hashes, anchors, known, n_docs = [], [], [], [], [], [], [], 0
+    for i in range(segments.num_rows):
+        r = {name: segments.column(name)[i].as_py() for name in NAMES[1:]}
         known.append(np.frombuffer(r["known"], RUN_TYPE))
-        counts = unpacked(r["counts"], 4).astype(np.int64)
+        docs.append(unpacked(r["docs"], 8).view(np.int64))
+        keys.append(unpacked(r["keys"], 4).astype(np.int64))
         size = unpacked(r["sizes"], 4).astype(np.int64)
-        n = size.sum()
-        doc.append(np.repeat(np.repeat(unpacked(r["docs"], 8).view(np.int64), counts), size))
-        key.append(np.repeat(np.repeat(unpacked(r["keys"], 4).astype(np.int64), counts), size))
-        place.append(np.repeat(unpacked(r["starts"], 4).astype(np.int64) - (np.cumsum(size) - size), size) + np.arange(n))
-        anchors.append(np.repeat(unpacked(r["anchors"], 4), size))
+        own = np.repeat(np.arange(n_docs, n_docs + len(docs[-1]), dtype=np.int32), unpacked(r["counts"], 4).astype(np.int64))
+        n_docs += len(docs[-1])
+        row.append(np.repeat(own, size))
+        place.append((np.repeat(unpacked(r["starts"], 4).astype(np.int64) - (np.cumsum(size) - size), size) + np.arange(size.sum())).astype(np.int32))
+        anchors.append(np.repeat(unpacked(r["anchors"], 4).astype(np.uint32), size))
         hashes.append(unpacked(r["hashes"], HASH_BYTES))
-    doc, key, place, hashes, anchors = map(np.concatenate, (doc, key, place, hashes, anchors))
-    later, first = first_occurrences(hashes, anchors, doc, place)
-    runs = np.concatenate([*known, runs_of(doc[later], key[later], place[later], doc[first], place[first])])
+    docs, keys, known = map(np.concatenate, (docs, keys, known))
+    row, place, anchors, hashes = (np.concatenate(x) for x in (row, place, anchors, hashes))
+    later, first = first_occurrences(hashes, anchors, docs, row, place)
+    found = runs_of(docs[row[later]], keys[row[later]], place[later], docs[row[first]], place[first])
+    runs = np.concatenate([known, found])
     return pa.table({name: np.ascontiguousarray(runs[name]) for name in RUN_TYPE.names})
 
 
