@@ -30,6 +30,18 @@ def seconds_or_millis(x: Column) -> Column:
     return F.when(F.abs(x) < SECONDS_LIMIT, x * 1000).otherwise(x)
 
 
+#: Milliseconds per unit of an epoch number.
+UNITS = {"ms": 1, "s": 1000}
+
+
+def to_millis(x: Column, unit: str = "ms") -> Column:
+    """An epoch number of the given unit in milliseconds. The unit "guess" takes small numbers as seconds, which is wrong for
+    milliseconds before March 1973."""
+    if unit == "guess":
+        return seconds_or_millis(x)
+    return x * UNITS[unit] if UNITS[unit] != 1 else x
+
+
 def parse_long(x: Column) -> Column:
     """Text to number, null where it is not one."""
     return x.try_cast("bigint")

@@ -42,9 +42,11 @@ def arrival_counters() -> dict[str, Column]:
 
 
 def gap_counters(decided: DataFrame) -> DataFrame:
-    """All counters in one row."""
-    return decided.agg(*[c.alias(_column(n)) for n, c in counter_columns().items()],
-                       _of("invalid").alias("invalid"))
+    """All counters in one row. Rows decided with limits tell of a failed gap in the row of its command."""
+    of = counter_columns()
+    if "failed" in decided.columns:
+        of[S.COMMAND_TIMEOUT] = F.count("failed")
+    return decided.agg(*[c.alias(_column(n)) for n, c in of.items()], _of("invalid").alias("invalid_events"), _of("fill_invalid").alias("invalid_fills"))
 
 
 def _column(name: str) -> str:
@@ -67,5 +69,5 @@ def conservation(decided: DataFrame) -> DataFrame:
     one = gap_counters(decided)
     left = F.col(_column(S.RECEIVED)) - F.col(_column(S.FORWARDED))
     right = F.col(_column(S.GAP_DETECTED)) + F.col(_column(S.BUFFERED))
-    return one.select(left.alias("not_normal"), right.alias("detected_or_buffered"), "invalid",
-                      (left == right).alias("balanced"), (left - F.col("invalid") == right).alias("balanced_valid"))
+    return one.select(left.alias("not_normal"), right.alias("detected_or_buffered"), "invalid_events",
+                      (left == right).alias("balanced"), (left - F.col("invalid_events") == right).alias("balanced_valid"))

@@ -7,6 +7,7 @@ A tagged row is a change event or a fill event of one record:
     event_id, entity, ts, payload  of the event (payload: field map as JSON text)
     cutoff, is_success, err        of a fill event, null otherwise
     force                          of a fill event, optional
+    type, replay_id, gap, rec_ts   of the event as received, optional; passed on unchanged
 
 A fill always leaves its record without an open gap, whether it found one or not. Two consecutive fills
 of a record therefore enclose one `epoch` (named by the earlier fill's seq, -1 before the first), and an
@@ -14,8 +15,8 @@ epoch holds at most one gap: from its first G to the fill that ends it. Every ru
 last control row (G or F) before a row, the last fill before it and the next fill after it.
 
 mode="compat" keeps the behaviour of the system this replaces, quirks included; mode="strict" follows its
-documented intent: failed fills go to the error output, buffered rows are replayed in order of arrival,
-seconds and milliseconds are brought to one unit, and a forced fill is emitted without a gap.
+documented intent: failed fills go to the error output, buffered rows are replayed in order of arrival, times count in
+their source's unit, and a forced fill is emitted without a gap.
 """
 
 from __future__ import annotations
@@ -25,11 +26,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import schemas as S
-from ..functions import seconds_or_millis
+from ..functions import to_millis
 from ..sources.io import stored
 from .ordered import DEFAULT, PART, Layout, number_rows, scan
 
 MODES = ("compat", "strict")
+GAP_TYPE = S.GAP_INFO.simpleString()
 
 
 def _check(mode: str) -> None:
@@ -42,6 +44,15 @@ def fill_succeeded() -> Column:
     return F.coalesce(F.col("is_success"), F.col("cutoff") >= 0, F.lit(False))
 
 
+def received_at(rows: DataFrame) -> Column:
+    """When a row came in, if the table tells."""
+    return F.col("rec_ts") if "rec_ts" in rows.columns else F.lit(None).cast("bigint")
+
+
+def _optional(rows: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in rows.columns else F.lit(None).cast(kind)
+
+
 def opens_or_closes() -> Column:
     """True for a control row after which a gap is open, false for one after which none is, else null."""
     return F.when(F.col("kind") != "N", F.col("kind") == "G")
@@ -53,13 +64,15 @@ def in_gap(rows: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
             .withColumn("in_gap", F.coalesce("in_gap", F.lit(False))))
 
 
-def decide(rows: DataFrame, mode: str = "compat", layout: Layout = DEFAULT) -> DataFrame:
-    """Add `decision`, `in_gap`, `epoch` and the closing fill (`close_seq`, `close_cutoff`) of buffered rows."""
+def decide(rows: DataFrame, mode: str = "compat", layout: Layout = DEFAULT, *, ts_unit: str = "ms",
+           cutoff_unit: str = "ms") -> DataFrame:
+    """Add `decision`, `in_gap`, `epoch` and the closing fill (`close_seq`, `close_cutoff`, `close_at`) of buffered rows.
+    In strict the units of event times and cutoffs count; "guess" tells seconds by their size."""
     _check(mode)
     strict = mode == "strict"
     is_fill = F.col("kind") == "F"
     fill = F.struct(F.col("seq").alias("seq"), F.col("cutoff").alias("cutoff"),
-                    fill_succeeded().alias("ok"))
+                    fill_succeeded().alias("ok"), received_at(rows).alias("came"))
     seen = scan(rows, layout,
                 before={"in_gap": opens_or_closes(),
                         "epoch": F.when(is_fill, F.col("seq"))},
@@ -67,7 +80,7 @@ def decide(rows: DataFrame, mode: str = "compat", layout: Layout = DEFAULT) -> D
     gap = F.coalesce(F.col("in_gap"), F.lit(False))
     ts, cutoff = F.col("ts"), F.col("_fill.cutoff")
     if strict:
-        ts, cutoff = seconds_or_millis(ts), seconds_or_millis(cutoff)
+        ts, cutoff = to_millis(ts, ts_unit), to_millis(cutoff, cutoff_unit)
 
     fate = F.when(F.col("_fill").isNull(), "pending")
     if strict:
@@ -90,6 +103,7 @@ def decide(rows: DataFrame, mode: str = "compat", layout: Layout = DEFAULT) -> D
         "epoch": F.coalesce(F.col("epoch"), F.lit(-1)),
         "close_seq": F.when(buffered, F.col("_fill.seq")),
         "close_cutoff": F.when(buffered, F.col("_fill.cutoff")),
+        "close_at": F.when(buffered, F.col("_fill.came")),
     }).drop("_fill"))
 
 
@@ -101,8 +115,9 @@ def replayed(decided: DataFrame, mode: str = "compat", layout: Layout = DEFAULT)
 
 
 def cdc_output(decided: DataFrame, mode: str = "compat", layout: Layout = DEFAULT,
-               keep: Sequence[str] = ()) -> DataFrame:
-    """The repaired stream: forwarded rows, synthetic fill rows and replayed rows.
+               keep: Sequence[str] = (), cutoff_unit: str = "ms") -> DataFrame:
+    """The repaired stream: forwarded rows unchanged, synthetic fill rows, and replayed rows, which go out with the
+    time at which their fill came in.
 
     (`out_seq`, `out_pos`) is the order of emission within a record; `out_seq` is the row that caused it.
     One pass: each emitted row is the projection of one input row, so no union of branches is needed.
@@ -117,12 +132,15 @@ def cdc_output(decided: DataFrame, mode: str = "compat", layout: Layout = DEFAUL
         F.coalesce("close_seq", "seq").alias("out_seq"),
         F.coalesce("pos", F.lit(0)).alias("out_pos"),
         "seq",
-        F.when(made, "F").otherwise(F.col("kind")).alias("type"),
+        F.when(made, "F").otherwise(F.coalesce(_optional(rows, "type", "string"), "kind")).alias("type"),
         F.when(made, nothing if not strict else F.col("event_id")).otherwise(F.col("event_id")).alias("event_id"),
         F.when(made, F.col("entity") if strict else F.col("record_id").cast("string"))
          .otherwise(F.col("entity")).alias("entity"),
-        F.when(made, seconds_or_millis(F.col("cutoff")) if strict else nothing)
+        F.when(made, to_millis(F.col("cutoff"), cutoff_unit) if strict else nothing)
          .otherwise(F.col("ts")).cast("bigint").alias("ts"),
+        F.coalesce("close_at", received_at(rows)).alias("rec_ts"),
+        F.when(made, F.lit(0).cast("bigint")).otherwise(_optional(rows, "replay_id", "bigint")).alias("replay_id"),
+        F.when(~made, _optional(rows, "gap", GAP_TYPE)).alias("gap"),
         "payload",
         *keep,
     )
@@ -134,7 +152,7 @@ def fill_commands(decided: DataFrame) -> DataFrame:
         "record_id", F.col("entity").alias("entity_type"), "event_id", "seq")
 
 
-def synthetic_fills(decided: DataFrame, mode: str = "compat") -> DataFrame:
+def synthetic_fills(decided: DataFrame, mode: str = "compat", cutoff_unit: str = "ms") -> DataFrame:
     """The F rows on their own; unlike the full output this needs no replay positions."""
     strict = mode == "strict"
     kept = decided.filter(F.col("decision").isin("filled", "forced"))
@@ -142,15 +160,20 @@ def synthetic_fills(decided: DataFrame, mode: str = "compat") -> DataFrame:
         "record_id", "seq", F.lit("F").alias("type"),
         (F.col("entity") if strict else F.col("record_id").cast("string")).alias("entity"),
         (F.col("event_id") if strict else F.lit(None).cast("string")).alias("event_id"),
-        (seconds_or_millis(F.col("cutoff")) if strict else F.lit(None)).cast("bigint").alias("ts"),
+        (to_millis(F.col("cutoff"), cutoff_unit) if strict else F.lit(None)).cast("bigint").alias("ts"),
         "payload")
 
 
 def error_output(decided: DataFrame) -> DataFrame:
-    """Failed fills and the rows that were waiting for them (strict)."""
-    return decided.filter(F.col("decision").isin(*S.ERRORS)).select(
-        "record_id", "seq", "kind", "decision", F.col("close_seq").alias("cause_seq"),
-        F.when(F.col("kind") == "F", F.col("err")).alias("message"), "payload")
+    """Failed fills, failed gaps, and the rows that were waiting for them. A gap that failed has a row of its own beside
+    that of its command."""
+    failed = F.col("failed") if "failed" in decided.columns else F.lit(None).cast("string")
+    gap_failed = F.when((F.col("decision") == "command") & failed.isNotNull(), "gap_failed")
+    cause = F.coalesce("fail_seq", "close_seq") if "fail_seq" in decided.columns else F.col("close_seq")
+    rows = decided.withColumn("decision", F.coalesce(gap_failed, "decision"))
+    return rows.filter(F.col("decision").isin(*S.ERRORS)).select(
+        "record_id", "seq", "kind", "decision", cause.alias("cause_seq"),
+        F.when(F.col("kind") == "F", F.col("err")).otherwise(failed).alias("message"), "payload")
 
 
 def pending(decided: DataFrame) -> DataFrame:
@@ -195,12 +218,15 @@ def buffers(decided: DataFrame) -> DataFrame:
         F.max("seq").alias("last_seq"), F.max("ts").alias("last_ts"))
 
 
-def dedupe_fills(fills: DataFrame) -> DataFrame:
-    """One fill per (record, command), whichever worker answered. The smallest (cutoff, success) row is
-    kept by a plain aggregate, so that copies are merged before the shuffle."""
-    rest = [c for c in fills.columns if c not in ("record_id", "event_id")]
-    return (fills.groupBy("record_id", "event_id").agg(F.min(F.struct(*rest)).alias("_f"))
-            .select("record_id", "event_id", "_f.*"))
+def dedupe_fills(fills: DataFrame, order: Sequence[str] = ("rec_ts",), mode: str = "compat") -> DataFrame:
+    """One fill per (record, command): the first to arrive by the `order` columns; in strict the first that succeeded, if any
+    did. A plain aggregate, so copies are merged before the shuffle."""
+    _check(mode)
+    rest = [c for c in fills.columns if c not in ("record_id", "event_id", *order)]
+    failed = ~fill_succeeded() if mode == "strict" else F.lit(False)
+    rank = F.struct(failed.alias("failed"), *order, *rest)
+    return (fills.groupBy("record_id", "event_id").agg(F.min(rank).alias("_f"))
+            .select("record_id", "event_id", *[F.col(f"_f.{c}").alias(c) for c in (*order, *rest)]))
 
 
 def newer_only(rows: DataFrame, layout: Layout = DEFAULT) -> DataFrame:

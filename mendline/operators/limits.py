@@ -11,20 +11,19 @@ gap ends, and hence which G opens the next one, follows from that G alone:
 3. the opening rows are merged back into the rows, which then need one look at the last opening before them
    and the next fill after them.
 
-No step gathers a record in one task. Link joins are on (record, seq), which is unique. Arrival times must
-not run backwards within a record.
+No step gathers a record in one task. Link joins are on (record, seq), which is unique. Where arrival times run
+backwards within a record, the latest time so far counts.
 """
 
 from __future__ import annotations
 
-from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions import seconds_or_millis
+from ..functions import to_millis
 from ..sources.io import stored
-from .gaps import _check, fill_succeeded, opens_or_closes
+from .gaps import _check, fill_succeeded, opens_or_closes, received_at
 from .ordered import DEFAULT, PART, Layout, scan
 
 
@@ -74,7 +73,7 @@ def _first_gap_after(gaps: DataFrame, timeout_ms: int, layout: Layout) -> DataFr
     both = gaps.select("record_id", "seq", row.alias("row"), F.explode(F.array(
         entry(0, F.col("arrived"), F.lit(False)),
         entry(1, F.col("arrived") + timeout_ms, F.lit(True)))).alias("e")).select("record_id", "seq", "row", "e.*")
-    by_time = layout.ordered("at", "rank", "seq").by_density()
+    by_time = layout.ordered("at", "rank", "seq")
     found = scan(both, by_time, after={"_hit": F.when(~F.col("ask"), F.struct("seq", "row.epoch"))})
     return found.filter("ask").select("row.*", "_hit")
 
@@ -95,15 +94,20 @@ def _follow(links: DataFrame) -> DataFrame:
 
 
 def decide_limited(rows: DataFrame, timeout_ms: int | None = None, max_buffer: int | None = None,
-                   mode: str = "compat", layout: Layout = DEFAULT) -> DataFrame:
+                   mode: str = "compat", layout: Layout = DEFAULT, *, ts_unit: str = "ms", cutoff_unit: str = "ms") -> DataFrame:
     """As `gaps.decide`, with gaps that fail after `timeout_ms` or beyond `max_buffer` held-back rows.
 
     `rows` needs `arrived` (milliseconds). Rows of a failed gap become `dead_letter`; a `command` row whose
     gap fails carries the reason in `failed`; fills that come too late are `fill_ignored` with `late`.
-    The chain of gaps is found by a few jobs when this is called, checkpointed in the shared folder.
+    `epoch`, `in_gap` and the closing fill are as from `gaps.decide`, so the outputs and counters take the result; `fail_seq` is
+    the gap whose failure made a row a dead letter. `arrived` becomes the latest arrival so far.
+    The chain of gaps is found by a few jobs when this is called, stored in the shared folder.
     """
     _check(mode)
     strict = mode == "strict"
+    columns = rows.columns
+    late_so_far = scan(rows, layout, max_before={"_latest": F.col("arrived")})
+    rows = late_so_far.withColumn("arrived", F.greatest("arrived", "_latest")).select(*columns)
     links = stored(_links(rows, timeout_ms, max_buffer, layout))
     opened = _follow(links).join(links, ["record_id", "seq"]).select(
         "record_id", "seq", F.lit(0).alias("rank"),
@@ -116,10 +120,10 @@ def decide_limited(rows: DataFrame, timeout_ms: int | None = None, max_buffer: i
 
     # One number for (seq, rank): an opening comes before its row, the closing row after all others.
     merged = merged.withColumn("place", F.col("seq") * 3 + F.col("rank"))
-    by_place = replace(layout, order=("place",), span=layout.span and layout.span * 3)
+    by_place = layout.ordered("place")
 
     is_fill = F.col("kind") == "F"
-    end = F.struct(is_fill.alias("fill"), "arrived", "cutoff", fill_succeeded().alias("ok"))
+    end = F.struct(is_fill.alias("fill"), "arrived", "cutoff", fill_succeeded().alias("ok"), "seq", received_at(rows).alias("came"))
     seen = scan(merged, by_place,
                 before={"_open": F.col("opening"), "epoch": F.when(is_fill, F.col("seq"))},
                 after={"_end": F.when(F.col("kind").isin("F", "E"), end)}).filter(F.col("rank") == 1)
@@ -135,7 +139,7 @@ def decide_limited(rows: DataFrame, timeout_ms: int | None = None, max_buffer: i
     filled = F.coalesce(F.col("_end.fill"), F.lit(False))
     ts, cutoff = F.col("ts"), F.col("_end.cutoff")
     if strict:
-        ts, cutoff = seconds_or_millis(ts), seconds_or_millis(cutoff)
+        ts, cutoff = to_millis(ts, ts_unit), to_millis(cutoff, cutoff_unit)
     fate = F.when(reason.isNotNull(), "dead_letter").when(~filled, "pending")
     if strict:
         fate = fate.when(~F.col("_end.ok"), "dead_letter")
@@ -147,11 +151,19 @@ def decide_limited(rows: DataFrame, timeout_ms: int | None = None, max_buffer: i
     decision = (F.when(is_fill, on_fill.otherwise("fill_ignored"))
                 .when(F.col("kind") == "G", F.when(opens, "command").otherwise("gap_dropped"))
                 .when(live, fate).otherwise("forwarded"))
+    held = live & (F.col("kind") == "N")
+    closed = held & filled & reason.isNull()
     return seen.withColumns({
         "decision": decision,
+        "in_gap": live & ~opens,
+        "epoch": epoch,
+        "close_seq": F.when(closed, F.col("_end.seq")),
+        "close_cutoff": F.when(closed, F.col("_end.cutoff")),
+        "close_at": F.when(closed, F.col("_end.came")),
+        "fail_seq": F.when(held & reason.isNotNull(), F.col("_open.seq")),
         "failed": F.when(opens, reason),
         "late": is_fill & has_open & ~live,
-    }).select(*rows.columns, "decision", "failed", "late")
+    }).select(*columns, "decision", "in_gap", "epoch", "close_seq", "close_cutoff", "close_at", "fail_seq", "failed", "late")
 
 
 def failed_gaps(decided: DataFrame) -> DataFrame:

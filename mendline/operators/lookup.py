@@ -1,7 +1,8 @@
 """The fill worker as a join: commands meet the current images of their records.
 
-Commands may repeat a record many times; images are unique per (entity_type, record_id). A hot record
-therefore skews only the command side, which Spark's adaptive skew join may split for an inner or left
+An image is the JSON text of a record with its own modification time. Images may come in several versions; the latest
+counts, so each command has one answer. Commands may repeat a record many times: a hot record
+skews only the command side, which Spark's adaptive skew join may split for an inner or left
 join. Whether the images are broadcast is left to Spark's own size check.
 """
 
@@ -14,31 +15,41 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import lookup_path, parse_long
 
 _ON = ["entity_type", "record_id"]
+#: Fixed value: the field of an image that holds its modification time.
+MODIFIED = "lastModifiedEpochMs"
+
+
+def current_images(images: DataFrame) -> DataFrame:
+    """One row per (entity_type, record_id): the image with the latest usable modification time, which is its `cutoff`. An image
+    that is no JSON, or has no such time, is unusable (`cutoff` null) and stands only where there is no other."""
+    parsed = F.try_parse_json("image")
+    text = F.when(parsed.isNotNull(), F.try_variant_get(parsed, f"$.{MODIFIED}", "string"))
+    best = F.struct(parse_long(text).alias("cutoff"), parsed.isNotNull().alias("is_json"), text.alias("modified"), "image")
+    return images.groupBy(*_ON).agg(F.max(best).alias("_best")).select(*_ON, "_best.*")
 
 
 def fill_lookup(commands: DataFrame, images: DataFrame, base: str = "", keep: Sequence[str] = ()) -> DataFrame:
-    """One fill per command. No image, or an image without a usable modification time, gives a failed fill
+    """One fill per command. No image, one that is no JSON, or one without a usable modification time gives a failed fill
     (cutoff -1, no fields, a message). `keep` names further command columns to pass on."""
-    found = images.withColumn("_hit", F.lit(True))
-    cutoff = parse_long(F.col("last_modified"))
-    ok = cutoff.isNotNull()
+    found = current_images(images).withColumn("_hit", F.lit(True))
+    ok = F.col("_best_cutoff").isNotNull()
     path = lookup_path(F.col("entity_type"), F.col("record_id"), base)
     message = (F.when(ok, "")
                .when(F.col("_hit").isNull(), F.concat(F.lit("not found: "), path))
-               .otherwise(F.concat(F.lit("bad modification time: "), F.coalesce("last_modified", F.lit("none")))))
-    return commands.join(found, _ON, "left").select(
+               .when(~F.col("is_json"), F.concat(F.lit("bad image: "), path))
+               .otherwise(F.concat(F.lit("bad modification time: "), F.coalesce("modified", F.lit("none")))))
+    return commands.join(found.withColumnRenamed("cutoff", "_best_cutoff"), _ON, "left").select(
         "record_id", "entity_type", "event_id", "seq",
-        F.coalesce(cutoff, F.lit(-1)).alias("cutoff"),
+        F.coalesce("_best_cutoff", F.lit(-1)).alias("cutoff"),
         F.when(ok, F.col("image")).otherwise("{}").alias("all_fields"),
         ok.alias("is_success"), message.alias("err"), *keep)
 
 
 def fill_lookup_hits(commands: DataFrame, images: DataFrame) -> DataFrame:
     """The older worker: a command that cannot be answered leaves no trace."""
-    cutoff = parse_long(F.col("last_modified"))
-    return commands.join(images, _ON, "inner").filter(cutoff.isNotNull()).select(
-        "record_id", "entity_type", "event_id", "seq", cutoff.alias("cutoff"),
-        F.col("image").alias("all_fields"))
+    found = current_images(images).filter(F.col("cutoff").isNotNull())
+    return commands.join(found, _ON, "inner").select(
+        "record_id", "entity_type", "event_id", "seq", "cutoff", F.col("image").alias("all_fields"))
 
 
 def fill_lookup_misses(commands: DataFrame, images: DataFrame, base: str = "") -> DataFrame:

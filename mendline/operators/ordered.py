@@ -1,14 +1,14 @@
 """Order-dependent operators that stay balanced when one key holds a large share of all rows.
 
 A plain window over ``PARTITION BY key ORDER BY seq`` hands every row of a key to one task. Here keys with
-more than `hot_rows` rows are cut into stretches of their order column, and each stretch is worked on by
-its own task. What a stretch needs to know of its neighbours (last value before it, first value after it,
+more than `hot_rows` rows are cut into stretches at quantiles of their order column, and each stretch is worked
+on by its own task. What a stretch needs to know of its neighbours (last value before it, first value after it,
 running maximum, count) comes from a small table with one row per stretch, joined back on (key, stretch).
 
-* Rows are shuffled once, on (key, part); the join with the stretch table keeps that partitioning and sort.
-* Keys that are not hot have a null ``part`` and need nothing from the stretch table, so for even data it is
-  empty and the cost is one count per key.
-* Fewer than (all rows / hot_rows) keys can be hot, which bounds the broadcast list of hot keys.
+* Whether any key is hot is found first, by one mergeable count per key. If none is, the plan is a plain window: one
+  shuffle on the key, one sort, no further join.
+* Stretches follow the data, not the numbers: ids far apart or times close together give stretches of `hot_rows` rows all the same.
+* The list of hot keys has fewer than (all rows / hot_rows) rows; Spark decides by its size how it is joined.
 * Nothing depends on physical partition numbers or arrival, so a lost task recomputes to the same rows.
 """
 
@@ -19,23 +19,24 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
+from ..sources.io import stored
+
 PART = "part"
+#: Stretches of one key at most; beyond, stretches grow. Results do not change.
+MOST_STRETCHES = 1000
 
 
 @dataclass(frozen=True)
 class Layout:
     """How rows are keyed, ordered and cut.
 
-    With no keys the whole table is one sequence, always cut. `order` must be unique within a key. Its first column is a whole number; a stretch of a hot key covers
-    `span` units of it. With a row number as order (`seq`) a stretch holds at most `span` rows. For an order
-    by time, where rows per unit are not known, span=None gives each hot key stretches that hold `hot_rows`
-    rows on average.
+    With no keys the whole table is one sequence. `order` must be unique within a key, and its first column a whole number; rows
+    that are equal in it are never separated. A stretch of a hot key holds about `hot_rows` rows.
     """
 
     keys: tuple[str, ...] = ("record_id",)
     order: tuple[str, ...] = ("seq",)
     hot_rows: int = 1_000_000
-    span: int | None = 1_000_000
 
     def by(self, *keys: str) -> "Layout":
         return replace(self, keys=tuple(keys))
@@ -43,36 +44,45 @@ class Layout:
     def ordered(self, *order: str) -> "Layout":
         return replace(self, order=tuple(order))
 
-    def by_density(self) -> "Layout":
-        return replace(self, span=None)
-
 
 DEFAULT = Layout()
 
 
+def _part(value: Column, cut: bool) -> Column:
+    return value.cast("int").alias(PART, metadata={"cut": cut})
+
+
+def is_cut(df: DataFrame) -> bool:
+    """Does any key of a table with ``part`` lie in several stretches?"""
+    return df.schema[PART].metadata.get("cut", True)
+
+
 def cut_hot_keys(df: DataFrame, layout: Layout = DEFAULT) -> DataFrame:
-    """Add ``part``: the stretch number for rows of hot keys, null for all others."""
+    """Add ``part``: the stretch number for rows of hot keys, null for all others. Counts the rows of each key at once."""
     if PART in df.columns:
         return df
-    keys = list(layout.keys)
-    first = layout.order[0]
+    keys, first = list(layout.keys), layout.order[0]
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > layout.hot_rows)
+    most = counts.agg(F.max("_n")).first()[0]
+    if most is None or most < 2:
+        return df.select("*", _part(F.lit(None), False))
+    cuts = min(MOST_STRETCHES, -(-most // max(1, layout.hot_rows)))
+    at = F.percentile_approx(first, [i / cuts for i in range(1, cuts)] or [0.5], F.lit(10 * cuts)).alias("_cuts")
     if not keys:
-        return df.withColumn(PART, F.expr(f"`{first}` div {int(layout.span)}"))
-    # Columns of `hot` are null for other keys after the left join, and so is every sum with them: `part` is
-    # null there, and a filter on `part` turns the join into an inner one.
-    found = (df.groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_n"),
-                  *([F.min(first).alias("_lo"), F.max(first).alias("_hi")] if layout.span is None else []))
-             .filter(F.col("_n") > layout.hot_rows))
-    if layout.span is None:
-        width = F.greatest(F.lit(1).cast("bigint"),
-                           F.floor((F.col("_hi") - F.col("_lo")) / F.col("_n") * layout.hot_rows).cast("bigint"))
-        hot = found.select(*keys, F.col("_lo").alias("_from"), width.alias("_width"))
-        part = F.expr(f"(`{first}` - _from) div _width")
-    else:
-        hot = found.select(*keys, F.lit(0).cast("bigint").alias("_from"))
-        part = F.expr(f"`{first}` div {int(layout.span)} + _from")
-    return df.join(F.broadcast(hot), keys, "left").withColumn(PART, part).drop("_from", "_width")
+        found = df.agg(at).first()[0]
+        return df.select("*", _part(_place(F.array(*map(F.lit, sorted(set(found)))), F.col(first)), True))
+    hot = stored(df.join(counts.select(*keys), keys).groupBy(*keys).agg(at), "hot-keys")
+    # The list of cuts is null for other keys after the left join, and so is `part`.
+    return (df.join(hot, keys, "left").select(*df.columns, _part(F.when(F.col("_cuts").isNotNull(), _place(F.col("_cuts"), F.col(first))), True)))
+
+
+def _place(cuts: Column, x: Column) -> Column:
+    """How many cuts lie below the value."""
+    return F.size(F.filter(cuts, lambda c: c < x))
+
+
+def _partition(df: DataFrame, layout: Layout) -> list[str]:
+    return [*layout.keys, PART] if is_cut(df) else list(layout.keys)
 
 
 def _key_of(layout: Layout):
@@ -132,18 +142,21 @@ def scan(df: DataFrame, layout: Layout = DEFAULT, *,
     rows = cut_hot_keys(df, layout).withColumns({f"_x_{n}": e for n, e in every.items()})
 
     # Inside a stretch (or a whole key that is not hot): one shuffle, one sort, all in linear time.
-    inside = Window.partitionBy(*keys, PART).orderBy(*layout.order)
+    within = _partition(rows, layout)
+    inside = Window.partitionBy(*within).orderBy(*layout.order)
     earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
     local: dict[str, Column] = {}
     for n in before:
         local[n] = F.last(f"_x_{n}", ignorenulls=True).over(earlier)
     for n in after:
-        local[n] = _next(f"_x_{n}", [*keys, PART], list(layout.order))
+        local[n] = _next(f"_x_{n}", within, list(layout.order))
     for n in max_before:
         local[n] = F.max(f"_x_{n}").over(earlier)
     for n in count_before:
         local[n] = F.count(F.when(F.col(f"_x_{n}"), 1)).over(earlier)
     out = rows.withColumns(local)
+    if not is_cut(rows):
+        return out.drop(*[f"_x_{n}" for n in every])
 
     # Across the stretches of hot keys: first and last value per stretch, then the nearest stretch that has one.
     edge: list[Column] = []
@@ -190,8 +203,10 @@ def number_rows(df: DataFrame, name: str, run: str, layout: Layout = DEFAULT, *,
     keys = list(layout.keys)
     rows = cut_hot_keys(df, layout).withColumn("_in", F.lit(True) if where is None else F.coalesce(where, F.lit(False)))
     order = [F.col(c).desc() if newest_first else F.col(c).asc() for c in layout.order]
-    inside = Window.partitionBy(*keys, PART, run, "_in").orderBy(*order)
+    inside = Window.partitionBy(*_partition(rows, layout), run, "_in").orderBy(*order)
     local = rows.withColumn(name, F.row_number().over(inside).cast("bigint"))
+    if not is_cut(rows):
+        return local.withColumn(name, F.when(F.col("_in"), F.col(name))).drop("_in")
 
     part = F.col(PART).desc() if newest_first else F.col(PART).asc()
     ahead = Window.partitionBy(*keys, run).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)

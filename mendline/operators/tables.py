@@ -11,9 +11,10 @@ from .ordered import DEFAULT, PART, Layout, scan
 
 
 def current_state(rows: DataFrame, key: str = "record_id", order: str = "seq") -> DataFrame:
-    """Last row per key. The aggregate merges before the shuffle, so a hot key costs no more than others."""
-    rest = [c for c in rows.columns if c not in (key, order)]
-    return rows.groupBy(key).agg(F.max(F.struct(order, *rest)).alias("_last")).select(key, "_last.*")
+    """Last row per key; `order` is unique within it. Only numbers are aggregated, by hash and before the shuffle; the join
+    with them may be split where a key is hot."""
+    last = rows.groupBy(key).agg(F.max(order).alias(order))
+    return rows.join(last, [key, order]).select(*rows.columns)
 
 
 def images(changes: DataFrame, key: str = "record_id", order: Sequence[str] = ("out_seq", "out_pos")) -> DataFrame:
@@ -23,17 +24,18 @@ def images(changes: DataFrame, key: str = "record_id", order: Sequence[str] = ("
     place of the last full row, by a mergeable aggregate; only then one small row list per record.
     """
     at = F.struct(*order)
-    full = F.struct(F.lit("").alias("field"), F.lit(None).cast("string").alias("value"))
+    nothing = F.lit(None).cast("string")
+    full = F.struct(nothing.alias("field"), nothing.alias("value"), F.lit(True).alias("full"))
     entries = F.transform(F.map_entries("fields"), lambda e: F.struct(
-        e["key"].alias("field"), e["value"].cast("string").alias("value")))
-    entries = F.coalesce(entries, F.array().cast("array<struct<field:string,value:string>>"))
+        e["key"].alias("field"), e["value"].cast("string").alias("value"), F.lit(False).alias("full")))
+    entries = F.coalesce(entries, F.array().cast("array<struct<field:string,value:string,full:boolean>>"))
     long = changes.select(key, at.alias("at"), F.explode(
         F.when(F.col("type") == "F", F.array_append(entries, full)).otherwise(entries)).alias("e"))
-    last = (long.groupBy(key, F.col("e.field").alias("field"))
+    last = (long.groupBy(key, F.col("e.field").alias("field"), F.col("e.full").alias("full"))
             .agg(F.max(F.struct("at", F.col("e.value").alias("value"))).alias("m")))
     per_record = last.groupBy(key).agg(
-        F.max(F.when(F.col("field") == "", F.col("m.at"))).alias("full_at"),
-        F.collect_list(F.when(F.col("field") != "", F.struct("field", "m.value", "m.at"))).alias("parts"))
+        F.max(F.when(F.col("full"), F.col("m.at"))).alias("full_at"),
+        F.collect_list(F.when(~F.col("full"), F.struct("field", "m.value", "m.at"))).alias("parts"))
     kept = F.filter("parts", lambda p: F.col("full_at").isNull() | (p["at"] >= F.col("full_at")))
     pairs = F.array_sort(F.transform(kept, lambda p: F.struct(p["field"].alias("key"), p["value"].alias("value"))))
     return per_record.select(key, F.map_from_entries(pairs).alias("image"))
@@ -75,14 +77,17 @@ def replay_gaps(rows: DataFrame, number: str, layout: Layout = DEFAULT, by: Sequ
 
 
 def replay_failed_gaps(decided: DataFrame) -> DataFrame:
-    """A new command for each record whose last fill failed and was not made good by a later one."""
-    failed = F.col("decision").isin("fill_error", "gap_failed")
-    mended = F.col("decision").isin("filled", "forced")
-    event = F.struct("seq", F.col("entity").alias("entity_type"), "event_id")
-    last = decided.filter(failed | mended).groupBy("record_id").agg(
-        F.max(F.when(failed, event)).alias("f"), F.max(F.when(mended, F.col("seq"))).alias("mended_seq"))
-    return last.filter(F.col("f").isNotNull() & (F.coalesce("mended_seq", F.lit(-1)) < F.col("f.seq"))).select(
-        "record_id", "f.entity_type", "f.event_id", F.col("f.seq").alias("failed_seq"))
+    """A new command, naming the gap's own event, for each record whose last gap was ended by a failed fill and was not made
+    good by a later one. A failed fill without a gap asks for nothing."""
+    opened = F.when(F.col("decision") == "command", F.struct("seq", F.col("entity").alias("entity_type"), "event_id"))
+    gap_failed = F.when((F.col("decision") == "fill_error") & F.col("in_gap"), F.col("seq"))
+    mended = F.when(F.col("decision").isin("filled", "forced"), F.col("seq"))
+    gaps = decided.groupBy("record_id", "epoch").agg(
+        F.max(gap_failed).alias("failed_seq"), F.max(opened).alias("g"), F.max(mended).alias("mended_seq"))
+    last = gaps.groupBy("record_id").agg(
+        F.max(F.when(F.col("failed_seq").isNotNull(), F.struct("failed_seq", "g"))).alias("f"), F.max("mended_seq").alias("mended_seq"))
+    return last.filter(F.col("f").isNotNull() & (F.coalesce("mended_seq", F.lit(-1)) < F.col("f.failed_seq"))).select(
+        "record_id", "f.g.entity_type", "f.g.event_id", "f.failed_seq")
 
 
 def upper_payload(rows: DataFrame, column: str = "payload") -> DataFrame:

@@ -7,7 +7,7 @@ from mendline.operators import gaps, limits
 from mendline.operators.ordered import DEFAULT, Layout
 from rows import frame, rand_rows
 
-LAYOUTS = {"whole": DEFAULT, "split": Layout(hot_rows=10, span=7), "fine": Layout(hot_rows=0, span=1)}
+LAYOUTS = {"whole": DEFAULT, "split": Layout(hot_rows=10), "fine": Layout(hot_rows=1)}
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)

@@ -1,9 +1,10 @@
 """One case per rule: normal rows, gaps, fills, duplicates, failures, limits."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from fold import fold
-from mendline.operators import gaps, limits
+from mendline.operators import counters, gaps, limits
 from rows import frame, scenario
 
 # name, rows, mode, decisions in order, replay order (positions in the input)
@@ -35,7 +36,7 @@ def ruled(spark):
     out = {}
     for mode in ("compat", "strict"):
         rows = [r for name, text, m, _, _ in CASES if m == mode for r in scenario(text, name)]
-        for r in gaps.replayed(gaps.decide(frame(spark, rows), mode), mode).collect():
+        for r in gaps.replayed(gaps.decide(frame(spark, rows), mode, ts_unit="guess", cutoff_unit="guess"), mode).collect():
             out.setdefault(r.record_id, {})[r.seq] = r
     return out
 
@@ -107,7 +108,48 @@ def test_synthetic_row(spark):
     compat = gaps.cdc_output(gaps.decide(frame(spark, rows))).first()
     assert (compat.type, compat.entity, compat.event_id, compat.ts) == ("F", "123", None, None)
     strict = gaps.cdc_output(gaps.decide(frame(spark, rows), "strict"), "strict").first()
-    assert (strict.entity, strict.event_id, strict.ts) == ("Employee", "e1", 5000)
+    assert (strict.entity, strict.event_id, strict.ts) == ("Employee", "e1", 5)
+    assert gaps.cdc_output(gaps.decide(frame(spark, rows), "strict"), "strict", cutoff_unit="s").first().ts == 5000
+
+
+def test_units_of_the_sources(spark):
+    """Milliseconds of the year 1972 are no seconds, unless a guess is asked for."""
+    old = frame(spark, scenario("G@80000000000 N@80000000000 F(79000000000)"))
+    fate = lambda rows, **units: {r.seq: r.decision for r in gaps.decide(rows, "strict", **units).collect()}[1]
+    assert fate(old) == "flushed" and fate(old, cutoff_unit="s") == "dropped"
+    mixed = frame(spark, scenario("G@1700000000 N@1700000000 F(1699999999000)"))
+    assert fate(mixed) == "dropped" and fate(mixed, ts_unit="s") == "flushed"
+
+
+def test_outputs_of_failed_gaps(spark):
+    rows = frame(spark, scenario("G@1 N@2 N@12 G@13 N@14 F(0)@15")).withColumn("rec_ts", F.col("arrived") * 100)
+    decided = limits.decide_limited(rows, 10, None)
+    out = gaps.cdc_output(decided).orderBy("out_seq", "out_pos").collect()
+    assert [(r.seq, r.type, r.rec_ts) for r in out] == [(2, "N", 1200), (5, "F", 1500), (4, "N", 1500)]
+    errors = gaps.error_output(decided).orderBy("seq").collect()
+    assert [(r.seq, r.decision, r.cause_seq, r.message) for r in errors] == [(0, "gap_failed", None, "timeout"), (1, "dead_letter", 0, None)]
+    assert counters.gap_counters(decided).first().fill_commands_timeout == 1
+
+
+def test_times_that_run_backwards(spark):
+    """The latest arrival so far counts, in the windows as in the stream."""
+    rows = scenario("G@1 N@20 N@3 G@4 N@5 F(0)@6")
+    got = {r.seq: r.decision for r in limits.decide_limited(frame(spark, rows), 10, None).collect()}
+    assert [got[i] for i in range(6)] == ["command", "forwarded", "forwarded", "command", "flushed", "filled"]
+
+
+def test_failed_fill_without_gap_asks_for_nothing(spark):
+    from mendline.operators import tables
+    rows = scenario("F(-1!)", "a") + scenario("G N F(-1!)", "b") + scenario("G N F(-1!) G F(5)", "c") + scenario("G F(-1!) G F(-1!)", "d")
+    got = tables.replay_failed_gaps(gaps.decide(frame(spark, rows), "strict")).collect()
+    assert {(r.record_id, r.event_id, r.failed_seq) for r in got} == {("b", "e0", 2), ("d", "e2", 3)}
+
+
+def test_first_answer_stays(spark):
+    df = spark.createDataFrame([("1", "a", -1, False, 5), ("1", "a", 5000, True, 9), ("1", "a", 7000, True, 11), ("1", "b", -1, False, 3)],
+                               "record_id string, event_id string, cutoff bigint, is_success boolean, rec_ts bigint")
+    pick = lambda mode: {r.event_id: r.cutoff for r in gaps.dedupe_fills(df, mode=mode).collect()}
+    assert pick("compat") == {"a": -1, "b": -1} and pick("strict") == {"a": 5000, "b": -1}
 
 
 def test_unknown_mode_is_refused(spark):

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from mendline import schemas as S
 from mendline.operators import counters, gaps, lookup, retries, tables
-from mendline.operators.ordered import DEFAULT, Layout, number_rows, scan
+from mendline.operators.ordered import DEFAULT, Layout, cut_hot_keys, is_cut, number_rows, scan
 
-LAYOUTS = {"whole": DEFAULT, "split": Layout(hot_rows=10, span=7)}
+LAYOUTS = {"whole": DEFAULT, "split": Layout(hot_rows=10)}
 
 
 @pytest.mark.parametrize("layout", LAYOUTS)
@@ -27,10 +27,10 @@ def test_scan(spark, layout):
     assert len(got) == 200
 
 
-def test_scan_by_density(spark):
+def test_scan_on_times(spark):
     rows = [("k", t, i) for i, t in enumerate([0, 0, 0, 1, 5, 1000, 1001, 50_000, 50_000, 99_999])]
     df = spark.createDataFrame(rows, "record_id string, at bigint, seq bigint")
-    layout = Layout(hot_rows=3, order=("at", "seq"), span=None)
+    layout = Layout(hot_rows=3, order=("at", "seq"))
     got = scan(df, layout, before={"b": F.col("seq")}, after={"a": F.col("seq")}).orderBy("seq").collect()
     assert [r.b for r in got] == [None, *range(9)] and [r.a for r in got] == [*range(1, 10), None]
     assert len({r.part for r in got}) > 1
@@ -51,17 +51,20 @@ def test_number_rows(spark, layout, newest_first):
 def test_lookup(spark):
     commands = spark.createDataFrame([("1", "E", "a", 1), ("2", "E", "b", 2), ("3", "E", "c", 3), ("1", "E", "d", 4),
                                       ("4", "E", "e", 5)], "record_id string, entity_type string, event_id string, seq bigint")
-    images = spark.createDataFrame([("1", "E", "77", '{"n":1}'), ("2", "E", "n/a", "{}"), ("4", "E", None, "{}")],
-                                   "record_id string, entity_type string, last_modified string, image string")
+    stamped = '{"n":1,"lastModifiedEpochMs":%s}'
+    images = spark.createDataFrame([("1", "E", stamped % 77), ("1", "E", stamped % 66), ("1", "E", "not json {"), ("2", "E", stamped % '"n/a"'),
+                                    ("4", "E", "{}"), ("5", "E", stamped[:9])], "record_id string, entity_type string, image string")
+    commands = commands.unionByName(spark.createDataFrame([("5", "E", "f", 6)], commands.schema))
     fills = {r.event_id: r for r in lookup.fill_lookup(commands, images, "http://host").collect()}
-    assert [(fills[e].cutoff, fills[e].is_success) for e in "abcde"] == [
-        (77, True), (-1, False), (-1, False), (77, True), (-1, False)]
+    assert [(fills[e].cutoff, fills[e].is_success) for e in "abcdef"] == [
+        (77, True), (-1, False), (-1, False), (77, True), (-1, False), (-1, False)]
+    assert fills["f"].err == "bad image: http://host/E/5" and fills["b"].err == "bad modification time: n/a"
     assert fills["c"].err == "not found: http://host/E/3" 
     assert fills["e"].err == "bad modification time: none" and fills["a"].err == ""
     assert {r.event_id for r in lookup.fill_lookup_hits(commands, images).collect()} == {"a", "d"}
     assert {r.event_id for r in lookup.fill_lookup_misses(commands, images).collect()} == {"c"}
-    both = lookup.fill_lookup(commands, images).select("record_id", "event_id", "cutoff")
-    assert gaps.dedupe_fills(both.unionByName(both)).count() == 5
+    both = lookup.fill_lookup(commands, images).select("record_id", "event_id", "cutoff", F.col("seq").alias("rec_ts"))
+    assert gaps.dedupe_fills(both.unionByName(both)).count() == 6
 
 
 def test_outcomes(spark):
@@ -118,10 +121,26 @@ def test_change_capture(spark, layout):
 
 def test_images(spark):
     rows = [("1", 1, 0, "N", {"a": "1", "b": "1"}), ("1", 2, 0, "F", {"a": "2", "c": "2"}), ("1", 2, 1, "N", {"c": "3"}),
-            ("2", 1, 0, "N", {"a": "9"}), ("2", 5, 0, "N", {"b": None}), ("3", 1, 0, "N", {"a": "1"}), ("3", 2, 0, "F", {})]
+            ("2", 1, 0, "N", {"a": "9"}), ("2", 5, 0, "N", {"b": None}), ("3", 1, 0, "N", {"a": "1"}), ("3", 2, 0, "F", {}),
+            ("4", 1, 0, "N", {"x": "1"}), ("4", 2, 0, "N", {"": "q"})]
     df = spark.createDataFrame(rows, "record_id string, out_seq bigint, out_pos bigint, type string, fields map<string,string>")
     got = {r.record_id: dict(r.image) for r in tables.images(df).collect()}
-    assert got == {"1": {"a": "2", "c": "3"}, "2": {"a": "9", "b": None}, "3": {}}
+    assert got == {"1": {"a": "2", "c": "3"}, "2": {"a": "9", "b": None}, "3": {}, "4": {"": "q", "x": "1"}}
+
+
+def test_stretches_follow_the_data(spark):
+    """Sparse ids and a burst in time give stretches of about `hot_rows` rows."""
+    for ids in ([i * 4_000_000_000 for i in range(200)], [10**12 + i % 50 for i in range(100)] + [0, 10**15]):
+        df = spark.createDataFrame([("k", x, i) for i, x in enumerate(ids)], "record_id string, at bigint, seq bigint")
+        for layout in (Layout(hot_rows=20, order=("at", "seq")), Layout(keys=(), hot_rows=20, order=("at", "seq"))):
+            sizes = [r["count"] for r in cut_hot_keys(df, layout).groupBy("part").count().collect()]
+            assert 4 <= len(sizes) <= 11 and max(sizes) <= 45
+
+
+def test_even_keys_are_not_cut(spark):
+    df = spark.range(100).selectExpr("id % 10 AS record_id", "id AS seq")
+    cut = cut_hot_keys(df, Layout(hot_rows=10))
+    assert not is_cut(cut) and cut.filter("part IS NOT NULL").count() == 0
 
 
 def test_current_state_and_counts(spark):
@@ -153,7 +172,7 @@ def test_recorded_counters(spark, sample):
 def test_invalid_rows_break_the_balance(spark):
     decided = spark.createDataFrame([("invalid",), ("forwarded",), ("command",)], "decision string")
     r = counters.conservation(decided).first()
-    assert (r.not_normal, r.detected_or_buffered, r.invalid, r.balanced, r.balanced_valid) == (2, 1, 1, False, True)
+    assert (r.not_normal, r.detected_or_buffered, r.invalid_events, r.balanced, r.balanced_valid) == (2, 1, 1, False, True)
 
 
 def test_upper(spark):
