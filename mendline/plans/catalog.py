@@ -19,7 +19,7 @@ from . import streams
 Query = Callable[[SparkSession, str], DataFrame]
 
 # A layout under which the benchmark's records count as hot, so that the split path is checked as well.
-SPLIT = Layout(hot_rows=20, span=500)
+SPLIT = Layout(hot_rows=20)
 
 GAP_COLUMNS = ("record_id", "seq", "decision")
 
@@ -47,10 +47,32 @@ def json_encode(spark, d):
     return src.cdc_wire(spark, d, faulty=False).select("rec_offset", "key", "value")
 
 
+def _flat_gap():
+    return [F.col("gap.fromReplayId").alias("gap_from"), F.col("gap.toReplayId").alias("gap_to"), F.col("gap.reason").alias("gap_reason")]
+
+
+def _parsed(spark, d, faulty=False):
+    return codecs.parse_cdc(src.cdc_wire(spark, d, faulty)), codecs.parse_fills(src.fill_wire(spark, d, faulty))
+
+
 def tagged_union_input(spark, d):
-    t = codecs.tag(codecs.parse_cdc(src.cdc_wire(spark, d, faulty=False)), codecs.parse_fills(src.fill_wire(spark, d)))
-    return t.select("record_id", "rec_ts", "source_rank", "rec_offset", "kind", "event_id", "entity", "ts",
-                    "payload", "cutoff", gaps.fill_succeeded().alias("ok"), "err")
+    t = codecs.arrival_order(codecs.tag(*_parsed(spark, d)))
+    return t.select("record_id", "key", "rec_ts", "arrived", "source_rank", "rec_offset", "seq", "kind", "type", "event_id", "entity",
+                    "ts", "replay_id", *_flat_gap(), "payload", "cutoff", gaps.fill_succeeded().alias("ok"), "err")
+
+
+def wire_decided(spark, d, mode="compat", faulty=True) -> DataFrame:
+    """Decisions over the wire, in order of arrival, with the rows that can't be used as `invalid`."""
+    cdc, fills = _parsed(spark, d, faulty)
+    rows = codecs.arrival_order(codecs.tag(cdc, fills, mode))
+    return (gaps.decide(rows, mode, codecs.WIRE_LAYOUT)
+            .unionByName(codecs.invalid(cdc, fills, mode), allowMissingColumns=True))
+
+
+def wire_decisions(spark, d, mode="compat"):
+    return wire_decided(spark, d, mode).select(
+        "record_id", F.coalesce("source_rank", F.when(F.col("decision") == "invalid", 0).otherwise(1)).alias("source_rank"),
+        "rec_offset", "decision")
 
 
 def fill_events_out(spark, d):
@@ -59,6 +81,7 @@ def fill_events_out(spark, d):
         F.col("record_id").cast("string").alias("key"),
         codecs.encode(F.col("record_id").cast("string").alias("recordId"), F.col("entity_type").alias("entityType"),
                       F.col("event_id").alias("eventId"), F.col("cutoff").alias("cutoffLastModifiedEpochMs"),
+                      codecs.field_map(F.col("all_fields")).alias("allFields"),
                       F.col("is_success").alias("isSuccess"), F.col("err").alias("errMessage")).alias("value"))
 
 
@@ -92,7 +115,7 @@ def gap_decisions(spark, d, mode="compat", failing=False, layout=DEFAULT):
 
 def forwarded_events(spark, d):
     return decided(spark, d).filter(F.col("decision") == "forwarded").select(
-        "record_id", "seq", "event_id", "entity", "ts", "payload")
+        "record_id", "seq", "type", "event_id", "entity", "ts", "rec_ts", "replay_id", *_flat_gap(), "payload")
 
 
 def fill_commands(spark, d):
@@ -131,7 +154,8 @@ def dedupe_monotonic(spark, d, layout=DEFAULT):
 # --- outputs of the engine ------------------------------------------------------------------------
 
 def cdc_output(spark, d, mode="compat", layout=DEFAULT):
-    return gaps.cdc_output(decided(spark, d, mode, failing=True, layout=layout), mode, layout)
+    out = gaps.cdc_output(decided(spark, d, mode, failing=True, layout=layout), mode, layout)
+    return out.select("*", *_flat_gap()).drop("gap")
 
 
 def replay_order(spark, d, mode="compat", layout=DEFAULT):
@@ -158,10 +182,16 @@ def fill_lookup_misses(spark, d):
 
 
 def fill_commands_fanout(spark, d):
-    """Both workers answer the same commands; one fill per command remains."""
-    new = fill_lookup_left(spark, d).select("record_id", "event_id", "cutoff", "is_success")
-    old = fill_lookup_inner(spark, d).select("record_id", "event_id", "cutoff", F.lit(True).alias("is_success"))
-    return gaps.dedupe_fills(new.unionByName(old))
+    """Both workers answer the same commands, the older one from images of the day before and now and then first; one
+    fill per command remains, a good one if there is any."""
+    commands = stored(fill_commands(spark, d))
+    images = src.snapshot(spark, d)
+    new = lookup.fill_lookup(commands, images).select(
+        "record_id", "event_id", "cutoff", "is_success", (F.col("seq") * 2).alias("rec_ts"))
+    older = lookup.fill_lookup_hits(commands, images.filter("version = 1"))
+    old = older.select("record_id", "event_id", "cutoff", F.lit(True).alias("is_success"),
+                       (F.col("seq") * 2 + F.when(F.col("seq") % 3 == 0, -1).otherwise(1)).alias("rec_ts"))
+    return gaps.dedupe_fills(new.unionByName(old), mode="strict").drop("rec_ts")
 
 
 def gap_fill_episodes(spark, d, layout=DEFAULT):
@@ -179,15 +209,15 @@ def pending_buffer(spark, d):
 # --- aggregates ---------------------------------------------------------------------------------------
 
 def gap_counters(spark, d):
-    return counters.gap_counters(decided(spark, d))
+    return counters.gap_counters(wire_decided(spark, d))
 
 
 def gap_counter_report(spark, d):
-    return counters.counter_report(decided(spark, d))
+    return counters.counter_report(wire_decided(spark, d))
 
 
 def gap_conservation(spark, d):
-    return counters.conservation(decided(spark, d))
+    return counters.conservation(wire_decided(spark, d))
 
 
 def buffer_per_episode(spark, d):
@@ -221,8 +251,9 @@ def record_count(spark, d):
 # --- versions and sequences -------------------------------------------------------------------------
 
 def replay_gaps(spark, d, layout=DEFAULT):
-    e = src.table(spark, d, "events").filter(F.col("event_type") != "error").select("event_id")
-    return tables.replay_gaps(e, "event_id", layout)
+    # Times as ids: whole seconds in which nothing happened.
+    e = src.table(spark, d, "events").select(F.floor(epoch_ms(F.col("ts")) / 1000).cast("bigint").alias("second"))
+    return tables.replay_gaps(e, "second", layout)
 
 
 def change_capture(spark, d, layout=DEFAULT):
@@ -267,7 +298,7 @@ def scalar_functions(spark, d):
     delay = backoff_ms(F.pmod("event_id", F.lit(10)))
     return e.select(
         "event_id",
-        is_gap_type(F.substring("event_type", 1, 1)).alias("is_g"),
+        is_gap_type(src.wire_type(F.col("event_type"))).alias("is_g"),
         number.alias("k_strict"),
         parse_long(F.col("event_type")).alias("not_a_number"),
         F.variant_get(F.parse_json("props"), "$.k", "bigint").alias("k_from_map"),
@@ -318,6 +349,20 @@ def gap_limits(spark, d, layout=DEFAULT):
     return limited(spark, d, TIMEOUT_MS, MAX_BUFFER, layout).select(*GAP_COLUMNS)
 
 
+def limited_output(spark, d):
+    """The repaired stream where gaps may fail."""
+    out = gaps.cdc_output(limited(spark, d, TIMEOUT_MS, MAX_BUFFER))
+    return out.select("record_id", "out_seq", "out_pos", "seq", "type", "event_id", "ts", "rec_ts", "payload")
+
+
+def limited_errors(spark, d):
+    return gaps.error_output(limited(spark, d, TIMEOUT_MS, MAX_BUFFER))
+
+
+def limited_counters(spark, d):
+    return counters.gap_counters(limited(spark, d, TIMEOUT_MS, MAX_BUFFER))
+
+
 def failed_gaps(spark, d):
     return limits.failed_gaps(limited(spark, d, TIMEOUT_MS, MAX_BUFFER))
 
@@ -341,6 +386,8 @@ QUERIES: dict[str, Query] = {
     "key_mismatch": key_mismatch,
     "in_gap_flag": in_gap_flag,
     "gap_decisions": gap_decisions,
+    "wire_decisions": wire_decisions,
+    "wire_decisions_strict": partial(wire_decisions, mode="strict"),
     "gap_decisions_split": partial(gap_decisions, layout=SPLIT),
     "gap_decisions_failing": partial(gap_decisions, failing=True),
     "gap_decisions_strict": partial(gap_decisions, mode="strict", failing=True),
@@ -386,6 +433,9 @@ QUERIES: dict[str, Query] = {
     "gap_overflow": gap_overflow,
     "gap_limits": gap_limits,
     "gap_limits_split": partial(gap_limits, layout=SPLIT),
+    "limited_output": limited_output,
+    "limited_errors": limited_errors,
+    "limited_counters": limited_counters,
     "failed_gaps": failed_gaps,
     "late_fill": late_fill,
     "reissued_commands": reissued_commands,
@@ -393,5 +443,10 @@ QUERIES: dict[str, Query] = {
     "gap_stream_limits": partial(streams.gap_stream, timeout_ms=TIMEOUT_MS, max_buffer=MAX_BUFFER),
     "stream_pending": streams.stream_pending,
     "stream_outputs": streams.stream_outputs,
+    "stream_outputs_strict": partial(streams.stream_outputs, mode="strict", faulty=True),
+    "stream_outputs_faulty": partial(streams.stream_outputs, faulty=True),
+    "stream_newer_only": streams.stream_newer_only,
+    "stream_first_fills": streams.stream_first_fills,
+    "fill_command_source": streams.fill_command_source,
     "fill_loop": streams.fill_loop,
 }

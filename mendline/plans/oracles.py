@@ -9,24 +9,43 @@ e AS (SELECT user_id AS record_id, event_id AS seq,
     CASE event_type WHEN 'error' THEN 'G' WHEN 'signup' THEN 'F' ELSE 'N' END AS kind,
     CAST(epoch_us(ts) // 1000 AS BIGINT) AS ts,
     CAST(json_extract_string(props, '$.k') AS BIGINT) AS k,
-    event_type, value, props FROM events),
-b AS (SELECT *, CASE WHEN kind = 'F' THEN ts - k * 3600000 END AS cutoff, true AS ok, props AS payload FROM e),
-f AS (SELECT record_id, seq, kind, ts, k, event_type, value, props,
+    event_type, value, props, event_id AS id,
+    CASE event_type WHEN 'error' THEN 'G' WHEN 'purchase' THEN 'X' WHEN 'signup' THEN NULL ELSE 'N' END AS type FROM events),
+b AS (SELECT *, CASE WHEN kind = 'F' THEN ts - k * 3600000 END AS cutoff, true AS ok, props AS payload, ts AS rec_ts FROM e),
+f AS (SELECT record_id, seq, id, kind, ts, rec_ts, k, event_type, type, value, props,
     CASE WHEN kind = 'F' AND value < 5.0 THEN -1 ELSE cutoff END AS cutoff,
     kind <> 'F' OR value >= 5.0 AS ok,
     CASE WHEN kind = 'F' AND value < 5.0 THEN '{}' ELSE props END AS payload FROM b)"""
 
 
-def _decided(source: str = "b", strict: bool = False) -> str:
-    """CTEs ending in `d`: each row with its decision."""
+_PAYLOAD = """'{"k":' || k || '}'"""
+
+
+def _wire(faulty: bool, strict: bool) -> str:
+    """The rows as they come over the wire: `w`, with their place in order of arrival as `seq`."""
+    bad = "7, 17, 27, 47, 57" + (", 37" if strict else "")
+    fine = f"WHERE CASE WHEN kind = 'F' THEN k <> 7 ELSE k NOT IN ({bad}) END" if faulty else ""
+    return f""",
+q AS (SELECT * REPLACE (CASE WHEN kind = 'F' THEN CASE WHEN k < 50 THEN cutoff >= 0 ELSE value >= 5.0 END ELSE ok END AS ok,
+    CASE WHEN id % 10 = 3 THEN ts - 432000000 ELSE ts END AS rec_ts, {_PAYLOAD} AS payload),
+    CASE WHEN kind = 'F' THEN 1 ELSE 0 END AS rank, CASE WHEN kind = 'F' THEN id - 1 ELSE id END AS off,
+    CASE WHEN kind <> 'F' AND k = 37 AND {faulty} THEN record_id || 'x' ELSE CAST(record_id AS VARCHAR) END AS key FROM b {fine}),
+a AS (SELECT *, max(rec_ts) OVER (PARTITION BY record_id, rank ORDER BY off ROWS UNBOUNDED PRECEDING) AS arrived FROM q),
+w AS (SELECT * REPLACE (row_number() OVER (PARTITION BY record_id ORDER BY arrived, rank, off) AS seq) FROM a)"""
+
+
+def _decided(source: str = "b", strict: bool = False, faulty: bool = False) -> str:
+    """CTEs ending in `d`: each row with its decision. Source `w`: over the wire."""
+    wire = _wire(faulty, strict) if source == "w" else ""
     failed_fill = "WHEN kind = 'F' AND NOT ok THEN 'fill_error'" if strict else ""
     failed_row = "WHEN NOT close_ok THEN 'dead_letter'" if strict else ""
-    return f"""WITH {_INPUT},
+    return f"""WITH {_INPUT}{wire},
 x AS (SELECT *,
     coalesce(last_value(CASE WHEN kind <> 'N' THEN kind END IGNORE NULLS) OVER prior = 'G', false) AS in_gap,
     first_value(CASE WHEN kind = 'F' THEN cutoff END IGNORE NULLS) OVER later AS close_cutoff,
     first_value(CASE WHEN kind = 'F' THEN ok END IGNORE NULLS) OVER later AS close_ok,
-    first_value(CASE WHEN kind = 'F' THEN seq END IGNORE NULLS) OVER later AS close_seq
+    first_value(CASE WHEN kind = 'F' THEN seq END IGNORE NULLS) OVER later AS close_seq,
+    first_value(CASE WHEN kind = 'F' THEN rec_ts END IGNORE NULLS) OVER later AS close_at
   FROM {source}
   WINDOW prior AS (PARTITION BY record_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
          later AS (PARTITION BY record_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
@@ -41,26 +60,31 @@ d AS (SELECT *, CASE {failed_fill}
 _ROWS = "SELECT record_id, seq, decision FROM d"
 _COMMANDS = """c AS (SELECT record_id, 'User' AS entity_type, CAST(seq AS VARCHAR) AS event_id, seq, ts, k
     FROM d WHERE decision = 'command')"""
-_SNAPSHOT = """s AS (SELECT c_custkey AS rid, c_name AS image, CASE WHEN c_mktsegment = 'FURNITURE' THEN 'n/a'
-    ELSE CAST(1704067200000 + ((c_custkey * 7919) % 720) * 3600000 AS VARCHAR) END AS last_modified
-    FROM customer WHERE c_acctbal >= 0)"""
+_IMAGES = """i AS (SELECT c_custkey AS rid, version, c_mktsegment, c_acctbal >= 0 OR version = 1 AS is_json,
+    CASE WHEN c_mktsegment <> 'FURNITURE' AND (c_acctbal >= 0 OR version = 1)
+      THEN 1704067200000 + ((c_custkey * 7919) % 720) * 3600000 - version * 86400000 END AS modified, c_name || '-' || version AS name
+    FROM customer, (SELECT unnest([0, 1]) AS version) WHERE c_mktsegment <> 'MACHINERY' AND (version = 0 OR c_custkey % 2 = 0))"""
+# The current image of each record: the latest usable one. `normal`: its fields in order of their names.
+_SNAPSHOT = _IMAGES + """, s AS (SELECT rid, max(modified) AS cut, bool_or(is_json) AS is_json, arg_max(name, modified) AS name
+    FROM i GROUP BY rid)"""
 _LOOKUP = _decided() + f", {_COMMANDS}, {_SNAPSHOT}" + """, l AS (SELECT record_id, entity_type, event_id, seq,
-    coalesce(TRY_CAST(last_modified AS BIGINT), -1) AS cutoff,
-    CASE WHEN TRY_CAST(last_modified AS BIGINT) IS NULL THEN '{}' ELSE image END AS all_fields,
-    TRY_CAST(last_modified AS BIGINT) IS NOT NULL AS is_success,
-    CASE WHEN TRY_CAST(last_modified AS BIGINT) IS NOT NULL THEN ''
-         WHEN rid IS NULL THEN 'not found: /' || entity_type || '/' || record_id
-         ELSE 'bad modification time: ' || last_modified END AS err
+    coalesce(cut, -1) AS cutoff, cut IS NOT NULL AS is_success,
+    CASE WHEN cut IS NULL THEN '{}' ELSE '{"name":"' || name || '","lastModifiedEpochMs":' || cut || '}' END AS all_fields,
+    CASE WHEN cut IS NULL THEN '{}' ELSE '{"lastModifiedEpochMs":' || cut || ',"name":"' || name || '"}' END AS normal,
+    CASE WHEN cut IS NOT NULL THEN '' WHEN rid IS NULL THEN 'not found: /' || entity_type || '/' || record_id
+         WHEN NOT is_json THEN 'bad image: /' || entity_type || '/' || record_id ELSE 'bad modification time: n/a' END AS err
     FROM c LEFT JOIN s ON record_id = rid) """
+_FILL_EVENT = """'{"recordId":"' || record_id || '","entityType":"User","eventId":"' || event_id || '","cutoffLastModifiedEpochMs":'
+      || cutoff || ',"allFields":' || normal || ',"isSuccess":' || CASE WHEN is_success THEN 'true' ELSE 'false' END
+      || ',"errMessage":"' || err || '"}'"""
 _FAULTS = f"""WITH {_INPUT}, w AS (SELECT seq AS rec_offset,
     CASE k WHEN 57 THEN NULL WHEN 37 THEN record_id || 'x' ELSE CAST(record_id AS VARCHAR) END AS key,
     CASE WHEN k NOT IN (7, 47) THEN CAST(seq AS VARCHAR) END AS event_id,
     CASE WHEN k NOT IN (7, 17, 47) THEN CAST(record_id AS VARCHAR) END AS record_id,
-    CASE WHEN k NOT IN (7, 27, 47) THEN kind END AS type,
+    CASE WHEN k NOT IN (7, 27, 47) THEN type END AS type,
     CASE k WHEN 57 THEN 'null_key' WHEN 47 THEN 'null_value' WHEN 7 THEN 'bad_json' WHEN 17 THEN 'null_record_id'
         WHEN 27 THEN 'null_type' WHEN 37 THEN 'key_mismatch' ELSE 'ok' END AS problem
     FROM e WHERE kind <> 'F') """
-_PAYLOAD = """'{"k":' || k || '}'"""
 _ATTEMPTS = _decided() + """, a AS (SELECT record_id, 'User' AS entity_type, seq, ts,
     CASE WHEN k < 10 THEN '404' WHEN k < 30 THEN '503' WHEN k < 40 THEN 'timeout' ELSE '200' END AS status,
     CASE WHEN k < 10 THEN 'permanent' WHEN k < 40 THEN 'transient' ELSE 'success' END AS outcome
@@ -82,7 +106,9 @@ def _output(strict: bool) -> str:
     return _decided("f", strict) + f""", p AS (SELECT *, row_number() OVER (PARTITION BY record_id, close_seq, decision
         ORDER BY {order}) AS pos FROM d WHERE decision IN ('forwarded', 'filled', 'flushed'))
     SELECT record_id, CASE WHEN decision = 'flushed' THEN close_seq ELSE seq END AS out_seq,
-      CASE WHEN decision = 'flushed' THEN pos ELSE 0 END AS out_pos, seq, kind AS type,
+      CASE WHEN decision = 'flushed' THEN pos ELSE 0 END AS out_pos, seq, coalesce(type, kind) AS type,
+      CASE WHEN decision = 'flushed' THEN close_at ELSE ts END AS rec_ts, CASE WHEN kind = 'F' THEN 0 ELSE seq END AS replay_id,
+      CAST(NULL AS BIGINT) AS gap_from, CAST(NULL AS BIGINT) AS gap_to, CAST(NULL AS VARCHAR) AS gap_reason,
       {"CAST(seq AS VARCHAR)" if strict else "CASE WHEN kind = 'F' THEN NULL ELSE CAST(seq AS VARCHAR) END"} AS event_id,
       {"'User'" if strict else "CASE WHEN kind = 'F' THEN CAST(record_id AS VARCHAR) ELSE 'User' END"} AS entity,
       CASE WHEN kind = 'F' THEN {"cutoff" if strict else "NULL"} ELSE ts END AS ts, payload FROM p"""
@@ -136,11 +162,13 @@ st AS (
       ELSE CASE r.kind WHEN 'F' THEN 'filled' WHEN 'G' THEN 'gap_dropped' ELSE CASE WHEN {over} THEN 'overflowed' ELSE 'held' END END END
   FROM st s JOIN r ON r.record_id = s.record_id AND r.rn = s.rn + 1),
 ends AS (
-  SELECT record_id, expired_seq AS open_seq, 1 AS why, CAST(NULL AS BIGINT) AS cutoff FROM st WHERE expired_seq IS NOT NULL
-  UNION ALL SELECT record_id, acted_seq, 2, NULL FROM st WHERE act = 'overflowed'
-  UNION ALL SELECT st.record_id, acted_seq, 3, cutoff FROM st JOIN b USING (record_id, seq) WHERE act = 'filled'),
+  SELECT record_id, expired_seq AS open_seq, 1 AS why, CAST(NULL AS BIGINT) AS cutoff, CAST(NULL AS BIGINT) AS end_seq,
+    CAST(NULL AS BIGINT) AS end_at FROM st WHERE expired_seq IS NOT NULL
+  UNION ALL SELECT record_id, acted_seq, 2, NULL, NULL, NULL FROM st WHERE act = 'overflowed'
+  UNION ALL SELECT st.record_id, acted_seq, 3, cutoff, st.seq, ts FROM st JOIN b USING (record_id, seq) WHERE act = 'filled'),
 d AS (SELECT b.*, CASE WHEN act NOT IN ('held', 'overflowed') THEN act WHEN why IS NULL THEN 'pending'
-    WHEN why <> 3 THEN 'dead_letter' WHEN b.ts > ends.cutoff THEN 'flushed' ELSE 'dropped' END AS decision, expired_seq
+    WHEN why <> 3 THEN 'dead_letter' WHEN b.ts > ends.cutoff THEN 'flushed' ELSE 'dropped' END AS decision, expired_seq,
+    end_seq, end_at, acted_seq
   FROM st JOIN b USING (record_id, seq)
   LEFT JOIN ends ON ends.record_id = st.record_id AND ends.open_seq = st.acted_seq AND act IN ('held', 'overflowed')),
 g AS (SELECT c.record_id, c.seq AS open_seq, 'User' AS entity, CAST(c.seq AS VARCHAR) AS event_id, why
@@ -148,15 +176,65 @@ g AS (SELECT c.record_id, c.seq AS open_seq, 'User' AS entity, CAST(c.seq AS VAR
 """
 
 
-def _event_json(entity: str, event_id: str, ts: str, type_: str, fields: str) -> str:
-    """A change event as text; `event_id` and `ts` are SQL for JSON values."""
+def _event_json(entity: str, event_id: str, ts: str, type_: str, replay: str, fields: str) -> str:
+    """A change event as text; `event_id`, `ts` and `replay` are SQL for JSON values."""
     return f"""'{{"eventId":' || {event_id} || ',"entity":"' || {entity} || '","recordId":"' || record_id
-      || '","type":"' || {type_} || '","timestamp":' || {ts} || ',"changedFields":' || {fields} || '}}'"""
+      || '","type":"' || {type_} || '","timestamp":' || {ts} || ',"replayId":' || {replay}
+      || ',"changedFields":' || {fields} || ',"gap":null}}'"""
+
+
+_ID = "'\"' || id || '\"'"
+_COMMAND_JSON = """'{"recordId":"' || record_id || '","entityType":"User","eventId":"' || id || '"}'"""
+_CHANGE_JSON = _event_json("'User'", _ID, "ts", "type", "id", _PAYLOAD)
+_FILL_JSON = _event_json("record_id", "'null'", "'null'", "'F'", "'0'", _PAYLOAD)
+_FILL_JSON_STRICT = _event_json("'User'", _ID, "cutoff", "'F'", "'0'", _PAYLOAD)
+_ERROR_JSON = f"""'{{"recordId":"' || record_id || '","entityType":"User","eventId":"' || id || '","reason":"' || decision
+      || '","errMessage":' || CASE WHEN kind = 'F' THEN '"no image"' ELSE 'null' END || ',"fields":' || {_PAYLOAD} || '}}'"""
+# A change as it comes in, with the faults of the wire.
+_WIRE_JSON = f"""'{{"eventId":"' || id || '","entity":"User","recordId":' || CASE k WHEN 17 THEN 'null' ELSE '"' || record_id || '"' END
+      || ',"type":' || CASE k WHEN 27 THEN 'null' ELSE '"' || type || '"' END || ',"timestamp":' || ts || ',"replayId":' || id
+      || ',"changedFields":' || {_PAYLOAD} || ',"gap":' || CASE WHEN kind = 'G' THEN '{{"fromReplayId":' || id || ',"toReplayId":'
+      || (id + 1) || ',"reason":"missed"}}' ELSE 'null' END || '}}'"""
+_FILL_START = """'{"recordId":"' || record_id || '","entityType":"User","eventId":"' || id || '","cutoff'"""
+
+
+def _routed(strict: bool, faulty: bool) -> str:
+    """All that the gap handler sends, numbered per record in order of emission."""
+    bad = "7, 17, 27, 47, 57" + (", 37" if strict else "")
+    rejected = f"""
+      UNION ALL SELECT 'ERROR', CASE k WHEN 57 THEN NULL WHEN 37 THEN record_id || 'x' ELSE CAST(record_id AS VARCHAR) END AS key,
+        '{{"recordId":' || coalesce('"' || (CASE k WHEN 57 THEN NULL WHEN 37 THEN record_id || 'x' ELSE CAST(record_id AS VARCHAR) END) || '"', 'null')
+        || ',"reason":"' || (CASE k WHEN 57 THEN 'null_key' WHEN 47 THEN 'null_value' WHEN 7 THEN 'bad_json' WHEN 17 THEN 'null_record_id'
+          WHEN 27 THEN 'null_type' ELSE 'key_mismatch' END) || '","text":'
+        || coalesce(CAST(to_json(CASE k WHEN 47 THEN NULL WHEN 7 THEN substring(text, 1, 40) ELSE text END) AS VARCHAR), 'null') || '}}',
+        CASE WHEN id % 10 = 3 THEN ts - 432000000 ELSE ts END, CASE WHEN kind = 'F' THEN id - 1 ELSE id END
+      FROM (SELECT *, CASE WHEN kind = 'F' THEN {_FILL_START} ELSE {_WIRE_JSON} END AS text FROM e
+        WHERE CASE WHEN kind = 'F' THEN k = 7 ELSE k IN ({bad}) END)""" if faulty else ""
+    return _decided("w", strict, faulty) + f""", m AS (SELECT *, CASE WHEN decision IN ('flushed', 'dead_letter') THEN close_seq ELSE seq END AS cause,
+        CASE WHEN decision IN ('flushed', 'dead_letter') THEN {"seq" if strict else "-seq"} ELSE NULL END AS nth
+      FROM d WHERE decision IN ('forwarded', 'filled', 'flushed', 'command', 'fill_error', 'dead_letter')),
+      n AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY cause, nth NULLS FIRST) AS place FROM m)
+      SELECT CASE decision WHEN 'command' THEN 'CDC-FILL-COMMAND' WHEN 'fill_error' THEN 'ERROR' WHEN 'dead_letter' THEN 'ERROR'
+          ELSE 'CDC-OUTPUT' END AS topic,
+        CASE WHEN decision IN ('flushed', 'dead_letter') THEN CAST(record_id AS VARCHAR) ELSE key END AS key,
+        CASE WHEN decision = 'command' THEN {_COMMAND_JSON} WHEN decision = 'filled' THEN {_FILL_JSON_STRICT if strict else _FILL_JSON}
+          WHEN decision IN ('fill_error', 'dead_letter') THEN {_ERROR_JSON} ELSE {_CHANGE_JSON} END AS value,
+        CASE WHEN decision IN ('flushed', 'dead_letter') THEN close_at ELSE rec_ts END AS rec_ts, place AS rec_offset FROM n{rejected}"""
+
+
+def _wire_decisions(strict: bool) -> str:
+    bad = "7, 17, 27, 47, 57" + (", 37" if strict else "")
+    return _decided("w", strict, True) + f"""SELECT CAST(record_id AS VARCHAR) AS record_id, rank AS source_rank, off AS rec_offset, decision FROM d
+      UNION ALL SELECT CASE WHEN k IN (27, 37, 57) THEN CAST(record_id AS VARCHAR) END, 0, id, 'invalid' FROM e
+        WHERE kind <> 'F' AND k IN ({bad})
+      UNION ALL SELECT NULL, 1, id - 1, 'fill_invalid' FROM e WHERE kind = 'F' AND k = 7"""
 
 
-_COMMAND_JSON = """'{"recordId":"' || record_id || '","entityType":"User","eventId":"' || seq || '"}'"""
-_CHANGE_JSON = _event_json("'User'", "'\"' || seq || '\"'", "ts", "'N'", """'{"k":' || k || '}'""")
-_FILL_JSON = _event_json("record_id", "'null'", "'null'", "'F'", """'{"k":' || k || '}'""")
+# Counts over the faulty wire, with the rows that can't be used.
+_WIRE_COUNTED = _decided("w", faulty=True) + f""", {_COUNTED.replace("n AS (", "n0 AS (")},
+    u AS (SELECT count(*) FILTER (kind <> 'F' AND k IN (7, 17, 27, 47, 57)) AS invalid_events,
+      count(*) FILTER (kind = 'F' AND k = 7) AS invalid_fills FROM e),
+    n AS (SELECT * REPLACE (received + invalid_events AS received, fills + invalid_fills AS fills) FROM n0, u)"""
 
 
 # Reasons are numbers inside the SQL.
@@ -164,27 +242,24 @@ _WHY = "CASE why WHEN 1 THEN 'timeout' ELSE 'overflow' END"
 _LIMITS = _limited(48 * 3600000, 2)
 
 ORACLES: dict[str, str] = {
-    "cdc_source_parse": f"""WITH {_INPUT} SELECT CAST(record_id AS VARCHAR) AS key, ts AS rec_ts, seq AS rec_offset,
-      CAST(seq AS VARCHAR) AS event_id, 'User' AS entity, CAST(record_id AS VARCHAR) AS record_id, kind AS type, ts,
+    "cdc_source_parse": f"""WITH {_INPUT} SELECT CAST(record_id AS VARCHAR) AS key, CASE WHEN id % 10 = 3 THEN ts - 432000000 ELSE ts END AS rec_ts,
+      seq AS rec_offset, CAST(seq AS VARCHAR) AS event_id, 'User' AS entity, CAST(record_id AS VARCHAR) AS record_id, type, ts,
       seq AS replay_id, {_PAYLOAD} AS payload, CASE WHEN kind = 'G' THEN seq END AS gap_from,
       CASE WHEN kind = 'G' THEN seq + 1 END AS gap_to, CASE WHEN kind = 'G' THEN 'missed' END AS gap_reason
       FROM e WHERE kind <> 'F'""",
-    "tagged_union_input": f"""WITH {_INPUT} SELECT CAST(record_id AS VARCHAR) AS record_id, ts AS rec_ts,
-      CASE WHEN kind = 'F' THEN 1 ELSE 0 END AS source_rank, seq AS rec_offset, kind,
-      CAST(seq AS VARCHAR) AS event_id, 'User' AS entity, CASE WHEN kind <> 'F' THEN ts END AS ts,
-      {_PAYLOAD} AS payload, cutoff,
-      CASE WHEN kind <> 'F' THEN false WHEN k < 50 THEN cutoff >= 0 ELSE value >= 5.0 END AS ok,
-      CASE WHEN kind = 'F' AND k >= 50 THEN CASE WHEN value >= 5.0 THEN '' ELSE 'no image' END END AS err FROM b""",
+    "tagged_union_input": f"""WITH {_INPUT}{_wire(False, False)} SELECT CAST(record_id AS VARCHAR) AS record_id, key, rec_ts, arrived,
+      rank AS source_rank, off AS rec_offset, off * 2 + rank AS seq, kind, type, CAST(id AS VARCHAR) AS event_id, 'User' AS entity,
+      CASE WHEN kind <> 'F' THEN ts END AS ts, CASE WHEN kind <> 'F' THEN id END AS replay_id,
+      CASE WHEN kind = 'G' THEN id END AS gap_from, CASE WHEN kind = 'G' THEN id + 1 END AS gap_to,
+      CASE WHEN kind = 'G' THEN 'missed' END AS gap_reason, payload, cutoff, kind = 'F' AND ok AS ok,
+      CASE WHEN kind = 'F' AND k >= 50 THEN CASE WHEN value >= 5.0 THEN '' ELSE 'no image' END END AS err FROM w""",
     "json_decode_quarantine": _FAULTS + "SELECT rec_offset, event_id, record_id, type, problem FROM w",
     "json_encode": f"""WITH {_INPUT} SELECT seq AS rec_offset, CAST(record_id AS VARCHAR) AS key,
-      '{{"eventId":"' || seq || '","entity":"User","recordId":"' || record_id || '","type":"' || kind
+      '{{"eventId":"' || seq || '","entity":"User","recordId":"' || record_id || '","type":"' || type
       || '","timestamp":' || ts || ',"replayId":' || seq || ',"changedFields":' || {_PAYLOAD} || ',"gap":'
       || CASE WHEN kind = 'G' THEN '{{"fromReplayId":' || seq || ',"toReplayId":' || (seq + 1)
          || ',"reason":"missed"}}' ELSE 'null' END || '}}' AS value FROM e WHERE kind <> 'F'""",
-    "fill_events_out": _LOOKUP + """SELECT CAST(record_id AS VARCHAR) AS key, '{"recordId":"' || record_id
-      || '","entityType":"User","eventId":"' || event_id || '","cutoffLastModifiedEpochMs":' || cutoff
-      || ',"isSuccess":' || CASE WHEN is_success THEN 'true' ELSE 'false' END || ',"errMessage":"' || err || '"}'
-      AS value FROM l""",
+    "fill_events_out": _LOOKUP + f"SELECT CAST(record_id AS VARCHAR) AS key, {_FILL_EVENT} AS value FROM l",
     "valid_records": _FAULTS + """SELECT rec_offset, key, record_id, type FROM w
       WHERE key IS NOT NULL AND record_id IS NOT NULL""",
     "gap_events": _FAULTS + "SELECT rec_offset, record_id, event_id FROM w WHERE type = 'G'",
@@ -194,8 +269,9 @@ ORACLES: dict[str, str] = {
     "gap_decisions_split": _decided() + _ROWS,
     "gap_decisions_failing": _decided("f") + _ROWS,
     "gap_decisions_strict": _decided("f", strict=True) + _ROWS,
-    "forwarded_events": _decided() + """SELECT record_id, seq, CAST(seq AS VARCHAR) AS event_id, 'User' AS entity,
-      ts, payload FROM d WHERE decision = 'forwarded'""",
+    "forwarded_events": _decided() + """SELECT record_id, seq, type, CAST(seq AS VARCHAR) AS event_id, 'User' AS entity,
+      ts, rec_ts, seq AS replay_id, CAST(NULL AS BIGINT) AS gap_from, CAST(NULL AS BIGINT) AS gap_to, CAST(NULL AS VARCHAR) AS gap_reason,
+      payload FROM d WHERE decision = 'forwarded'""",
     "fill_commands": _decided() + f", {_COMMANDS} SELECT record_id, entity_type, event_id, seq FROM c",
     "synthetic_fill_rows": _synthetic(strict=False),
     "synthetic_fill_rows_strict": _synthetic(strict=True),
@@ -219,11 +295,15 @@ ORACLES: dict[str, str] = {
       CASE WHEN decision = 'dead_letter' THEN close_seq END AS cause_seq,
       CASE WHEN kind = 'F' THEN 'no image' END AS message, payload
       FROM d WHERE decision IN ('fill_error', 'dead_letter')""",
-    "fill_lookup_left": _LOOKUP + "SELECT * FROM l",
+    "fill_lookup_left": _LOOKUP + "SELECT * EXCLUDE (normal) FROM l",
     "fill_lookup_inner": _LOOKUP + "SELECT record_id, entity_type, event_id, seq, cutoff, all_fields FROM l WHERE is_success",
     "fill_lookup_misses": _LOOKUP + """SELECT record_id, entity_type, event_id, seq,
       '/' || entity_type || '/' || record_id AS path FROM l WHERE err LIKE 'not found%'""",
-    "fill_commands_fanout": _LOOKUP + "SELECT record_id, event_id, cutoff, is_success FROM l",
+    "fill_commands_fanout": _LOOKUP + """, o AS (SELECT record_id, event_id, modified AS cutoff, true AS is_success, seq * 2 + CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END AS place
+        FROM c JOIN i ON record_id = rid WHERE version = 1 AND modified IS NOT NULL),
+      b2 AS (SELECT record_id, event_id, cutoff, is_success, seq * 2 AS place FROM l UNION ALL SELECT * FROM o)
+      SELECT record_id, event_id, cutoff, is_success FROM b2
+      QUALIFY row_number() OVER (PARTITION BY record_id, event_id ORDER BY is_success DESC, place) = 1""",
     "gap_fill_episodes": _decided() + """, o AS (SELECT record_id, seq AS open_seq,
         row_number() OVER (PARTITION BY record_id ORDER BY seq) AS episode, close_seq, close_cutoff AS cutoff
       FROM d WHERE decision = 'command')
@@ -236,12 +316,8 @@ ORACLES: dict[str, str] = {
       GROUP BY ALL""",
     "ignored_fills": _decided() + "SELECT record_id, seq, cutoff FROM d WHERE decision = 'fill_ignored'",
     "pending_buffer": _decided() + "SELECT record_id, seq, ts, payload FROM d WHERE decision = 'pending'",
-    "gap_counters": _decided() + f""", {_COUNTED} SELECT received AS events_received, forwarded AS events_forwarded,
-      dropped AS "buffered_events_dropped", flushed AS buffered_events_flushed, buffered AS events_buffered,
-      filled AS gap_events_filled, detected AS gap_event_detected, gap_dropped AS gap_event_dropped,
-      command AS fill_commands_published, CAST(0 AS BIGINT) AS fill_commands_timeout, fills AS fill_event_received, CAST(0 AS BIGINT) AS invalid
-      FROM n""",
-    "gap_counter_report": _decided() + f""", {_COUNTED}
+    "gap_counters": _WIRE_COUNTED + " SELECT received AS events_received, forwarded AS events_forwarded, dropped AS buffered_events_dropped, flushed AS buffered_events_flushed, buffered AS events_buffered, filled AS gap_events_filled, detected AS gap_event_detected, gap_dropped AS gap_event_dropped, command AS fill_commands_published, CAST(0 AS BIGINT) AS fill_commands_timeout, fills AS fill_event_received, (SELECT invalid_events FROM u) AS invalid_events, (SELECT invalid_fills FROM u) AS invalid_fills FROM n",
+    "gap_counter_report": _WIRE_COUNTED + f"""
       SELECT name, CAST(value AS DOUBLE) AS value FROM (
         SELECT 'cdc.events.received' AS name, received AS value FROM n
         UNION ALL SELECT 'cdc.events.forwarded', forwarded FROM n
@@ -258,10 +334,9 @@ ORACLES: dict[str, str] = {
         UNION ALL SELECT 'GAP_DETECTED_OR_BUFFERED', detected + buffered FROM n
         UNION ALL SELECT 'NOT_NORMAL=GAP_DETECTED_OR_BUFFERED',
           CASE WHEN received - forwarded = detected + buffered THEN 1 ELSE 0 END FROM n) ORDER BY name""",
-    "gap_conservation": _decided() + f""", {_COUNTED} SELECT received - forwarded AS not_normal,
-      detected + buffered AS detected_or_buffered, CAST(0 AS BIGINT) AS invalid,
-      received - forwarded = detected + buffered AS balanced,
-      received - forwarded = detected + buffered AS balanced_valid FROM n""",
+    "gap_conservation": _WIRE_COUNTED + """ SELECT received - forwarded AS not_normal, detected + buffered AS detected_or_buffered,
+      (SELECT invalid_events FROM u) AS invalid_events, received - forwarded = detected + buffered AS balanced,
+      received - forwarded - (SELECT invalid_events FROM u) = detected + buffered AS balanced_valid FROM n""",
     "buffer_per_episode": _decided() + """, u AS (SELECT *, sum(CASE WHEN kind = 'F' THEN 1 ELSE 0 END)
         OVER (PARTITION BY record_id ORDER BY seq) AS epoch FROM d)
       SELECT record_id, count(*) AS n_buffered, min(seq) AS first_seq, max(seq) AS last_seq, max(ts) AS last_ts
@@ -280,9 +355,8 @@ ORACLES: dict[str, str] = {
       FROM z GROUP BY record_id""",
     "distinct_records": "SELECT user_id AS record_id, min(event_id) AS first_seq FROM events GROUP BY user_id ORDER BY 2",
     "record_count": "SELECT count(DISTINCT user_id) AS n_records FROM events",
-    "replay_gaps": """WITH i AS (SELECT event_id, lag(event_id) OVER (ORDER BY event_id) AS prev
-      FROM events WHERE event_type <> 'error')
-      SELECT prev + 1 AS from_id, event_id - 1 AS to_id, event_id - prev - 1 AS n_missing FROM i WHERE event_id - prev > 1""",
+    "replay_gaps": f"""WITH {_INPUT}, t AS (SELECT DISTINCT ts // 1000 AS s FROM e), i AS (SELECT s, lag(s) OVER (ORDER BY s) AS prev FROM t)
+      SELECT prev + 1 AS from_id, s - 1 AS to_id, s - prev - 1 AS n_missing FROM i WHERE s - prev > 1""",
     "change_capture": f"""WITH {_INPUT}, v AS (SELECT record_id, seq, ts AS modified, event_type, k, value,
         lag(seq) OVER w AS old_seq, lag(event_type) OVER w AS old_type, lag(k) OVER w AS old_k, lag(value) OVER w AS old_value
         FROM e WINDOW w AS (PARTITION BY record_id ORDER BY seq))
@@ -305,7 +379,7 @@ ORACLES: dict[str, str] = {
         coalesce(ended, last_failure) - started > 600000 AS breached FROM g WHERE n_failures > 0""",
     "scalar_functions": f"""WITH {_INPUT}, y AS (SELECT *,
         CAST(least(60000, 1000 * pow(2, least(seq % 10, 6))) AS BIGINT) AS delay_ms FROM e)
-      SELECT seq AS event_id, lower(substring(event_type, 1, 1)) = 'g' AS is_g, k AS k_strict,
+      SELECT seq AS event_id, lower(type) = 'g' AS is_g, k AS k_strict,
         TRY_CAST(event_type AS BIGINT) AS not_a_number, k AS k_from_map, CAST(k AS VARCHAR) AS k_text,
         '/base/User/' || record_id AS path, upper(event_type) AS upper_type, delay_ms,
         greatest(0, delay_ms + ((seq % 1000003) * 7919) % (2 * CAST(floor(delay_ms * 0.2) AS BIGINT) + 1)
@@ -324,10 +398,12 @@ ORACLES: dict[str, str] = {
         WHEN kind = 'F' AND in_gap THEN 'filled' WHEN kind = 'F' THEN 'fill_ignored' WHEN NOT in_gap THEN 'forwarded'
         WHEN close_cutoff IS NULL THEN 'pending' WHEN ts > close_cutoff THEN 'flushed' ELSE 'dropped' END AS decision
       FROM x""",
-    "replay_failed_gaps": _decided("f", strict=True) + """, m AS (SELECT record_id,
-        max(seq) FILTER (decision = 'fill_error') AS failed_seq, max(seq) FILTER (decision = 'filled') AS mended_seq
-        FROM d GROUP BY record_id)
-      SELECT record_id, 'User' AS entity_type, CAST(failed_seq AS VARCHAR) AS event_id, failed_seq FROM m
+    "replay_failed_gaps": _decided("f", strict=True) + """, o AS (SELECT *, max(CASE WHEN decision = 'command' THEN seq END) OVER (
+        PARTITION BY record_id ORDER BY seq) AS open_seq FROM d),
+      m AS (SELECT record_id, max(seq) FILTER (decision = 'fill_error' AND in_gap) AS failed_seq,
+        arg_max(open_seq, seq) FILTER (decision = 'fill_error' AND in_gap) AS open_seq,
+        max(seq) FILTER (decision = 'filled') AS mended_seq FROM o GROUP BY record_id)
+      SELECT record_id, 'User' AS entity_type, CAST(open_seq AS VARCHAR) AS event_id, failed_seq FROM m
       WHERE failed_seq IS NOT NULL AND coalesce(mended_seq, -1) < failed_seq""",
     "gap_timeout": _limited(48 * 3600000, None) + _ROWS,
     "gap_overflow": _limited(None, 2) + _ROWS,
@@ -347,25 +423,44 @@ ORACLES: dict[str, str] = {
     "gap_stream_equals_batch": _decided() + _ROWS,
     "gap_stream_limits": _LIMITS + _ROWS,
     "stream_pending": _decided() + "SELECT record_id, seq, ts, payload FROM d WHERE decision = 'pending'",
-    "stream_outputs": _decided() + f""", p AS (SELECT *, row_number() OVER (PARTITION BY record_id, close_seq, decision
-        ORDER BY seq DESC) AS nth FROM d WHERE decision IN ('forwarded', 'filled', 'flushed', 'command'))
-      SELECT CASE decision WHEN 'command' THEN 'CDC-FILL-COMMAND' ELSE 'CDC-OUTPUT' END AS topic,
-        CAST(record_id AS VARCHAR) AS key,
-        CASE decision WHEN 'command' THEN {_COMMAND_JSON} WHEN 'filled' THEN {_FILL_JSON} ELSE {_CHANGE_JSON} END AS value,
-        CASE decision WHEN 'flushed' THEN close_seq ELSE seq END AS rec_offset,
-        CASE decision WHEN 'flushed' THEN nth ELSE 0 END AS pos FROM p""",
+    "stream_outputs": _routed(strict=False, faulty=False),
+    "stream_outputs_strict": _routed(strict=True, faulty=True),
+    "stream_outputs_faulty": _routed(strict=False, faulty=True),
+    "wire_decisions": _wire_decisions(strict=False),
+    "wire_decisions_strict": _wire_decisions(strict=True),
+    "limited_output": _LIMITS + """, p AS (SELECT *, row_number() OVER (PARTITION BY record_id, end_seq, decision ORDER BY seq DESC) AS nth FROM d)
+      SELECT record_id, CASE decision WHEN 'flushed' THEN end_seq ELSE seq END AS out_seq,
+        CASE decision WHEN 'flushed' THEN nth ELSE 0 END AS out_pos, seq, coalesce(type, kind) AS type,
+        CASE WHEN kind <> 'F' THEN CAST(seq AS VARCHAR) END AS event_id, CASE WHEN kind <> 'F' THEN ts END AS ts,
+        CASE decision WHEN 'flushed' THEN end_at ELSE rec_ts END AS rec_ts, payload
+      FROM p WHERE decision IN ('forwarded', 'filled', 'flushed')""",
+    "limited_errors": _LIMITS + f"""SELECT record_id, seq, kind, decision, acted_seq AS cause_seq, CAST(NULL AS VARCHAR) AS message, payload
+      FROM d WHERE decision = 'dead_letter'
+      UNION ALL SELECT g.record_id, g.open_seq, 'G', 'gap_failed', NULL, {_WHY}, payload FROM g JOIN d ON d.record_id = g.record_id AND d.seq = g.open_seq""",
+    "limited_counters": _LIMITS + f""", {_COUNTED.replace("'pending')", "'pending', 'dead_letter')")}
+      SELECT received AS events_received, forwarded AS events_forwarded, dropped AS buffered_events_dropped,
+      flushed AS buffered_events_flushed, buffered AS events_buffered, filled AS gap_events_filled, detected AS gap_event_detected,
+      gap_dropped AS gap_event_dropped, command AS fill_commands_published, (SELECT count(*) FROM g) AS fill_commands_timeout,
+      fills AS fill_event_received, CAST(0 AS BIGINT) AS invalid_events, CAST(0 AS BIGINT) AS invalid_fills FROM n""",
+    "stream_newer_only": _decided("b", strict=True) + """, m AS (SELECT *, CASE WHEN decision = 'flushed' THEN close_seq ELSE seq END AS cause,
+        CASE WHEN decision = 'flushed' THEN seq ELSE NULL END AS nth FROM d WHERE decision IN ('forwarded', 'filled', 'flushed')),
+      n AS (SELECT *, max(ts) OVER (PARTITION BY record_id ORDER BY cause, nth NULLS FIRST
+        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM m)
+      SELECT record_id, seq, decision, ts FROM n WHERE newest IS NULL OR ts > newest""",
+    "stream_first_fills": f"""WITH {_INPUT} SELECT CAST(record_id AS VARCHAR) AS record_id, CAST(id AS VARCHAR) AS event_id, cutoff
+      FROM b WHERE kind = 'F'""",
+    "fill_command_source": _LOOKUP + f"SELECT CAST(record_id AS VARCHAR) AS key, {_FILL_EVENT} AS value, seq AS rec_offset FROM l",
     # Each record with a gap stays open from its first G to the worker's answer, which comes last.
     "fill_loop": f"""WITH {_INPUT}, {_SNAPSHOT},
       o AS (SELECT record_id, min(seq) AS open_seq FROM e WHERE kind = 'G' GROUP BY record_id),
-      a AS (SELECT o.*, coalesce(TRY_CAST(last_modified AS BIGINT), -1) AS cut,
-        CASE WHEN TRY_CAST(last_modified AS BIGINT) IS NULL THEN '{{}}' ELSE '{{"name":"' || image || '"}}' END AS img
-        FROM o LEFT JOIN s ON record_id = rid),
-      n AS (SELECT e.*, open_seq, cut FROM e LEFT JOIN a USING (record_id) WHERE kind = 'N'),
-      h AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY seq DESC) AS pos FROM n
-        WHERE seq > open_seq AND ts > cut)
-      SELECT 'CDC-OUTPUT' AS topic, CAST(record_id AS VARCHAR) AS key, {_CHANGE_JSON} AS value, 0 AS pos FROM n
-        WHERE open_seq IS NULL OR seq < open_seq
-      UNION ALL SELECT 'CDC-OUTPUT', CAST(record_id AS VARCHAR), {_CHANGE_JSON}, pos FROM h
-      UNION ALL SELECT 'CDC-FILL-COMMAND', CAST(record_id AS VARCHAR), {_COMMAND_JSON}, 0 FROM (SELECT record_id, open_seq AS seq FROM a)
-      UNION ALL SELECT 'CDC-OUTPUT', CAST(record_id AS VARCHAR), {_event_json("record_id", "'null'", "'null'", "'F'", "img")}, 0 FROM a""",
+      y AS (SELECT o.*, coalesce(cut, -1) AS cut, CASE WHEN cut IS NULL THEN '{{}}'
+        ELSE '{{"lastModifiedEpochMs":' || cut || ',"name":"' || name || '"}}' END AS img FROM o LEFT JOIN s ON record_id = rid),
+      n AS (SELECT e.*, open_seq, cut FROM e LEFT JOIN y USING (record_id) WHERE kind = 'N'),
+      z AS (SELECT 'CDC-OUTPUT' AS topic, record_id, {_CHANGE_JSON} AS value, seq AS cause, NULL AS nth FROM n
+          WHERE open_seq IS NULL OR seq < open_seq
+        UNION ALL SELECT 'CDC-OUTPUT', record_id, {_CHANGE_JSON}, 1000000000000, -seq FROM n WHERE seq > open_seq AND ts > cut
+        UNION ALL SELECT 'CDC-FILL-COMMAND', record_id, {_COMMAND_JSON}, id, NULL FROM (SELECT record_id, open_seq AS id FROM y)
+        UNION ALL SELECT 'CDC-OUTPUT', record_id, {_event_json("record_id", "'null'", "'null'", "'F'", "'0'", "img")}, 1000000000000, NULL FROM y)
+      SELECT topic, CAST(record_id AS VARCHAR) AS key, value,
+        row_number() OVER (PARTITION BY record_id ORDER BY cause, nth NULLS FIRST) AS rec_offset FROM z""",
 }

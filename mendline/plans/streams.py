@@ -5,34 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
-from ..sources import io, tables as src
+from ..sources import codecs, io, tables as src
 from ..streaming import engine
 
+#: Files of a micro-batch at most.
+FILES = 64
 
-def deliver(df: DataFrame, order: str, folder: str, checkpoint: str, out: str, transform, n: int = 2) -> DataFrame:
-    """Hand `df` to a stream in `n` deliveries, oldest rows first, and run the query to the end after each.
 
-    A file stream keeps the order of deliveries but not of the files within one, so each delivery is one
-    micro-batch; every run but the first goes on from the checkpoint of the run before.
-    """
-    lo, hi = df.agg(F.min(order), F.max(order)).first()
-    step = (hi - lo) // n + 1
-    for i in range(n):
-        part = df.filter((F.col(order) >= lo + i * step) & (F.col(order) < lo + (i + 1) * step))
-        part.write.mode("append").parquet(folder)
-        stream = df.sparkSession.readStream.schema(df.schema).parquet(folder)
-        written = engine.run_to_end(transform(stream), out, checkpoint)
-    return written
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events table as a stream: its files as they are, a bounded number per micro-batch. The pattern stands for that one
+    name; as a pattern it may be a single file as well as a folder."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", FILES).parquet(f"{sf_dir}/[e]vents.parquet")
 
 
-def _decisions(spark, d, folder, **limits) -> DataFrame:
-    rows = src.cdc_input(spark, d).withColumn("arrived", F.col("ts"))
-    return deliver(rows, "seq", f"{folder}/in", f"{folder}/checkpoint", f"{folder}/out",
-                   lambda stream: engine.gap_stream(stream, **limits))
+def _decisions(spark, d, folder, **options) -> DataFrame:
+    rows = src.tag_events(_events(spark, d)).withColumn("arrived", F.col("ts"))
+    return engine.run_to_end(engine.gap_stream(rows, **options), f"{folder}/out", f"{folder}/checkpoint")
 
 
-def gap_stream(spark, d, **limits) -> DataFrame:
-    return engine.final_decisions(_decisions(spark, d, io.fresh_dir(spark, "gap-stream"), **limits))
+def gap_stream(spark, d, **options) -> DataFrame:
+    return engine.final_decisions(_decisions(spark, d, io.fresh_dir(spark, "gap-stream"), **options))
 
 
 def stream_pending(spark, d) -> DataFrame:
@@ -42,26 +35,46 @@ def stream_pending(spark, d) -> DataFrame:
     return engine.held_rows(spark, f"{folder}/checkpoint").select("record_id", "seq", "ts", "payload")
 
 
-def stream_outputs(spark, d) -> DataFrame:
+def stream_newer_only(spark, d) -> DataFrame:
+    """Changes that go out when a change must be newer than all sent before it for its record."""
+    out = _decisions(spark, d, io.fresh_dir(spark, "gap-newer"), mode="strict", newer_only=True)
+    return out.filter(F.col("decision").isin(*S.EMITTED)).select("record_id", "seq", "decision", "ts")
+
+
+def _wire(spark, d, folder: str, faulty: bool) -> tuple[DataFrame, DataFrame]:
+    src.cdc_wire(spark, d, faulty).write.parquet(f"{folder}/cdc")
+    src.fill_wire(spark, d, faulty).write.parquet(f"{folder}/fills")
+    return tuple(io.read_wire(spark, "parquet", f"{folder}/{name}", stream=True, max_per_trigger=FILES) for name in ("cdc", "fills"))
+
+
+def stream_outputs(spark, d, mode="compat", faulty=False) -> DataFrame:
     """JSON in, JSON out, all outputs of the gap handler through one sink."""
     folder = io.fresh_dir(spark, "gap-wire")
-    src.cdc_wire(spark, d, faulty=False).write.parquet(f"{folder}/cdc")
-    src.fill_wire(spark, d).write.parquet(f"{folder}/fills")
-    out = engine.outputs(io.read_wire(spark, "parquet", f"{folder}/cdc", stream=True),
-                         io.read_wire(spark, "parquet", f"{folder}/fills", stream=True))
+    out = engine.outputs(*_wire(spark, d, folder, faulty), mode)
     return engine.run_to_end(out, f"{folder}/out", f"{folder}/checkpoint", partition_by="topic").select(
-        "topic", "key", "value", "rec_offset", "pos")
+        "topic", "key", "value", "rec_ts", "rec_offset")
+
+
+def stream_first_fills(spark, d) -> DataFrame:
+    """Fills, each sent twice: one answer per command remains."""
+    folder = io.fresh_dir(spark, "gap-fills")
+    fills = src.fill_wire(spark, d)
+    fills.unionByName(fills.withColumn("rec_offset", F.col("rec_offset") + 1_000_000_000)).write.parquet(f"{folder}/in")
+    parsed = codecs.usable(codecs.parse_fills(io.read_wire(spark, "parquet", f"{folder}/in", stream=True)))
+    first = engine.first_fills(parsed, "3650 days").select("record_id", "event_id", "cutoff")
+    return engine.run_to_end(first, f"{folder}/out", f"{folder}/checkpoint")
 
 
-def repair_loop(spark: SparkSession, folder: str, images, max_rounds: int = 10, mode: str = "compat") -> DataFrame:
+def repair_loop(spark: SparkSession, folder: str, images, mode: str = "compat") -> DataFrame:
     """Gap handler and fill worker in turns over `folder`, until a round brings no new command.
 
-    The two are separate queries joined by storage: commands out, fills in. Returns all wire rows written.
+    The two are separate queries joined by storage: commands out, fills in. Each run goes on from its checkpoint, so a
+    command is answered once. Returns all wire rows written.
     """
     none = spark.createDataFrame([], io.WIRE)
     io.write_batch_once(none, "parquet", f"{folder}/fills", 0)
     answered = -1
-    for _ in range(max_rounds):
+    while True:
         handled = engine.outputs(io.read_wire(spark, "parquet", f"{folder}/cdc", stream=True),
                                  io.read_wire(spark, "parquet", f"{folder}/fills/*", stream=True), mode)
         out = engine.run_to_end(handled, f"{folder}/out", f"{folder}/handler", partition_by="topic")
@@ -72,15 +85,30 @@ def repair_loop(spark: SparkSession, folder: str, images, max_rounds: int = 10,
         asked = (spark.readStream.schema(out.schema).parquet(f"{folder}/out")
                  .filter(F.col("topic") == S.TOPICS["fill_command"]))
         engine.fill_worker(asked, images, f"{folder}/fills", f"{folder}/worker").awaitTermination()
-    raise RuntimeError(f"commands are still coming after {max_rounds} rounds")
+
+
+def _images(spark, d):
+    return lambda: src.snapshot(spark, d).withColumn("record_id", F.col("record_id").cast("string"))
 
 
 def fill_loop(spark, d) -> DataFrame:
     """All changes and gaps come first, then the answers of the worker from the current images."""
     folder = io.fresh_dir(spark, "gap-loop")
     src.cdc_wire(spark, d, faulty=False).write.parquet(f"{folder}/cdc")
-    images = lambda: src.snapshot(spark, d).withColumns({
-        "record_id": F.col("record_id").cast("string"),
-        "image": F.to_json(F.struct(F.col("image").alias("name")))})
-    out = repair_loop(spark, folder, images)
-    return out.select("topic", "key", "value", "pos")
+    return repair_loop(spark, folder, _images(spark, d)).select("topic", "key", "value", "rec_offset")
+
+
+def fill_command_source(spark, d) -> DataFrame:
+    """The fill worker on the command topic: wire rows in, fill events out. A second run finds nothing new."""
+    from .catalog import fill_commands
+
+    folder = io.fresh_dir(spark, "gap-commands")
+    record = F.col("record_id").cast("string")
+    fill_commands(spark, d).select(
+        record.alias("key"), codecs.encode(record.alias("recordId"), F.col("entity_type").alias("entityType"),
+                                           F.col("event_id").alias("eventId")).alias("value"),
+        F.col("seq").alias("rec_ts"), F.col("seq").alias("rec_offset")).write.parquet(f"{folder}/commands")
+    for _ in range(2):
+        asked = io.read_wire(spark, "parquet", f"{folder}/commands", stream=True, max_per_trigger=FILES)
+        engine.fill_worker(asked, _images(spark, d), f"{folder}/fills", f"{folder}/checkpoint").awaitTermination()
+    return io.read_wire(spark, "parquet", f"{folder}/fills/*").select("key", "value", "rec_offset")

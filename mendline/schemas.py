@@ -42,25 +42,6 @@ FILL_EVENT = T.StructType([
     T.StructField("errMessage", T.StringType()),
 ])
 
-EMPLOYEE = T.StructType([
-    T.StructField("recordId", T.StringType()),
-    T.StructField("firstName", T.StringType()),
-    T.StructField("lastName", T.StringType()),
-    T.StructField("addressLine1", T.StringType()),
-    T.StructField("city", T.StringType()),
-    T.StructField("state", T.StringType()),
-    T.StructField("zip", T.StringType()),
-    T.StructField("phoneNumber", T.StringType()),
-    T.StructField("managerId", T.StringType()),
-    T.StructField("startDate", T.DateType()),
-    T.StructField("lastModifiedEpochMs", T.LongType()),
-])
-
-DEMO_EVENT = T.StructType([
-    T.StructField("id", T.StringType()),
-    T.StructField("payload", T.StringType()),
-])
-
 # --- fixed values: counter names --------------------------------------------------------------
 
 RECEIVED = "cdc.events.received"
@@ -91,7 +72,6 @@ TOPICS = {
 
 # --- fixed values: limits and retry settings --------------------------------------------------
 
-MAX_BUFFER_PER_RECORD = 1_000_000
 INITIAL_BACKOFF_MS = 1_000
 MAX_BACKOFF_MS = 60_000
 MAX_OUTAGE_MS = 600_000

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .. import schemas as S
 from ..functions import wire_kind
+from ..operators.ordered import PART, Layout, scan
 
 BAD = "_corrupt_record"
 
@@ -82,31 +83,51 @@ def parse_fills(wire: DataFrame) -> DataFrame:
         fill_problem().alias("problem"))
 
 
-def usable(parsed: DataFrame, mode: str = "strict") -> DataFrame:
-    """Rows the gap rules can take. In compat a key that differs from the record id passes: change events
+def is_usable(mode: str = "strict") -> Column:
+    """Can the gap rules take a row? In compat a key that differs from the record id passes: change events
     go by record id, fills by key."""
-    ok = F.col("problem").isNull()
-    if mode == "compat":
-        ok = ok | (F.col("problem") == "key_mismatch")
-    return parsed.filter(ok)
+    fine = F.col("problem").isNull()
+    return fine | (F.col("problem") == "key_mismatch") if mode == "compat" else fine
+
+
+def usable(parsed: DataFrame, mode: str = "strict") -> DataFrame:
+    return parsed.filter(F.coalesce(is_usable(mode), F.lit(False)))
 
 
-def quarantine(parsed: DataFrame) -> DataFrame:
+def quarantine(parsed: DataFrame, mode: str = "strict") -> DataFrame:
     """Rows that are not usable, with the reason and the text as received."""
-    return parsed.filter(F.col("problem").isNotNull()).select(
+    return parsed.filter(~F.coalesce(is_usable(mode), F.lit(False))).select(
         "key", "rec_ts", "rec_offset", "problem", "value")
 
 
 def tag(cdc: DataFrame, fills: DataFrame, mode: str = "strict") -> DataFrame:
-    """Both inputs as one table of tagged rows, ordered per record by (rec_ts, source_rank, rec_offset)."""
+    """Both inputs as one table of tagged rows, with all that was received. `seq` is unique within a record: offsets of the
+    two sources may coincide. The order of arrival is that of `arrival_order`."""
     changes = usable(cdc, mode).select(
-        "record_id", "rec_ts", F.lit(0).alias("source_rank"), "rec_offset",
-        wire_kind(F.col("type")).alias("kind"), "event_id", "entity", "ts", "payload")
+        "record_id", "key", "rec_ts", F.lit(0).alias("source_rank"), "rec_offset",
+        wire_kind(F.col("type")).alias("kind"), "type", "event_id", "entity", "ts", "replay_id", "gap", "payload")
     record = F.col("key") if mode == "compat" else F.col("record_id")
     filled = usable(fills, mode).select(
-        record.alias("record_id"), "rec_ts", F.lit(1).alias("source_rank"), "rec_offset",
+        record.alias("record_id"), "key", "rec_ts", F.lit(1).alias("source_rank"), "rec_offset",
         F.lit("F").alias("kind"), "event_id", "entity", "payload", "cutoff", "is_success", "err")
-    return changes.unionByName(filled, allowMissingColumns=True)
+    return (changes.unionByName(filled, allowMissingColumns=True)
+            .withColumn("seq", F.col("rec_offset") * 2 + F.col("source_rank")))
+
+
+WIRE_ORDER = ("arrived", "source_rank", "rec_offset")
+WIRE_LAYOUT = Layout(order=WIRE_ORDER)
+
+
+def arrival_order(tagged: DataFrame) -> DataFrame:
+    """Add `arrived`: the latest record time of the record's source so far, by offset. By it the two sources are merged, and within a
+    source rows keep the order of their offsets whatever their times. Order rows by WIRE_ORDER."""
+    source = Layout(keys=("record_id", "source_rank"), order=("rec_offset",))
+    seen = scan(tagged, source, max_before={"_latest": F.col("rec_ts")})
+    return seen.withColumn("arrived", F.greatest("rec_ts", "_latest")).drop("_latest", PART)
 
 
-WIRE_ORDER = ("rec_ts", "source_rank", "rec_offset")
+def invalid(cdc: DataFrame, fills: DataFrame, mode: str = "strict") -> DataFrame:
+    """Rows that the gap rules can't take, as decided rows: counted as received, and nothing else."""
+    rest = lambda parsed, decision: parsed.filter(~F.coalesce(is_usable(mode), F.lit(False))).select(
+        "record_id", "key", "rec_ts", "rec_offset", F.lit(decision).alias("decision"))
+    return rest(cdc, "invalid").unionByName(rest(fills, "fill_invalid"))

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery, StreamingQueryListener
 
 from .. import schemas as S
-from ..functions import seconds_or_millis
+from ..functions import to_millis
 from ..operators import counters, lookup
 from ..sources import codecs, io
 from . import processor
@@ -25,21 +25,33 @@ def prepare(spark: SparkSession) -> None:
     cloudpickle.register_pickle_by_value(processor)
 
 
-def gap_stream(rows: DataFrame, mode: str = "compat", *, timeout_ms: int | None = None,
-               max_buffer: int | None = None, order: Sequence[str] = ("seq",), timers: bool = False) -> DataFrame:
-    """Decision rows for a stream of tagged rows (with `seq` and `arrived`)."""
+def complete(rows: DataFrame) -> DataFrame:
+    """Tagged rows with all columns that the processor carries; the gap information as JSON text. A table without sources
+    counts as one source, whose offsets are `seq` and whose record time is `arrived`."""
+    have = set(rows.columns)
+    given = {"source_rank": F.lit(0), "rec_offset": F.col("seq"), "rec_ts": F.col("arrived") if "arrived" in have else F.lit(None)}
+    out = rows.withColumns({c: x for c, x in given.items() if c not in have})
+    if "gap" in have:
+        out = out.withColumn("gap", F.to_json("gap"))
+    wanted = {f.name: f.dataType for f in processor.state_schema()}
+    return out.withColumns({c: F.col(c).cast(t) if c in out.columns else F.lit(None).cast(t) for c, t in wanted.items()})
+
+
+def gap_stream(rows: DataFrame, mode: str = "compat", **options) -> DataFrame:
+    """Decision rows for a stream of tagged rows. Options: timeout_ms, max_buffer, timers, newer_only, ts_unit, cutoff_unit."""
     prepare(rows.sparkSession)
     key_type = rows.schema["record_id"].dataType
-    return rows.groupBy("record_id").transformWithState(
-        statefulProcessor=processor.GapProcessor(mode, timeout_ms, max_buffer, order, timers),
+    timers = options.get("timers") and options.get("timeout_ms") is not None
+    return complete(rows).groupBy("record_id").transformWithState(
+        statefulProcessor=processor.GapProcessor(mode, **options),
         outputStructType=processor.output_schema(key_type),
         outputMode="Append",
-        timeMode="ProcessingTime" if timers and timeout_ms is not None else "None")
+        timeMode="ProcessingTime" if timers else "None")
 
 
 def final_decisions(decisions: DataFrame) -> DataFrame:
     """From the decision rows written so far: one per input row, with `pending` for rows still held back."""
-    rows = decisions.filter(F.col("decision") != "gap_failed")
+    rows = decisions.filter(~F.col("decision").isin("gap_failed", "repeated"))
     last = F.max(F.struct((F.col("decision") != "buffered").alias("ended"), "decision"))
     return rows.groupBy("record_id", "seq").agg(last.alias("_l")).select(
         "record_id", "seq",
@@ -60,9 +72,10 @@ def run_to_end(stream: DataFrame, folder: str, checkpoint: str, *, partition_by:
     return stream.sparkSession.read.schema(stream.schema).parquet(folder)
 
 
-def first_fills(fills: DataFrame, time: str, within: str) -> DataFrame:
-    """A stream of fills without later copies of the same answer; `time` is a timestamp column."""
-    return fills.withWatermark(time, within).dropDuplicatesWithinWatermark(["record_id", "event_id"])
+def first_fills(fills: DataFrame, within: str, time: str = "rec_ts") -> DataFrame:
+    """A stream of fills without later copies of the same answer, for as long as `within`; `time` is in milliseconds."""
+    return (fills.withColumn("_at", F.timestamp_millis(time)).withWatermark("_at", within)
+            .dropDuplicatesWithinWatermark(["record_id", "event_id"]).drop("_at"))
 
 
 def held_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -74,13 +87,10 @@ def held_rows(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 # --- one sink for all outputs ---------------------------------------------------------------------
 
-def _nulls(*names: str) -> list[Column]:
-    return [F.lit(None).cast("string").alias(n) for n in names]
-
-
-def route(decisions: DataFrame, mode: str = "compat") -> DataFrame:
+def route(decisions: DataFrame, mode: str = "compat", cutoff_unit: str = "ms") -> DataFrame:
     """Decision rows as wire rows with the topic they belong to. The Kafka sink reads the `topic` column;
-    for files, partition by it. One query and one write serve all outputs."""
+    for files, partition by it. One query and one write serve all outputs. Events go out as they came, with key and time of the
+    row that released them; `rec_offset` numbers a record's rows in order of emission."""
     strict = mode == "strict"
     made = F.col("decision").isin("filled", "forced")
     record = F.col("record_id").cast("string")
@@ -93,40 +103,37 @@ def route(decisions: DataFrame, mode: str = "compat") -> DataFrame:
         F.when(~made | F.lit(strict), F.col("event_id")).alias("eventId"),
         F.when(made & ~F.lit(strict), record).otherwise(F.col("entity")).alias("entity"),
         record.alias("recordId"),
-        F.when(made, "F").otherwise(F.col("kind")).alias("type"),
-        F.when(made, seconds_or_millis(F.col("cutoff")) if strict else nothing)
+        F.when(made, "F").otherwise(F.coalesce("type", "kind")).alias("type"),
+        F.when(made, to_millis(F.col("cutoff"), cutoff_unit) if strict else nothing)
          .otherwise(F.col("ts")).cast("bigint").alias("timestamp"),
-        codecs.field_map(F.col("payload")).alias("changedFields"))
+        F.when(made, F.lit(0).cast("bigint")).otherwise(F.col("replay_id")).alias("replayId"),
+        codecs.field_map(F.col("payload")).alias("changedFields"),
+        F.when(~made, codecs.field_map(F.col("gap"))).alias("gap"))
     command = codecs.encode(record.alias("recordId"), F.col("entity").alias("entityType"),
                             F.col("event_id").alias("eventId"))
     error = codecs.encode(record.alias("recordId"), F.col("entity").alias("entityType"),
                           F.col("event_id").alias("eventId"), F.col("decision").alias("reason"),
                           F.col("err").alias("errMessage"), codecs.field_map(F.col("payload")).alias("fields"))
     value = F.when(emitted, event).when(F.col("decision") == "command", command).otherwise(error)
-    return (decisions.select(topic.alias("topic"), record.alias("key"), value.alias("value"),
-                             F.col("arrived").alias("rec_ts"), F.col("out_seq").alias("rec_offset"),
-                             F.col("pos"))
+    return (decisions.select(topic.alias("topic"), F.coalesce("out_key", record).alias("key"), value.alias("value"),
+                             F.col("out_ts").alias("rec_ts"), F.col("emitted").alias("rec_offset"))
             .filter(F.col("topic").isNotNull()))
 
 
-def route_quarantine(parsed: DataFrame) -> DataFrame:
+def route_quarantine(parsed: DataFrame, mode: str = "strict") -> DataFrame:
     """Unusable input as error rows; stateless, so it may be merged with `route` in one query."""
-    q = codecs.quarantine(parsed)
+    q = codecs.quarantine(parsed, mode)
     return q.select(F.lit(S.TOPICS["error"]).alias("topic"), "key",
                     codecs.encode(F.col("key").alias("recordId"), F.col("problem").alias("reason"),
                                   F.col("value").alias("text")).alias("value"),
-                    "rec_ts", "rec_offset", F.lit(0).cast("bigint").alias("pos"))
+                    "rec_ts", "rec_offset")
 
 
-def outputs(cdc_wire: DataFrame, fill_wire: DataFrame, mode: str = "compat", **limits) -> DataFrame:
-    """The whole gap handler, from wire rows in to wire rows out."""
+def outputs(cdc_wire: DataFrame, fill_wire: DataFrame, mode: str = "compat", **options) -> DataFrame:
+    """The whole gap handler, from wire rows in to wire rows out. Rows that can't be used go to the error topic."""
     cdc, fills = codecs.parse_cdc(cdc_wire), codecs.parse_fills(fill_wire)
-    rows = (codecs.tag(cdc, fills, mode)
-            .withColumn("seq", F.col("rec_offset")).withColumn("arrived", F.col("rec_ts")))
-    routed = route(gap_stream(rows, mode, order=codecs.WIRE_ORDER, **limits), mode)
-    if mode == "strict":
-        routed = routed.unionByName(route_quarantine(cdc)).unionByName(route_quarantine(fills))
-    return routed
+    routed = route(gap_stream(codecs.tag(cdc, fills, mode), mode, **options), mode, options.get("cutoff_unit", "ms"))
+    return routed.unionByName(route_quarantine(cdc, mode)).unionByName(route_quarantine(fills, mode))
 
 
 def fill_worker(commands_wire: DataFrame, read_images: Callable[[], DataFrame], folder: str, checkpoint: str,

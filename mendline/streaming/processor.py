@@ -1,7 +1,7 @@
 """Per-record gap state on Spark's state store.
 
-Rows of a micro-batch reach a record in any order after the shuffle; they are sorted here, and a micro-batch
-is as large as the source's rate limit allows. The buffer is a list state: adding a row does not rewrite it,
+Rows of a micro-batch reach a record in any order after the shuffle; they are sorted here by source and offset, and a
+micro-batch is as large as the source's rate limit allows: bound it (`max_per_trigger`). The buffer is a list state: adding a row does not rewrite it,
 and it is read row by row when a gap ends.
 
 Each input row gives one decision row when it arrives; a buffered row gives a second one when its gap ends.
@@ -9,18 +9,24 @@ Each input row gives one decision row when it arrives; a buffered row gives a se
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Row, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_CARRIED = ("seq", "arrived", "kind", "event_id", "entity", "ts", "payload", "cutoff", "is_success", "err")
+_CARRIED = ("seq", "source_rank", "rec_offset", "arrived", "rec_ts", "key", "kind", "type", "event_id", "entity", "ts",
+            "replay_id", "gap", "payload", "cutoff", "is_success", "err")
+_LONGS = ("seq", "rec_offset", "arrived", "rec_ts", "ts", "replay_id", "cutoff")
+#: What goes out as an event, and what goes out otherwise.
+EMITTED = ("forwarded", "filled", "forced", "flushed")
+ROUTED = ("command", "fill_error", "gap_failed", "dead_letter")
 _SECONDS_LIMIT = 100_000_000_000
 
 
 def state_schema(columns: Sequence[str] = _CARRIED) -> T.StructType:
-    kinds = {"seq": T.LongType(), "arrived": T.LongType(), "ts": T.LongType(), "cutoff": T.LongType(),
-             "is_success": T.BooleanType()}
+    """All that was received; the gap information as JSON text."""
+    kinds = dict.fromkeys(_LONGS, T.LongType()) | {"is_success": T.BooleanType(), "source_rank": T.IntegerType()}
     return T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in columns])
 
 
@@ -33,23 +39,48 @@ GAP = T.StructType([
     T.StructField("n_buffered", T.LongType()),
 ])
 
+#: Latest record time of each of the two sources, the number of rows emitted, and the time of the last change emitted.
+PROGRESS = T.StructType([T.StructField(c, T.LongType()) for c in ("latest_0", "latest_1", "emitted", "newest")])
+
 
 def output_schema(key_type: T.DataType) -> T.StructType:
-    """Decision rows. (`out_seq`, `pos`) orders what a record emits, as in the batch form."""
+    """Decision rows. `emitted` numbers what a record emits, in order; (`out_seq`, `pos`) say which row caused it and the place in
+    the replay; `out_key` and `out_ts` are key and time of the causing row."""
     return T.StructType([
         T.StructField("record_id", key_type), *state_schema().fields,
         T.StructField("decision", T.StringType()),
         T.StructField("out_seq", T.LongType()),
         T.StructField("pos", T.LongType()),
+        T.StructField("out_key", T.StringType()),
+        T.StructField("out_ts", T.LongType()),
+        T.StructField("emitted", T.LongType()),
     ])
 
 
-_TS = _CARRIED.index("ts")
-_OUT = Row("record_id", *_CARRIED, "decision", "out_seq", "pos")
+_AT = {c: i for i, c in enumerate(_CARRIED)}
+_TS = _AT["ts"]
+_OUT = Row("record_id", *_CARRIED, "decision", "out_seq", "pos", "out_key", "out_ts", "emitted")
+
+
+def _millis(x: int, unit: str) -> int:
+    return x * 1000 if unit == "s" or unit == "guess" and abs(x) < _SECONDS_LIMIT else x
 
 
-def _millis(x: int) -> int:
-    return x * 1000 if abs(x) < _SECONDS_LIMIT else x
+def merged(by_source: dict[int, list], latest: list[int | None]) -> Iterator[tuple]:
+    """Rows of two sources, each in order of its offsets, merged by the latest record time so far; with that time as
+    `arrived`. A micro-batch boundary inside a source changes nothing."""
+    def timed(rank: int):
+        for row in sorted(by_source[rank], key=lambda r: r["rec_offset"]):
+            at = row["rec_ts"]
+            if latest[rank] is not None and (at is None or at < latest[rank]):
+                at = latest[rank]
+            latest[rank] = at
+            yield (at is not None, at or 0, rank, row["rec_offset"]), row, at
+
+    for _, row, at in heapq.merge(*map(timed, sorted(by_source)), key=lambda x: x[0]):
+        values = [row[c] for c in _CARRIED]
+        values[_AT["arrived"]] = at
+        yield row, tuple(values), at
 
 
 class GapProcessor(StatefulProcessor):
@@ -58,27 +89,39 @@ class GapProcessor(StatefulProcessor):
     timeout_ms   a gap fails when a row of its record arrives later than this after its opening. With
                  `timers`, a gap of a record that stays quiet fails after as long on the clock.
     max_buffer   a gap fails on the row that would exceed this many held-back rows
+    newer_only   a change goes out only if its time is later than that of every change sent before it
+    ts_unit, cutoff_unit   units of event times and cutoffs, for strict: "ms", "s", or "guess" by size
     """
 
     def __init__(self, mode: str = "compat", timeout_ms: int | None = None, max_buffer: int | None = None,
-                 order: Sequence[str] = ("seq",), timers: bool = False):
+                 timers: bool = False, newer_only: bool = False, ts_unit: str = "ms", cutoff_unit: str = "ms"):
         self.strict = mode == "strict"
         self.timeout_ms, self.max_buffer = timeout_ms, max_buffer
-        self.order = tuple(order)
         self.timers = timers and timeout_ms is not None
+        if newer_only and not self.strict:
+            raise ValueError("newer_only needs strict: in compat changes go out newest first")
+        self.newer_only = newer_only
+        self.ts_unit, self.cutoff_unit = ts_unit, cutoff_unit
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
+        self.progress_state = handle.getValueState("progress", PROGRESS)
         self.gap_state = handle.getValueState("gap", GAP)
         self.held = handle.getListState("held", state_schema())
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         record = key[0]
+        by_source: dict[int, list] = {}
+        for row in rows:
+            by_source.setdefault(row["source_rank"], []).append(row)
+        yield from self._numbered(self._decide(record, by_source, timerValues))
+
+    def _decide(self, record, by_source, timer_values) -> Iterator[tuple]:
         gap = self._load()
         held = _Held(self.held, stored=gap is not None)
-        for row in sorted(rows, key=lambda r: tuple(r[c] for c in self.order)):
-            values = tuple(row[c] for c in _CARRIED)
-            if gap and self.timeout_ms is not None and row["arrived"] > gap["opened_at"] + self.timeout_ms:
+        for row, values, at in merged(by_source, self.latest):
+            late = gap and self.timeout_ms is not None and at is not None and gap["opened_at"] is not None
+            if late and at > gap["opened_at"] + self.timeout_ms:
                 yield from self._fail(record, gap, held, "timeout")
                 gap = None
             if row["kind"] == "F":
@@ -86,18 +129,18 @@ class GapProcessor(StatefulProcessor):
                 gap = None
             elif row["kind"] == "G":
                 if not gap:
-                    gap = {"opened_at": row["arrived"], "deadline_clock": self._deadline(timerValues),
+                    gap = {"opened_at": at, "deadline_clock": self._deadline(timer_values),
                            "open_seq": row["seq"], "open_event": row["event_id"], "entity": row["entity"],
                            "n_buffered": 0}
-                    yield _OUT(record, *values, "command", row["seq"], 0)
+                    yield self._row(record, values, "command")
                 else:
-                    yield _OUT(record, *values, "gap_dropped", row["seq"], 0)
+                    yield self._row(record, values, "gap_dropped")
             elif not gap:
-                yield _OUT(record, *values, "forwarded", row["seq"], 0)
+                yield self._row(record, values, "forwarded")
             else:
                 held.fresh.append(values)
                 gap["n_buffered"] += 1
-                yield _OUT(record, *values, "buffered", row["seq"], 0)
+                yield self._row(record, values, "buffered")
                 if self.max_buffer is not None and gap["n_buffered"] > self.max_buffer:
                     yield from self._fail(record, gap, held, "overflow")
                     gap = None
@@ -106,11 +149,41 @@ class GapProcessor(StatefulProcessor):
             if held.fresh:
                 self.held.appendList(held.fresh)
 
+    def _row(self, record, values, decision, cause=None, pos=0) -> tuple:
+        """A decision row; `cause` is the row that made it, if not the row itself."""
+        cause = cause or values
+        return (record, *values, decision, cause[_AT["seq"]], pos, cause[_AT["key"]], cause[_AT["rec_ts"]])
+
+    def _numbered(self, out: Iterator[tuple]) -> Iterator[Row]:
+        """Number the rows that go out, across micro-batches; with `newer_only`, hold back changes no newer than one before."""
+        kept = self.progress_state.get()
+        latest_0, latest_1, number, newest = (None, None, 0, None) if kept is None else kept
+        self.latest = [latest_0, latest_1]
+        at = 1 + len(_CARRIED)
+        base = number
+        for row in out:
+            number_of_row = None
+            if row[at] in EMITTED or row[at] in ROUTED:
+                time = row[1 + _TS]
+                if self.newer_only and row[at] in EMITTED and time is not None:
+                    if newest is not None and time <= newest:
+                        row = (*row[:at], "repeated", *row[at + 1:])
+                    else:
+                        newest = time
+                if row[at] == "flushed" and not self.strict:
+                    number_of_row = base + row[at + 2]  # rows come oldest first, and go out newest first
+                    number = max(number, number_of_row)
+                elif row[at] != "repeated":
+                    number = number_of_row = number + 1
+                    base = number
+            yield _OUT(*row, number_of_row)
+        self.progress_state.update((*self.latest, number, newest))
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         gap = self._load()
         # The timer may belong to an earlier gap of this record.
         if gap and gap["deadline_clock"] is not None and gap["deadline_clock"] <= expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._fail(key[0], gap, _Held(self.held, stored=True), "timeout")
+            yield from self._numbered(self._fail(key[0], gap, _Held(self.held, stored=True), "timeout"))
 
     def close(self) -> None:
         pass
@@ -132,43 +205,45 @@ class GapProcessor(StatefulProcessor):
         self.handle.registerTimer(at)
         return at
 
-    def _fail(self, record, gap: dict, held: "_Held", why: str) -> Iterator[Row]:
-        at = {c: None for c in _CARRIED} | {
-            "seq": gap["open_seq"], "arrived": gap["opened_at"], "kind": "G", "event_id": gap["open_event"],
+    def _fail(self, record, gap: dict, held: "_Held", why: str) -> Iterator[tuple]:
+        at = dict.fromkeys(_CARRIED) | {
+            "seq": gap["open_seq"], "arrived": gap["opened_at"], "rec_ts": gap["opened_at"], "kind": "G", "event_id": gap["open_event"],
             "entity": gap["entity"], "err": why}
-        yield _OUT(record, *(at[c] for c in _CARRIED), "gap_failed", gap["open_seq"], 0)
+        failed = tuple(at[c] for c in _CARRIED)
+        yield self._row(record, failed, "gap_failed")
         for i, values in enumerate(held.rows()):
-            yield _OUT(record, *values, "dead_letter", gap["open_seq"], i + 1)
+            yield self._row(record, values, "dead_letter", failed, i + 1)
         self._end(held)
 
-    def _fill(self, record, row, values, gap: dict | None, held: "_Held") -> Iterator[Row]:
-        seq, cutoff = row["seq"], row["cutoff"]
+    def _fill(self, record, row, values, gap: dict | None, held: "_Held") -> Iterator[tuple]:
+        cutoff = row["cutoff"]
         ok = row["is_success"] if row["is_success"] is not None else cutoff is not None and cutoff >= 0
         if self.strict and not ok:
-            yield _OUT(record, *values, "fill_error", seq, 0)
+            yield self._row(record, values, "fill_error")
             for i, v in enumerate(held.rows()):
-                yield _OUT(record, *v, "dead_letter", seq, i + 1)
+                yield self._row(record, v, "dead_letter", values, i + 1)
         elif gap:
-            yield _OUT(record, *values, "filled", seq, 0)
-            # Two passes instead of a list: the buffer may be far larger than a micro-batch.
+            yield self._row(record, values, "filled")
+            # Newest first in compat: read twice instead of making a list, and numbered from the end, since the buffer may be far
+            # larger than a micro-batch. The place in the replay is `pos`.
             total = 0 if self.strict else sum(self._newer(v, cutoff) for v in held.rows())
             kept = 0
             for v in held.rows():
                 if self._newer(v, cutoff):
                     kept += 1
-                    yield _OUT(record, *v, "flushed", seq, kept if self.strict else total - kept + 1)
+                    yield self._row(record, v, "flushed", values, kept if self.strict else total - kept + 1)
                 else:
-                    yield _OUT(record, *v, "dropped", seq, 0)
+                    yield self._row(record, v, "dropped", values)
         else:
             forced = self.strict and "force" in row and row["force"]
-            yield _OUT(record, *values, "forced" if forced else "fill_ignored", seq, 0)
+            yield self._row(record, values, "forced" if forced else "fill_ignored")
         self._end(held)
 
     def _newer(self, values: tuple, cutoff: int | None) -> bool:
         ts = values[_TS]
         if ts is None or cutoff is None:
             return False
-        return _millis(ts) > _millis(cutoff) if self.strict else ts > cutoff
+        return _millis(ts, self.ts_unit) > _millis(cutoff, self.cutoff_unit) if self.strict else ts > cutoff
 
 
 class _Held:

@@ -8,12 +8,23 @@ from pyspark.sql import functions as F
 
 from fold import fold
 from mendline import schemas as S
+from mendline.operators import gaps
 from mendline.plans import streams
-from mendline.sources import io
+from mendline.sources import codecs, io
 from mendline.streaming import engine
 from rows import SCHEMA, frame, rand_rows, row
 
 
+def deliver(df, order, folder, checkpoint, out, transform, n):
+    """Hand a table to a stream in `n` deliveries by order, running to the end after each; a row without order comes first."""
+    rows = sorted(df.collect(), key=lambda r: tuple((r[c] is not None, r[c] or 0) for c in order))
+    for i in range(n):
+        part = rows[len(rows) * i // n:len(rows) * (i + 1) // n]
+        df.sparkSession.createDataFrame(part, df.schema).coalesce(1).write.mode("append").parquet(folder)
+        written = engine.run_to_end(transform(df.sparkSession.readStream.schema(df.schema).parquet(folder)), out, checkpoint)
+    return written
+
+
 def decisions(written):
     return {(r.record_id, r.seq): r.decision for r in engine.final_decisions(written).collect()}
 
@@ -22,11 +33,15 @@ def decisions(written):
 def test_stream_is_the_fold(spark, tmp_path, mode, timeout, most):
     """Three deliveries, each run going on from the checkpoint of the one before."""
     rows = rand_rows(f"stream {mode}", 240)
-    written = streams.deliver(
-        frame(spark, rows), "seq", f"{tmp_path}/in", f"{tmp_path}/cp", f"{tmp_path}/out",
+    written = deliver(
+        frame(spark, rows), ["seq"], f"{tmp_path}/in", f"{tmp_path}/cp", f"{tmp_path}/out",
         lambda s: engine.gap_stream(s, mode, timeout_ms=timeout, max_buffer=most), n=3)
     decision, place, failed = fold(rows, mode, timeout, most)
     assert decisions(written) == decision
+    numbers = {}
+    for r in written.filter("emitted IS NOT NULL").collect():
+        numbers.setdefault(r.record_id, []).append(r.emitted)
+    assert all(sorted(n) == list(range(1, len(n) + 1)) for n in numbers.values())
     got = written.filter("decision = 'flushed'").collect()
     assert {(r.record_id, r.seq): r.pos for r in got} == place
     assert {(r.record_id, r.seq): r.err for r in written.filter("decision = 'gap_failed'").collect()} == failed
@@ -66,30 +81,82 @@ def test_loop_with_strict_outputs_and_quarantine(spark, tmp_path):
     wire = [("1", cdc_json("1", "N", 1000, 0), 1000, 0), ("1", cdc_json("1", "G", 2000, 1), 2000, 1),
             ("1", cdc_json("1", "N", 3000, 2), 3000, 2), ("1", cdc_json("1", "N", 200_000_000_000, 3), 4000, 3),
             ("2", cdc_json("2", "G", 1000, 4), 1000, 4), ("2", cdc_json("2", "N", 2000, 5), 2000, 5),
-            ("3", '{"recordId":', 1000, 6)]
+            ("3", '{"recordId":', 1000, 6), ("4", None, 1000, 7), (None, cdc_json("4", "N", 1, 8), 1000, 8)]
     spark.createDataFrame(wire, io.WIRE).write.parquet(f"{tmp_path}/cdc")
-    images = lambda: spark.createDataFrame(
-        [("1", "Employee", "150000000000", '{"name":"x"}')],
-        "record_id string, entity_type string, last_modified string, image string")
+    image = '{"lastModifiedEpochMs":150000000000,"name":"x"}'
+    images = lambda: spark.createDataFrame([("1", "Employee", image)], "record_id string, entity_type string, image string")
     out = streams.repair_loop(spark, str(tmp_path), images, mode="strict").collect()
     by_topic = {}
-    for r in sorted(out, key=lambda r: (r.key, r.rec_ts, r.rec_offset, r.pos)):
+    for r in sorted(out, key=lambda r: (str(r.key), r.rec_offset)):
         by_topic.setdefault(r.topic, []).append((r.key, json.loads(r.value)))
     assert [(k, v["recordId"], v["entityType"], v["eventId"]) for k, v in by_topic[S.TOPICS["fill_command"]]] == [
         ("1", "1", "Employee", "e1"), ("2", "2", "Employee", "e4")]
     output = [(k, v["type"], v["eventId"], v["changedFields"]) for k, v in by_topic[S.TOPICS["cdc_out"]]]
     assert sorted(output, key=str) == sorted([
-        ("1", "N", "e0", {"a": 0}), ("1", "F", "e1", {"name": "x"}), ("1", "N", "e3", {"a": 3})], key=str)
+        ("1", "N", "e0", {"a": 0}), ("1", "F", "e1", json.loads(image)), ("1", "N", "e3", {"a": 3})], key=str)
     errors = {(k, v["reason"]) for k, v in by_topic[S.TOPICS["error"]]}
-    assert errors == {("2", "fill_error"), ("2", "dead_letter"), ("3", "bad_json")}
+    assert errors == {("2", "fill_error"), ("2", "dead_letter"), ("3", "bad_json"), ("4", "null_value"), (None, "null_key")}
+
+
+def test_record_goes_through_unchanged(spark, tmp_path):
+    """Type, replay id, gap information, key and time as received; replayed rows go out with key and time of the fill."""
+    event = lambda n, type_, rec="7", **more: json.dumps({"eventId": f"e{n}", "entity": "E", "recordId": rec, "type": type_, "timestamp": n,
+                                                          "replayId": 900 + n, "changedFields": {"a": n}, "gap": more.get("gap")})
+    gap = {"fromReplayId": 1, "toReplayId": 2, "reason": "r"}
+    cdc = [("8", event(0, "X", gap=gap), 100, 0), ("7", event(1, "g"), 1000, 1), ("7", event(2, "X"), 3000, 2), ("7", "{", 3500, 3)]
+    fill = json.dumps({"recordId": "7", "entityType": "E", "eventId": "e1", "cutoffLastModifiedEpochMs": 1, "allFields": {"f": 1}})
+    spark.createDataFrame(cdc, io.WIRE).write.parquet(f"{tmp_path}/cdc")
+    spark.createDataFrame([("7", fill, 5000, 0)], io.WIRE).write.parquet(f"{tmp_path}/fills")
+    read = lambda name: io.read_wire(spark, "parquet", f"{tmp_path}/{name}", stream=True)
+    out = engine.run_to_end(engine.outputs(read("cdc"), read("fills")), f"{tmp_path}/out", f"{tmp_path}/cp").orderBy("rec_offset").collect()
+    events = [(r.key, r.rec_ts, json.loads(r.value)) for r in out if r.topic == S.TOPICS["cdc_out"]]
+    assert events[0] == ("8", 100, json.loads(cdc[0][1])) and events[0][2]["gap"] == gap and events[0][2]["type"] == "X"
+    assert [(k, t, v["type"], v["replayId"]) for k, t, v in events[1:]] == [("7", 5000, "F", 0), ("7", 5000, "X", 902)]
+    assert [json.loads(r.value)["reason"] for r in out if r.topic == S.TOPICS["error"]] == ["bad_json"]
+
+
+@pytest.mark.parametrize("n", [1, 2, 5])
+def test_no_cut_of_the_stream_changes_the_result(spark, tmp_path, n):
+    """Offsets of the two sources overlap and record times run backwards; the order is that of `arrival_order`."""
+    import random
+    pick = random.Random(11)
+    rows = []
+    for rank in (0, 1):
+        for offset in range(0, 120, 1 + rank):
+            rows.append((f"r{pick.randrange(3)}", 1000 + offset * 10 - pick.choice((0, 0, 0, 300)), rank, offset,
+                         "F" if rank else pick.choice("NNG"), offset, 5 if rank else None))
+    df = spark.createDataFrame(rows, "record_id string, rec_ts bigint, source_rank int, rec_offset bigint, kind string, ts bigint, cutoff bigint")
+    df = df.withColumn("seq", F.col("rec_offset") * 2 + F.col("source_rank")).withColumns(
+        {c: F.lit(None).cast(t) for c, t in (("event_id", "string"), ("entity", "string"), ("payload", "string"), ("is_success", "boolean"), ("err", "string"))})
+    ordered = codecs.arrival_order(df)
+    wanted = {(r.record_id, r.seq): r.decision for r in gaps.decide(ordered, layout=codecs.WIRE_LAYOUT).collect()}
+    written = deliver(ordered, codecs.WIRE_ORDER, f"{tmp_path}/in", f"{tmp_path}/cp", f"{tmp_path}/out", engine.gap_stream, n)
+    assert decisions(written) == wanted and set(wanted.values()) >= {"forwarded", "command", "filled", "flushed"}
+
+
+def test_many_rounds(spark, tmp_path):
+    """The loop goes on as long as commands come."""
+    spark.createDataFrame([("1", cdc_json("1", "G", 5, 0), 5, 0)], io.WIRE).write.parquet(f"{tmp_path}/cdc")
+    rounds = []
+
+    def images():
+        n = len(rounds)
+        rounds.append(n)
+        if n < 3:  # a further gap comes while the worker answers
+            more = [("1", cdc_json("1", "G", 10**12 + n, n + 1), 10**12 + n, n + 1)]
+            spark.createDataFrame(more, io.WIRE).write.mode("append").parquet(f"{tmp_path}/cdc")
+        return spark.createDataFrame([("1", "Employee", '{"lastModifiedEpochMs":7}')], "record_id string, entity_type string, image string")
+
+    out = streams.repair_loop(spark, str(tmp_path), images).collect()
+    assert sum(r.topic == S.TOPICS["fill_command"] for r in out) == len(rounds) >= 2
 
 
 def test_two_consumers_of_the_commands(spark, tmp_path):
     """Each worker reads all commands with a checkpoint of its own; answering twice changes nothing."""
     commands = [(str(i), json.dumps({"recordId": str(i), "entityType": "E", "eventId": f"e{i}"}), 1, i) for i in range(20)]
     spark.createDataFrame(commands, io.WIRE).write.parquet(f"{tmp_path}/commands")
-    images = lambda: spark.createDataFrame([(str(i), "E", str(i), '{"n":1}') for i in range(15)],
-                                           "record_id string, entity_type string, last_modified string, image string")
+    images = lambda: spark.createDataFrame([(str(i), "E", '{"lastModifiedEpochMs":%d}' % i) for i in range(15)],
+                                           "record_id string, entity_type string, image string")
     for worker in ("a", "b"):
         for _ in range(2):  # the second run finds nothing new
             source = io.read_wire(spark, "parquet", f"{tmp_path}/commands", stream=True)
@@ -124,7 +191,7 @@ def test_live_counters(spark, tmp_path):
 
 def test_first_fills(spark, tmp_path):
     fills = spark.createDataFrame([("1", "a", 1), ("1", "a", 1), ("1", "b", 2), ("2", "a", 2)],
-                                  "record_id string, event_id string, s bigint").withColumn("at", F.timestamp_seconds("s"))
+                                  "record_id string, event_id string, rec_ts bigint")
     fills.write.parquet(f"{tmp_path}/in")
-    stream = engine.first_fills(spark.readStream.schema(fills.schema).parquet(f"{tmp_path}/in"), "at", "1 hour")
+    stream = engine.first_fills(spark.readStream.schema(fills.schema).parquet(f"{tmp_path}/in"), "1 hour")
     assert engine.run_to_end(stream, f"{tmp_path}/out", f"{tmp_path}/cp").count() == 3

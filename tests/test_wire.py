@@ -45,6 +45,8 @@ def test_kinds_and_modes(spark):
                                                      "cutoffLastModifiedEpochMs": 3, "allFields": {}}), 1, 0)], io.WIRE)
     parsed = codecs.parse_cdc(cdc(spark)), codecs.parse_fills(fills)
     strict = codecs.tag(*parsed, "strict").collect()
+    assert {(r.rec_offset, r.seq, r.key) for r in strict} == {(0, 0, "7"), (7, 14, "7"), (9, 18, "7")}
+    assert {(r.rec_offset, r.type, r.replay_id, r.gap and r.gap.reason) for r in strict} == {(0, "g", 9, "r"), (7, "X", 9, "r"), (9, "g", 9, None)}
     assert {(r.rec_offset, r.kind) for r in strict} == {(0, "G"), (7, "N"), (9, "G")}
     # In compat a fill goes by its key, a change by the id inside it.
     compat = codecs.tag(*parsed, "compat").collect()
