@@ -65,7 +65,7 @@ def stream_first_fills(spark, d) -> DataFrame:
     return engine.run_to_end(first, f"{folder}/out", f"{folder}/checkpoint")
 
 
-def repair_loop(spark: SparkSession, folder: str, images, mode: str = "compat") -> DataFrame:
+def repair_loop(spark: SparkSession, folder: str, images, mode: str = "compat", max_per_trigger: int = FILES) -> DataFrame:
     """Gap handler and fill worker in turns over `folder`, until a round brings no new command.
 
     The two are separate queries joined by storage: commands out, fills in. Each run goes on from its checkpoint, so a
@@ -75,8 +75,8 @@ def repair_loop(spark: SparkSession, folder: str, images, mode: str = "compat")
     io.write_batch_once(none, "parquet", f"{folder}/fills", 0)
     answered = -1
     while True:
-        handled = engine.outputs(io.read_wire(spark, "parquet", f"{folder}/cdc", stream=True),
-                                 io.read_wire(spark, "parquet", f"{folder}/fills/*", stream=True), mode)
+        handled = engine.outputs(io.read_wire(spark, "parquet", f"{folder}/cdc", stream=True, max_per_trigger=max_per_trigger),
+                                 io.read_wire(spark, "parquet", f"{folder}/fills/*", stream=True, max_per_trigger=max_per_trigger), mode)
         out = engine.run_to_end(handled, f"{folder}/out", f"{folder}/handler", partition_by="topic")
         commands = out.filter(F.col("topic") == S.TOPICS["fill_command"]).count()
         if commands == max(answered, 0):
