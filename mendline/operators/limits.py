@@ -94,13 +94,15 @@ def _follow(links: DataFrame) -> DataFrame:
 
 
 def decide_limited(rows: DataFrame, timeout_ms: int | None = None, max_buffer: int | None = None,
-                   mode: str = "compat", layout: Layout = DEFAULT, *, ts_unit: str = "ms", cutoff_unit: str = "ms") -> DataFrame:
+                   mode: str = "compat", layout: Layout = DEFAULT, *, as_of: int | None = None, ts_unit: str = "ms",
+                   cutoff_unit: str = "ms") -> DataFrame:
     """As `gaps.decide`, with gaps that fail after `timeout_ms` or beyond `max_buffer` held-back rows.
 
     `rows` needs `arrived` (milliseconds). Rows of a failed gap become `dead_letter`; a `command` row whose
     gap fails carries the reason in `failed`; fills that come too late are `fill_ignored` with `late`.
     `epoch`, `in_gap` and the closing fill are as from `gaps.decide`, so the outputs and counters take the result; `fail_seq` is
     the gap whose failure made a row a dead letter. `arrived` becomes the latest arrival so far.
+    A quiet record's gap fails if `as_of`, an instant in milliseconds, is beyond its deadline.
     The chain of gaps is found by a few jobs when this is called, stored in the shared folder.
     """
     _check(mode)
@@ -115,7 +117,8 @@ def decide_limited(rows: DataFrame, timeout_ms: int | None = None, max_buffer: i
     merged = rows.withColumn("rank", F.lit(1)).unionByName(opened, allowMissingColumns=True)
     if timeout_ms is not None:
         # One closing row per record tells whether any row arrived after a deadline.
-        last = rows.groupBy("record_id").agg((F.max("seq") + 1).alias("seq"), F.max("arrived").alias("arrived"))
+        now = F.lit(as_of).cast("bigint")
+        last = rows.groupBy("record_id").agg((F.max("seq") + 1).alias("seq"), F.greatest(F.max("arrived"), now).alias("arrived"))
         merged = merged.unionByName(last.withColumns({"rank": F.lit(2), "kind": F.lit("E")}), allowMissingColumns=True)
 
     # One number for (seq, rank): an opening comes before its row, the closing row after all others.

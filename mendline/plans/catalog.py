@@ -448,5 +448,6 @@ QUERIES: dict[str, Query] = {
     "stream_newer_only": streams.stream_newer_only,
     "stream_first_fills": streams.stream_first_fills,
     "fill_command_source": streams.fill_command_source,
+    "second_worker": partial(streams.fill_command_source, older=True),
     "fill_loop": streams.fill_loop,
 }

@@ -74,6 +74,8 @@ _LOOKUP = _decided() + f", {_COMMANDS}, {_SNAPSHOT}" + """, l AS (SELECT record_
     CASE WHEN cut IS NOT NULL THEN '' WHEN rid IS NULL THEN 'not found: /' || entity_type || '/' || record_id
          WHEN NOT is_json THEN 'bad image: /' || entity_type || '/' || record_id ELSE 'bad modification time: n/a' END AS err
     FROM c LEFT JOIN s ON record_id = rid) """
+_OLDER_EVENT = """'{"recordId":"' || record_id || '","entityType":"User","eventId":"' || event_id || '","cutoffLastModifiedEpochMs":'
+      || cutoff || ',"allFields":' || normal || '}'"""
 _FILL_EVENT = """'{"recordId":"' || record_id || '","entityType":"User","eventId":"' || event_id || '","cutoffLastModifiedEpochMs":'
       || cutoff || ',"allFields":' || normal || ',"isSuccess":' || CASE WHEN is_success THEN 'true' ELSE 'false' END
       || ',"errMessage":"' || err || '"}'"""
@@ -450,6 +452,7 @@ ORACLES: dict[str, str] = {
     "stream_first_fills": f"""WITH {_INPUT} SELECT CAST(record_id AS VARCHAR) AS record_id, CAST(id AS VARCHAR) AS event_id, cutoff
       FROM b WHERE kind = 'F'""",
     "fill_command_source": _LOOKUP + f"SELECT CAST(record_id AS VARCHAR) AS key, {_FILL_EVENT} AS value, seq AS rec_offset FROM l",
+    "second_worker": _LOOKUP + f"SELECT CAST(record_id AS VARCHAR) AS key, {_OLDER_EVENT} AS value, seq AS rec_offset FROM l WHERE is_success",
     # Each record with a gap stays open from its first G to the worker's answer, which comes last.
     "fill_loop": f"""WITH {_INPUT}, {_SNAPSHOT},
       o AS (SELECT record_id, min(seq) AS open_seq FROM e WHERE kind = 'G' GROUP BY record_id),

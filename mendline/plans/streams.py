@@ -98,8 +98,8 @@ def fill_loop(spark, d) -> DataFrame:
     return repair_loop(spark, folder, _images(spark, d)).select("topic", "key", "value", "rec_offset")
 
 
-def fill_command_source(spark, d) -> DataFrame:
-    """The fill worker on the command topic: wire rows in, fill events out. A second run finds nothing new."""
+def fill_command_source(spark, d, older=False) -> DataFrame:
+    """The fill worker, or the older one, on the command topic: wire rows in, fill events out. A second run finds nothing new."""
     from .catalog import fill_commands
 
     folder = io.fresh_dir(spark, "gap-commands")
@@ -110,5 +110,5 @@ def fill_command_source(spark, d) -> DataFrame:
         F.col("seq").alias("rec_ts"), F.col("seq").alias("rec_offset")).write.parquet(f"{folder}/commands")
     for _ in range(2):
         asked = io.read_wire(spark, "parquet", f"{folder}/commands", stream=True, max_per_trigger=FILES)
-        engine.fill_worker(asked, _images(spark, d), f"{folder}/fills", f"{folder}/checkpoint").awaitTermination()
+        engine.fill_worker(asked, _images(spark, d), f"{folder}/fills", f"{folder}/checkpoint", older=older).awaitTermination()
     return io.read_wire(spark, "parquet", f"{folder}/fills/*").select("key", "value", "rec_offset")

@@ -102,14 +102,15 @@ def quarantine(parsed: DataFrame, mode: str = "strict") -> DataFrame:
 
 def tag(cdc: DataFrame, fills: DataFrame, mode: str = "strict") -> DataFrame:
     """Both inputs as one table of tagged rows, with all that was received. `seq` is unique within a record: offsets of the
-    two sources may coincide. The order of arrival is that of `arrival_order`."""
+    two sources may coincide. In compat a fill goes by its key; `own_id` is the record id that it names itself. The order of arrival is
+    that of `arrival_order`."""
     changes = usable(cdc, mode).select(
         "record_id", "key", "rec_ts", F.lit(0).alias("source_rank"), "rec_offset",
         wire_kind(F.col("type")).alias("kind"), "type", "event_id", "entity", "ts", "replay_id", "gap", "payload")
     record = F.col("key") if mode == "compat" else F.col("record_id")
     filled = usable(fills, mode).select(
         record.alias("record_id"), "key", "rec_ts", F.lit(1).alias("source_rank"), "rec_offset",
-        F.lit("F").alias("kind"), "event_id", "entity", "payload", "cutoff", "is_success", "err")
+        F.lit("F").alias("kind"), "event_id", "entity", "payload", F.col("record_id").alias("own_id"), "cutoff", "is_success", "err")
     return (changes.unionByName(filled, allowMissingColumns=True)
             .withColumn("seq", F.col("rec_offset") * 2 + F.col("source_rank")))
 

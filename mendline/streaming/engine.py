@@ -94,6 +94,7 @@ def route(decisions: DataFrame, mode: str = "compat", cutoff_unit: str = "ms") -
     strict = mode == "strict"
     made = F.col("decision").isin("filled", "forced")
     record = F.col("record_id").cast("string")
+    named = F.when(made, F.coalesce("own_id", record)).otherwise(record)
     emitted = F.col("decision").isin(*S.EMITTED)
     topic = (F.when(emitted, S.TOPICS["cdc_out"])
              .when(F.col("decision") == "command", S.TOPICS["fill_command"])
@@ -101,8 +102,8 @@ def route(decisions: DataFrame, mode: str = "compat", cutoff_unit: str = "ms") -
     nothing = F.lit(None)
     event = codecs.encode(
         F.when(~made | F.lit(strict), F.col("event_id")).alias("eventId"),
-        F.when(made & ~F.lit(strict), record).otherwise(F.col("entity")).alias("entity"),
-        record.alias("recordId"),
+        F.when(made & ~F.lit(strict), named).otherwise(F.col("entity")).alias("entity"),
+        named.alias("recordId"),
         F.when(made, "F").otherwise(F.coalesce("type", "kind")).alias("type"),
         F.when(made, to_millis(F.col("cutoff"), cutoff_unit) if strict else nothing)
          .otherwise(F.col("ts")).cast("bigint").alias("timestamp"),
@@ -137,19 +138,21 @@ def outputs(cdc_wire: DataFrame, fill_wire: DataFrame, mode: str = "compat", **o
 
 
 def fill_worker(commands_wire: DataFrame, read_images: Callable[[], DataFrame], folder: str, checkpoint: str,
-                base: str = "") -> StreamingQuery:
+                base: str = "", older: bool = False) -> StreamingQuery:
     """Answer commands as they come. The images are read anew for every micro-batch, so that a fill's
-    fields and cutoff come from the same, newest snapshot. Progress is committed only after the write."""
+    fields and cutoff come from the same, newest snapshot. Progress is committed only after the write.
+    The `older` worker leaves unanswerable commands alone, and the success flag and message out."""
     def answer(batch: DataFrame, batch_id: int) -> None:
         commands = codecs.decode(batch, S.FILL_COMMAND).select(
             F.col("v.recordId").alias("record_id"), F.col("v.entityType").alias("entity_type"),
             F.col("v.eventId").alias("event_id"), F.col("rec_offset").alias("seq"), "rec_ts")
-        fills = lookup.fill_lookup(commands, read_images(), base, keep=["rec_ts"]).select(
+        answers = lookup.fill_lookup(commands, read_images(), base, keep=["rec_ts"])
+        flags = [] if older else [F.col("is_success").alias("isSuccess"), F.col("err").alias("errMessage")]
+        fills = (answers.filter("is_success") if older else answers).select(
             F.col("record_id").alias("key"),
             codecs.encode(F.col("record_id").alias("recordId"), F.col("entity_type").alias("entityType"),
                           F.col("event_id").alias("eventId"), F.col("cutoff").alias("cutoffLastModifiedEpochMs"),
-                          codecs.field_map(F.col("all_fields")).alias("allFields"),
-                          F.col("is_success").alias("isSuccess"), F.col("err").alias("errMessage")).alias("value"),
+                          codecs.field_map(F.col("all_fields")).alias("allFields"), *flags).alias("value"),
             "rec_ts", F.col("seq").alias("rec_offset"))
         io.write_batch_once(fills, "parquet", folder, batch_id)
 

@@ -16,7 +16,7 @@ from pyspark.sql import Row, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _CARRIED = ("seq", "source_rank", "rec_offset", "arrived", "rec_ts", "key", "kind", "type", "event_id", "entity", "ts",
-            "replay_id", "gap", "payload", "cutoff", "is_success", "err")
+            "replay_id", "gap", "payload", "own_id", "cutoff", "is_success", "err")
 _LONGS = ("seq", "rec_offset", "arrived", "rec_ts", "ts", "replay_id", "cutoff")
 #: What goes out as an event, and what goes out otherwise.
 EMITTED = ("forwarded", "filled", "forced", "flushed")

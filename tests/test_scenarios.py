@@ -131,6 +131,12 @@ def test_outputs_of_failed_gaps(spark):
     assert counters.gap_counters(decided).first().fill_commands_timeout == 1
 
 
+def test_quiet_gap_as_of_an_instant(spark):
+    rows = frame(spark, scenario("G@1 N@2"))
+    fate = lambda at: [r.decision for r in limits.decide_limited(rows, 10, None, as_of=at).orderBy("seq").collect()]
+    assert fate(11) == ["command", "pending"] and fate(12) == ["command", "dead_letter"]
+
+
 def test_times_that_run_backwards(spark):
     """The latest arrival so far counts, in the windows as in the stream."""
     rows = scenario("G@1 N@20 N@3 G@4 N@5 F(0)@6")

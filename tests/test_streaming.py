@@ -98,6 +98,17 @@ def test_loop_with_strict_outputs_and_quarantine(spark, tmp_path):
     assert errors == {("2", "fill_error"), ("2", "dead_letter"), ("3", "bad_json"), ("4", "null_value"), (None, "null_key")}
 
 
+def test_fill_under_another_key(spark, tmp_path):
+    """In compat a fill goes by its key, and names the record it says it is of."""
+    fill = json.dumps({"recordId": "9", "entityType": "E", "eventId": "e", "cutoffLastModifiedEpochMs": 1, "allFields": {}})
+    spark.createDataFrame([("7", cdc_json("7", "G", 1, 0), 1, 0)], io.WIRE).write.parquet(f"{tmp_path}/cdc")
+    spark.createDataFrame([("7", fill, 5, 0)], io.WIRE).write.parquet(f"{tmp_path}/fills")
+    read = lambda name: io.read_wire(spark, "parquet", f"{tmp_path}/{name}", stream=True)
+    out = engine.run_to_end(engine.outputs(read("cdc"), read("fills")), f"{tmp_path}/out", f"{tmp_path}/cp").collect()
+    made = [(r.key, json.loads(r.value)) for r in out if r.topic == S.TOPICS["cdc_out"]]
+    assert [(k, v["recordId"], v["entity"], v["type"]) for k, v in made] == [("7", "9", "9", "F")]
+
+
 def test_record_goes_through_unchanged(spark, tmp_path):
     """Type, replay id, gap information, key and time as received; replayed rows go out with key and time of the fill."""
     event = lambda n, type_, rec="7", **more: json.dumps({"eventId": f"e{n}", "entity": "E", "recordId": rec, "type": type_, "timestamp": n,
