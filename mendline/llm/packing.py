@@ -7,7 +7,7 @@ f(j) the least price of a packing that ends at place t(j),
     f(j) = price(j) + width - t(j) + min { f(i) + t(i) : t(j) - width <= t(i) < t(j) }
 
 and the minimum over the sliding range comes from a monotone queue, so the work is linear in the number of places. What is
-left at the end of a partition is cut into powers of two, which need no padding.
+left at the end of a partition is cut into powers of two, which need no padding, so the last window has no price.
 
 A stream is solved in blocks of bounded length: all but the last windows of a block are final, the rest joins the next
 block. Nothing is shuffled; a partition that is computed again gives the same rows.
@@ -103,22 +103,32 @@ def places(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray,
 
 
 def cuts(at: np.ndarray, price: np.ndarray, width: int) -> list[int]:
-    """The cheapest places to cut, ascending; windows are at most `width` long, and `at` has no gap beyond that."""
+    """The cheapest places to cut, ascending; windows are at most `width` long, and `at` has no gap beyond that. The last window costs
+    nothing: it is either solved again with what follows, or cut into pieces without padding."""
+    ends, prices = at.tolist(), price.tolist()
     best, previous = [], []
     queue: deque[tuple[int, int, int]] = deque([(0, 0, -1)])  # f(i) + t(i), t(i), i: ascending in all
-    for j, (t, p) in enumerate(zip(at.tolist(), price.tolist())):
+    for j in range(len(ends) - 1):
+        t = ends[j]
         while queue[0][1] < t - width:
             queue.popleft()
         least, _, i = queue[0]
-        f = least + p + width - t
+        f = least + prices[j] + width - t
         best.append(f)
         previous.append(i)
         while queue and queue[-1][0] >= f + t:
             queue.pop()
         queue.append((f + t, t, j))
-    out, j = [], len(at) - 1
+    # The latest of the cheapest starts for the last window.
+    end, j, least = ends[-1], len(ends) - 2, None
+    last = -1
+    while j >= 0 and ends[j] >= end - width:
+        if least is None or best[j] < least:
+            least, last = best[j], j
+        j -= 1
+    out, j = [end], -1 if end <= width else last
     while j >= 0:
-        out.append(int(at[j]))
+        out.append(ends[j])
         j = previous[j]
     return out[::-1]
 
