@@ -293,8 +293,9 @@ RESULT = [T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.L
           T.StructField("kept_text", T.StringType()), T.StructField("factors", T.ArrayType(FACTOR))]
 
 
-def substring_duplicates(df: DataFrame, *, width: int = 13, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The input with n_words, n_removed, kept_text (the words left, joined by one space) and factors."""
+def substring_duplicates(df: DataFrame, *, width: int = 13, text: str = "text", id_col: str = "doc_id",
+                         keep: list[str] | None = None) -> DataFrame:
+    """The input, or its columns in `keep`, with n_words, n_removed, kept_text (the words left, joined by one space) and factors."""
     results = [f.name for f in RESULT]
     df = df.drop(*(c for c in df.columns if c.lower() in results and c not in (text, id_col)))
     runs = repeated_runs(df, width=width, text=text, id_col=id_col)
@@ -303,7 +304,9 @@ def substring_duplicates(df: DataFrame, *, width: int = 13, text: str = "text",
         F.collect_list(F.struct("start", "n", "ref", "ref_start")).alias(r_runs))
     keyed = df.withColumn(key, (F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")) - F.lit(1 << 31)).cast("int"))
     joined = keyed.join(lists, (F.coalesce(F.col(id_col), F.lit(LAST)) == F.col(r_doc)) & (F.col(key) == F.col(r_key)), "left")
-    schema, columns = T.StructType([*df.schema.fields, *RESULT]), df.columns
+    columns = df.columns
+    wanted = columns if keep is None else keep
+    schema = T.StructType([*(df.schema[c] for c in wanted), *RESULT])
 
     def make():
         def step(batch, texts):
@@ -322,7 +325,7 @@ def substring_duplicates(df: DataFrame, *, width: int = 13, text: str = "text",
                 kept.append(line.decode("utf-8"))
                 spans.append([dict(zip(FACTOR.names, f)) for f in parsed])
             kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("ref", pa.int64()), ("ref_start", pa.int32())]))
-            own = batch.select(columns)
+            own = batch.select(wanted)
             yield with_arrays(own, results, [pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
                                              pa.array(kept, pa.string()), pa.array(spans, kind)])
 
