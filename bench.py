@@ -22,6 +22,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from mendline.plans.catalog import QUERIES
+    from mendline.sources import io
 
     spark = (SparkSession.builder.master(f"local[{CPUS}]").appName("bench")
              .config("spark.sql.shuffle.partitions", CPUS).config("spark.ui.enabled", "false")
@@ -29,7 +30,11 @@ def main() -> None:
     spark.sparkContext.setLogLevel("ERROR")
     names = sys.argv[1:] or HEADLINE
     seconds = {}
-    run = lambda name: QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
+
+    def run(name: str) -> None:
+        QUERIES[name](spark, SF_DIR).write.format("noop").mode("overwrite").save()
+        io.release(spark)
+
     run("gap_decisions")  # start-up of the session is not part of any query
     for name in names:
         best = float("inf")

@@ -15,4 +15,6 @@ def spark():
                .config("spark.driver.memory", "8g").getOrCreate())
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    from mendline.sources import io
+    io.release(session)
     session.stop()

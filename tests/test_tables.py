@@ -197,3 +197,13 @@ def test_epoch_ms_ignores_the_session_zone(spark):
         assert df.select(epoch_ms(F.col("ts")).alias("v")).first().v == 1710037800123
     finally:
         spark.conf.set("spark.sql.session.timeZone", zone)
+
+
+def test_stored_results_are_columns_and_can_be_released(spark):
+    from mendline.sources import io
+    kept = io.stored(spark.range(10).withColumn("x", F.lit("a")), "kept")
+    path = kept.inputFiles()[0].rpartition("/")[0]
+    assert path.startswith(("file:", "/")) and kept.schema.names == ["id", "x"] and kept.count() == 10
+    assert io.release(spark) >= 1
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
