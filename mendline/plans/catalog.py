@@ -64,7 +64,7 @@ def tagged_union_input(spark, d):
 def wire_decided(spark, d, mode="compat", faulty=True) -> DataFrame:
     """Decisions over the wire, in order of arrival, with the rows that can't be used as `invalid`."""
     cdc, fills = _parsed(spark, d, faulty)
-    rows = codecs.arrival_order(codecs.tag(cdc, fills, mode))
+    rows = stored(codecs.arrival_order(stored(codecs.tag(cdc, fills, mode))))  # parsed once
     return (gaps.decide(rows, mode, codecs.WIRE_LAYOUT)
             .unionByName(codecs.invalid(cdc, fills, mode), allowMissingColumns=True))
 
