@@ -1,9 +1,11 @@
 """Personal data by bootstrapped contextual extraction.
 
 Rules find the base spans (e-mail, IP address, card and phone numbers). They are the seeds: the one or two words before them
-are candidate patterns. A pattern is scored on a graph of patterns and of the identifier-like strings behind them: its
+are candidate patterns. A pattern that ends inside a word, glued to what follows (a quote, a bracket, `id#`), is another one than the same
+words with white space behind. A pattern is scored on a graph of patterns and of the identifier-like strings behind them: its
 confidence for a kind is the share of all its occurrences, whatever follows, that are followed by instances of
-that kind, weighted by the instances' scores; an instance that no rule knows gets the mean confidence of its patterns. Spark repeats the two
+that kind, weighted by the instances' scores; an instance that no rule knows gets the mean confidence of its patterns. Occurrences are counted
+at every place of a text as `contexts` cuts it, so each instance stands behind one of them. Spark repeats the two
 steps over the whole graph. Patterns of high confidence then mark identifier-like strings that no rule found.
 
 A pattern must precede at least 1/`SUPPORT` of the seeds of a kind, so there are at most 2 * 4 * SUPPORT patterns whatever the
@@ -19,6 +21,7 @@ import re
 from bisect import bisect_left
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
@@ -40,8 +43,14 @@ CONFIDENCE = 0.6
 ROUNDS = 3
 #: Words of a pattern are cut behind white space, colons and equals signs.
 WORD = re.compile(r"[^\s:=]+[:=]?|[:=]")
-#: Characters before a span in which its words are looked for.
+#: Characters in which a pattern's words are looked for, from its end back.
 REACH = 200
+#: Ends a pattern that stands inside a word; no word holds it.
+GLUED = "\n"
+#: Characters whose places are counted at once.
+PIECE = 1 << 17
+#: Bits of the filter that tells which places are worth a look; its size sets the work, never the result.
+FILTER_BITS = 1 << 23
 #: Strings that look like identifiers: around an at sign, or at least six digits with separators between.
 AT = re.compile(r"@|\(at\)|\[at\]")
 AROUND_AT = re.compile(r"[^\s:=<>\"'(),;@]")
@@ -131,10 +140,142 @@ def like_spans(text: str, base: list[tuple[int, int, int]]):
             yield s, e
 
 
+def folded(text: str) -> str:
+    """Small letters, character by character, so that a part folds as it does within the whole."""
+    low = text.lower()
+    if len(low) == len(text) and "\u03a3" not in text:
+        return low
+    return "".join(x if len(x := c.lower()) == 1 else c for c in text)
+
+
 def contexts(text: str, start: int) -> list[str]:
-    """The last word before a place, and the last two."""
-    words = WORD.findall(text[max(0, start - REACH):start].lower())[-2:]
-    return [words[-1], " ".join(words)][: len(words)] if words else []
+    """The last word before a place, and the last two; `GLUED` behind them if the place is inside a word."""
+    end = start
+    while end and text[end - 1].isspace():
+        end -= 1
+    words = WORD.findall(folded(text[max(0, end - REACH):end]))[-2:]
+    if not words:
+        return []
+    mark = GLUED if end == start < len(text) and not text[start].isspace() and text[start - 1] not in ":=" else ""
+    return [words[-1] + mark, " ".join(words) + mark][: len(words)]
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+class Places:
+    """Contexts at all places of texts, known by 64-bit hashes."""
+
+    BASE, SECOND, INSIDE = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
+
+    def __init__(self):
+        n = 2 * (PIECE + REACH + 2)
+        self.up, self.down = (np.full(n, x, np.uint64) for x in (self.BASE, pow(self.BASE, -1, 1 << 64)))
+        for x in (self.up, self.down):
+            x[0] = 1
+            np.multiply.accumulate(x, out=x)
+        self.letters = np.random.default_rng(9).integers(1, 1 << 63, 0x110000, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.space = np.zeros(0x110000, bool)
+        self.space[[c for c in range(0x3001) if chr(c).isspace()]] = True
+
+    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        return _mixed(((prefix[end] - prefix[start]) * self.down[start]) ^ (end - start).astype(np.uint64))
+
+    def prefix(self, codes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(self.letters[codes] * self.up[:len(codes)], out=out[1:])
+        return out
+
+    def of_context(self, context: str) -> int:
+        """The hash that `count` finds for a context."""
+        out = np.zeros(1, np.uint64)
+        for i, w in enumerate(reversed(context.removesuffix(GLUED).split(" "))):
+            h = self.of(self.prefix(codes_of(w)), np.array([0]), np.array([len(w)]))
+            out = _mixed(h * self.SECOND + out) if i else h
+        return int(_mixed(out ^ self.INSIDE)[0] if context.endswith(GLUED) else out[0])
+
+    def pieces(self, texts: list[str]):
+        """Texts, long ones cut, in lists of about PIECE characters: (piece, first and last place that counts). A cut piece
+        has REACH characters before and one behind."""
+        held, size = [], 0
+        for t in texts:
+            for i in range(0, len(t), PIECE):
+                a, b = max(0, i - REACH), min(len(t), i + PIECE)
+                if size + b - a >= PIECE and held:
+                    yield held
+                    held, size = [], 0
+                held.append((t[a:b + 1], i - a, b - a))
+                size += len(held[-1][0]) + 1
+        if held:
+            yield held
+
+    def count(self, texts: list[str], known: np.ndarray) -> Counter:
+        """How often each context that passes the filter occurs."""
+        out = Counter()
+        for held in self.pieces(texts):
+            line = folded("\n".join(p for p, _, _ in held) + "\n")
+            codes = codes_of(line)
+            lengths = np.array([len(p) + 1 for p, _, _ in held])
+            offsets = np.cumsum(lengths) - lengths
+            space, cut = self.space[codes], (codes == ord(":")) | (codes == ord("="))
+            after = np.ones(len(codes), bool)
+            after[1:] = space[:-1] | cut[:-1]
+            first = after & ~space
+            starts = np.flatnonzero(first)
+            ends = np.flatnonzero(~space & (cut | np.append(space[1:], True))) + 1
+            piece = np.searchsorted(offsets, starts, side="right")
+            alone = np.ones(len(starts), bool)
+            alone[1:] = piece[1:] != piece[:-1]
+            counted = ~space
+            for o, (_, a, b), n in zip(offsets.tolist(), held, lengths.tolist()):
+                counted[o:o + a] = False
+                counted[o + b:o + n] = False
+            word = (np.cumsum(first) - 1)[counted]
+            end = np.flatnonzero(counted) + 1
+            inside = ~(space[end] | cut[end - 1])
+            start = np.maximum(starts[word], end - REACH)
+            prefix = self.prefix(codes)
+            one = self.of(prefix, start, end)
+            two = np.flatnonzero(~alone[word] & (ends[word - 1] > end - REACH))
+            before = np.maximum(starts[word[two] - 1], end[two] - REACH)
+            both = _mixed(self.of(prefix, before, ends[word[two] - 1]) * self.SECOND + one[two])
+            for hashes, at in ((one, None), (both, two)):
+                glued = inside if at is None else inside[at]
+                hashes = np.where(glued, _mixed(hashes ^ self.INSIDE), hashes)
+                hit = np.flatnonzero(passes(known, hashes))
+                _, rep, n = np.unique(hashes[hit], return_index=True, return_counts=True)
+                for i, times in zip(hit[rep].tolist(), n.tolist()):
+                    j = i if at is None else at[i]
+                    text = line[start[j]:end[j]] + GLUED * bool(inside[j])
+                    out[text if at is None else f"{line[before[i]:ends[word[j] - 1]]} {text}"] += times
+        return out
+
+
+def codes_of(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32)
+
+
+def filter_places(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of each hash."""
+    return (hashes & np.uint64(FILTER_BITS - 1)).astype(np.int64), ((hashes >> np.uint64(32)) & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+
+
+def passes(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    a, b = filter_places(hashes)
+    out = known[a >> 3] >> (a & 7) & 1 == 1
+    at = np.flatnonzero(out)
+    out[at] = known[b[at] >> 3] >> (b[at] & 7) & 1 == 1
+    return out
+
+
+def filter_of(hashes: list[int]) -> np.ndarray:
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for at in filter_places(np.array(hashes, np.uint64)):
+        np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
+    return out
 
 
 def induced(df: DataFrame, text: str) -> list[str]:
@@ -167,20 +308,13 @@ def graph(df: DataFrame, patterns: list[str], text: str) -> DataFrame:
     known = df.sparkSession.sparkContext.broadcast(set(patterns))  # bounded: see `induced`
 
     def make():
-        wanted = known.value
-        lasts = {p.rpartition(" ")[2] for p in wanted}
+        wanted, places = known.value, Places()
+        worth = filter_of([places.of_context(c) for c in wanted])
 
         def step(batch, texts):
-            found = Counter()
+            texts = [t or "" for t in texts]
+            found = Counter({(c, "", -1, False): n for c, n in places.count(texts, worth).items() if c in wanted})
             for t in texts:
-                t = t or ""
-                words = WORD.findall(t.lower())
-                for i, w in enumerate(words):
-                    if w in lasts:
-                        if w in wanted:
-                            found[w, "", -1, False] += 1
-                        if i and (two := f"{words[i - 1]} {w}") in wanted:
-                            found[two, "", -1, False] += 1
                 base = base_spans(t)
                 for s, k, e in base:
                     found.update((c, t[s:e], k, True) for c in contexts(t, s) if c in wanted)
@@ -212,7 +346,7 @@ def bootstrap(df: DataFrame, *, text: str = "text", rounds: int = ROUNDS, confid
     for i in range(rounds):
         scored = links.join(scores, ["instance", "kind"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
         trust = (scored.groupBy("context", "kind").agg(F.sum(F.col("n") * F.col("score")).alias("hits"))
-                 .join(totals, "context").select("context", "kind", F.least(F.col("hits") / F.col("total"), F.lit(1.0)).alias("trust")))
+                 .join(totals, "context").select("context", "kind", (F.col("hits") / F.col("total")).alias("trust")))
         trust = stored(trust, "pii-trust")
         if i + 1 < rounds:
             means = (links.join(trust, ["context", "kind"]).groupBy("instance", "kind")

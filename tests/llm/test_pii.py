@@ -1,6 +1,9 @@
 import random
 import re
+from collections import Counter
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from mendline.llm import pii
@@ -68,3 +71,40 @@ def test_masking_and_odd_rows(docs):
     rows = pii.extract(docs().withColumn("SPANS", F.lit(1))).collect()
     assert len(rows) == docs().count() and all(isinstance(r.spans, list) for r in rows)
     assert pii.extract(docs([])).count() == 0
+
+
+def plain_occurrences(texts):
+    """By trying every place: white space behind a context makes no further occurrence of it."""
+    return Counter(c for t in texts for p in range(1, len(t) + 1) if not t[p - 1].isspace() for c in pii.contexts(t, p))
+
+
+def test_occurrences_are_cut_as_contexts(monkeypatch):
+    monkeypatch.setattr(pii, "PIECE", 64)
+    monkeypatch.setattr(pii, "REACH", 12)
+    pick = random.Random(4)
+    parts = ["a", "Call", "(", "+1", '"', "<", "=", ":", " ", "  ", "\n", "id#", "\u0130", "\u03a3", "\u3000", "\U0001d4d0", "x@y.com", "longer_than_that"]
+    texts = ["".join(pick.choice(parts) for _ in range(pick.randint(0, 120))) for _ in range(60)]
+    wanted = plain_occurrences(texts)
+    assert pii.Places().count(texts, np.full(pii.FILTER_BITS // 8, 255, np.uint8)) == wanted
+    places = pii.Places()
+    some = sorted(wanted)[::7]
+    got = places.count(texts, pii.filter_of([places.of_context(c) for c in some]))
+    assert {c: got[c] for c in some} == {c: wanted[c] for c in some}
+
+
+@pytest.mark.parametrize("before, behind, kind", [('email="', '"', "email"), ("Name <", ">", "email"), ("call (", ")", "phone"), ("id#", "", "phone")])
+def test_glued_contexts_find_unseen_identifiers(docs, before, behind, kind):
+    seed, unseen = ("user{0}@host.example.org", "jane(at)host") if kind == "email" else ("+1 555 {0:03d} 8{0:03d}", "+555-0199")
+    rows = [(i, f"word {before}{seed.format(i)}{behind} more") for i in range(40)] + [(1000, f"word {before}{unseen}{behind} more")]
+    lone = [(2000 + i, 'a " b ( c < d id# e calling Named emails') for i in range(9)]
+    df = docs(rows + lone)
+    got = {r.doc_id: (r.text, r.spans) for r in pii.extract(df).collect()}
+    text, spans = got[1000]
+    assert [(s.kind, text[s.start:s.end], s.added) for s in spans] == [(kind, unseen, True)]
+    assert all(not got[2000 + i][1] for i in range(9))
+
+
+def test_a_lone_sign_does_not_make_the_glued_one_sure(docs):
+    rows = [(i, f'say "user{i}@host.example.org" now') for i in range(20)] + [(100 + i, 'say "word" and "more" now') for i in range(40)]
+    rows += [(200, 'a " b'), (201, 'say "jane(at)host" now')]
+    assert '"' + pii.GLUED not in pii.bootstrap(docs(rows)) and 'say "' + pii.GLUED not in pii.bootstrap(docs(rows))
