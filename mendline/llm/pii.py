@@ -8,8 +8,9 @@ that kind, weighted by the instances' scores; an instance that no rule knows get
 at every place of a text as `contexts` cuts it, so each instance stands behind one of them. Spark repeats the two
 steps over the whole graph. Patterns of high confidence then mark identifier-like strings that no rule found.
 
-A pattern must precede at least 1/`SUPPORT` of the seeds of a kind, so there are at most 2 * 4 * SUPPORT patterns whatever the
-input; they alone are collected.
+A pattern must precede at least `LEAST` seeds of a kind, whatever else the input holds. Patterns are as many as the input has, so they stay in
+tables: the graph is joined with them, and of those accepted each text gets, by its digest, the ones that stand before its own candidates. Only a
+filter of fixed size goes to all tasks; what it lets through in error the joins drop.
 
 Null text counts as empty and has no spans. Positions are code points, ends exclusive. Base spans always stay; an added span never overlaps
 one. Repeated rows are rows of their own, and count as often as they occur. Columns of the input are kept; one named `spans` is replaced.
@@ -25,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from mendline.llm.common import map_chunks, with_arrays
+from mendline.llm.common import free_name, map_chunks, with_arrays
 from mendline.sources.io import stored
 
 #: Fixed values of the contract: kinds in order, and the rules for each.
@@ -37,8 +38,8 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 NOT_DIGIT = re.compile(r"[^0-9]+")
 
-#: A pattern precedes at least this share of a kind's seeds, and at least LEAST of them.
-SUPPORT, LEAST = 1000, 5
+#: A pattern precedes at least this many of a kind's seeds.
+LEAST = 5
 CONFIDENCE = 0.6
 ROUNDS = 3
 #: Words of a pattern are cut behind white space, colons and equals signs.
@@ -190,12 +191,22 @@ class Places:
         return out
 
     def of_context(self, context: str) -> int:
-        """The hash that `count` finds for a context."""
-        out = np.zeros(1, np.uint64)
-        for i, w in enumerate(reversed(context.removesuffix(GLUED).split(" "))):
-            h = self.of(self.prefix(codes_of(w)), np.array([0]), np.array([len(w)]))
-            out = _mixed(h * self.SECOND + out) if i else h
-        return int(_mixed(out ^ self.INSIDE)[0] if context.endswith(GLUED) else out[0])
+        return int(self.of_contexts([context])[0])
+
+    def of_contexts(self, contexts: list[str]) -> np.ndarray:
+        """The hashes that `count` finds for contexts."""
+        out = [np.zeros(0, np.uint64)]
+        most = PIECE // (2 * REACH + 2) or 1
+        for i in range(0, len(contexts), most):
+            some = contexts[i:i + most]
+            words = [c.removesuffix(GLUED).rpartition(" ") for c in some]
+            prefix = self.prefix(codes_of("".join(a + b for a, _, b in words)))
+            sizes = np.array([(len(a), len(b)) for a, _, b in words])
+            end = np.cumsum(sizes).reshape(-1, 2)
+            before, last = (self.of(prefix, end[:, k] - sizes[:, k], end[:, k]) for k in (0, 1))
+            h = np.where(sizes[:, 0] > 0, _mixed(before * self.SECOND + last), last)
+            out.append(np.where([c.endswith(GLUED) for c in some], _mixed(h ^ self.INSIDE), h))
+        return np.concatenate(out)
 
     def pieces(self, texts: list[str]):
         """Texts, long ones cut, in lists of about PIECE characters: (piece, first and last place that counts). A cut piece
@@ -271,23 +282,36 @@ def passes(known: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return out
 
 
-def filter_of(hashes: list[int]) -> np.ndarray:
+def filter_of(hashes: np.ndarray | list[int]) -> np.ndarray:
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for at in filter_places(np.array(hashes, np.uint64)):
         np.bitwise_or.at(out, at >> 3, (1 << (at & 7)).astype(np.uint8))
     return out
 
 
-def induced(df: DataFrame, text: str) -> list[str]:
+def filter_of_table(patterns: DataFrame) -> np.ndarray:
+    """The filter of the table's contexts. At most FILTER_BITS / 64 rows come to the driver, whatever the table's size."""
+
+    def cut(batches):
+        places, out = Places(), np.zeros(FILTER_BITS // 8, np.uint8)
+        for batch in batches:
+            out |= filter_of(places.of_contexts(batch.column(0).to_pylist()))
+        words = out.view("<i8")
+        at = np.flatnonzero(words)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(words[at], pa.int64())], names=["slot", "bits"])
+
+    rows = patterns.select("context").mapInArrow(cut, "slot int, bits long").groupBy("slot").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(FILTER_BITS // 64, "<i8")
+    out[rows.column("slot").to_numpy()] = rows.column("bits").to_numpy()
+    return out.view(np.uint8)
+
+
+def induced(df: DataFrame, text: str) -> DataFrame:
     """Contexts that precede enough seeds of a kind."""
 
     def make():
         def step(batch, texts):
-            found = Counter()
-            for t in texts:
-                for s, k, _ in base_spans(t or ""):
-                    found[k, ""] += 1
-                    found.update((k, c) for c in contexts(t, s))
+            found = Counter((k, c) for t in texts for s, k, _ in base_spans(t or "") for c in contexts(t, s))
             rows = [(k, c, n) for (k, c), n in found.items()]
             kind, context, n = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(context, pa.string()), pa.array(n, pa.int64())],
@@ -295,33 +319,34 @@ def induced(df: DataFrame, text: str) -> list[str]:
 
         return step
 
-    counts = stored(map_chunks(df.select(text), "kind int, context string, n long", make, text)
-                    .groupBy("kind", "context").agg(F.sum("n").alias("n")), "pii-seeds")
-    seeds = counts.where("context = ''").select("kind", F.col("n").alias("seeds"))
-    enough = (counts.where("context <> ''").join(F.broadcast(seeds), "kind")
-              .where((F.col("n") >= LEAST) & (F.col("n") * SUPPORT >= F.col("seeds"))))
-    return sorted(r.context for r in enough.select("context").distinct().collect())
+    counts = map_chunks(df.select(text), "kind int, context string, n long", make, text).groupBy("kind", "context").agg(F.sum("n").alias("n"))
+    return stored(counts.where(F.col("n") >= LEAST).select("context").distinct(), "pii-contexts")
+
 
+def passing(places: Places, known: np.ndarray, found: list[list[str]]) -> set[str]:
+    """Those of the contexts that pass the filter."""
+    names = list({c for cs in found for c in cs})
+    return {names[i] for i in np.flatnonzero(passes(known, places.of_contexts(names))).tolist()}
 
-def graph(df: DataFrame, patterns: list[str], text: str) -> DataFrame:
+
+def graph(df: DataFrame, patterns: DataFrame, text: str) -> DataFrame:
     """Edges (context, instance, kind, seed, n): a kind of -1 counts all occurrences of the context, whatever follows."""
-    known = df.sparkSession.sparkContext.broadcast(set(patterns))  # bounded: see `induced`
+    known = df.sparkSession.sparkContext.broadcast(filter_of_table(patterns))  # of fixed size
 
     def make():
-        wanted, places = known.value, Places()
-        worth = filter_of([places.of_context(c) for c in wanted])
+        places = Places()
 
         def step(batch, texts):
             texts = [t or "" for t in texts]
-            found = Counter({(c, "", -1, False): n for c, n in places.count(texts, worth).items() if c in wanted})
+            found = Counter({(c, "", -1, False): n for c, n in places.count(texts, known.value).items()})
+            links = []  # (contexts, instance, kinds, seed)
             for t in texts:
                 base = base_spans(t)
-                for s, k, e in base:
-                    found.update((c, t[s:e], k, True) for c in contexts(t, s) if c in wanted)
-                for s, e in like_spans(t, base):
-                    for c in contexts(t, s):
-                        if c in wanted:
-                            found.update((c, t[s:e], k, False) for k in kinds_like(t[s:e]))
+                links += [(contexts(t, s), t[s:e], [k], True) for s, k, e in base]
+                links += [(contexts(t, s), t[s:e], kinds_like(t[s:e]), False) for s, e in like_spans(t, base)]
+            wanted = passing(places, known.value, [x[0] for x in links])
+            for cs, instance, kinds, seed in links:
+                found.update((c, instance, k, seed) for c in cs if c in wanted for k in kinds)
             rows = [(*key, n) for key, n in found.items()]
             cols = list(zip(*rows)) or [()] * 5
             kinds = (pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.int64())
@@ -331,14 +356,15 @@ def graph(df: DataFrame, patterns: list[str], text: str) -> DataFrame:
         return step
 
     edges = map_chunks(df.select(text), "context string, instance string, kind int, seed boolean, n long", make, text)
-    return stored(edges.groupBy("context", "instance", "kind", "seed").agg(F.sum("n").alias("n")), "pii-graph")
+    edges = edges.groupBy("context", "instance", "kind", "seed").agg(F.sum("n").alias("n"))
+    return stored(edges.join(patterns, "context", "left_semi"), "pii-graph")
 
 
-def bootstrap(df: DataFrame, *, text: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> dict[str, int]:
-    """Patterns of high confidence, each with the number of its kind."""
+def learn(df: DataFrame, *, text: str = "text", rounds: int = ROUNDS, confidence: float = CONFIDENCE) -> DataFrame:
+    """Patterns of high confidence as a table (context, kind), each with the number of its kind."""
     patterns = induced(df, text)
-    if not patterns:
-        return {}
+    if patterns.isEmpty():
+        return patterns.withColumn("kind", F.lit(0))
     edges = graph(df, patterns, text)
     totals = edges.where("kind = -1").groupBy("context").agg(F.sum("n").alias("total"))
     links = edges.where("kind >= 0")
@@ -353,7 +379,33 @@ def bootstrap(df: DataFrame, *, text: str = "text", rounds: int = ROUNDS, confid
                      .agg((F.sum(F.col("n") * F.col("trust")) / F.sum("n")).alias("mean"), F.max("seed").alias("seed")))
             scores = stored(means.select("instance", "kind", F.when(F.col("seed"), 1.0).otherwise(F.col("mean")).alias("score")), "pii-scores")
     best = trust.where(F.col("trust") >= confidence).groupBy("context").agg(F.max_by("kind", F.struct("trust", -F.col("kind"))).alias("kind"))
-    return {r.context: r.kind for r in best.collect()}
+    return stored(best, "pii-patterns")
+
+
+def bootstrap(df: DataFrame, **options) -> dict[str, int]:
+    """The patterns of `learn` as a dictionary, for a look at small inputs."""
+    return {r.context: r.kind for r in learn(df, **options).collect()}
+
+
+def before_candidates(df: DataFrame, patterns: DataFrame, text: str, key: str, found: str) -> DataFrame:
+    """By the digest of each text: the patterns before its candidates."""
+    known = df.sparkSession.sparkContext.broadcast(filter_of_table(patterns))  # of fixed size
+
+    def make():
+        places = Places()
+
+        def step(batch, texts):
+            rows = [(d, {c for s, _ in like_spans(t, base_spans(t)) for c in contexts(t, s)})
+                    for d, t in zip(batch.column(batch.schema.get_field_index(key)).to_pylist(), texts) if t]
+            wanted = passing(places, known.value, [cs for _, cs in rows])
+            rows = [(d, c) for d, cs in rows for c in cs if c in wanted]
+            cols = list(zip(*rows)) or [()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in cols], names=[key, "context"])
+
+        return step
+
+    places = map_chunks(df.select(text, F.sha2(text, 256).alias(key)), f"`{key}` string, context string", make, text).distinct()
+    return stored(places.join(patterns, "context").groupBy(key).agg(F.collect_list(F.struct("context", "kind")).alias(found)), "pii-found")
 
 
 def spans_of(text: str | None, patterns: dict[str, int]) -> list[tuple[int, int, int, bool]]:
@@ -383,14 +435,38 @@ def masked(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str | N
     return "".join(out) + text[done:]
 
 
-def find(df: DataFrame, patterns: dict[str, int], *, text: str = "text", mask: bool = False) -> DataFrame:
-    """Add `spans`; with `mask`, put the masked text in the text's place."""
+def masked(text: str | None, spans: list[tuple[int, int, int, bool]]) -> str | None:
+    """The text with each span, or run of overlapping spans, replaced by its kind in angle brackets."""
+    if not spans:
+        return text
+    out, done = [], 0
+    for s, k, e, _ in spans:
+        if s >= done:
+            out += [text[done:s], f"<{KINDS[k]}>"]
+        done = max(done, e)
+    return "".join(out) + text[done:]
+
+
+def find(df: DataFrame, patterns: DataFrame | dict[str, int], *, text: str = "text", mask: bool = False) -> DataFrame:
+    """Add `spans`; with `mask`, put the masked text in the text's place. A table of patterns is joined by the texts' digests."""
     df = df.drop(*(c for c in df.columns if c.lower() == "spans"))
     schema = T.StructType([*df.schema.fields, T.StructField("spans", T.ArrayType(SPAN))])
+    columns = df.columns
+    own = free_name(df, "own_patterns")
+    if isinstance(patterns, DataFrame):
+        key = free_name(df, "text_key")
+        df = (df.withColumn(key, F.sha2(text, 256)).join(before_candidates(df, patterns, text, key, own), key, "left")
+              .select(*columns, own))
+        patterns = None
 
     def make():
         def step(batch, texts):
-            found = [spans_of(t, patterns) for t in texts]
+            if patterns is None:
+                each = [{x["context"]: x["kind"] for x in xs or ()} for xs in batch.column(batch.schema.get_field_index(own)).to_pylist()]
+                batch = batch.select(columns)
+            else:
+                each = [patterns] * len(texts)
+            found = [spans_of(t, p) for t, p in zip(texts, each)]
             spans = pa.array([[{"kind": KINDS[k], "start": s, "end": e, "added": a} for s, k, e, a in x] for x in found],
                              pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("added", pa.bool_())])))
             if mask:
@@ -404,5 +480,6 @@ def find(df: DataFrame, patterns: dict[str, int], *, text: str = "text", mask: b
 
 
 def extract(df: DataFrame, *, text: str = "text", mask: bool = False) -> DataFrame:
-    """Bootstrap patterns on the input, then find all spans in it."""
-    return find(df, bootstrap(df, text=text), text=text, mask=mask)
+    """Learn patterns on the input, then find all spans in it."""
+    patterns = learn(df, text=text)
+    return find(df, {} if patterns.isEmpty() else patterns, text=text, mask=mask)

@@ -108,3 +108,22 @@ def test_a_lone_sign_does_not_make_the_glued_one_sure(docs):
     rows = [(i, f'say "user{i}@host.example.org" now') for i in range(20)] + [(100 + i, 'say "word" and "more" now') for i in range(40)]
     rows += [(200, 'a " b'), (201, 'say "jane(at)host" now')]
     assert '"' + pii.GLUED not in pii.bootstrap(docs(rows)) and 'say "' + pii.GLUED not in pii.bootstrap(docs(rows))
+
+
+def test_a_rare_context_counts_whatever_else_the_corpus_holds(docs):
+    common = [(i, " ".join(f"from hot +1 555 {i:03d} 8{j:03d} and" for j in range(100))) for i in range(100)]
+    rare = [(1000 + i, f"here dial +1 555 {i:03d} 8{i:03d} soon") for i in range(6)]
+    unseen = [(2000, "here dial 555-0199"), (2000, "here dial 555-0199"), (None, "other, dial 555-0199"), (2001, None), (2001, "number 555-0199")]
+    got = pii.extract(docs(common + rare + unseen).withColumn("Text_Key", F.lit(1))).where("doc_id >= 2000 OR doc_id IS NULL").collect()
+    assert sorted((str(r.doc_id), r.text, [(s.kind, s.start, s.added) for s in r.spans]) for r in got if r.text) == [
+        ("2000", "here dial 555-0199", [("phone", 10, True)]), ("2000", "here dial 555-0199", [("phone", 10, True)]),
+        ("2001", "number 555-0199", []), ("None", "other, dial 555-0199", [("phone", 12, True)])]
+    assert len(got) == 5
+
+
+def test_what_the_filter_lets_through_changes_nothing(docs, monkeypatch):
+    rows = contextual() + [(3000, "words call 555-0198 here")]
+    spans = lambda: sorted((r.doc_id, str(r.spans)) for r in pii.extract(docs(rows)).collect())
+    wanted = spans()
+    monkeypatch.setattr(pii, "passes", lambda known, hashes: np.ones(len(hashes), bool))
+    assert spans() == wanted
