@@ -10,8 +10,10 @@ long as the following windows lie on the same stretch of the same reference docu
 looked up themselves, and start the next factor if any reference block holds them. Every factor has at least `width` words; their words are
 the duplicate spans.
 
-Segments of a block hold each window once, so a passage that a third of all documents share reaches the index once a block. Index partitions
-are as many as the input's words require, so that each fits into a task.
+Segments of a block hold each window once, so a passage that a third of all documents share reaches the index once a block, and so does a window
+that one document repeats: the block keeps its other places as runs on the document itself. Index partitions
+are as many as the input's words require, so that each fits into a task. Windows are counted by ranges of anchors first; those of a range with too
+many, as of a short phrase that many documents put in other surroundings, are dealt by their own hash, by which equal windows still meet.
 
 Windows are judged on the input. Null text has no words. A row is known by its identifier and text: rows with equal identifiers are not
 earlier than one another, whatever their texts. Null identifiers come after all others. Columns of the input are kept; those named like a
@@ -33,6 +35,8 @@ from mendline.llm.common import SPACE, chunks, free_name, map_chunks, with_array
 ANCHOR = 6
 #: Windows of a block between two flushes, and about as many in an index partition.
 BLOCK = 1 << 20
+#: Ranges of anchors for each index partition, and the part of a BLOCK of windows that makes a range hot.
+RANGES, HOT = 16, 4
 #: Words of a text hashed at once.
 WORDS = 1 << 18
 #: Bytes of a window's hash that travel, beside four of its anchor.
@@ -106,19 +110,30 @@ def sliding_least(x: np.ndarray, size: int) -> np.ndarray:
     return out
 
 
-def windows(hasher: Hasher, text: str | None, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each window its hash and its anchor."""
+def windows(hasher: Hasher, text: str | None, width: int, hashed: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """For each window its hash, if `hashed`, and its anchor."""
     line, starts, ends = line_of(text)
     hashes, anchors = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)]
     for i in range(0, len(starts) - width + 1, WORDS):
         s, e = starts[i:i + WORDS + width - 1], ends[i:i + WORDS + width - 1]
         prefix = hasher.prefix(line[s[0]:e[-1]])
         s, e = s - s[0], e - s[0]
-        hashes.append(hasher.groups(prefix, s, e, width))
+        if hashed:
+            hashes.append(hasher.groups(prefix, s, e, width))
         anchors.append(sliding_least(hasher.groups(prefix, s, e, ANCHOR), width - ANCHOR + 1))
     return np.concatenate(hashes), np.concatenate(anchors)
 
 
+def dealt(hashes: np.ndarray, n: int) -> np.ndarray:
+    """A number below n for each hash, by its high bits."""
+    return ((hashes >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+
+
+def spread(anchors: np.ndarray) -> np.ndarray:
+    """Anchors are least hashes, so most are small; these are even."""
+    return anchors * np.uint64(BASE)
+
+
 def packed(x: np.ndarray, width: int) -> bytes:
     """Numbers as planes of their lowest bytes: the high planes of small numbers compress to nothing."""
     return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -154,9 +169,9 @@ def runs_of(doc, key, place, ref, ref_place) -> np.ndarray:
     return out
 
 
-def first_occurrences(hashes, anchors, docs, row, place) -> tuple[np.ndarray, np.ndarray]:
-    """Windows that an earlier document holds too, and for each the first occurrence. docs: order keys of the documents that
-    `row` counts."""
+def first_occurrences(hashes, anchors, docs, row, place) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Windows that an earlier document holds too, and for each the first occurrence; the other windows that occur again. docs: order
+    keys of the documents that `row` counts."""
     by_hash = np.argsort(hashes).astype(np.int32)
     sorted_hashes = hashes[by_hash]
     twin = sorted_hashes[1:] == sorted_hashes[:-1]
@@ -170,14 +185,24 @@ def first_occurrences(hashes, anchors, docs, row, place) -> tuple[np.ndarray, np
     new[1:] = (hashes[some[1:]] != hashes[some[:-1]]) | (anchors[some[1:]] != anchors[some[:-1]])
     first = some[np.flatnonzero(new)[np.cumsum(new) - 1]] if len(some) else some
     later = docs[row[some]] > docs[row[first]]
-    return some[later], first[later]
+    return some[later], first[later], some[~later]
+
+
+def own_repeats(hashes, anchors, row, place, some) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the windows `some` that their row holds before, and for each the last occurrence before it."""
+    some = some[np.lexsort((place[some], row[some], anchors[some], hashes[some]))]
+    same = np.ones(max(0, len(some) - 1), bool)
+    for x in (hashes, anchors, row):
+        same &= x[some[1:]] == x[some[:-1]]
+    return some[1:][same], some[:-1][same]
 
 
 class Block:
     """Windows of the documents read since the last flush."""
 
-    def __init__(self, parts: int):
-        self.parts, self.turn = parts, 0
+    def __init__(self, parts: int, hot: np.ndarray):
+        """hot: for each range of anchors, whether its windows are dealt by their own hash."""
+        self.parts, self.hot, self.turn = parts, hot, 0
         self.clear()
 
     def clear(self):
@@ -200,18 +225,22 @@ class Block:
         place = (np.arange(len(hashes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
 
         # A window that an earlier document of this block holds is resolved here.
-        later, first = first_occurrences(hashes, anchors, docs, row, place)
+        later, first, others = first_occurrences(hashes, anchors, docs, row, place)
         known = runs_of(docs[row[later]], keys[row[later]], place[later], docs[row[first]], place[first])
+        # Of a window that its own document holds before, only the place stays: a run whose reference is the document.
+        again, before = own_repeats(hashes, anchors, row, place, others)
+        known = np.concatenate([known, runs_of(docs[row[again]], keys[row[again]], place[again], docs[row[before]], place[before])])
         left = np.ones(len(hashes), bool)
-        left[later] = False
+        left[later] = left[again] = False
         hashes, anchors, row, place = hashes[left], anchors[left], row[left], place[left]
 
-        # Segments: neighbouring windows of a document with one anchor.
+        # Segments: neighbouring windows of a document with one anchor; windows of hot anchors one by one.
+        hot = self.hot[dealt(spread(anchors), len(self.hot))]
         new = np.ones(len(hashes), bool)
-        new[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+        new[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1) | hot[1:]
         at = np.flatnonzero(new)
         size = np.diff(np.append(at, len(hashes)))
-        part = ((anchors[at] >> np.uint64(32)) * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
+        part = dealt(np.where(hot[at], hashes[at], spread(anchors[at])), self.parts)
         order = np.argsort(part, kind="stable")
         at, size, part = at[order], size[order], part[order]
         bounds = np.searchsorted(part, np.arange(self.parts + 1))
@@ -245,7 +274,7 @@ def look_up(segments: pa.Table) -> pa.Table:
         hashes.append(unpacked(r["hashes"], HASH_BYTES))
     docs, keys, known = map(np.concatenate, (docs, keys, known))
     row, place, anchors, hashes = (np.concatenate(x) for x in (row, place, anchors, hashes))
-    later, first = first_occurrences(hashes, anchors, docs, row, place)
+    later, first, _ = first_occurrences(hashes, anchors, docs, row, place)
     found = runs_of(docs[row[later]], keys[row[later]], place[later], docs[row[first]], place[first])
     runs = np.concatenate([known, found])
     return pa.table({name: np.ascontiguousarray(runs[name]) for name in RUN_TYPE.names})
@@ -255,13 +284,32 @@ def row_key(text: str | None) -> int:
     return zlib.crc32((text or "").encode("utf-8")) - (1 << 31)
 
 
+def hot_ranges(df: DataFrame, parts: int, *, width: int, text: str) -> np.ndarray:
+    """Which ranges of anchors hold too many windows for one index partition."""
+    n = RANGES * parts
+
+    def count(batches):
+        hasher, held = Hasher(), np.zeros(n, np.int64)
+        for _, texts in chunks(batches, text):
+            for t in texts:
+                held += np.bincount(dealt(spread(windows(hasher, t, width, False)[1]), n), minlength=n)
+        at = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(held[at], pa.int64())], names=["slot", "n"])
+
+    sums = df.select(text).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    out = np.zeros(n, bool)
+    out[[r.slot for r in sums.where(F.col("n") > BLOCK // HOT).collect()]] = True  # a few for each partition at most
+    return out
+
+
 def repeated_runs(df: DataFrame, *, width: int, text: str, id_col: str) -> DataFrame:
     """Runs of windows that earlier documents hold, by document and row key."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = size // (6 * BLOCK) + 1  # about a BLOCK of windows each, at six bytes a word
+    hot = hot_ranges(df, parts, width=width, text=text) if parts > 1 else np.zeros(1, bool)
 
     def cut(batches):
-        hasher, block = Hasher(), Block(parts)
+        hasher, block = Hasher(), Block(parts, hot)
         for batch, texts in chunks(batches, text):
             for doc, t in zip(batch.column(batch.schema.get_field_index(id_col)).to_pylist(), texts):
                 block.add(LAST if doc is None else doc, row_key(t), *windows(hasher, t, width))
@@ -274,6 +322,28 @@ def repeated_runs(df: DataFrame, *, width: int, text: str, id_col: str) -> DataF
     return dealt.groupBy("part").applyInArrow(look_up, RUNS)
 
 
+def resolved(doc: int, runs: list[dict]) -> list[dict]:
+    """The runs on earlier documents, with those that the document's runs on itself make of them."""
+    own = [r for r in runs if r["ref"] == doc]
+    if not own or len(own) == len(runs):
+        return [] if own else runs
+    n = max(r["start"] + r["n"] for r in runs)
+    origin, held = np.arange(n), np.zeros(n, bool)
+    ref, ref_place = np.zeros(n, np.int64), np.zeros(n, np.int64)
+    for r in runs:
+        at = slice(r["start"], r["start"] + r["n"])
+        if r["ref"] == doc:
+            origin[at] = np.arange(r["ref_start"], r["ref_start"] + r["n"])
+        else:
+            held[at], ref[at], ref_place[at] = True, r["ref"], np.arange(r["ref_start"], r["ref_start"] + r["n"])
+    while (origin[origin] != origin).any():
+        origin = origin[origin]
+    place = np.flatnonzero(held[origin])
+    zeros = np.zeros(len(place), np.int64)
+    joined = runs_of(zeros, zeros, place, ref[origin[place]], ref_place[origin[place]])
+    return [dict(zip(("start", "n", "ref", "ref_start"), x)) for x in joined[["start", "n", "ref", "ref_start"]].tolist()]
+
+
 def factors(runs: list[dict], width: int) -> list[tuple[int, int, int, int]]:
     """Greedy parse: (first word, end word, reference, first word there). A run that goes on where the factor before it
     stops, on the same stretch, lengthens it; one on another stretch, straddling the factor's end, starts the next."""
@@ -311,9 +381,10 @@ def substring_duplicates(df: DataFrame, *, width: int = 13, text: str = "text",
     def make():
         def step(batch, texts):
             n_words, n_removed, kept, spans = [], [], [], []
-            for t, found in zip(texts, batch.column(batch.schema.get_field_index(r_runs)).to_pylist()):
+            ids, lists = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (id_col, r_runs))
+            for t, doc, found in zip(texts, ids, lists):
                 line, starts, ends = line_of(t)
-                parsed = factors(found or [], width)
+                parsed = factors(resolved(LAST if doc is None else doc, found or []), width)
                 if parsed:
                     drop = np.zeros(len(starts), bool)
                     for a, b, _, _ in parsed:

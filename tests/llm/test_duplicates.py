@@ -4,6 +4,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import functions as F
 
@@ -175,3 +176,46 @@ def test_hash_of_a_group_is_the_same_everywhere():
     line, starts, ends = substring.line_of(text)
     groups = hasher.groups(hasher.prefix(line), starts, ends, 6)
     assert groups[1] == groups[8] and len(set(groups.tolist())) == len(groups) - 1
+
+
+def index_load(df, width=13):
+    """Windows that reach each index partition."""
+    loads, inner = [], substring.look_up
+
+    def look_up(segments):
+        n = sum(len(segments.column("hashes")[i].as_py()) // substring.HASH_BYTES for i in range(segments.num_rows))
+        out = inner(segments)
+        return pa.table({name: pa.array([n] * (name == "n"), out.schema.field(name).type) if name == "n" else pa.array([0], out.schema.field(name).type)
+                         for name in out.column_names})
+
+    substring.look_up = look_up
+    try:
+        loads = [r.n for r in substring.repeated_runs(df, width=width, text="text", id_col="doc_id").collect()]
+    finally:
+        substring.look_up = inner
+    return loads
+
+
+def test_substring_hot_anchor_is_dealt_out(docs, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK", 300)
+    hasher = substring.Hasher()
+    least = lambda t: substring.windows(hasher, t, 6)[1].min()
+    hot = min((f"phrase {k} that all do hold" for k in range(1000)), key=least)  # the anchor of every window around it
+    rows = [(i, " ".join([*(f"a{i}_{j}" for j in range(12)), hot, *(f"b{i % 150}_{j}" for j in range(12))])) for i in range(300)]
+    df = docs(rows).repartition(3)
+    got = substring.substring_duplicates(df).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got} == plain_substring(rows, 13)
+    with_hot = max(index_load(df))
+    monkeypatch.setattr(substring, "hot_ranges", lambda df, parts, **_: np.zeros(parts, bool))
+    assert with_hot < max(index_load(df)) / 2
+
+
+def test_substring_repeats_inside_a_document_are_sent_once(docs, monkeypatch):
+    monkeypatch.setattr(substring, "BLOCK", 300)
+    period = " ".join(f"w{j}" for j in range(20))
+    rows = [(1, f"{period} x"), (2, f"y {period} " + f"{period} " * 30), (3, "z " * 2000), (None, f"{period} " * 3), (4, "z " * 40 + period)]
+    df = docs(rows).repartition(4)
+    got = substring.substring_duplicates(df).collect()
+    assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got if r.doc_id} == plain_substring([r for r in rows if r[0]], 13)
+    assert [r.n_removed for r in got if r.doc_id is None] == [60]
+    assert sum(index_load(df)) < 250
