@@ -15,7 +15,7 @@ that one document repeats: the block keeps its other places as runs on the docum
 are as many as the input's words require, so that each fits into a task. Windows are counted by ranges of anchors first; those of a range with too
 many, as of a short phrase that many documents put in other surroundings, are dealt by their own hash, by which equal windows still meet.
 
-Windows are judged on the input. Null text has no words. A row is known by its identifier and text: rows with equal identifiers are not
+Windows are judged on the input. Null text has no words. A row is known by its identifier and a 64-bit hash of its text: rows with equal identifiers are not
 earlier than one another, whatever their texts. Null identifiers come after all others. Columns of the input are kept; those named like a
 result are replaced. An empty table gives no rows.
 """
@@ -23,11 +23,10 @@ result are replaced. An empty table gives no rows.
 from __future__ import annotations
 
 import re
-import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from mendline.llm.common import SPACE, chunks, free_name, map_chunks, with_arrays
 
@@ -150,8 +149,8 @@ def unpacked(planes: bytes, width: int) -> np.ndarray:
 SEGMENTS = "part int, docs binary, keys binary, counts binary, starts binary, sizes binary, anchors binary, hashes binary, known binary"
 NAMES = ["part", "docs", "keys", "counts", "starts", "sizes", "anchors", "hashes", "known"]
 #: A run of windows that an earlier document holds: its document and first window, and where the run begins in the earlier one.
-RUN_TYPE = np.dtype([("doc", "<i8"), ("key", "<i4"), ("start", "<i4"), ("n", "<i4"), ("ref", "<i8"), ("ref_start", "<i4")])
-RUNS = "doc long, key int, start int, n int, ref long, ref_start int"
+RUN_TYPE = np.dtype([("doc", "<i8"), ("key", "<i8"), ("start", "<i4"), ("n", "<i4"), ("ref", "<i8"), ("ref_start", "<i4")])
+RUNS = "doc long, key long, start int, n int, ref long, ref_start int"
 
 
 def runs_of(doc, key, place, ref, ref_place) -> np.ndarray:
@@ -249,7 +248,7 @@ class Block:
             a, n = at[bounds[p]:bounds[p + 1]], size[bounds[p]:bounds[p + 1]]
             index = np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
             used, counts = np.unique(row[a], return_counts=True)  # segments are in order of documents
-            rows.append((p, packed(docs[used], 8), packed(keys[used], 4), packed(counts, 4), packed(place[a], 4), packed(n, 4),
+            rows.append((p, packed(docs[used], 8), packed(keys[used], 8), packed(counts, 4), packed(place[a], 4), packed(n, 4),
                          packed(anchors[a], 4), packed(hashes[index], HASH_BYTES), b""))
         self.turn = (self.turn + 1) % self.parts
         rows.append((self.turn, *(b"" for _ in NAMES[2:]), known.tobytes()))
@@ -264,7 +263,7 @@ def look_up(segments: pa.Table) -> pa.Table:
         r = {name: segments.column(name)[i].as_py() for name in NAMES[1:]}
         known.append(np.frombuffer(r["known"], RUN_TYPE))
         docs.append(unpacked(r["docs"], 8).view(np.int64))
-        keys.append(unpacked(r["keys"], 4).astype(np.int64))
+        keys.append(unpacked(r["keys"], 8).view(np.int64))
         size = unpacked(r["sizes"], 4).astype(np.int64)
         own = np.repeat(np.arange(n_docs, n_docs + len(docs[-1]), dtype=np.int32), unpacked(r["counts"], 4).astype(np.int64))
         n_docs += len(docs[-1])
@@ -280,8 +279,8 @@ def look_up(segments: pa.Table) -> pa.Table:
     return pa.table({name: np.ascontiguousarray(runs[name]) for name in RUN_TYPE.names})
 
 
-def row_key(text: str | None) -> int:
-    return zlib.crc32((text or "").encode("utf-8")) - (1 << 31)
+def row_key(text: str) -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
 
 
 def hot_ranges(df: DataFrame, parts: int, *, width: int, text: str) -> np.ndarray:
@@ -306,20 +305,22 @@ def repeated_runs(df: DataFrame, *, width: int, text: str, id_col: str) -> DataF
     """Runs of windows that earlier documents hold, by document and row key."""
     size = df.agg(F.sum(F.octet_length(text))).first()[0] or 0
     parts = size // (6 * BLOCK) + 1  # about a BLOCK of windows each, at six bytes a word
+    key = free_name(df.select(id_col, text), "row_key")
     hot = hot_ranges(df, parts, width=width, text=text) if parts > 1 else np.zeros(1, bool)
 
     def cut(batches):
         hasher, block = Hasher(), Block(parts, hot)
         for batch, texts in chunks(batches, text):
-            for doc, t in zip(batch.column(batch.schema.get_field_index(id_col)).to_pylist(), texts):
-                block.add(LAST if doc is None else doc, row_key(t), *windows(hasher, t, width))
+            ids, keys = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in (id_col, key))
+            for doc, k, t in zip(ids, keys, texts):
+                block.add(LAST if doc is None else doc, k, *windows(hasher, t, width))
                 if block.held >= BLOCK:
                     yield block.flush()
         if block.held:
             yield block.flush()
 
-    dealt = df.select(id_col, text).mapInArrow(cut, SEGMENTS)
-    return dealt.groupBy("part").applyInArrow(look_up, RUNS)
+    segments = df.select(id_col, text, row_key(text).alias(key)).mapInArrow(cut, SEGMENTS)
+    return segments.groupBy("part").applyInArrow(look_up, RUNS)
 
 
 def resolved(doc: int, runs: list[dict]) -> list[dict]:
@@ -371,8 +372,8 @@ def substring_duplicates(df: DataFrame, *, width: int = 13, text: str = "text",
     runs = repeated_runs(df, width=width, text=text, id_col=id_col)
     r_doc, r_key, r_runs, key = (free_name(df, n) for n in ("run_doc", "run_key", "runs", "row_key"))
     lists = runs.groupBy(F.col("doc").alias(r_doc), F.col("key").alias(r_key)).agg(
-        F.collect_list(F.struct("start", "n", "ref", "ref_start")).alias(r_runs))
-    keyed = df.withColumn(key, (F.crc32(F.encode(F.coalesce(text, F.lit("")), "UTF-8")) - F.lit(1 << 31)).cast("int"))
+        F.collect_set(F.struct("start", "n", "ref", "ref_start")).alias(r_runs))
+    keyed = df.withColumn(key, row_key(text))
     joined = keyed.join(lists, (F.coalesce(F.col(id_col), F.lit(LAST)) == F.col(r_doc)) & (F.col(key) == F.col(r_key)), "left")
     columns = df.columns
     wanted = columns if keep is None else keep

@@ -219,3 +219,12 @@ def test_substring_repeats_inside_a_document_are_sent_once(docs, monkeypatch):
     assert {r.doc_id: (r.n_words, r.n_removed, r.kept_text) for r in got if r.doc_id} == plain_substring([r for r in rows if r[0]], 13)
     assert [r.n_removed for r in got if r.doc_id is None] == [60]
     assert sum(index_load(df)) < 250
+
+
+def test_substring_rows_without_id_are_told_apart(docs):
+    tail = " ".join(f"w{i}" for i in range(12)) + " and the rest"
+    # "plumless" and "buckeroo" have the same crc32.
+    rows = [(1, f"plumless {tail} of one"), (None, f"plumless {tail}"), (None, f"buckeroo {tail}"), *[(None, f"plumless {tail}")] * 3]
+    got = substring.substring_duplicates(docs(rows).repartition(3)).collect()
+    assert sorted(r.n_removed for r in got if r.doc_id is None and r.text.startswith("buckeroo")) == [15]
+    assert {(r.n_removed, len(r.factors)) for r in got if r.doc_id is None and r.text.startswith("plumless")} == {(16, 1)}
