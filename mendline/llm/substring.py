@@ -1,14 +1,13 @@
-"""Repeated passages by relative Lempel-Ziv parsing against an index of first occurrences.
+"""Repeated passages by an index of first occurrences of windows, which stands in place of a relative Lempel-Ziv parse.
 
 The reference is the corpus itself, cut into blocks: a block is what one task reads between two flushes. Each window of
 `width` words is known by a hash, and belongs to an anchor, the smallest hash among the `ANCHOR`-word groups inside it; consecutive windows
 mostly share their anchor, so a segment of them travels as one packed piece. Blocks send their segments, in each only the first occurrence
 of a window, to the index partition of the anchor, which keeps for every window the document and place where it occurs first.
 
-A document is then factored greedily: a window that an earlier document holds starts a factor, which grows as
-long as the following windows lie on the same stretch of the same reference document. Windows that straddle the end of a factor are
-looked up themselves, and start the next factor if any reference block holds them. Every factor has at least `width` words; their words are
-the duplicate spans.
+The index alone decides which words are duplicate: those of windows that an earlier document holds. There is no greedy longest match: each
+window is tied to its one first occurrence, and factors are the runs of windows on one stretch of one reference document. A factor ends
+where the first occurrence lies elsewhere, though an earlier document may hold more. Every factor has at least `width` words.
 
 Segments of a block hold each window once, so a passage that a third of all documents share reaches the index once a block, and so does a window
 that one document repeats: the block keeps its other places as runs on the document itself. Index partitions
@@ -346,7 +345,7 @@ def resolved(doc: int, runs: list[dict]) -> list[dict]:
 
 
 def factors(runs: list[dict], width: int) -> list[tuple[int, int, int, int]]:
-    """Greedy parse: (first word, end word, reference, first word there). A run that goes on where the factor before it
+    """Runs joined: (first word, end word, reference, first word there). A run that goes on where the factor before it
     stops, on the same stretch, lengthens it; one on another stretch, straddling the factor's end, starts the next."""
     out: list[tuple[int, int, int, int]] = []
     for r in sorted(runs, key=lambda r: r["start"]):
