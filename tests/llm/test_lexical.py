@@ -1,0 +1,95 @@
+import math
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from mendline.llm import lexical
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+KIND = "doc_id long, text string, n long"
+
+
+def terms(text):
+    return Counter(TERM.findall((text or "").translate(UPPER)))
+
+
+def plain_ranks(docs, items, k=10):
+    counted = [(d, terms(t)) for d, t in docs]
+    counted = [(d, c) for d, c in counted if c]
+    n_docs, n_terms = len(counted), sum(c.total() for _, c in counted)
+    df = Counter(t for _, c in counted for t in c)
+    out = []
+    for item, text in items:
+        scored = []
+        for d, c in counted:
+            m = 25 + 75 * c.total() * n_docs // n_terms
+            score = sum(times * math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m))
+                        for t, times in terms(text).items() if t in c)
+            if score > 0:
+                scored.append((-score, d is None, d or 0))
+        out += [(item, r + 1, None if none else d, -s) for r, (s, none, d) in enumerate(sorted(scored)[:k])]
+    return sorted(out, key=str)
+
+
+def corpus(seed):
+    pick = random.Random(seed)
+    words = ["w%d" % i for i in range(300)] + ["Straße", "文字", "É", "a"]
+    say = lambda n: pick.choice([" ", ", ", "-"]).join(pick.choice(words[:20 if pick.random() < 0.3 else 304]) for _ in range(n))
+    docs = [(i, say(pick.randint(1, 60))) for i in range(300)]
+    items = [(i, say(pick.randint(1, 12))) for i in range(20)]
+    docs += [(300 + i, items[3][1] + " " + say(i)) for i in range(15)]  # passages
+    docs += [(400 + i, "a same a text w1") for i in range(60)]  # copies
+    docs += [(None, None), (501, None), (502, ""), (503, " .,\n"), (None, items[3][1]), (504, "w1 " * 50_000), (5, "w2"), (5, "w2"), (505, "X" * 100_000)]
+    items += [(20, None), (21, ""), (22, "a a w1 W1"), (3, items[3][1]), (23, "unheard"), (None, "w7")]
+    return docs, items
+
+
+@pytest.mark.parametrize("seed,n_terms,leaf", [(1, 16_384, 8), (2, 60, 2)])
+def test_ranks_against_brute_force(spark, monkeypatch, seed, n_terms, leaf):
+    for name, value in (("TERMS", n_terms), ("LEAF", leaf), ("CELLS", 20_000), ("STEP", 1000)):
+        monkeypatch.setattr(lexical, name, value)
+    docs, items = corpus(seed)
+    frame = spark.createDataFrame([(*d, 1) for d in docs], KIND).repartition(3)
+    got = lexical.rank_documents(frame, spark.createDataFrame([(*i, "x") for i in items], "item_id long, text string, Terms string"))
+    assert sorted(map(tuple, got.collect()), key=str) == plain_ranks(docs, items)
+
+
+def test_empty_tables(spark):
+    none, one = spark.createDataFrame([], KIND), spark.createDataFrame([(1, "a", 1)], KIND)
+    items = lambda rows: spark.createDataFrame(rows, "item_id long, text string")
+    assert lexical.rank_documents(none, items([(1, "a")])).collect() == []
+    assert lexical.rank_documents(one, items([])).collect() == []
+    assert [tuple(r) for r in lexical.rank_documents(one, items([(1, "a")])).collect()] == plain_ranks([(1, "a")], [(1, "a")])
+
+
+def test_terms_of_any_text():
+    pick = random.Random(4)
+    signs = [chr(i) for i in range(128)] + list("Éß文\U0001d4d0")
+    for _ in range(200):
+        text = "".join(pick.choice(signs) for _ in range(pick.randint(0, 80)))
+        counts, n = lexical.count_terms(text)
+        assert counts == {t.encode(): c for t, c in terms(text).items()} and n == terms(text).total()
+
+
+def test_bounds_hold_and_prune():
+    pick = np.random.default_rng(5)
+    topic = pick.integers(0, 10, 600)
+    columns = [np.unique(pick.integers(0, 30, 12) + 30 * t) for t in topic]
+    values = [pick.integers(1, 10**10, len(c)) for c in columns]
+    tree = lexical.Tree(columns, values, 300)
+    items = np.zeros((20, 300), np.int64)
+    for i in range(20):
+        np.add.at(items[i], pick.integers(0, 30, 6) + 30 * (i % 10), 1)
+    scores = np.array([[int(item[c] @ v) for c, v in zip(columns, values)] for item in items])
+    bounds = tree.bounds(items.astype(float))
+    for node, (start, end) in enumerate(tree.spans):
+        assert (bounds[:, node] >= scores[:, tree.order[start:end]].max(axis=1)).all()
+    best = [[] for _ in items]
+    visited = lexical.search(tree, list(range(600)), items, best, 10)
+    assert [[(-s, d) for s, _, d in b] for b in best] == [
+        [(s, d) for s, d in sorted(zip(row.tolist(), range(600)), key=lambda x: (-x[0], x[1]))[:10] if s > 0] for row in scores]
+    assert visited < 20 * sum(c is None for c in tree.children) / 3
