@@ -11,10 +11,9 @@ SALTS = 64
 
 
 def log_length(vector: Column) -> Column:
-    """Logarithm to the base 2 of a vector's length; it is not zero. Scaled by its largest component, so that no square overflows."""
-    most = F.array_max(F.transform(vector, lambda x: F.abs(x).cast("double")))
-    square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + (x.cast("double") / most) * (x.cast("double") / most))
-    return F.log2(most) + F.log2(square) / 2
+    """Logarithm to the base 2 of a vector's length, kept within the range of doubles."""
+    square = F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return F.log2(F.greatest(F.least(square, F.lit(1e300)), F.lit(1e-300))) / 2
 
 
 def one_per_id(rows: DataFrame, *values: str) -> DataFrame:
