@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame, types as T
 
 from mendline.llm.common import map_chunks, with_arrays
 
-#: Chunks and pieces remembered per Python worker, at most twice as many.
-CHUNKS, PIECES = 300_000, 200_000
+#: Bytes of chunks and of pieces remembered per Python worker, at most twice as many; longer entries are not remembered.
+CHUNKS, PIECES, LONG = 64_000_000, 64_000_000, 200
+#: What an entry takes beside its key and value, about.
+ENTRY = 180
 #: Marks that often follow a word.
 BEHIND = frozenset(".,;:!?")
 #: Code points whose class depends on the age of the Unicode tables; the vocabulary's own library must tell it.
@@ -42,20 +44,23 @@ def byte_letters() -> list[str]:
 
 
 class Memory(dict):
-    """A dictionary that works out what it lacks. When it is full it becomes the older generation, from which entries in
+    """A dictionary that works out what it lacks. When it is full, by bytes, it becomes the older generation, from which entries in
     use come back, and that one is dropped."""
 
     def __init__(self, make, most: int):
         super().__init__()
-        self.make, self.most, self.older = make, most, {}
+        self.make, self.most, self.bytes, self.older = make, most, 0, {}
 
     def __missing__(self, key):
-        if len(self) >= self.most:
-            self.older = dict(self)
-            self.clear()
         value = self.older.get(key)
         if value is None:
             value = self.make(key)
+        if len(key) > LONG:
+            return value
+        if self.bytes >= self.most:
+            self.older, self.bytes = dict(self), 0
+            self.clear()
+        self.bytes += len(key) + len(value) + ENTRY
         self[key] = value
         return value
 

@@ -20,16 +20,20 @@ from __future__ import annotations
 
 import itertools
 import os
+import re
+import unicodedata
 import zlib
 from array import array
+from collections.abc import Iterator
 from collections import deque
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, types as T
 
-from mendline.llm.bpe import CHUNKS, PIECES, Memory, WordCoder, id_lists
+from mendline.llm.bpe import CHUNKS, PIECES, YOUNG, Memory, WordCoder, id_lists
 from mendline.llm.common import chunks
 
 #: Price of a cut behind a sentence and elsewhere, in tokens of padding; behind a document it is free.
@@ -38,6 +42,8 @@ SENTENCE, ELSEWHERE = 4, 24
 APART = 32
 #: Tokens of a stream solved together, at least.
 BLOCK = 400_000
+#: Characters of a text that are cut into pieces at once, at least.
+STEP = 1_000_000
 
 PIECE = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()),
@@ -47,20 +53,48 @@ PIECE = T.StructType([
 IDS = T.StructField("ids", T.ArrayType(T.IntegerType()))
 
 
+#: Marks that often follow a word.
+MARKS = ".,;:!?"
+BLANK = re.compile("[ \t-\r]")
+
+
+def stretches(text: str) -> Iterator[str]:
+    """A text cut at white space into parts of bounded length, but for longer runs without any."""
+    start = 0
+    while len(text) - start > STEP and (found := BLANK.search(text, start + STEP)):
+        yield text[start:found.start()]
+        start = found.end()
+    yield text[start:] if start else text
+
+
 class LibraryIds:
-    """Ids by the tokenizers library, with a bounded memory of white-space-free chunks and of their pieces."""
+    """Ids by the tokenizers library. A text of plain signs is cut into pieces by the vocabulary's rule, here as one regular expression, and the
+    library's model is asked once for each piece; other texts go through the library chunk by chunk. Memories are bounded in bytes."""
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.rules = WordCoder(path)
         self.library = self.rules.library
-        self.chunks = Memory(self.chunk, CHUNKS)
-        self.pieces = Memory(self.piece, PIECES)
+        self.tokenize = self.library.model.tokenize
+        self.chunks = Memory(self.chunk, CHUNKS // 4)
+        self.pieces = Memory(self.piece, PIECES // 4)
+        self.words = Memory(self.word, PIECES * 5 // 2)
+        signs = [chr(c) for c in range(0x530)]
+        plain = "".join(c for c in signs if (c.isprintable() or BLANK.match(c)) and not YOUNG.match(c))
+        self.odd = re.compile(f"[^{re.escape(plain)}]")
+        # The rule with its classes spelt out for the signs that are plain. They must all stand within brackets.
+        rule = self.rules.piece.pattern
+        within = "\\p" not in re.sub(r"\[[^]]*\]", "", rule)
+        for name in ("\\p{L}", "\\p{N}", "\\p{White_Space}"):
+            rule = rule.replace(name, re.escape("".join(c for c in plain if regex.fullmatch(name, c))))
+        known = re.escape("".join(c for c in plain if regex.fullmatch(r"[\p{L}\p{N}\p{White_Space}]", c)))
+        self.closed = re.compile(f"[^{known}][{MARKS}][ \\n]")
+        self.rule = re.compile(rule) if within and "\\p" not in rule else None
 
     def piece(self, piece: str) -> bytes:
         """Ids of a piece that the library's normaliser and splitter would leave as it is: its model alone."""
         letters = piece if piece.isascii() else "".join(map(self.rules.letters.__getitem__, piece.encode("utf-8")))
-        return array("I", [t.id for t in self.library.model.tokenize(letters)]).tobytes()
+        return array("I", [t.id for t in self.tokenize(letters)]).tobytes()
 
     def chunk(self, chunk: bytes) -> bytes:
         text = chunk.decode("utf-8")
@@ -69,7 +103,31 @@ class LibraryIds:
         return array("I", self.library.encode(text, add_special_tokens=False).ids).tobytes()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.chunks.__getitem__, (text or "").encode("utf-8").split())), np.uint32)
+        return np.frombuffer(b"".join(itertools.chain.from_iterable(map(self.ids, stretches(text or "")))), np.uint32)
+
+    def ids(self, part: str) -> Iterator[bytes]:
+        if self.rule is not None and self.rules.mark not in part:
+            normal = self.normal(part)
+            # Both: what is normal may be beyond the plain signs although the part isn't, and the other way round.
+            if not self.odd.search(normal) and (part.isascii() or not self.odd.search(part)):
+                # A mark behind a letter or number is a piece of its own, so it may stand alone; not so behind other signs.
+                if not self.closed.search(normal):
+                    for mark in MARKS:
+                        normal = normal.replace(f"{mark} ", f" {mark} ").replace(f"{mark}\n", f" {mark}\n")
+                return map(self.words.__getitem__, normal.split())
+        return map(self.chunks.__getitem__, part.encode("utf-8").split())
+
+    def word(self, word: str) -> bytes:
+        """Ids of a run of plain signs without white space, already normal."""
+        if word.isalpha():
+            return self.piece(word)
+        pieces = self.rule.findall(word)
+        return self.piece(word) if len(pieces) == 1 else b"".join(map(self.words.__getitem__, pieces))
+
+    @staticmethod
+    def normal(part: str) -> str:
+        """As the vocabulary's normaliser: lower case letter by letter, so that a final sigma is a sigma."""
+        return (part if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ")).lower()
 
     def sentence_ends(self) -> np.ndarray:
         """For each id, whether its string closes a sentence: a full stop or the like, alone or before closing signs."""
@@ -91,15 +149,18 @@ def library_ids(path: str) -> LibraryIds:
 
 def places(doc_ends: np.ndarray, sentence_ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Where a cut may fall, ascending, and its price; the last is the end of the stream."""
-    known = np.union1d(doc_ends, sentence_ends)
+    prices = np.zeros(int(max(doc_ends[-1], sentence_ends.max(initial=0))) + 1, np.int64)
+    prices[sentence_ends] = SENTENCE + 1
+    prices[doc_ends] = 1
+    prices[0] = 0
+    known = np.flatnonzero(prices)
     gaps = np.diff(known, prepend=0)
     wide = np.flatnonzero(gaps > APART)
-    extra = [np.arange(known[i] - gaps[i] + APART, known[i], APART) for i in wide]
-    at = np.union1d(known, np.concatenate(extra)) if extra else known
-    price = np.full(len(at), ELSEWHERE)
-    price[np.searchsorted(at, sentence_ends)] = SENTENCE
-    price[np.searchsorted(at, doc_ends)] = 0
-    return at, price
+    steps = (gaps[wide] - 1) // APART
+    number = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps)
+    prices[np.repeat(known[wide] - gaps[wide], steps) + APART * (number + 1)] = ELSEWHERE + 1
+    at = np.flatnonzero(prices)
+    return at, prices[at] - 1
 
 
 def cuts(at: np.ndarray, price: np.ndarray, width: int) -> list[int]:
@@ -195,9 +256,9 @@ class Stream:
 
 def pack(df: DataFrame, path: str, *, width: int = 4096, end_id: int = 2, with_ids: bool = False) -> DataFrame:
     """One row per piece of a document: where it starts in its document, its length and checksum, and its sequence and
-    place there; `with_ids` adds the ids. `width` must be a power of two."""
-    if width & (width - 1):
-        raise ValueError("width must be a power of two")
+    place there; `with_ids` adds the ids. `width` must be a power of two, and no less than the distance of places to cut (APART)."""
+    if width & (width - 1) or width < APART:
+        raise ValueError(f"width must be a power of two from {APART} on")
     schema = T.StructType([*PIECE.fields, IDS]) if with_ids else PIECE
 
     def run(batches):

@@ -35,10 +35,49 @@ def test_ids_and_texts_agree_with_the_library(library):
 
 def test_memory_keeps_what_is_in_use():
     made = []
-    memory = bpe.Memory(lambda k: made.append(k) or k, 3)
-    for k in (1, 2, 3, 1, 4, 1, 5, 6, 1):
+    memory = bpe.Memory(lambda k: made.append(k) or k, 3 * (bpe.ENTRY + 2))
+    for k in "123141561":
         assert memory[k] == k
-    assert made.count(1) == 1 and len(memory) <= 3
+    assert made.count("1") == 1 and len(memory) <= 3
+
+
+def test_memory_is_bounded_in_bytes():
+    memory = bpe.Memory(lambda k: k * 3, 10_000)
+    for i in range(2000):
+        key = f"{i}-" * (i % 90)
+        assert memory[key] == key * 3
+    assert all(sum(len(k) + len(v) + bpe.ENTRY for k, v in m.items()) <= 10_000 + bpe.LONG * 4 + bpe.ENTRY for m in (memory, memory.older))
+    assert not any(len(k) > bpe.LONG for k in memory)
+
+
+def test_plain_and_odd_texts_have_the_ids_of_the_library(monkeypatch):
+    monkeypatch.setattr(packing, "STEP", 20)
+    ids_of, pick = packing.library_ids(PATH), random.Random(2)
+    signs = [chr(i) for i in range(0x530)] + list("文\U0001d4d0\u3000 ")
+    texts = ["Word, word. WORD!\nit's 12.5 (so). Ünï", "a" * 50, "", " \n", "\u03a5\u0300", "Ⱥ b", "<|endoftext|> x."]
+    texts += ["".join(pick.choice(signs if pick.random() < 0.2 else signs[:128] + list(".,!? \n") * 6) for _ in range(pick.randint(0, 60)))
+              for _ in range(4000)]
+    for t in texts:
+        assert ids_of(t).tolist() == ids_of.library.encode(t, add_special_tokens=False).ids, ascii(t)
+
+
+def test_places_cover_the_stream():
+    pick = random.Random(3)
+    for _ in range(200):
+        ends = np.cumsum([pick.randint(1, 100) for _ in range(pick.randint(1, 8))])
+        sentences = np.array(sorted(pick.sample(range(1, int(ends[-1]) + 1), min(int(ends[-1]), pick.randint(0, 9)))), np.int64)
+        at, price = packing.places(ends, sentences)
+        known = sorted({*ends.tolist(), *sentences.tolist()})
+        want = {k: 0 if k in ends else packing.SENTENCE for k in known}
+        for a, b in zip([0, *known], known):
+            want |= {p: packing.ELSEWHERE for p in range(a + packing.APART, b, packing.APART)}
+        assert dict(zip(at.tolist(), price.tolist())) == want and list(at) == sorted(at)
+
+
+def test_width_is_checked(docs):
+    for width in (16, 100):
+        with pytest.raises(ValueError):
+            packing.pack(docs(), PATH, width=width)
 
 
 def test_columns_of_odd_rows(docs, library):
