@@ -140,39 +140,41 @@ def _retries(doubling: bool) -> str:
 
 
 def _limited(timeout_ms: int | None, max_buffer: int | None) -> str:
-    """Row by row per record: the open gap and its size are carried from row to row. Ends in `d`."""
+    """Row by row per record: the open gap and its size are carried from row to row, as numbers alone. Ends in `d`."""
     expired = f"(s.opened_at IS NOT NULL AND r.ts > s.opened_at + {timeout_ms})" if timeout_ms else "false"
     over = f"s.n + 1 > {max_buffer}" if max_buffer else "false"
     return f"""WITH RECURSIVE {_INPUT},
-r AS (SELECT *, row_number() OVER (PARTITION BY record_id ORDER BY seq) AS rn FROM b),
+r AS (SELECT record_id, seq, ts, CASE kind WHEN 'F' THEN 1 WHEN 'G' THEN 2 ELSE 3 END AS kind,
+    row_number() OVER (PARTITION BY record_id ORDER BY seq) AS rn FROM b),
 st AS (
   SELECT record_id, CAST(0 AS BIGINT) AS rn, CAST(NULL AS BIGINT) AS seq, CAST(NULL AS BIGINT) AS opened_at,
     CAST(NULL AS BIGINT) AS open_seq, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS expired_seq,
-    CAST(NULL AS BIGINT) AS acted_seq, CAST(NULL AS VARCHAR) AS act
+    CAST(NULL AS BIGINT) AS acted_seq, CAST(NULL AS BIGINT) AS act
   FROM r WHERE rn = 1
   UNION ALL
   SELECT r.record_id, r.rn, r.seq,
-    CASE WHEN r.kind = 'F' THEN NULL WHEN r.kind = 'G' THEN CASE WHEN s.opened_at IS NULL OR {expired} THEN r.ts ELSE s.opened_at END
+    CASE WHEN r.kind = 1 THEN NULL WHEN r.kind = 2 THEN CASE WHEN s.opened_at IS NULL OR {expired} THEN r.ts ELSE s.opened_at END
       WHEN s.opened_at IS NULL OR {expired} OR {over} THEN NULL ELSE s.opened_at END,
-    CASE WHEN r.kind = 'F' THEN NULL WHEN r.kind = 'G' THEN CASE WHEN s.opened_at IS NULL OR {expired} THEN r.seq ELSE s.open_seq END
+    CASE WHEN r.kind = 1 THEN NULL WHEN r.kind = 2 THEN CASE WHEN s.opened_at IS NULL OR {expired} THEN r.seq ELSE s.open_seq END
       WHEN s.opened_at IS NULL OR {expired} OR {over} THEN NULL ELSE s.open_seq END,
-    CASE WHEN r.kind = 'N' AND s.opened_at IS NOT NULL AND NOT {expired} THEN s.n + 1
-      WHEN r.kind = 'G' AND s.opened_at IS NOT NULL AND NOT {expired} THEN s.n ELSE 0 END,
+    CASE WHEN r.kind = 3 AND s.opened_at IS NOT NULL AND NOT {expired} THEN s.n + 1
+      WHEN r.kind = 2 AND s.opened_at IS NOT NULL AND NOT {expired} THEN s.n ELSE 0 END,
     CASE WHEN {expired} THEN s.open_seq END,
     CASE WHEN s.opened_at IS NOT NULL AND NOT {expired} THEN s.open_seq END,
-    CASE WHEN s.opened_at IS NULL OR {expired} THEN CASE r.kind WHEN 'F' THEN 'fill_ignored' WHEN 'G' THEN 'command' ELSE 'forwarded' END
-      ELSE CASE r.kind WHEN 'F' THEN 'filled' WHEN 'G' THEN 'gap_dropped' ELSE CASE WHEN {over} THEN 'overflowed' ELSE 'held' END END END
+    CASE WHEN s.opened_at IS NULL OR {expired} THEN r.kind
+      ELSE CASE WHEN r.kind < 3 THEN 3 + r.kind WHEN {over} THEN 6 ELSE 7 END END
   FROM st s JOIN r ON r.record_id = s.record_id AND r.rn = s.rn + 1),
 ends AS (
   SELECT record_id, expired_seq AS open_seq, 1 AS why, CAST(NULL AS BIGINT) AS cutoff, CAST(NULL AS BIGINT) AS end_seq,
     CAST(NULL AS BIGINT) AS end_at FROM st WHERE expired_seq IS NOT NULL
-  UNION ALL SELECT record_id, acted_seq, 2, NULL, NULL, NULL FROM st WHERE act = 'overflowed'
-  UNION ALL SELECT st.record_id, acted_seq, 3, cutoff, st.seq, ts FROM st JOIN b USING (record_id, seq) WHERE act = 'filled'),
-d AS (SELECT b.*, CASE WHEN act NOT IN ('held', 'overflowed') THEN act WHEN why IS NULL THEN 'pending'
-    WHEN why <> 3 THEN 'dead_letter' WHEN b.ts > ends.cutoff THEN 'flushed' ELSE 'dropped' END AS decision, expired_seq,
+  UNION ALL SELECT record_id, acted_seq, 2, NULL, NULL, NULL FROM st WHERE act = 6
+  UNION ALL SELECT st.record_id, acted_seq, 3, cutoff, st.seq, ts FROM st JOIN b USING (record_id, seq) WHERE act = 4),
+d AS (SELECT b.*, CASE act WHEN 1 THEN 'fill_ignored' WHEN 2 THEN 'command' WHEN 3 THEN 'forwarded' WHEN 4 THEN 'filled' WHEN 5 THEN 'gap_dropped' ELSE
+    CASE WHEN why IS NULL THEN 'pending'
+    WHEN why <> 3 THEN 'dead_letter' WHEN b.ts > ends.cutoff THEN 'flushed' ELSE 'dropped' END END AS decision, expired_seq,
     end_seq, end_at, acted_seq
   FROM st JOIN b USING (record_id, seq)
-  LEFT JOIN ends ON ends.record_id = st.record_id AND ends.open_seq = st.acted_seq AND act IN ('held', 'overflowed')),
+  LEFT JOIN ends ON ends.record_id = st.record_id AND ends.open_seq = st.acted_seq AND act IN (6, 7)),
 g AS (SELECT c.record_id, c.seq AS open_seq, 'User' AS entity, CAST(c.seq AS VARCHAR) AS event_id, why
   FROM d c JOIN ends ON ends.record_id = c.record_id AND ends.open_seq = c.seq WHERE why <> 3)
 """
@@ -417,7 +419,7 @@ ORACLES: dict[str, str] = {
         ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), -1) AS prev FROM d)
       SELECT record_id, seq, cutoff, decision FROM u WHERE decision = 'fill_ignored' AND EXISTS (
         SELECT 1 FROM g WHERE g.record_id = u.record_id AND g.open_seq > u.prev AND g.open_seq < u.seq)""",
-    "reissued_commands": _LIMITS + """, m AS (SELECT record_id, max(seq) AS mended_seq FROM st WHERE act = 'filled' GROUP BY 1)
+    "reissued_commands": _LIMITS + """, m AS (SELECT record_id, max(seq) AS mended_seq FROM st WHERE act = 4 GROUP BY 1)
       , t AS (SELECT record_id, max(open_seq) AS open_seq, arg_max(why, open_seq) AS why FROM g GROUP BY 1)
       SELECT t.record_id, 'User' AS entity_type, CAST(t.open_seq AS VARCHAR) AS event_id, t.open_seq,
         """ + _WHY + """ AS failed
