@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schemas as S
 from ..functions import (backoff_ms, epoch_ms, is_gap_type, jitter_ms, lookup_path, outage_breached,
                          parse_long, parse_long_strict, seconds_or_millis, values_differ)
-from ..operators import counters, gaps, limits, lookup, retries, tables
+from ..operators import counters, deadletters, gaps, limits, lookup, retries, tables
 from ..operators.ordered import DEFAULT, Layout
 from ..sources import codecs, tables as src
-from ..sources.io import stored
+from ..sources.io import fresh_dir, stored
 from . import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,8 +51,8 @@ def _flat_gap():
     return [F.col("gap.fromReplayId").alias("gap_from"), F.col("gap.toReplayId").alias("gap_to"), F.col("gap.reason").alias("gap_reason")]
 
 
-def _parsed(spark, d, faulty=False):
-    return codecs.parse_cdc(src.cdc_wire(spark, d, faulty)), codecs.parse_fills(src.fill_wire(spark, d, faulty))
+def _parsed(spark, d, faulty=False, forced=False):
+    return codecs.parse_cdc(src.cdc_wire(spark, d, faulty)), codecs.parse_fills(src.fill_wire(spark, d, faulty, forced))
 
 
 def tagged_union_input(spark, d):
@@ -61,16 +61,16 @@ def tagged_union_input(spark, d):
                     "ts", "replay_id", *_flat_gap(), "payload", "cutoff", gaps.fill_succeeded().alias("ok"), "err")
 
 
-def wire_decided(spark, d, mode="compat", faulty=True) -> DataFrame:
+def wire_decided(spark, d, mode="compat", faulty=True, forced=False) -> DataFrame:
     """Decisions over the wire, in order of arrival, with the rows that can't be used as `invalid`."""
-    cdc, fills = _parsed(spark, d, faulty)
+    cdc, fills = _parsed(spark, d, faulty, forced)
     rows = stored(codecs.arrival_order(stored(codecs.tag(cdc, fills, mode))))  # parsed once
     return (gaps.decide(rows, mode, codecs.WIRE_LAYOUT)
             .unionByName(codecs.invalid(cdc, fills, mode), allowMissingColumns=True))
 
 
-def wire_decisions(spark, d, mode="compat"):
-    return wire_decided(spark, d, mode).select(
+def wire_decisions(spark, d, mode="compat", forced=False):
+    return wire_decided(spark, d, mode, forced=forced).select(
         "record_id", F.coalesce("source_rank", F.when(F.col("decision") == "invalid", 0).otherwise(1)).alias("source_rank"),
         "rec_offset", "decision")
 
@@ -375,6 +375,21 @@ def reissued_commands(spark, d):
     return limits.reissue(limited(spark, d, TIMEOUT_MS, MAX_BUFFER))
 
 
+def dead_letters_replayed(spark, d):
+    """Dead letters of failed gaps behind the fills that they are asked for. The first run has the images of the day before alone,
+    the second all; batches and runs are repeated, and every dead letter is settled once."""
+    dec = stored(limited(spark, d, TIMEOUT_MS, MAX_BUFFER))
+    letters = stored(deadletters.dead_letters(dec))
+    ledger = deadletters.Ledger(spark, fresh_dir(spark, "dead-letters"), "record_id bigint, seq bigint, open_seq bigint, type string, "
+                                "event_id string, entity string, ts bigint, payload string")
+    for batch, part in ((0, letters.filter("seq % 2 = 0")), (1, letters.filter("seq % 2 = 1")), (1, letters.filter("seq % 2 = 1"))):
+        ledger.keep(part, batch)
+    images = src.snapshot(spark, d)
+    for run, known in ((1, images.filter("version = 1")), (2, images), (2, images)):
+        ledger.replay(lookup.fill_lookup(stored(ledger.commands(run)), known).withColumnRenamed("all_fields", "payload"), run)
+    return ledger.settled().select("record_id", "seq", "open_seq", "decision", "pos", "event_id", "ts", "payload", "run")
+
+
 QUERIES: dict[str, Query] = {
     "cdc_source_parse": cdc_source_parse,
     "tagged_union_input": tagged_union_input,
@@ -439,8 +454,14 @@ QUERIES: dict[str, Query] = {
     "failed_gaps": failed_gaps,
     "late_fill": late_fill,
     "reissued_commands": reissued_commands,
+    "dead_letters_replayed": dead_letters_replayed,
     "gap_stream_equals_batch": streams.gap_stream,
     "gap_stream_limits": partial(streams.gap_stream, timeout_ms=TIMEOUT_MS, max_buffer=MAX_BUFFER),
+    "gap_timeout_stream": partial(streams.gap_timeout_stream, timeout_ms=TIMEOUT_MS),
+    "handover_stream": streams.handover_stream,
+    "handover_stream_strict": partial(streams.handover_stream, mode="strict"),
+    "gap_stream_matched": streams.gap_stream_matched,
+    "wire_decisions_forced": partial(wire_decisions, mode="strict", forced=True),
     "stream_pending": streams.stream_pending,
     "stream_outputs": streams.stream_outputs,
     "stream_outputs_strict": partial(streams.stream_outputs, mode="strict", faulty=True),

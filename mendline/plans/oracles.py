@@ -34,7 +34,7 @@ a AS (SELECT *, max(rec_ts) OVER (PARTITION BY record_id, rank ORDER BY off ROWS
 w AS (SELECT * REPLACE (row_number() OVER (PARTITION BY record_id ORDER BY arrived, rank, off) AS seq) FROM a)"""
 
 
-def _decided(source: str = "b", strict: bool = False, faulty: bool = False) -> str:
+def _decided(source: str = "b", strict: bool = False, faulty: bool = False, forced: str = "false") -> str:
     """CTEs ending in `d`: each row with its decision. Source `w`: over the wire."""
     wire = _wire(faulty, strict) if source == "w" else ""
     failed_fill = "WHEN kind = 'F' AND NOT ok THEN 'fill_error'" if strict else ""
@@ -51,7 +51,7 @@ x AS (SELECT *,
          later AS (PARTITION BY record_id ORDER BY seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)),
 d AS (SELECT *, CASE {failed_fill}
     WHEN kind = 'G' AND in_gap THEN 'gap_dropped' WHEN kind = 'G' THEN 'command'
-    WHEN kind = 'F' AND in_gap THEN 'filled' WHEN kind = 'F' THEN 'fill_ignored'
+    WHEN kind = 'F' AND in_gap THEN 'filled' WHEN kind = 'F' AND {forced} THEN 'forced' WHEN kind = 'F' THEN 'fill_ignored'
     WHEN NOT in_gap THEN 'forwarded' WHEN close_seq IS NULL THEN 'pending' {failed_row}
     WHEN ts > close_cutoff THEN 'flushed' ELSE 'dropped' END AS decision FROM x)
 """
@@ -226,9 +226,9 @@ def _routed(strict: bool, faulty: bool) -> str:
         CASE WHEN decision IN ('flushed', 'dead_letter') THEN close_at ELSE rec_ts END AS rec_ts, place AS rec_offset FROM n{rejected}"""
 
 
-def _wire_decisions(strict: bool) -> str:
+def _wire_decisions(strict: bool, forced: str = "false") -> str:
     bad = "7, 17, 27, 47, 57" + (", 37" if strict else "")
-    return _decided("w", strict, True) + f"""SELECT CAST(record_id AS VARCHAR) AS record_id, rank AS source_rank, off AS rec_offset, decision FROM d
+    return _decided("w", strict, True, forced) + f"""SELECT CAST(record_id AS VARCHAR) AS record_id, rank AS source_rank, off AS rec_offset, decision FROM d
       UNION ALL SELECT CASE WHEN k IN (27, 37, 57) THEN CAST(record_id AS VARCHAR) END, 0, id, 'invalid' FROM e
         WHERE kind <> 'F' AND k IN ({bad})
       UNION ALL SELECT NULL, 1, id - 1, 'fill_invalid' FROM e WHERE kind = 'F' AND k = 7"""
@@ -410,6 +410,12 @@ ORACLES: dict[str, str] = {
       SELECT record_id, 'User' AS entity_type, CAST(open_seq AS VARCHAR) AS event_id, failed_seq FROM m
       WHERE failed_seq IS NOT NULL AND coalesce(mended_seq, -1) < failed_seq""",
     "gap_timeout": _limited(48 * 3600000, None) + _ROWS,
+    "gap_timeout_stream": _limited(48 * 3600000, None) + """SELECT d.record_id, d.seq, CASE WHEN decision = 'pending'
+      AND (SELECT max(ts) FROM b) > o.ts + 48 * 3600000 THEN 'dead_letter' ELSE decision END AS decision
+      FROM d LEFT JOIN b o ON o.record_id = d.record_id AND o.seq = d.acted_seq""",
+    "handover_stream": _decided() + _ROWS,
+    "handover_stream_strict": _decided("f", strict=True) + _ROWS,
+    "gap_stream_matched": _decided("f", strict=True) + _ROWS,
     "gap_overflow": _limited(None, 2) + _ROWS,
     "gap_limits": _LIMITS + _ROWS,
     "gap_limits_split": _LIMITS + _ROWS,
@@ -424,6 +430,18 @@ ORACLES: dict[str, str] = {
       SELECT t.record_id, 'User' AS entity_type, CAST(t.open_seq AS VARCHAR) AS event_id, t.open_seq,
         """ + _WHY + """ AS failed
       FROM t LEFT JOIN m ON m.record_id = t.record_id WHERE coalesce(mended_seq, -1) < t.open_seq""",
+    "dead_letters_replayed": _LIMITS + f""", {_IMAGES},
+      o AS (SELECT rid, modified AS cut, name FROM i WHERE version = 1 AND modified IS NOT NULL),
+      s AS (SELECT rid, max(modified) AS cut, arg_max(name, modified) AS name FROM i GROUP BY rid),
+      a AS (SELECT record_id, seq, acted_seq AS open_seq, ts, payload, CASE WHEN o.cut IS NULL THEN 2 ELSE 1 END AS run,
+          coalesce(o.cut, s.cut) AS cutoff, coalesce(o.name, s.name) AS name
+        FROM d LEFT JOIN o ON o.rid = record_id LEFT JOIN s ON s.rid = record_id
+        WHERE decision = 'dead_letter' AND coalesce(o.cut, s.cut) IS NOT NULL)
+      SELECT record_id, seq, open_seq, CASE WHEN ts > cutoff THEN 'flushed' ELSE 'dropped' END AS decision,
+        CASE WHEN ts > cutoff THEN row_number() OVER (PARTITION BY record_id, ts > cutoff ORDER BY seq) END AS pos,
+        CAST(seq AS VARCHAR) AS event_id, ts, payload, run FROM a
+      UNION ALL SELECT record_id, NULL, arg_min(open_seq, seq), 'filled', 0, CAST(min(seq) AS VARCHAR), min(cutoff),
+        '{{"name":"' || min(name) || '","lastModifiedEpochMs":' || min(cutoff) || '}}', min(run) FROM a GROUP BY record_id""",
     "gap_stream_equals_batch": _decided() + _ROWS,
     "gap_stream_limits": _LIMITS + _ROWS,
     "stream_pending": _decided() + "SELECT record_id, seq, ts, payload FROM d WHERE decision = 'pending'",
@@ -432,6 +450,7 @@ ORACLES: dict[str, str] = {
     "stream_outputs_faulty": _routed(strict=False, faulty=True),
     "wire_decisions": _wire_decisions(strict=False),
     "wire_decisions_strict": _wire_decisions(strict=True),
+    "wire_decisions_forced": _wire_decisions(strict=True, forced="k >= 50 AND k % 2 = 0"),
     "limited_output": _LIMITS + """, p AS (SELECT *, row_number() OVER (PARTITION BY record_id, end_seq, decision ORDER BY seq DESC) AS nth FROM d)
       SELECT record_id, CASE decision WHEN 'flushed' THEN end_seq ELSE seq END AS out_seq,
         CASE decision WHEN 'flushed' THEN nth ELSE 0 END AS out_pos, seq, coalesce(type, kind) AS type,

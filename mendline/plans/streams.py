@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
+from ..operators import gaps
+from ..operators.ordered import DEFAULT, scan
 from ..sources import codecs, io, tables as src
-from ..streaming import engine
+from ..streaming import engine, processor
 
 #: Files of a micro-batch at most.
 FILES = 64
@@ -28,6 +30,47 @@ def gap_stream(spark, d, **options) -> DataFrame:
     return engine.final_decisions(_decisions(spark, d, io.fresh_dir(spark, "gap-stream"), **options))
 
 
+def gap_timeout_stream(spark, d, timeout_ms: int) -> DataFrame:
+    """Gaps fail by event time, those of quiet records too: once the record times of all records are beyond a deadline."""
+    rows = src.tag_events(_events(spark, d)).withColumn("arrived", F.col("ts"))
+    folder = io.fresh_dir(spark, "gap-quiet")
+    stream = engine.gap_stream(rows, timeout_ms=timeout_ms, timers="event")
+    return engine.final_decisions(engine.run_to_end(stream, f"{folder}/out", f"{folder}/checkpoint"))
+
+
+def handover_stream(spark, d, mode="compat") -> DataFrame:
+    """The first half of the events as a table, the rest as a stream that goes on from there."""
+    folder = io.fresh_dir(spark, "gap-handover")
+    half = src.table(spark, d, "events").agg((F.max("event_id") / 2).cast("bigint")).first()[0]
+    tagged = lambda events: src.tag_events(events, mode == "strict").withColumn("arrived", F.col("ts"))
+    decided = io.stored(gaps.decide(tagged(src.table(spark, d, "events").filter(F.col("event_id") <= half)), mode), "decided")
+    stream = engine.gap_stream(tagged(_events(spark, d).filter(F.col("event_id") > half)), mode, initial=engine.handover(decided))
+    written = engine.run_to_end(stream, f"{folder}/out", f"{folder}/checkpoint")
+    waiting = F.when(F.col("decision") == "pending", "buffered").otherwise(F.col("decision"))
+    return engine.final_decisions(decided.select("record_id", "seq", waiting.alias("decision"))
+                                  .unionByName(written.select("record_id", "seq", "decision")))
+
+
+def gap_stream_matched(spark, d) -> DataFrame:
+    """All fills are delivered first and all changes behind them; fills name the command they answer, so the result is that of the
+    merged order nevertheless. A fill's command is the last before it."""
+    folder = io.fresh_dir(spark, "gap-matched")
+    rows = src.cdc_input(spark, d, failing=True)
+    command = F.when(F.col("decision") == "command", F.col("event_id"))
+    asked = scan(gaps.decide(rows, "strict"), DEFAULT, before={"_asked": command})
+    is_fill, place = F.col("kind") == "F", {"source_rank": (F.col("kind") == "F").cast("int"), "rec_offset": F.col("seq"), "rec_ts": F.col("seq")}
+    answers = F.col("in_gap") & is_fill
+    named = engine.complete(asked.withColumn("event_id", F.when(answers, F.col("_asked")).otherwise(F.col("event_id")))
+                            .withColumns(place).withColumn("arrived", F.col("seq")))
+    named = named.select("record_id", *processor.state_schema().fieldNames())
+    for part in (is_fill, ~is_fill):
+        io.stored(named.filter(part), "matched").write.mode("append").parquet(f"{folder}/in")
+        stream = engine.gap_stream(spark.readStream.schema(named.schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/in"),
+                                   "strict", match=True, wait_ms=0)
+        written = engine.run_to_end(stream, f"{folder}/out", f"{folder}/checkpoint")
+    return engine.final_decisions(written)
+
+
 def stream_pending(spark, d) -> DataFrame:
     """Rows still held back, as the state store has them."""
     folder = io.fresh_dir(spark, "gap-state")

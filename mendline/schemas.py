@@ -31,7 +31,7 @@ FILL_COMMAND = T.StructType([
     T.StructField("eventId", T.StringType()),
 ])
 
-# The older producer leaves out the last two fields; they then decode as null.
+# The older producer leaves out the last three fields; they then decode as null.
 FILL_EVENT = T.StructType([
     T.StructField("recordId", T.StringType()),
     T.StructField("entityType", T.StringType()),
@@ -40,6 +40,7 @@ FILL_EVENT = T.StructType([
     T.StructField("allFields", T.StringType()),
     T.StructField("isSuccess", T.BooleanType()),
     T.StructField("errMessage", T.StringType()),
+    T.StructField("force", T.BooleanType()),
 ])
 
 # --- fixed values: counter names --------------------------------------------------------------

@@ -79,7 +79,7 @@ def parse_fills(wire: DataFrame) -> DataFrame:
         F.col("v.recordId").alias("record_id"), F.col("v.entityType").alias("entity"),
         F.col("v.eventId").alias("event_id"),
         F.col("v.cutoffLastModifiedEpochMs").alias("cutoff"), F.col("v.allFields").alias("payload"),
-        F.col("v.isSuccess").alias("is_success"), F.col("v.errMessage").alias("err"),
+        F.col("v.isSuccess").alias("is_success"), F.col("v.errMessage").alias("err"), F.col("v.force").alias("force"),
         fill_problem().alias("problem"))
 
 
@@ -110,7 +110,7 @@ def tag(cdc: DataFrame, fills: DataFrame, mode: str = "strict") -> DataFrame:
     record = F.col("key") if mode == "compat" else F.col("record_id")
     filled = usable(fills, mode).select(
         record.alias("record_id"), "key", "rec_ts", F.lit(1).alias("source_rank"), "rec_offset",
-        F.lit("F").alias("kind"), "event_id", "entity", "payload", F.col("record_id").alias("own_id"), "cutoff", "is_success", "err")
+        F.lit("F").alias("kind"), "event_id", "entity", "payload", F.col("record_id").alias("own_id"), "cutoff", "is_success", "force", "err")
     return (changes.unionByName(filled, allowMissingColumns=True)
             .withColumn("seq", F.col("rec_offset") * 2 + F.col("source_rank")))
 

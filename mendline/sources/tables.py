@@ -93,9 +93,9 @@ def cdc_wire(spark: SparkSession, sf_dir: str, faulty: bool = True) -> DataFrame
                     F.col("event_id").alias("rec_offset")))
 
 
-def fill_wire(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFrame:
+def fill_wire(spark: SparkSession, sf_dir: str, faulty: bool = False, forced: bool = False) -> DataFrame:
     """Fills as JSON; those with k below 50 come from the older producer, without success flag and message. Their
-    offsets overlap with those of the changes. With `faulty`, some are cut off."""
+    offsets overlap with those of the changes. With `faulty`, some are cut off; with `forced`, half of the others are."""
     rec = F.col("user_id").cast("string")
     ms = epoch_ms(F.col("ts"))
     first = [rec.alias("recordId"), F.lit(ENTITY).alias("entityType"),
@@ -103,7 +103,8 @@ def fill_wire(spark: SparkSession, sf_dir: str, faulty: bool = False) -> DataFra
              (ms - _k() * 3_600_000).alias("cutoffLastModifiedEpochMs"),
              codecs.field_map(F.col("props")).alias("allFields")]
     newer = codecs.encode(*first, (F.col("value") >= 5.0).alias("isSuccess"),
-                          F.when(F.col("value") >= 5.0, "").otherwise("no image").alias("errMessage"))
+                          F.when(F.col("value") >= 5.0, "").otherwise("no image").alias("errMessage"),
+                          *([(_k() % 2 == 0).alias("force")] if forced else []))
     return (table(spark, sf_dir, "events").filter(F.col("event_type") == "signup")
             .withColumn("value_json", F.when(_k() < 50, codecs.encode(*first)).otherwise(newer))
             .select(rec.alias("key"), F.when((_k() == 7) & F.lit(faulty), F.substring("value_json", 1, 40)).otherwise(F.col("value_json")).alias("value"),

@@ -14,6 +14,9 @@ from ..operators import counters, lookup
 from ..sources import codecs, io
 from . import processor
 
+#: What a row counts as for as long as it waits.
+WAITING = {"buffered": "pending", "gap_held": "gap_dropped", "fill_waiting": "fill_ignored"}
+
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -31,31 +34,69 @@ def complete(rows: DataFrame) -> DataFrame:
     have = set(rows.columns)
     given = {"source_rank": F.lit(0), "rec_offset": F.col("seq"), "rec_ts": F.col("arrived") if "arrived" in have else F.lit(None)}
     out = rows.withColumns({c: x for c, x in given.items() if c not in have})
-    if "gap" in have:
+    if dict(rows.dtypes).get("gap", "string") != "string":
         out = out.withColumn("gap", F.to_json("gap"))
     wanted = {f.name: f.dataType for f in processor.state_schema()}
     return out.withColumns({c: F.col(c).cast(t) if c in out.columns else F.lit(None).cast(t) for c, t in wanted.items()})
 
 
-def gap_stream(rows: DataFrame, mode: str = "compat", **options) -> DataFrame:
-    """Decision rows for a stream of tagged rows. Options: timeout_ms, max_buffer, timers, newer_only, ts_unit, cutoff_unit."""
+def gap_stream(rows: DataFrame, mode: str = "compat", *, initial: DataFrame | None = None, disorder: str = "0 seconds", **options) -> DataFrame:
+    """Decision rows for a stream of tagged rows. Options: timeout_ms, max_buffer, timers, newer_only, match, wait_ms, ts_unit, cutoff_unit.
+
+    With timers="event" a quiet record's gap fails once the watermark of `rec_ts` is beyond its deadline; `disorder` is how
+    far record times may run backwards over all records: rows later than that are dropped by Spark. Such a stream ends with `availableNow`.
+    `initial` is the state that a table run has left (`handover`)."""
     prepare(rows.sparkSession)
     key_type = rows.schema["record_id"].dataType
-    timers = options.get("timers") and options.get("timeout_ms") is not None
-    return complete(rows).groupBy("record_id").transformWithState(
+    timers = options.get("timers") if options.get("timeout_ms") is not None else None
+    rows = complete(rows)
+    if timers == "event":
+        rows = rows.withColumn("_event_time", F.timestamp_millis("rec_ts")).withWatermark("_event_time", disorder)
+    return rows.groupBy("record_id").transformWithState(
         statefulProcessor=processor.GapProcessor(mode, **options),
         outputStructType=processor.output_schema(key_type),
         outputMode="Append",
-        timeMode="ProcessingTime" if timers else "None")
+        timeMode="EventTime" if timers == "event" else "ProcessingTime" if timers else "None",
+        initialState=None if initial is None else initial.groupBy("record_id"))
+
+
+def handover(decided: DataFrame) -> DataFrame:
+    """The state in which a table run (`gaps.decide`, all rows up to some point of each source) leaves its records: progress, open gaps and the
+    rows they hold back. A stream over what comes after goes on from it. Rows stay rows: a large buffer is no array."""
+    emitted = F.col("decision").isin(*S.EMITTED)
+    out = emitted | F.col("decision").isin(*processor.ROUTED)
+    kept = complete(decided)
+    latest = lambda rank: F.max(F.when(F.col("source_rank") == rank, F.col("rec_ts")))
+    command = F.when(F.col("decision") == "command", F.struct(
+        "seq", F.col("arrived").alias("opened_at"), F.col("event_id").alias("open_event"), "entity",
+        F.col("source_rank").alias("open_rank"), F.col("rec_offset").alias("open_offset")))
+    whole = kept.groupBy("record_id").agg(
+        latest(0).alias("latest_0"), latest(1).alias("latest_1"), F.count_if(out).alias("emitted"),
+        F.max(F.when(emitted, F.col("ts"))).alias("newest"),
+        F.max(F.when(F.col("source_rank") == 0, F.col("arrived"))).alias("passed"),
+        F.max(command).alias("gap"), F.max(F.when(F.col("kind") == "F", F.col("seq"))).alias("filled"),
+        F.count_if(F.col("decision") == "pending").alias("n_buffered"))
+    whole = io.stored(whole, "handover")
+    open_gap = F.col("gap").isNotNull() & (F.coalesce("filled", F.lit(-1)) < F.col("gap.seq"))
+    progress = whole.select("record_id", F.lit(processor.PROGRESS_PART).alias("part"), *processor.PROGRESS.fieldNames())
+    gap = whole.filter(open_gap).select(
+        "record_id", F.lit(processor.GAP_PART).alias("part"), "gap.opened_at", F.col("gap.seq").alias("open_seq"), "gap.open_event", "gap.entity",
+        "n_buffered", F.col("n_buffered").alias("handed"), "gap.open_rank", "gap.open_offset")
+    held = kept.filter(F.col("decision") == "pending").select("record_id", F.lit(processor.HELD_PART).alias("part"), *processor.state_schema().fieldNames())
+    rows = progress.unionByName(gap, allowMissingColumns=True).unionByName(held, allowMissingColumns=True)
+    wanted = {f.name: f.dataType for t in (processor.PROGRESS, processor.GAP, processor.state_schema()) for f in t}
+    return rows.select("record_id", "part", *[F.col(c).cast(t) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in wanted.items()])
 
 
 def final_decisions(decisions: DataFrame) -> DataFrame:
-    """From the decision rows written so far: one per input row, with `pending` for rows still held back."""
+    """From the decision rows written so far: one per input row, with `pending` for rows still held back. A gap marker that waits stands
+    within an open gap, and a fill that waits has found none."""
     rows = decisions.filter(~F.col("decision").isin("gap_failed", "repeated"))
-    last = F.max(F.struct((F.col("decision") != "buffered").alias("ended"), "decision"))
+    last = F.max(F.struct((~F.col("decision").isin(*WAITING)).alias("ended"), "decision"))
+    names = F.create_map(*[F.lit(x) for pair in WAITING.items() for x in pair])
     return rows.groupBy("record_id", "seq").agg(last.alias("_l")).select(
         "record_id", "seq",
-        F.when(F.col("_l.ended"), F.col("_l.decision")).otherwise("pending").alias("decision"))
+        F.when(F.col("_l.ended"), F.col("_l.decision")).otherwise(names[F.col("_l.decision")]).alias("decision"))
 
 
 def run_to_end(stream: DataFrame, folder: str, checkpoint: str, *, partition_by: str | None = None) -> DataFrame:

@@ -5,18 +5,29 @@ micro-batch is as large as the source's rate limit allows: bound it (`max_per_tr
 and it is read row by row when a gap ends.
 
 Each input row gives one decision row when it arrives; a buffered row gives a second one when its gap ends.
+
+Which row meets which depends on what has arrived: a fill that is read before its gap marker finds no gap. With `match` it does not. A
+fill then answers the one command whose event it names, and waits for it if it comes first; and it takes effect at its place in the merged
+order of both sources, or right behind its gap marker if that is later, whenever it is read:
+
+* rows of an open gap wait, later gap markers among them, for they may turn out to lie behind the fill;
+* rows that are read after their gap's fill, but lie before it, are judged by its cutoff as if they had waited;
+* a fill is given up (`fill_ignored`, or `forced`) once the record's changes are `wait_ms` beyond it, and answers no marker beyond that.
+
+So with `match` the result is the same however either source is cut into deliveries.
 """
 
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Row, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 _CARRIED = ("seq", "source_rank", "rec_offset", "arrived", "rec_ts", "key", "kind", "type", "event_id", "entity", "ts",
-            "replay_id", "gap", "payload", "own_id", "cutoff", "is_success", "err")
+            "replay_id", "gap", "payload", "own_id", "cutoff", "is_success", "force", "err")
 _LONGS = ("seq", "rec_offset", "arrived", "rec_ts", "ts", "replay_id", "cutoff")
 #: What goes out as an event, and what goes out otherwise.
 EMITTED = ("forwarded", "filled", "forced", "flushed")
@@ -26,7 +37,7 @@ _SECONDS_LIMIT = 100_000_000_000
 
 def state_schema(columns: Sequence[str] = _CARRIED) -> T.StructType:
     """All that was received; the gap information as JSON text."""
-    kinds = dict.fromkeys(_LONGS, T.LongType()) | {"is_success": T.BooleanType(), "source_rank": T.IntegerType()}
+    kinds = dict.fromkeys(_LONGS, T.LongType()) | {"is_success": T.BooleanType(), "force": T.BooleanType(), "source_rank": T.IntegerType()}
     return T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in columns])
 
 
@@ -37,10 +48,18 @@ GAP = T.StructType([
     T.StructField("open_event", T.StringType()),
     T.StructField("entity", T.StringType()),
     T.StructField("n_buffered", T.LongType()),
+    T.StructField("handed", T.LongType()),
+    T.StructField("open_rank", T.IntegerType()),
+    T.StructField("open_offset", T.LongType()),
 ])
 
-#: Latest record time of each of the two sources, the number of rows emitted, and the time of the last change emitted.
-PROGRESS = T.StructType([T.StructField(c, T.LongType()) for c in ("latest_0", "latest_1", "emitted", "newest")])
+#: What a gap's fill has left behind: the fill, its place (see `_place`), and the rows replayed behind it.
+CLOSED = T.StructType([*state_schema().fields, T.StructField("at", T.LongType()), T.StructField("rank", T.IntegerType()),
+                       T.StructField("offset", T.LongType()), T.StructField("n_flushed", T.LongType())])
+
+#: Latest record time of each of the two sources, the number of rows emitted, the time of the last change emitted, and the
+#: latest record time of a change that doesn't wait.
+PROGRESS = T.StructType([T.StructField(c, T.LongType()) for c in ("latest_0", "latest_1", "emitted", "newest", "passed")])
 
 
 def output_schema(key_type: T.DataType) -> T.StructType:
@@ -57,6 +76,9 @@ def output_schema(key_type: T.DataType) -> T.StructType:
     ])
 
 
+#: Parts of a record's state as another run hands it over.
+PROGRESS_PART, GAP_PART, HELD_PART = "progress", "gap", "held"
+
 _AT = {c: i for i, c in enumerate(_CARRIED)}
 _TS = _AT["ts"]
 _OUT = Row("record_id", *_CARRIED, "decision", "out_seq", "pos", "out_key", "out_ts", "emitted")
@@ -66,6 +88,12 @@ def _millis(x: int, unit: str) -> int:
     return x * 1000 if unit == "s" or unit == "guess" and abs(x) < _SECONDS_LIMIT else x
 
 
+def _place(values: tuple, at: int | None = None) -> tuple:
+    """Where a row stands in the merged order of the two sources."""
+    at = values[_AT["arrived"]] if at is None else at
+    return (at is not None, at or 0, values[_AT["source_rank"]], values[_AT["rec_offset"]])
+
+
 def merged(by_source: dict[int, list], latest: list[int | None]) -> Iterator[tuple]:
     """Rows of two sources, each in order of its offsets, merged by the latest record time so far; with that time as
     `arrived`. A micro-batch boundary inside a source changes nothing."""
@@ -87,17 +115,24 @@ class GapProcessor(StatefulProcessor):
     """State of a record: the open gap, if any, and the rows held back since it opened.
 
     timeout_ms   a gap fails when a row of its record arrives later than this after its opening. With
-                 `timers`, a gap of a record that stays quiet fails after as long on the clock.
+                 `timers`, a gap of a record that stays quiet fails too: after as long on the clock ("clock"), or when the
+                 watermark of the record times is beyond it ("event").
     max_buffer   a gap fails on the row that would exceed this many held-back rows
     newer_only   a change goes out only if its time is later than that of every change sent before it
     ts_unit, cutoff_unit   units of event times and cutoffs, for strict: "ms", "s", or "guess" by size
+    match        fills answer the command they name, whichever comes first; strict only, without timeout and limit
+    wait_ms      for `match`: how far a record's changes may be beyond a fill before it is given up
     """
 
     def __init__(self, mode: str = "compat", timeout_ms: int | None = None, max_buffer: int | None = None,
-                 timers: bool = False, newer_only: bool = False, ts_unit: str = "ms", cutoff_unit: str = "ms"):
+                 timers: str | bool = False, newer_only: bool = False, ts_unit: str = "ms", cutoff_unit: str = "ms",
+                 match: bool = False, wait_ms: int = 3_600_000):
         self.strict = mode == "strict"
         self.timeout_ms, self.max_buffer = timeout_ms, max_buffer
-        self.timers = timers and timeout_ms is not None
+        self.timers = ("event" if timers == "event" else "clock") if timers and timeout_ms is not None else None
+        if match and (not self.strict or timeout_ms is not None or max_buffer is not None or newer_only):
+            raise ValueError("match needs strict, and goes with neither timeout, limit nor newer_only")
+        self.match, self.wait_ms = match, wait_ms
         if newer_only and not self.strict:
             raise ValueError("newer_only needs strict: in compat changes go out newest first")
         self.newer_only = newer_only
@@ -108,17 +143,34 @@ class GapProcessor(StatefulProcessor):
         self.progress_state = handle.getValueState("progress", PROGRESS)
         self.gap_state = handle.getValueState("gap", GAP)
         self.held = handle.getListState("held", state_schema())
+        if self.match:
+            self.closed_state = handle.getValueState("closed", CLOSED)
+            self.waiting = handle.getMapState("waiting", T.StructType([
+                T.StructField("event_id", T.StringType()), T.StructField("rec_offset", T.LongType())]), state_schema())
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        """One row of what `engine.handover` made; rows of a record come in any order."""
+        row = initialState
+        if row["part"] == PROGRESS_PART:
+            self.progress_state.update(tuple(row[f.name] for f in PROGRESS.fields))
+        elif row["part"] == GAP_PART:
+            gap = {f.name: row[f.name] for f in GAP.fields}
+            gap["deadline_clock"] = self._deadline(timerValues, gap["opened_at"])
+            self.gap_state.update(tuple(gap[f.name] for f in GAP.fields))
+        else:
+            self.held.appendValue(tuple(row[c] for c in _CARRIED))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         record = key[0]
         by_source: dict[int, list] = {}
         for row in rows:
             by_source.setdefault(row["source_rank"], []).append(row)
-        yield from self._numbered(self._decide(record, by_source, timerValues))
+        decide = self._decide_matched if self.match else self._decide
+        yield from self._numbered(decide(record, by_source, timerValues))
 
     def _decide(self, record, by_source, timer_values) -> Iterator[tuple]:
         gap = self._load()
-        held = _Held(self.held, stored=gap is not None)
+        held = _Held(self.held, gap)
         for row, values, at in merged(by_source, self.latest):
             late = gap and self.timeout_ms is not None and at is not None and gap["opened_at"] is not None
             if late and at > gap["opened_at"] + self.timeout_ms:
@@ -129,9 +181,7 @@ class GapProcessor(StatefulProcessor):
                 gap = None
             elif row["kind"] == "G":
                 if not gap:
-                    gap = {"opened_at": at, "deadline_clock": self._deadline(timer_values),
-                           "open_seq": row["seq"], "open_event": row["event_id"], "entity": row["entity"],
-                           "n_buffered": 0}
+                    gap = self._opened(values, timer_values)
                     yield self._row(record, values, "command")
                 else:
                     yield self._row(record, values, "gap_dropped")
@@ -145,9 +195,118 @@ class GapProcessor(StatefulProcessor):
                     yield from self._fail(record, gap, held, "overflow")
                     gap = None
         if gap:
-            self.gap_state.update(tuple(gap[f.name] for f in GAP.fields))
-            if held.fresh:
-                self.held.appendList(held.fresh)
+            self._save(gap, held)
+
+    def _opened(self, values: tuple, timer_values) -> dict:
+        at = values[_AT["arrived"]]
+        return {"opened_at": at, "deadline_clock": self._deadline(timer_values, at), "open_seq": values[_AT["seq"]],
+                "open_event": values[_AT["event_id"]], "entity": values[_AT["entity"]], "n_buffered": 0, "handed": 0,
+                "open_rank": values[_AT["source_rank"]], "open_offset": values[_AT["rec_offset"]]}
+
+    def _save(self, gap: dict, held: "_Held") -> None:
+        self.gap_state.update(tuple(gap[f.name] for f in GAP.fields))
+        if held.fresh:
+            self.held.appendList(held.fresh)
+
+    # --- fills matched to their commands ----------------------------------------------------------------
+
+    def _decide_matched(self, record, by_source, timer_values) -> Iterator[tuple]:
+        self.gap = self._load()
+        self.rows_held = _Held(self.held, self.gap)
+        stored = self.closed_state.get()
+        self.closed = None if stored is None else (tuple(stored[:len(_CARRIED)]), (stored[-4] is not None, stored[-4] or 0, *stored[-3:-1]), stored[-1])
+        self.fills = {tuple(k): tuple(v) for k, v in self.waiting.iterator()}
+        before = dict(self.fills)
+        for _, values, _ in merged(by_source, self.latest):
+            yield from (self._match_fill if values[_AT["kind"]] == "F" else self._match_change)(record, values)
+        for name in before.keys() - self.fills.keys():
+            self.waiting.removeKey(name)
+        for name in self.fills.keys() - before.keys():
+            self.waiting.updateValue(name, self.fills[name])
+        if self.gap:
+            self._save(self.gap, self.rows_held)
+        if self.closed:
+            fill, place, flushed = self.closed
+            self.closed_state.update((*fill, place[1] if place[0] else None, *place[2:], flushed))
+        elif stored is not None:
+            self.closed_state.clear()
+
+    def _match_change(self, record, values) -> Iterator[tuple]:
+        is_gap, at = values[_AT["kind"]] == "G", values[_AT["arrived"]]
+        if self.gap:
+            self.rows_held.fresh.append(values)
+            self.gap["n_buffered"] += 1
+            yield self._row(record, values, "gap_held" if is_gap else "buffered")
+            return
+        if at is not None:
+            # A marker that waits may be what a fill is for, so only changes that don't wait give fills up.
+            self.passed = at
+            for name in sorted(n for n, fill in self.fills.items() if not self._meets(fill, at)):
+                fill = self.fills.pop(name)
+                if self._ok(fill):
+                    yield self._unanswered(record, fill)
+        if self.closed and _place(values) < self.closed[1]:
+            yield self._within(record, values)
+            return
+        self.closed = None
+        if not is_gap:
+            yield self._row(record, values, "forwarded")
+            return
+        self.gap = self._opened(values, None)
+        yield self._row(record, values, "command")
+        answers = [n for n in self.fills if n[0] == values[_AT["event_id"]]]
+        if answers:
+            fill = self.fills.pop(min(answers))
+            if self._ok(fill):
+                yield self._row(record, fill, "filled")
+            yield from self._close(record, fill)
+
+    def _match_fill(self, record, values) -> Iterator[tuple]:
+        event = values[_AT["event_id"]]
+        if self.gap and event is not None and event == self.gap["open_event"] and self._meets(values, self.gap["opened_at"]):
+            yield self._row(record, values, "filled" if self._ok(values) else "fill_error")
+            yield from self._close(record, values)
+        elif event is None or not self._meets(values, self.passed):
+            yield self._unanswered(record, values)
+        else:
+            self.fills[event, values[_AT["rec_offset"]]] = values
+            # An error is one whether or not a command comes.
+            yield self._row(record, values, "fill_waiting" if self._ok(values) else "fill_error")
+
+    def _meets(self, fill: tuple, at: int | None) -> bool:
+        """A fill answers no marker that comes more than `wait_ms` behind it."""
+        came = fill[_AT["arrived"]]
+        return came is None or at is None or at <= came + self.wait_ms
+
+    def _unanswered(self, record, fill: tuple) -> tuple:
+        return self._row(record, fill, "fill_error" if not self._ok(fill) else "forced" if fill[_AT["force"]] else "fill_ignored")
+
+    def _ok(self, fill: tuple) -> bool:
+        return self._succeeded(fill[_AT["is_success"]], fill[_AT["cutoff"]])
+
+    def _close(self, record, fill: tuple) -> Iterator[tuple]:
+        """The fill takes effect. Rows that waited lie before it, or go on as if they came now."""
+        gap, held = self.gap, self.rows_held
+        marker = (gap["opened_at"] is not None, gap["opened_at"] or 0, gap["open_rank"], gap["open_offset"])
+        rows = list(held.rows())
+        self._end(held)
+        self.gap, self.closed, self.rows_held = None, (fill, max(_place(fill), marker), 0), _Held(self.held, None)
+        for values in rows:
+            yield from self._match_change(record, values)
+
+    def _within(self, record, values: tuple) -> tuple:
+        """What becomes of a row between a gap marker and the fill that has been read already."""
+        fill, place, flushed = self.closed
+        if values[_AT["kind"]] == "G":
+            return self._row(record, values, "gap_dropped")
+        if not self._ok(fill):
+            return self._row(record, values, "dead_letter", fill, flushed + 1)
+        if not self._newer(values, fill[_AT["cutoff"]]):
+            return self._row(record, values, "dropped", fill)
+        self.closed = (fill, place, flushed + 1)
+        return self._row(record, values, "flushed", fill, flushed + 1)
+
+    # --- rows out ---------------------------------------------------------------------------------------
 
     def _row(self, record, values, decision, cause=None, pos=0) -> tuple:
         """A decision row; `cause` is the row that made it, if not the row itself."""
@@ -157,7 +316,7 @@ class GapProcessor(StatefulProcessor):
     def _numbered(self, out: Iterator[tuple]) -> Iterator[Row]:
         """Number the rows that go out, across micro-batches; with `newer_only`, hold back changes no newer than one before."""
         kept = self.progress_state.get()
-        latest_0, latest_1, number, newest = (None, None, 0, None) if kept is None else kept
+        latest_0, latest_1, number, newest, self.passed = (None, None, 0, None, None) if kept is None else kept
         self.latest = [latest_0, latest_1]
         at = 1 + len(_CARRIED)
         base = number
@@ -177,13 +336,13 @@ class GapProcessor(StatefulProcessor):
                     number = number_of_row = number + 1
                     base = number
             yield _OUT(*row, number_of_row)
-        self.progress_state.update((*self.latest, number, newest))
+        self.progress_state.update((*self.latest, number, newest, self.passed))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
         gap = self._load()
         # The timer may belong to an earlier gap of this record.
         if gap and gap["deadline_clock"] is not None and gap["deadline_clock"] <= expiredTimerInfo.getExpiryTimeInMs():
-            yield from self._numbered(self._fail(key[0], gap, _Held(self.held, stored=True), "timeout"))
+            yield from self._numbered(self._fail(key[0], gap, _Held(self.held, gap), "timeout"))
 
     def close(self) -> None:
         pass
@@ -198,13 +357,20 @@ class GapProcessor(StatefulProcessor):
             self.held.clear()
         held.stored, held.fresh = False, []
 
-    def _deadline(self, timer_values) -> int | None:
-        if not self.timers:
+    def _deadline(self, timer_values, opened_at: int | None) -> int | None:
+        if self.timers is None or self.timers == "event" and opened_at is None:
             return None
-        at = timer_values.getCurrentProcessingTimeInMs() + self.timeout_ms
+        if self.timers == "event":
+            at = opened_at + self.timeout_ms + 1
+        else:
+            at = timer_values.getCurrentProcessingTimeInMs() + self.timeout_ms
         self.handle.registerTimer(at)
         return at
 
+    @staticmethod
+    def _succeeded(flag: bool | None, cutoff: int | None) -> bool:
+        return flag if flag is not None else cutoff is not None and cutoff >= 0
+
     def _fail(self, record, gap: dict, held: "_Held", why: str) -> Iterator[tuple]:
         at = dict.fromkeys(_CARRIED) | {
             "seq": gap["open_seq"], "arrived": gap["opened_at"], "rec_ts": gap["opened_at"], "kind": "G", "event_id": gap["open_event"],
@@ -217,7 +383,7 @@ class GapProcessor(StatefulProcessor):
 
     def _fill(self, record, row, values, gap: dict | None, held: "_Held") -> Iterator[tuple]:
         cutoff = row["cutoff"]
-        ok = row["is_success"] if row["is_success"] is not None else cutoff is not None and cutoff >= 0
+        ok = self._succeeded(row["is_success"], cutoff)
         if self.strict and not ok:
             yield self._row(record, values, "fill_error")
             for i, v in enumerate(held.rows()):
@@ -235,7 +401,7 @@ class GapProcessor(StatefulProcessor):
                 else:
                     yield self._row(record, v, "dropped", values)
         else:
-            forced = self.strict and "force" in row and row["force"]
+            forced = self.strict and row["force"]
             yield self._row(record, values, "forced" if forced else "fill_ignored")
         self._end(held)
 
@@ -247,13 +413,17 @@ class GapProcessor(StatefulProcessor):
 
 
 class _Held:
-    """Rows held back for one record: those in the list state, then those of this micro-batch."""
+    """Rows held back for one record: those in the list state, then those of this micro-batch. Rows that another run handed over
+    come first, and in any order."""
 
-    def __init__(self, state, stored: bool):
-        self.state, self.stored, self.fresh = state, stored, []
+    def __init__(self, state, gap: dict | None):
+        self.state, self.stored, self.fresh = state, gap is not None, []
+        self.handed = gap["handed"] or 0 if gap else 0
 
     def rows(self) -> Iterator[tuple]:
         if self.stored:
-            for row in self.state.get():
-                yield tuple(row)
+            rows = map(tuple, self.state.get())
+            if self.handed:
+                yield from sorted(itertools.islice(rows, self.handed), key=_place)
+            yield from rows
         yield from self.fresh
