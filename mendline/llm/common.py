@@ -19,8 +19,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def id_fold(doc_id: Column, folds: int) -> Column:
-    """crc32 of the id's decimal digits modulo `folds`."""
-    return F.pmod(F.crc32(doc_id.cast("string")), F.lit(folds))
+    """crc32 of the id's decimal digits modulo `folds`; a null id counts as one without digits."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))), F.lit(folds))
 
 
 def fold_of(doc_id: int, folds: int) -> int:

@@ -115,6 +115,8 @@ def like_strings(text: str):
     done = 0
     for m in AT.finditer(text):
         s, e = m.span()
+        if s < done:
+            continue  # within the string before; so no stretch is scanned more than twice
         while s > done and AROUND_AT.match(text, s - 1):
             s -= 1
         while e < len(text) and AROUND_AT.match(text, e):

@@ -72,7 +72,13 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def _without(df: DataFrame, name: str) -> DataFrame:
+    return df.drop(*(c for c in df.columns if c.lower() == name.lower()))
+
+
 def with_statistics(df: DataFrame, out: str, *, text: str = "text") -> DataFrame:
+    """The input with the statistics of its texts; a column of that name is replaced."""
+    df = _without(df, out) if out.lower() != text.lower() else df
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 
     def make():
@@ -135,6 +141,9 @@ def fit(rows: DataFrame, *, vector: str = "x", label: str = "label") -> Discrimi
 
 
 def score(df: DataFrame, model: Discriminant, *, vector: str = "x", out: str = "score") -> DataFrame:
+    """The input with the score; a column of that name is replaced."""
+    df = _without(df, out)
+
     def run(batches):
         for batch in batches:
             x = batch.column(batch.schema.get_field_index(vector)).flatten().to_numpy(zero_copy_only=False).reshape(-1, DIM)

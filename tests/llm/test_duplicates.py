@@ -30,6 +30,22 @@ def test_exact_odd_rows(docs):
     assert exact.exact_duplicates(docs([])).count() == 0
 
 
+def test_exact_helper_names_may_be_columns(spark):
+    names = ["common", "t_sha", "t_piece", "t_min", "pieces", "first", "norm", "sha", "piece", "count", "leader"]
+    df = spark.createDataFrame([(i, "same" if i % 2 else f"t{i}", *range(len(names))) for i in range(40)], ["doc_id", "text", *names])
+    got = exact.exact_duplicates(df, least=4).collect()
+    assert sorted(r.doc_id for r in got if r.kept) == [0, 1, *range(2, 40, 2)] and {r.t_sha for r in got} == {1}
+
+
+def test_exact_many_rows_without_identifier(docs):
+    rows = [(None, "same text") for _ in range(300)] + [(i, "other") for i in range(5)]
+    got = exact.exact_duplicates(docs(rows).repartition(4), least=20).collect()
+    assert [(r.keep_id, r.group_size) for r in got if r.kept and r.text == "same text"] == [(None, 300)]
+    mixed = exact.exact_duplicates(docs([(7, "same text"), *rows]).repartition(4), least=20).collect()
+    assert [(r.doc_id, r.keep_id, r.group_size) for r in mixed if r.kept and r.text == "same text"] == [(7, 7, 301)]
+    assert all(r.keep_id == 7 for r in mixed if r.text == "same text")
+
+
 def test_exact_common_text_in_pieces_and_clashing_names(docs):
     df = docs([(i, "common  text" if i % 3 else f"text {i}") for i in range(5, 305)]).withColumnRenamed("lang", "Norm").withColumnRenamed("source", "KEPT")
     got = exact.exact_duplicates(df, least=10)

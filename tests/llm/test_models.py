@@ -106,3 +106,16 @@ def test_held_out_accuracy_of_the_queries(spark, name, right):
     rows = [r for r in QUERIES[name](spark, folder).collect() if r.held_out and r.doc_id in known]
     hits = sum((r.predicted if name == "op3_quality" else r.lang_pred) == known[r.doc_id] for r in rows)
     assert hits >= 0.95 * len(rows) > 0
+
+
+def test_rows_without_identifier_are_folded(spark):
+    """A null id counts as one without digits, so that such rows are learnt from where the contract takes that fold."""
+    df = spark.createDataFrame([(None,), (5,)], "doc_id long").withColumn("fold", id_fold(F.col("doc_id"), 3))
+    assert {(r.doc_id, r.fold) for r in df.collect()} == {(None, 0), (5, fold_of(5, 3))}
+
+
+def test_columns_named_like_results_are_replaced(docs):
+    df = docs([(i, "some words " * i) for i in range(4)]).withColumnRenamed("lang", "X").withColumnRenamed("source", "Score")
+    seen = quality.with_statistics(df, "x")
+    scored = quality.score(seen, quality.Discriminant(None, None, 0.5))
+    assert scored.columns == ["doc_id", "text", "n_chars", "x", "score"] and {r.score for r in scored.collect()} == {0.5}

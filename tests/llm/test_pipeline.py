@@ -46,6 +46,19 @@ def test_near_stage_keeps_one_of_each_group(stages):
     assert set(after) == set(groups.values())
 
 
+def test_near_stage_knows_rows_by_id_and_text(spark, docs):
+    a, b = "one two three four five six seven", "nothing that looks like it at all here"
+    make = lambda rows: cp.stored(docs(rows), "near-input")
+    kept = cp.near_stage(spark, make([(1, a), (5, a + "."), (5, b), (None, a), (None, a), (None, a + "!")]), "")
+    near = {plain_fingerprint(t, 3) for t in (a, a + ".", a + "!")}
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=str)
+    assert (1, a) in got and (5, b) in got and (None, a) not in got
+    assert len(got) == 2 + sum(min((plain_fingerprint(a, 3) ^ p).bit_count(), 4) > 3 for p in near)
+    again = cp.near_stage(spark, make([(1, a), (1, a), (None, b), (None, b)]), "").collect()
+    assert sorted(((r.doc_id, r.text) for r in again), key=str) == [(1, a), (None, b)]
+    assert cp.near_stage(spark, make([]), "").collect() == []
+
+
 def test_personal_data_is_gone(stages):
     before, after = rows(stages[3]), rows(stages[4])
     assert set(before) == set(after)
