@@ -3,8 +3,8 @@
 Each stage takes (spark, docs, sf_dir) and returns the documents it keeps, with the columns of `documents`; the last returns packed
 pieces. `run` writes each stage's result to the shared folder and reads it again for the next.
 
-Rows are told apart by doc_id. Where several rows have one doc_id and remain after the exact stage, they share its fate in the near-duplicate
-stage.
+In the near-duplicate stage a row is known by its doc_id and the digest of its text, so rows that share a doc_id, or have none, each go
+their own way; of rows that agree in both, one stays at most.
 """
 
 from __future__ import annotations
@@ -34,10 +34,17 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the one with the smallest doc_id stays; rows without doc_id stay."""
-    groups = simhash.near_duplicates(docs, words=3, radius=3)
-    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id")
-    return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
+    """Of each group of near duplicates one row stays: that of the smallest doc_id, rows without one after all others."""
+    name = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    found = stored(simhash.near_duplicates(docs.select(name.alias("row"), "text"), words=3, radius=3, id_col="row")
+                   .select("row", (F.col("row") == F.col("component_id")).alias("stays")), "near-groups")
+    named = docs.select(*COLUMNS).withColumn("row", name)
+    kept = named.join(found.where(~F.col("stays")), "row", "left_anti")
+    # Rows equal in id and text: none where the exact stage went before.
+    repeated = stored(found.where("stays").groupBy("row").count().where("count > 1").select("row"), "near-repeated")
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, "row", "left_anti").unionByName(kept.join(repeated, "row", "left_semi").dropDuplicates(["row"]))
+    return kept.drop("row")
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
