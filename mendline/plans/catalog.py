@@ -181,6 +181,14 @@ def fill_lookup_misses(spark, d):
     return lookup.fill_lookup_misses(fill_commands(spark, d), src.snapshot(spark, d))
 
 
+def fill_lookup_as_of(spark, d):
+    """Commands are asked half a day after their gap, of the images as they were then."""
+    dec = decided(spark, d).filter(F.col("decision") == "command")
+    asked = dec.select("record_id", F.col("entity").alias("entity_type"), "event_id", "seq", F.col("ts").alias("gap_at"),
+                       (F.col("ts") + 12 * 3_600_000).alias("asked_at"))
+    return lookup.fill_lookup_as_of(asked, src.snapshot(spark, d))
+
+
 def fill_commands_fanout(spark, d):
     """Both workers answer the same commands, the older one from images of the day before and now and then first; one
     fill per command remains, a good one if there is any."""
@@ -423,6 +431,7 @@ QUERIES: dict[str, Query] = {
     "fill_lookup_left": fill_lookup_left,
     "fill_lookup_inner": fill_lookup_inner,
     "fill_lookup_misses": fill_lookup_misses,
+    "fill_lookup_as_of": fill_lookup_as_of,
     "fill_commands_fanout": fill_commands_fanout,
     "gap_fill_episodes": gap_fill_episodes,
     "ignored_fills": ignored_fills,

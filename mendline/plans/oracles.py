@@ -64,9 +64,8 @@ _IMAGES = """i AS (SELECT c_custkey AS rid, version, c_mktsegment, c_acctbal >=
     CASE WHEN c_mktsegment <> 'FURNITURE' AND (c_acctbal >= 0 OR version = 1)
       THEN 1704067200000 + ((c_custkey * 7919) % 720) * 3600000 - version * 86400000 END AS modified, c_name || '-' || version AS name
     FROM customer, (SELECT unnest([0, 1]) AS version) WHERE c_mktsegment <> 'MACHINERY' AND (version = 0 OR c_custkey % 2 = 0))"""
-# The current image of each record: the latest usable one. `normal`: its fields in order of their names.
-_SNAPSHOT = _IMAGES + """, s AS (SELECT rid, max(modified) AS cut, bool_or(is_json) AS is_json, arg_max(name, modified) AS name
-    FROM i GROUP BY rid)"""
+# The current image of each record: the newest, usable or not. `normal`: its fields in order of their names.
+_SNAPSHOT = _IMAGES + """, s AS (SELECT rid, modified AS cut, is_json, name FROM i WHERE version = 0)"""
 _LOOKUP = _decided() + f", {_COMMANDS}, {_SNAPSHOT}" + """, l AS (SELECT record_id, entity_type, event_id, seq,
     coalesce(cut, -1) AS cutoff, cut IS NOT NULL AS is_success,
     CASE WHEN cut IS NULL THEN '{}' ELSE '{"name":"' || name || '","lastModifiedEpochMs":' || cut || '}' END AS all_fields,
@@ -303,6 +302,15 @@ ORACLES: dict[str, str] = {
     "fill_lookup_inner": _LOOKUP + "SELECT record_id, entity_type, event_id, seq, cutoff, all_fields FROM l WHERE is_success",
     "fill_lookup_misses": _LOOKUP + """SELECT record_id, entity_type, event_id, seq,
       '/' || entity_type || '/' || record_id AS path FROM l WHERE err LIKE 'not found%'""",
+    "fill_lookup_as_of": _decided() + f", {_COMMANDS}, {_IMAGES}" + """,
+      v AS (SELECT rid, version, is_json, modified, name, 1704067200000 + ((rid * 7919) % 720) * 3600000 - version * 86400000 AS taken FROM i),
+      p AS (SELECT c.*, (SELECT max(taken) FROM v WHERE rid = record_id AND taken <= ts + 12 * 3600000) AS last_taken FROM c),
+      q AS (SELECT p.*, rid, is_json, modified, name, coalesce(modified >= ts, false) AS good FROM p LEFT JOIN v ON rid = record_id AND taken = last_taken)
+      SELECT record_id, entity_type, event_id, seq, CASE WHEN good THEN modified ELSE -1 END AS cutoff,
+        CASE WHEN good THEN '{"name":"' || name || '","lastModifiedEpochMs":' || modified || '}' ELSE '{}' END AS all_fields, good AS is_success,
+        CASE WHEN good THEN '' WHEN rid IS NULL THEN 'not found: /' || entity_type || '/' || record_id
+          WHEN NOT is_json THEN 'bad image: /' || entity_type || '/' || record_id WHEN modified IS NULL THEN 'bad modification time: n/a'
+          ELSE 'stale image: /' || entity_type || '/' || record_id END AS err FROM q""",
     "fill_commands_fanout": _LOOKUP + """, o AS (SELECT record_id, event_id, modified AS cutoff, true AS is_success, seq * 2 + CASE WHEN seq % 3 = 0 THEN -1 ELSE 1 END AS place
         FROM c JOIN i ON record_id = rid WHERE version = 1 AND modified IS NOT NULL),
       b2 AS (SELECT record_id, event_id, cutoff, is_success, seq * 2 AS place FROM l UNION ALL SELECT * FROM o)
@@ -432,7 +440,7 @@ ORACLES: dict[str, str] = {
       FROM t LEFT JOIN m ON m.record_id = t.record_id WHERE coalesce(mended_seq, -1) < t.open_seq""",
     "dead_letters_replayed": _LIMITS + f""", {_IMAGES},
       o AS (SELECT rid, modified AS cut, name FROM i WHERE version = 1 AND modified IS NOT NULL),
-      s AS (SELECT rid, max(modified) AS cut, arg_max(name, modified) AS name FROM i GROUP BY rid),
+      s AS (SELECT rid, modified AS cut, name FROM i WHERE version = 0),
       a AS (SELECT record_id, seq, acted_seq AS open_seq, ts, payload, CASE WHEN o.cut IS NULL THEN 2 ELSE 1 END AS run,
           coalesce(o.cut, s.cut) AS cutoff, coalesce(o.name, s.name) AS name
         FROM d LEFT JOIN o ON o.rid = record_id LEFT JOIN s ON s.rid = record_id

@@ -14,20 +14,37 @@ WIRE = T.StructType([
 ])
 
 
-_made: list[str] = []
+#: Folders given out, by session.
+_made: dict[str, list[str]] = {}
+
+
+def _session(spark: SparkSession) -> str:
+    return spark._jsparkSession.sessionUUID()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder: `spark.checkpoint.dir`. Where that is unset, as in tests, a folder of the
-    warehouse, which all executors see too."""
+    """The cluster's shared folder: `spark.checkpoint.dir`. Where that is unset, as in tests, a folder of the warehouse; on a cluster
+    that must not be a folder of one machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return folder.rstrip("/") if folder else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/mendline-shared"
+    if folder:
+        return folder.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+    if not is_shared(warehouse, spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{warehouse}/mendline-shared"
+
+
+def is_shared(folder: str, master: str) -> bool:
+    """Can all executors see a folder? One of the local file system only if they run on one machine."""
+    scheme = folder.split(":", 1)[0] if ":" in folder else "file"
+    return scheme != "file" or master.startswith("local[") or master == "local"
 
 
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A new folder name in the shared folder; `release` deletes all that were given out."""
-    _made.append(f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}")
-    return _made[-1]
+    folder = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.setdefault(_session(spark), []).append(folder)
+    return folder
 
 
 def stored(df: DataFrame, label: str = "stored") -> DataFrame:
@@ -39,10 +56,10 @@ def stored(df: DataFrame, label: str = "stored") -> DataFrame:
 
 
 def release(spark: SparkSession) -> int:
-    """Delete the folders of intermediate results once their consumers have run; returns how many."""
-    done = 0
-    while _made:
-        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_made.pop())
+    """Delete the session's folders of intermediate results once their consumers have run; returns how many."""
+    done, made = 0, _made.pop(_session(spark), [])
+    while made:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(made.pop())
         done += path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
     return done
 

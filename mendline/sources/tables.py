@@ -113,7 +113,8 @@ def fill_wire(spark: SparkSession, sf_dir: str, faulty: bool = False, forced: bo
 
 def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Images of all customers by (entity_type, record_id). One market segment is of another entity type; in one the
-    modification time is no number; images of customers in debt are cut off; half the customers have an older version too."""
+    modification time is no number; images of customers in debt are cut off; half the customers have an older version too. `taken`
+    is when the source had a version."""
     key, hours = F.col("c_custkey"), F.pmod(F.col("c_custkey") * 7919, F.lit(720))
     text = F.when(F.col("c_mktsegment") == "FURNITURE", F.lit("\"n/a\"")).otherwise(F.col("modified").cast("string"))
     whole = F.concat(F.lit('{"name":"'), F.concat_ws("-", "c_name", "version"), F.lit('","lastModifiedEpochMs":'), text, F.lit("}"))
@@ -122,7 +123,8 @@ def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumn("modified", F.lit(1_704_067_200_000) + hours * 3_600_000 - F.col("version") * 86_400_000)
             .select(F.when(F.col("c_mktsegment") == "MACHINERY", "Company").otherwise(ENTITY).alias("entity_type"),
                     key.alias("record_id"),
-                    F.when((F.col("c_acctbal") < 0) & (F.col("version") == 0), F.substring(whole, 1, 12)).otherwise(whole).alias("image"), "version"))
+                    F.when((F.col("c_acctbal") < 0) & (F.col("version") == 0), F.substring(whole, 1, 12)).otherwise(whole).alias("image"), "version",
+                    F.col("modified").alias("taken")))
 
 
 def change_fields(event_type: Column, value: Column, k: Column) -> Column:
