@@ -18,8 +18,9 @@ def _runs(attempts: DataFrame, layout: Layout) -> DataFrame:
     return scan(attempts, layout, count_before={"run": F.col("outcome") != "transient"})
 
 
-def outage_windows(attempts: DataFrame, layout: Layout = DEFAULT, limit_ms: int = S.MAX_OUTAGE_MS) -> DataFrame:
-    """An outage starts at the first transient failure after an answer and ends at the next answer."""
+def outage_windows(attempts: DataFrame, layout: Layout = DEFAULT, limit_ms: int = S.MAX_OUTAGE_MS, as_of: int | None = None) -> DataFrame:
+    """An outage starts at the first transient failure after an answer and ends at the next answer. One that has not ended
+    counts up to its last failure, or up to the instant `as_of` (milliseconds)."""
     failed = F.col("outcome") == "transient"
     source = layout.by("entity_type")
     runs = _runs(attempts, source).groupBy("entity_type", "run").agg(
@@ -29,7 +30,7 @@ def outage_windows(attempts: DataFrame, layout: Layout = DEFAULT, limit_ms: int
         F.max(F.when(~failed, F.col("ts"))).alias("ended"))
     return runs.filter(F.col("n_failures") > 0).select(
         "entity_type", "started", "last_failure", "ended", "n_failures",
-        outage_breached(F.col("started"), F.coalesce("ended", "last_failure"), limit_ms).alias("breached"))
+        outage_breached(F.col("started"), F.coalesce(F.col("ended"), F.col("last_failure") if as_of is None else F.lit(as_of)), limit_ms).alias("breached"))
 
 
 def retry_schedule(attempts: DataFrame, layout: Layout = DEFAULT, *, doubling: bool = True,

@@ -278,7 +278,7 @@ def change_capture(spark, d, layout=DEFAULT):
 
 # --- fill attempts --------------------------------------------------------------------------------------
 
-def _attempts(spark, d):
+def attempts(spark, d):
     dec = decided(spark, d).filter(F.col("decision") == "command")
     k = F.get_json_object("payload", "$.k").cast("bigint")
     a = src.fill_attempts(dec.select("record_id", F.col("entity").alias("entity_type"), "seq", "ts", "payload"), k)
@@ -286,15 +286,15 @@ def _attempts(spark, d):
 
 
 def fill_outcome_class(spark, d):
-    return _attempts(spark, d).select("record_id", "seq", "status", "outcome")
+    return attempts(spark, d).select("record_id", "seq", "status", "outcome")
 
 
 def retry_schedule(spark, d, doubling=True, layout=DEFAULT):
-    return retries.retry_schedule(stored(_attempts(spark, d)), layout, doubling=doubling)
+    return retries.retry_schedule(stored(attempts(spark, d)), layout, doubling=doubling)
 
 
 def outage_windows(spark, d, layout=DEFAULT):
-    return retries.outage_windows(stored(_attempts(spark, d)), layout)
+    return retries.outage_windows(stored(attempts(spark, d)), layout)
 
 
 # --- scalar functions, duplicates, failed gaps -------------------------------------------------------------
@@ -477,6 +477,10 @@ QUERIES: dict[str, Query] = {
     "stream_outputs_faulty": partial(streams.stream_outputs, faulty=True),
     "stream_newer_only": streams.stream_newer_only,
     "stream_first_fills": streams.stream_first_fills,
+    "current_state_stream": streams.current_state_stream,
+    "materialized_image_stream": streams.materialized_image_stream,
+    "replay_gaps_stream": streams.replay_gaps_stream,
+    "outage_alarm_stream": streams.outage_alarm_stream,
     "fill_command_source": streams.fill_command_source,
     "second_worker": partial(streams.fill_command_source, older=True),
     "fill_loop": streams.fill_loop,

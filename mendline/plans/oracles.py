@@ -496,3 +496,10 @@ ORACLES: dict[str, str] = {
       SELECT topic, CAST(record_id AS VARCHAR) AS key, value,
         row_number() OVER (PARTITION BY record_id ORDER BY cause, nth NULLS FIRST) AS rec_offset FROM z""",
 }
+
+# The streams that keep a table have to end up with the same table.
+ORACLES |= {f"{name}_stream": ORACLES[name] for name in ("current_state", "materialized_image", "replay_gaps")}
+ORACLES["outage_alarm_stream"] = _ATTEMPTS + """, g AS (SELECT entity_type, run,
+    min(ts) FILTER (outcome = 'transient') AS started, max(ts) FILTER (outcome <> 'transient') AS ended FROM r GROUP BY entity_type, run)
+  SELECT entity_type, started, started + 600001 AS breached_at FROM g
+    WHERE coalesce(ended, (SELECT max(ts) FROM a)) - started > 600000"""

@@ -5,14 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .. import schemas as S
+from ..functions import epoch_ms
 from ..operators import gaps
 from ..operators.ordered import DEFAULT, scan
 from ..sources import codecs, io, tables as src
-from ..streaming import engine, processor
+from ..streaming import engine, kept, processor
 
 #: Files of a micro-batch at most.
 FILES = 64
 
+#: Files of a delivery, where a query cuts its own.
+FILES_OF_DELIVERY = 4
+
+#: How long answers are remembered: a week.
+ANSWERS_KEPT_MS = 7 * 86_400_000
+
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream: its files as they are, a bounded number per micro-batch. The pattern stands for that one
@@ -104,8 +111,63 @@ def stream_first_fills(spark, d) -> DataFrame:
     fills = src.fill_wire(spark, d)
     fills.unionByName(fills.withColumn("rec_offset", F.col("rec_offset") + 1_000_000_000)).write.parquet(f"{folder}/in")
     parsed = codecs.usable(codecs.parse_fills(io.read_wire(spark, "parquet", f"{folder}/in", stream=True)))
-    first = engine.first_fills(parsed, "3650 days").select("record_id", "event_id", "cutoff")
-    return engine.run_to_end(first, f"{folder}/out", f"{folder}/checkpoint")
+    first = kept.first_fills(parsed.select("record_id", "event_id", "cutoff", "rec_offset"), ANSWERS_KEPT_MS)
+    return engine.run_to_end(first.drop("rec_offset"), f"{folder}/out", f"{folder}/checkpoint", idle=False)
+
+
+def _in_deliveries(spark, rows: DataFrame, folder: str, deliveries: int) -> DataFrame:
+    """Rows as files in no order, as a stream that takes them in so many micro-batches."""
+    rows.repartition(deliveries * FILES_OF_DELIVERY).write.parquet(folder)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", FILES_OF_DELIVERY).parquet(folder)
+
+
+def current_state_stream(spark, d, deliveries: int = 5) -> DataFrame:
+    """The newest row per key, merged micro-batch by micro-batch into a table of buckets; rows come in no order. A second run over the
+    same checkpoint finds nothing new."""
+    folder = io.fresh_dir(spark, "state-kept")
+    rows = src.table(spark, d, "events").select(
+        F.col("user_id").alias("record_id"), F.col("event_id").alias("seq"), "event_type", "value", "props")
+    stream = _in_deliveries(spark, rows, f"{folder}/in", deliveries)
+    table = kept.UpsertTable(spark, f"{folder}/table", rows.schema)
+    for _ in range(2):
+        table.follow(stream, f"{folder}/checkpoint")
+    table.vacuum()
+    return table.read()
+
+
+def materialized_image_stream(spark, d) -> DataFrame:
+    """Images kept behind the gap handler's stream: what it sends out goes on as changes to a second stage of state."""
+    folder = io.fresh_dir(spark, "image-kept")
+    fields = src.change_fields(F.col("event_type"), F.col("value").cast("string"), F.get_json_object("props", "$.k"))
+    events = _events(spark, d)
+    rows = src.tag_events(events, extra={"fields": fields}).withColumn("arrived", F.col("ts"))
+    rows = rows.withColumn("payload", F.to_json("fields", {"ignoreNullFields": "false"})).drop("fields")
+    changes = kept.emitted_changes(engine.gap_stream(rows))
+    image = kept.newest_images(engine.run_to_end(kept.images(changes), f"{folder}/out", f"{folder}/checkpoint"))
+    return image.select("record_id", F.col("image")["event_type"].alias("event_type"), F.col("image")["k"].cast("bigint").alias("k"),
+                        F.col("image")["value"].cast("double").alias("value"))
+
+
+def replay_gaps_stream(spark, d, deliveries: int = 3) -> DataFrame:
+    """Whole seconds in which nothing happened, from events that arrive in no order."""
+    folder = io.fresh_dir(spark, "numbers-kept")
+    rows = src.table(spark, d, "events").select(F.floor(epoch_ms(F.col("ts")) / 1000).cast("bigint").alias("second"))
+    stream = _in_deliveries(spark, rows, f"{folder}/in", deliveries)
+    return kept.missing(engine.run_to_end(kept.seen_runs(stream, "second"), f"{folder}/out", f"{folder}/checkpoint"))
+
+
+def outage_alarm_stream(spark, d) -> DataFrame:
+    """Alarms of outages beyond the limit, that of one which still lasts included: by then the times of all attempts are beyond it."""
+    from .catalog import attempts
+
+    folder = io.fresh_dir(spark, "outage-kept")
+    asked = io.stored(attempts(spark, d).select("entity_type", "seq", "ts", "outcome"), "attempts")
+    half = asked.agg((F.max("seq") / 2).cast("bigint")).first()[0]
+    for part in (F.col("seq") <= half, F.col("seq") > half):
+        asked.filter(part).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(asked.schema).option("maxFilesPerTrigger", FILES).parquet(f"{folder}/in")
+        written = engine.run_to_end(kept.outages(stream), f"{folder}/out", f"{folder}/checkpoint")
+    return written.filter("kind = 'breach'").select("entity_type", "started", F.col("at").alias("breached_at"))
 
 
 def repair_loop(spark: SparkSession, folder: str, images, mode: str = "compat", max_per_trigger: int = FILES) -> DataFrame:

@@ -99,18 +99,26 @@ def final_decisions(decisions: DataFrame) -> DataFrame:
         F.when(F.col("_l.ended"), F.col("_l.decision")).otherwise(names[F.col("_l.decision")]).alias("decision"))
 
 
-def run_to_end(stream: DataFrame, folder: str, checkpoint: str, *, partition_by: str | None = None) -> DataFrame:
+def run_to_end(stream: DataFrame, folder: str, checkpoint: str, *, partition_by: str | None = None, idle: bool = True) -> DataFrame:
     """Run over all data there is now, then return what has been written to `folder` in total.
 
     The Parquet file sink writes each micro-batch exactly once, also when a batch is repeated. Not for streams
-    with timers: these wait for the clock and so never come to an end.
+    with timers of the clock: these wait for it and so never come to an end. With `idle=False` there are no micro-batches without
+    data, so that a stream whose state expires by the clock ends too.
     """
+    spark, name = stream.sparkSession, "spark.sql.streaming.noDataMicroBatches.enabled"
     writer = (stream.writeStream.format("parquet").outputMode("append").option("path", folder)
               .option("checkpointLocation", checkpoint).trigger(availableNow=True))
     if partition_by:
         writer = writer.partitionBy(partition_by)
-    writer.start().awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(folder)
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(idle and before == "true").lower())  # read when a query starts
+    try:
+        query = writer.start()
+    finally:
+        spark.conf.set(name, before)
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(folder)
 
 
 def first_fills(fills: DataFrame, within: str, time: str = "rec_ts") -> DataFrame:
