@@ -1,6 +1,6 @@
 """JSON wire records <-> typed columns, with every unusable row kept in a quarantine.
 
-A wire row is (key string, value string, rec_ts bigint, rec_offset bigint).
+A wire row is (key string, value string, rec_ts bigint, rec_offset bigint), and rec_partition int where the source has partitions.
 """
 
 from __future__ import annotations
@@ -62,10 +62,16 @@ def fill_problem() -> Column:
             .when(F.col("key") != v["recordId"], "key_mismatch"))
 
 
+def _partition(wire: DataFrame) -> Column:
+    """The partition of a wire row; a source without partitions is one."""
+    given = F.coalesce("rec_partition", F.lit(0)) if "rec_partition" in wire.columns else F.lit(0)
+    return given.cast("int").alias("rec_partition")
+
+
 def parse_cdc(wire: DataFrame) -> DataFrame:
     """Decoded change events with `problem`; the text of the row is kept for the quarantine."""
     return decode(wire, S.CDC_EVENT).select(
-        "key", "rec_ts", "rec_offset", "value",
+        "key", "rec_ts", "rec_offset", _partition(wire), "value",
         F.col("v.eventId").alias("event_id"), F.col("v.entity").alias("entity"),
         F.col("v.recordId").alias("record_id"), F.col("v.type").alias("type"),
         F.col("v.timestamp").alias("ts"), F.col("v.replayId").alias("replay_id"),
@@ -75,7 +81,7 @@ def parse_cdc(wire: DataFrame) -> DataFrame:
 
 def parse_fills(wire: DataFrame) -> DataFrame:
     return decode(wire, S.FILL_EVENT).select(
-        "key", "rec_ts", "rec_offset", "value",
+        "key", "rec_ts", "rec_offset", _partition(wire), "value",
         F.col("v.recordId").alias("record_id"), F.col("v.entityType").alias("entity"),
         F.col("v.eventId").alias("event_id"),
         F.col("v.cutoffLastModifiedEpochMs").alias("cutoff"), F.col("v.allFields").alias("payload"),
@@ -102,28 +108,32 @@ def quarantine(parsed: DataFrame, mode: str = "strict") -> DataFrame:
 
 def tag(cdc: DataFrame, fills: DataFrame, mode: str = "strict") -> DataFrame:
     """Both inputs as one table of tagged rows, with all that was received. `seq` is unique within a record: offsets of the
-    two sources may coincide. In compat a fill goes by its key; `own_id` is the record id that it names itself. The order of arrival is
+    two sources, and of partitions, may coincide. In compat a fill goes by its key; `own_id` is the record id that it names itself. The order of arrival is
     that of `arrival_order`."""
     changes = usable(cdc, mode).select(
-        "record_id", "key", "rec_ts", F.lit(0).alias("source_rank"), "rec_offset",
+        "record_id", "key", "rec_ts", F.lit(0).alias("source_rank"), "rec_offset", "rec_partition",
         wire_kind(F.col("type")).alias("kind"), "type", "event_id", "entity", "ts", "replay_id", "gap", "payload")
     record = F.col("key") if mode == "compat" else F.col("record_id")
     filled = usable(fills, mode).select(
-        record.alias("record_id"), "key", "rec_ts", F.lit(1).alias("source_rank"), "rec_offset",
+        record.alias("record_id"), "key", "rec_ts", F.lit(1).alias("source_rank"), "rec_offset", "rec_partition",
         F.lit("F").alias("kind"), "event_id", "entity", "payload", F.col("record_id").alias("own_id"), "cutoff", "is_success", "force", "err")
     return (changes.unionByName(filled, allowMissingColumns=True)
-            .withColumn("seq", F.col("rec_offset") * 2 + F.col("source_rank")))
+            .withColumn("seq", F.col("rec_partition") * F.lit(OFFSETS * 2) + F.col("rec_offset") * 2 + F.col("source_rank")))
+
 
+#: Offsets of one partition lie below this, partitions below 2^15.
+OFFSETS = 1 << 47
 
-WIRE_ORDER = ("arrived", "source_rank", "rec_offset")
+WIRE_ORDER = ("arrived", "source_rank", "rec_offset", "rec_partition")
 WIRE_LAYOUT = Layout(order=WIRE_ORDER)
 
 
 def arrival_order(tagged: DataFrame) -> DataFrame:
     """Add `arrived`: the latest record time of the record's source so far, by offset. By it the two sources are merged, and within a
-    source rows keep the order of their offsets whatever their times. Order rows by WIRE_ORDER."""
-    source = Layout(keys=("record_id", "source_rank"), order=("rec_offset",))
-    seen = scan(tagged, source, max_before={"_latest": F.col("rec_ts")})
+    source rows keep the order of their offsets whatever their times; equal offsets in several partitions count by partition. Order rows by
+    WIRE_ORDER."""
+    source = Layout(keys=("record_id", "source_rank"), order=("rec_offset", "rec_partition"))
+    seen = scan(tagged.withColumn("rec_partition", _partition(tagged)), source, max_before={"_latest": F.col("rec_ts")})
     return seen.withColumn("arrived", F.greatest("rec_ts", "_latest")).drop("_latest", PART)
 
 

@@ -13,6 +13,8 @@ WIRE = T.StructType([
     T.StructField("rec_offset", T.LongType()),
 ])
 
+PARTITIONED_WIRE = T.StructType([*WIRE.fields, T.StructField("rec_partition", T.IntegerType())])
+
 
 #: Folders given out, by session.
 _made: dict[str, list[str]] = {}
@@ -66,12 +68,13 @@ def release(spark: SparkSession) -> int:
 
 def _from_kafka(df: DataFrame) -> DataFrame:
     return df.select(F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"),
-                     F.unix_millis("timestamp").alias("rec_ts"), F.col("offset").alias("rec_offset"))
+                     F.unix_millis("timestamp").alias("rec_ts"), F.col("offset").alias("rec_offset"),
+                     F.col("partition").alias("rec_partition"))
 
 
 def read_wire(spark: SparkSession, fmt: str, path_or_topic: str, *, stream: bool = False,
-              max_per_trigger: int | None = None, **options: str) -> DataFrame:
-    """Wire rows of a topic or folder.
+              max_per_trigger: int | None = None, partitioned: bool = False, **options: str) -> DataFrame:
+    """Wire rows of a topic or folder; with `partitioned`, files name the partition of a row as topics do.
 
     As a work queue: reading starts at the earliest record, and progress is recorded in the query's
     checkpoint only after a batch has been written, so nothing is acknowledged before its result is out.
@@ -83,7 +86,7 @@ def read_wire(spark: SparkSession, fmt: str, path_or_topic: str, *, stream: bool
         if stream and max_per_trigger:
             reader = reader.option("maxOffsetsPerTrigger", max_per_trigger)
         return _from_kafka(reader.options(**options).load())
-    reader = reader.format(fmt).schema(WIRE)
+    reader = reader.format(fmt).schema(PARTITIONED_WIRE if partitioned else WIRE)
     if stream and max_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_per_trigger)
     return reader.options(**options).load(path_or_topic)

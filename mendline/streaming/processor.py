@@ -26,7 +26,7 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import Row, types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-_CARRIED = ("seq", "source_rank", "rec_offset", "arrived", "rec_ts", "key", "kind", "type", "event_id", "entity", "ts",
+_CARRIED = ("seq", "source_rank", "rec_offset", "rec_partition", "arrived", "rec_ts", "key", "kind", "type", "event_id", "entity", "ts",
             "replay_id", "gap", "payload", "own_id", "cutoff", "is_success", "force", "err")
 _LONGS = ("seq", "rec_offset", "arrived", "rec_ts", "ts", "replay_id", "cutoff")
 #: What goes out as an event, and what goes out otherwise.
@@ -37,7 +37,8 @@ _SECONDS_LIMIT = 100_000_000_000
 
 def state_schema(columns: Sequence[str] = _CARRIED) -> T.StructType:
     """All that was received; the gap information as JSON text."""
-    kinds = dict.fromkeys(_LONGS, T.LongType()) | {"is_success": T.BooleanType(), "force": T.BooleanType(), "source_rank": T.IntegerType()}
+    kinds = dict.fromkeys(_LONGS, T.LongType()) | {"is_success": T.BooleanType(), "force": T.BooleanType(), "source_rank": T.IntegerType(),
+                                              "rec_partition": T.IntegerType()}
     return T.StructType([T.StructField(c, kinds.get(c, T.StringType())) for c in columns])
 
 
@@ -98,7 +99,7 @@ def merged(by_source: dict[int, list], latest: list[int | None]) -> Iterator[tup
     """Rows of two sources, each in order of its offsets, merged by the latest record time so far; with that time as
     `arrived`. A micro-batch boundary inside a source changes nothing."""
     def timed(rank: int):
-        for row in sorted(by_source[rank], key=lambda r: r["rec_offset"]):
+        for row in sorted(by_source[rank], key=lambda r: (r["rec_offset"], r["rec_partition"] or 0)):
             at = row["rec_ts"]
             if latest[rank] is not None and (at is None or at < latest[rank]):
                 at = latest[rank]
@@ -146,7 +147,8 @@ class GapProcessor(StatefulProcessor):
         if self.match:
             self.closed_state = handle.getValueState("closed", CLOSED)
             self.waiting = handle.getMapState("waiting", T.StructType([
-                T.StructField("event_id", T.StringType()), T.StructField("rec_offset", T.LongType())]), state_schema())
+                T.StructField("event_id", T.StringType()), T.StructField("rec_offset", T.LongType()),
+                T.StructField("rec_partition", T.IntegerType())]), state_schema())
 
     def handleInitialState(self, key, initialState, timerValues) -> None:
         """One row of what `engine.handover` made; rows of a record come in any order."""
@@ -269,7 +271,7 @@ class GapProcessor(StatefulProcessor):
         elif event is None or not self._meets(values, self.passed):
             yield self._unanswered(record, values)
         else:
-            self.fills[event, values[_AT["rec_offset"]]] = values
+            self.fills[event, values[_AT["rec_offset"]], values[_AT["rec_partition"]] or 0] = values
             # An error is one whether or not a command comes.
             yield self._row(record, values, "fill_waiting" if self._ok(values) else "fill_error")
 

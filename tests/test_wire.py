@@ -10,6 +10,7 @@ import pytest
 from mendline import schemas as S
 from mendline.operators import gaps
 from mendline.sources import codecs, io
+from mendline.streaming import engine
 
 GOOD = {"eventId": "e1", "entity": "Employee", "recordId": "7", "type": "g", "timestamp": 5, "replayId": 9,
         "changedFields": {"b": 1, "a": {"x": [1, 2]}}, "gap": {"fromReplayId": 1, "toReplayId": 2, "reason": "r"}}
@@ -95,3 +96,40 @@ spark.stop()
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     subprocess.run([sys.executable, "-c", code], check=True, timeout=120, cwd=root)
     assert list(shared.rglob("part-*"))
+
+
+def two_partitions(spark):
+    """Keys 7 and 8, in partitions of their own, both with rows that name record 7; their offsets are equal."""
+    event = lambda n, kind, at: json.dumps({"eventId": f"e{n}", "entity": "E", "recordId": "7", "type": kind, "timestamp": at, "changedFields": {"a": n}})
+    fill = lambda n, at: json.dumps({"recordId": "7", "entityType": "E", "eventId": f"e{n}", "cutoffLastModifiedEpochMs": at, "allFields": {}})
+    rows = lambda *r: spark.createDataFrame(r, io.PARTITIONED_WIRE)
+    changes = rows(("7", event(0, "N", 1), 1, 0, 0), ("8", event(1, "G", 2), 2, 0, 1), ("7", event(2, "N", 30), 3, 1, 0),
+                   ("8", event(3, "N", 4), 4, 1, 1), ("7", event(4, "N", 50), 5, 2, None))
+    return changes, rows(("7", fill(1, 20), 6, 0, 0), ("7", fill(1, 20), 7, 0, 1))
+
+
+def test_equal_offsets_in_two_partitions(spark, tmp_path):
+    changes, fills = two_partitions(spark)
+    tagged = codecs.tag(codecs.parse_cdc(changes), codecs.parse_fills(fills), "compat")
+    decided = gaps.decide(codecs.arrival_order(tagged), "compat", codecs.WIRE_LAYOUT).collect()
+    assert len({(r.record_id, r.seq) for r in decided}) == len(decided) == 7
+    want = {(r.source_rank, r.rec_partition, r.rec_offset): r.decision for r in decided}
+    assert want == {(0, 0, 0): "forwarded", (0, 1, 0): "command", (0, 0, 1): "flushed", (0, 1, 1): "dropped", (0, 0, 2): "flushed",
+                    (1, 0, 0): "filled", (1, 1, 0): "fill_ignored"}
+    # The same from files that carry the partition, as a stream.
+    for name, table in (("cdc", changes), ("fills", fills)):
+        table.write.parquet(f"{tmp_path}/{name}")
+    read = lambda name: io.read_wire(spark, "parquet", f"{tmp_path}/{name}", stream=True, partitioned=True)
+    stream = engine.gap_stream(codecs.tag(codecs.parse_cdc(read("cdc")), codecs.parse_fills(read("fills")), "compat"))
+    written = engine.run_to_end(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
+    got = {(r.record_id, r.seq): r.decision for r in engine.final_decisions(written).collect()}
+    assert got == {(r.record_id, r.seq): r.decision for r in decided}
+
+
+def test_partition_of_a_topic_and_sequence_numbers(spark):
+    topic = spark.createDataFrame([(b"7", b"{}", 3, 5), (b"8", None, 3, 5)], "key binary, value binary, partition int, offset bigint")
+    wire = io._from_kafka(topic.selectExpr("key", "value", "timestamp_millis(9) AS timestamp", "partition", "offset"))
+    assert [tuple(r) for r in wire.collect()] == [("7", "{}", 9, 5, 3), ("8", None, 9, 5, 3)]
+    plain, fills = codecs.parse_cdc(cdc(spark)), codecs.parse_fills(two_partitions(spark)[1].drop("rec_partition"))
+    seqs = {(r.source_rank, r.rec_offset, r.rec_partition): r.seq for r in codecs.tag(plain, fills).collect()}
+    assert all(seq == offset * 2 + rank and partition == 0 for (rank, offset, partition), seq in seqs.items())
