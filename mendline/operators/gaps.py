@@ -123,9 +123,13 @@ def cdc_output(decided: DataFrame, mode: str = "compat", layout: Layout = DEFAUL
     One pass: each emitted row is the projection of one input row, so no union of branches is needed.
     `keep` names further columns to pass on.
     """
+    return emitted(replayed(decided, mode, layout).filter(F.col("decision").isin(*S.EMITTED)), mode, keep, cutoff_unit)
+
+
+def emitted(rows: DataFrame, mode: str = "compat", keep: Sequence[str] = (), cutoff_unit: str = "ms") -> DataFrame:
+    """Emitted rows, with their places in the replay (`pos`), as they go out."""
     strict = mode == "strict"
     made = F.col("decision").isin("filled", "forced")
-    rows = replayed(decided, mode, layout).filter(F.col("decision").isin(*S.EMITTED))
     nothing = F.lit(None)
     return rows.select(
         "record_id",

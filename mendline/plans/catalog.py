@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .. import schemas as S
 from ..functions import (backoff_ms, epoch_ms, is_gap_type, jitter_ms, lookup_path, outage_breached,
                          parse_long, parse_long_strict, seconds_or_millis, values_differ)
-from ..operators import counters, deadletters, gaps, limits, lookup, retries, tables
+from ..operators import counters, deadletters, gaps, limits, lookup, quiet, retries, tables
 from ..operators.ordered import DEFAULT, Layout
 from ..sources import codecs, tables as src
 from ..sources.io import fresh_dir, stored
@@ -113,6 +113,11 @@ def gap_decisions(spark, d, mode="compat", failing=False, layout=DEFAULT):
     return decided(spark, d, mode, failing, layout).select(*GAP_COLUMNS)
 
 
+def gap_decisions_filtered(spark, d, mode="compat"):
+    """Records without gap markers and fills go past the windows."""
+    return quiet.decide(src.cdc_input(spark, d, failing=mode == "strict"), mode).select(*GAP_COLUMNS)
+
+
 def forwarded_events(spark, d):
     return decided(spark, d).filter(F.col("decision") == "forwarded").select(
         "record_id", "seq", "type", "event_id", "entity", "ts", "rec_ts", "replay_id", *_flat_gap(), "payload")
@@ -158,6 +163,11 @@ def cdc_output(spark, d, mode="compat", layout=DEFAULT):
     return out.select("*", *_flat_gap()).drop("gap")
 
 
+def cdc_output_filtered(spark, d, mode="compat"):
+    out = quiet.cdc_output(src.cdc_input(spark, d, failing=True), mode)
+    return out.select("*", *_flat_gap()).drop("gap")
+
+
 def replay_order(spark, d, mode="compat", layout=DEFAULT):
     r = gaps.replayed(decided(spark, d, mode, layout=layout), mode, layout)
     return r.filter(F.col("pos").isNotNull()).select("record_id", "close_seq", "pos", "seq")
@@ -414,6 +424,8 @@ QUERIES: dict[str, Query] = {
     "gap_decisions_split": partial(gap_decisions, layout=SPLIT),
     "gap_decisions_failing": partial(gap_decisions, failing=True),
     "gap_decisions_strict": partial(gap_decisions, mode="strict", failing=True),
+    "gap_decisions_filtered": gap_decisions_filtered,
+    "gap_decisions_filtered_strict": partial(gap_decisions_filtered, mode="strict"),
     "forwarded_events": forwarded_events,
     "fill_commands": fill_commands,
     "synthetic_fill_rows": synthetic_fill_rows,
@@ -425,6 +437,8 @@ QUERIES: dict[str, Query] = {
     "cdc_output": cdc_output,
     "cdc_output_split": partial(cdc_output, layout=SPLIT),
     "cdc_output_strict": partial(cdc_output, mode="strict"),
+    "cdc_output_filtered": cdc_output_filtered,
+    "cdc_output_filtered_strict": partial(cdc_output_filtered, mode="strict"),
     "replay_order": replay_order,
     "replay_order_strict": partial(replay_order, mode="strict"),
     "error_sink": error_sink,

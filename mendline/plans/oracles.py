@@ -272,6 +272,8 @@ ORACLES: dict[str, str] = {
     "gap_decisions_split": _decided() + _ROWS,
     "gap_decisions_failing": _decided("f") + _ROWS,
     "gap_decisions_strict": _decided("f", strict=True) + _ROWS,
+    "gap_decisions_filtered": _decided() + _ROWS,
+    "gap_decisions_filtered_strict": _decided("f", strict=True) + _ROWS,
     "forwarded_events": _decided() + """SELECT record_id, seq, type, CAST(seq AS VARCHAR) AS event_id, 'User' AS entity,
       ts, rec_ts, seq AS replay_id, CAST(NULL AS BIGINT) AS gap_from, CAST(NULL AS BIGINT) AS gap_to, CAST(NULL AS VARCHAR) AS gap_reason,
       payload FROM d WHERE decision = 'forwarded'""",
@@ -292,6 +294,8 @@ ORACLES: dict[str, str] = {
     "cdc_output": _output(strict=False),
     "cdc_output_split": _output(strict=False),
     "cdc_output_strict": _output(strict=True),
+    "cdc_output_filtered": _output(strict=False),
+    "cdc_output_filtered_strict": _output(strict=True),
     "replay_order": _replay(strict=False),
     "replay_order_strict": _replay(strict=True),
     "error_sink": _decided("f", strict=True) + """SELECT record_id, seq, kind, decision,
