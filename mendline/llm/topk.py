@@ -7,12 +7,14 @@ it is above 1 the pair is skipped; if it is low, the tile is pruned by length (v
 it is high, by coordinates: for the query's largest coordinates, a unit vector with that cosine must lie within a feasible
 range. Products of what is left are computed in full, in exact integers.
 
-Each query block meets each tile in a task of its own; a tile pair returns at most k candidates a query, and a window keeps
+Queries of like bound / |q| share a block, and a block meets only the tiles that hold a vector of that length: the pairs are found on
+the lengths alone, so no packs are sent to be skipped. Each pair is worked on by itself; it returns at most k candidates a query, and a window keeps
 the k best. Queries are a stated set of rows, so this is a block join and no join of all pairs.
 
 Vectors that are null, empty, or hold null or non-finite components take no part, as candidates or queries. Vectors of different
 dimension are compared as if the shorter one went on with zeros. Ties go to the smaller identifier; rows that repeat an
-identifier are candidates each on its own, but no row answers a query of its own identifier. Null identifiers take no part. Extra columns
+identifier are candidates and queries each on its own, the answers of a query identifier being the best of all its rows', but no row
+answers a query of its own identifier. Null identifiers take no part. Extra columns
 are dropped. An empty table gives no rows.
 """
 
@@ -33,7 +35,10 @@ HIGH = 0.7
 #: Coordinates of a query that prune.
 FOCUS = 4
 
-PACK = "dim int, n int, ids binary, vecs binary"
+#: Bands of queries by the length that a vector must have to be of use. Their bounds are quantiles.
+BANDS = 32
+
+PACK = "dim int, n int, ids binary, vecs binary, longest double"
 
 
 def quantised(vector: Column, scale: int) -> Column:
@@ -55,19 +60,24 @@ def pack_rows(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return table.column("id").to_numpy(), out
 
 
-def packs(rows: DataFrame, keys: list[str], extra: str = "") -> DataFrame:
-    """One row per group of (id, vec) rows, longest vectors first."""
+def packs(rows: DataFrame, keys: list[str], bounds: bool = False) -> DataFrame:
+    """One row per group of (id, vec) rows, longest vectors first; with `bounds`, those of the rows and the least of their needs as well."""
     types = dict(rows.dtypes)
 
     def pack(key, table):
         ids, vecs = pack_rows(table)
-        order = np.lexsort((ids, -np.square(vecs.astype(np.float64)).sum(axis=1)))
-        values = [pa.array([k.as_py()], k.type) for k in key]
-        data = [pa.array([vecs.shape[1]], pa.int32()), pa.array([len(ids)], pa.int32()),
-                pa.array([ids[order].astype(np.int64).tobytes()]), pa.array([vecs[order].tobytes()])]
-        return pa.Table.from_arrays([*values, *data], names=[*keys, "dim", "n", "ids", "vecs"])
-
-    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + PACK
+        lengths = np.sqrt(np.square(vecs.astype(np.float64)).sum(axis=1))
+        order = np.lexsort((ids, -lengths))
+        data = [pa.array([k.as_py()], k.type) for k in key]
+        data += [pa.array([vecs.shape[1]], pa.int32()), pa.array([len(ids)], pa.int32()),
+                 pa.array([ids[order].astype(np.int64).tobytes()]), pa.array([vecs[order].tobytes()]), pa.array([float(lengths.max())])]
+        if bounds:
+            known = table.column("bound").to_numpy()
+            data += [pa.array([known[order].astype(np.float64).tobytes()]), pa.array([float(table.column("need").to_numpy().min())])]
+        return pa.Table.from_arrays(data, names=names)
+
+    schema = ", ".join(f"{k} {types[k]}" for k in keys) + ", " + PACK + (", bounds binary, need double" if bounds else "")
+    names = [f.split()[0] for f in schema.split(", ")]
     return rows.groupBy(*keys).applyInArrow(pack, schema)
 
 
@@ -161,53 +171,60 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _grouped(rows: DataFrame, value: str, groups: int, most: int, names: tuple[str, str]) -> tuple[DataFrame, int]:
+    """Number the rows' groups by quantiles of `value`, and parts of about `most` rows within a group. Many rows may have one value or one
+    identifier, so parts go by the row's own number. Also how many groups there are."""
+    group, part = names
+    marks = sorted(set(rows.approxQuantile(value, [i / groups for i in range(1, groups)], 0.005)))
+    numbered = rows.withColumn(group, sum((F.when(F.col(value) > m, 1).otherwise(0) for m in marks), F.lit(0)).cast("int"))
+    sizes = stored(numbered.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")), f"{group}-sizes")
+    # At most `groups` rows.
+    return (numbered.join(F.broadcast(sizes), group).withColumn(part, F.pmod(F.xxhash64("row"), F.col("_parts")).cast("int")).drop("_parts"),
+            len(marks) + 1)
+
+
+def _shipped(queries: DataFrame, tiles: DataFrame, buckets: int) -> DataFrame:
+    """(band, block, bucket, tile) of all pairs in which a vector may be long enough for a query: found on numbers alone, before
+    any pack moves."""
+    reach = lambda longest: F.col("need") <= F.col(longest) * (1 + 1e-9)
+    tops = F.broadcast(tiles.groupBy("bucket").agg(F.max("longest").alias("top"), F.max("tile").alias("last")))  # a row per bucket
+    return (queries.select("band", "block", "need", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))).alias("bucket"))
+            .join(tops, "bucket").where(reach("top"))
+            .withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("last"))))
+            .join(tiles.select("bucket", "tile", "longest"), ["bucket", "tile"]).where(reach("longest"))
+            .select("band", "block", "bucket", "tile"))
+
+
 def top_k(df: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id", vector: str = "embedding",
           scale: int = 256) -> DataFrame:
     """(query_id, rank, vec_id, score): each query's k largest inner products of the scaled, floored vectors."""
     good = df.where(usable(F.col(vector)) & F.col(id_col).isNotNull())
     rows = stored(good.select(F.col(id_col).cast("long").alias("id"), quantised(F.col(vector), scale).alias("vec"),
-                              F.coalesce(is_query, F.lit(False)).alias("query"))
+                              F.coalesce(is_query, F.lit(False)).alias("query"), F.monotonically_increasing_id().alias("row"))
                   .withColumn("norm", F.aggregate("vec", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))), "vectors")
-    n = rows.count()
-    marks = sorted(set(rows.approxQuantile("norm", [i / BUCKETS for i in range(1, BUCKETS)], 0.005))) if n else []
-    bucket = sum((F.when(F.col("norm") > m, 1).otherwise(0) for m in marks), F.lit(0))
-    # Vectors of one length may be most of all, so a bucket is cut by identifiers into tiles.
-    sizes = rows.select(bucket.alias("bucket")).groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
-    sizes = stored(sizes, "bucket-sizes")  # at most BUCKETS rows
-    tile = F.pmod(F.xxhash64("id"), F.col("tiles")).cast("int")
-    tiles = stored(packs(rows.withColumn("bucket", bucket.cast("int")).join(F.broadcast(sizes), "bucket")
-                         .select("id", "vec", "bucket", tile.alias("tile")), ["bucket", "tile"]), "tiles")
-    blocks_of = rows.where("query").groupBy("id").agg(F.min("vec").alias("vec"))
-    blocks = -(-blocks_of.count() // BLOCK) or 1
-    queries = stored(packs(blocks_of.withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int")), ["block"]),
-                     "queries")
-    # Bounds: every query block against one tile of the longest vectors.
-    longest = tiles.orderBy(F.desc("bucket"), "tile").select(*_side(tiles, "c")).first()
-    if longest is None:
+    asked = rows.where("query")
+    n_asked = asked.count()
+    if not n_asked:
         return spark_empty(df)
-    first = _search(queries.select(*_side(queries, "q")), k, longest.asDict())
-    kth = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("bound"))
-    of_query = blocks_of.select(F.col("id").alias("query_id"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block")).distinct()
-    listed = of_query.join(kth, "query_id").where("bound IS NOT NULL").groupBy("block").agg(F.collect_list(F.struct("query_id", "bound")).alias("known"))
-    bounded = stored(queries.join(listed, "block", "left"), "bounded")
-
-    names = queries.columns
-
-    def lay(batches):
-        for batch in batches:
-            out = []
-            for ids, known in zip(batch.column(batch.schema.get_field_index("ids")).to_pylist(),
-                                  batch.column(batch.schema.get_field_index("known")).to_pylist()):
-                by_id = {x["query_id"]: x["bound"] for x in known or []}
-                out.append(np.array([by_id.get(i, -np.inf) for i in np.frombuffer(ids, np.int64).tolist()]).tobytes())
-            yield pa.RecordBatch.from_arrays([*batch.select(names).columns, pa.array(out, pa.binary())],
-                                             names=[*names, "bounds"])
-
-    laid = bounded.mapInArrow(lay, T.StructType([*queries.schema.fields, T.StructField("bounds", T.BinaryType())]))
-    pairs = (laid.select("bounds", *_side(laid, "q"), F.explode(F.sequence(F.lit(0), F.lit(len(marks)))).alias("bucket"))
-             .join(F.broadcast(sizes), "bucket").withColumn("tile", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    laid, buckets = _grouped(rows, "norm", BUCKETS, TILE, ("bucket", "tile"))
+    tiles = stored(packs(laid.select("id", "vec", "bucket", "tile"), ["bucket", "tile"]), "tiles")
+    # Bounds: all queries against one tile of the longest vectors.
+    first_blocks = packs(asked.select("id", "vec", F.pmod(F.xxhash64("row"), F.lit(-(-n_asked // BLOCK))).cast("int").alias("block")), ["block"])
+    longest = tiles.orderBy(F.desc("bucket"), "tile").select(*_side(tiles, "c")).first()
+    first = _best(_search(first_blocks.select(*_side(first_blocks, "q")), k, longest.asDict()), k)
+    kth = (first.groupBy("query_id").agg(F.count(F.lit(1)).alias("_n"), F.min("score").cast("double").alias("bound"))
+           .where(F.col("_n") == k).select(F.col("query_id").alias("id"), "bound"))
+    # A vector shorter than bound / |q| is of no use to a query; queries of like need are in one block.
+    useful = (F.col("bound") > 0) & (F.col("norm") > 0)
+    needs = stored(asked.join(kth, "id", "left").select(
+        "id", "vec", "row", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"),
+        F.when(useful, F.col("bound") / F.sqrt("norm")).otherwise(-1.0).alias("need")), "needs")
+    banded, _ = _grouped(needs, "need", BANDS, BLOCK, ("band", "block"))
+    queries = stored(packs(banded.select("id", "vec", "bound", "need", "band", "block"), ["band", "block"], bounds=True), "queries")
+    pairs = (_shipped(queries, tiles, buckets)
+             .join(queries.select("band", "block", "bounds", *_side(queries, "q")), ["band", "block"])
              .join(tiles.select("bucket", "tile", *_side(tiles, "c")), ["bucket", "tile"]))
-    return _best(_search(pairs.drop("bucket", "tile", "tiles"), k), k).select("query_id", "rank", "vec_id", "score")
+    return _best(_search(pairs.drop("band", "block", "bucket", "tile"), k), k).select("query_id", "rank", "vec_id", "score")
 
 
 def spark_empty(df: DataFrame) -> DataFrame:

@@ -44,6 +44,53 @@ def test_top_k_few_and_no_rows(spark):
         (0, 1, 1, -65536), (0, 2, 2, -65536)]
 
 
+def test_top_k_rows_that_share_an_identifier(spark, monkeypatch):
+    """All of them are searched; the answers are the best of all pairs, as the registered SQL ranks them."""
+    monkeypatch.setattr(topk, "TILE", 16)
+    monkeypatch.setattr(topk, "BLOCK", 4)
+    make = lambda rows: spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    few = make([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0])])
+    assert sorted(map(tuple, topk.top_k(few, F.col("vec_id") == 0, k=2).collect())) == [(0, 1, 2, 131072), (0, 2, 1, 65536)]
+    pick = np.random.default_rng(4)
+    ids = np.where(pick.random(300) < 0.33, 0, pick.integers(0, 40, 300)).tolist()  # one identifier holds a third
+    vecs = pick.integers(-4, 5, (300, 3)).tolist()
+    vecs[:60] = [vecs[0]] * 60
+    rows = [(i, [float(x) for x in v]) for i, v in zip(ids, vecs)]
+    whole = [(i, 256 * np.array(v, int)) for i, v in zip(ids, vecs)]
+    want = []
+    for q in {i for i in ids if i % 10 == 0}:
+        best = sorted((-int(a @ b), j) for i, a in whole if i == q for j, b in whole if j != q)[:5]
+        want += [(q, n + 1, j, -s) for n, (s, j) in enumerate(best)]
+    assert sorted(map(tuple, topk.top_k(make(rows), F.col("vec_id") % 10 == 0).collect())) == sorted(want)
+
+
+def test_top_k_sends_no_pair_that_all_its_queries_skip(spark, monkeypatch):
+    monkeypatch.setattr(topk, "TILE", 32)
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    sent, shipped = [], topk._shipped
+
+    def spy(queries, tiles, buckets):
+        pairs = shipped(queries, tiles, buckets)
+        sent.append((pairs, queries, tiles))
+        return pairs
+
+    monkeypatch.setattr(topk, "_shipped", spy)
+    pick = np.random.default_rng(8)
+    vecs = pick.normal(0, 1, (4000, 8)) * np.exp(pick.normal(0, 1.5, 4000))[:, None]
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate(vecs.astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = sorted(map(tuple, topk.top_k(df, F.col("vec_id") % 50 == 0).collect()))
+    assert got == plain_top(rows, lambda i: i % 50 == 0, 5)
+    pairs, queries, tiles = sent[0]
+    met = (pairs.join(queries.select("band", "block", "bounds", *topk._side(queries, "q")), ["band", "block"])
+           .join(tiles.select("bucket", "tile", "longest"), ["bucket", "tile"]).collect())
+    for p in met:
+        _, q = topk.matrix(p.asDict(), "q")
+        bound, length = np.frombuffer(p.bounds, np.float64), np.sqrt(np.square(q.astype(float)).sum(axis=1))
+        assert (bound <= length * p.longest * (1 + 1e-6)).any()
+    assert 4 * len(met) < queries.count() * tiles.count()
+
+
 def test_pruned_vectors_cannot_win():
     pick = np.random.default_rng(5)
     units = pick.normal(0, 1, (2000, 16))
