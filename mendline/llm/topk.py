@@ -35,7 +35,7 @@ HIGH = 0.7
 #: Coordinates of a query that prune.
 FOCUS = 4
 
-#: Bands of queries by the length that a vector must have to be of use. Their bounds are quantiles.
+#: Bands of queries, at most, by the length that a vector must have to be of use. Their bounds are quantiles, and none is smaller than a block.
 BANDS = 32
 
 PACK = "dim int, n int, ids binary, vecs binary, longest double"
@@ -175,7 +175,7 @@ def _grouped(rows: DataFrame, value: str, groups: int, most: int, names: tuple[s
     """Number the rows' groups by quantiles of `value`, and parts of about `most` rows within a group. Many rows may have one value or one
     identifier, so parts go by the row's own number. Also how many groups there are."""
     group, part = names
-    marks = sorted(set(rows.approxQuantile(value, [i / groups for i in range(1, groups)], 0.005)))
+    marks = sorted(set(rows.approxQuantile(value, [i / groups for i in range(1, groups)], 0.005))) if groups > 1 else []
     numbered = rows.withColumn(group, sum((F.when(F.col(value) > m, 1).otherwise(0) for m in marks), F.lit(0)).cast("int"))
     sizes = stored(numbered.groupBy(group).agg(F.ceil(F.count(F.lit(1)) / most).cast("int").alias("_parts")), f"{group}-sizes")
     # At most `groups` rows.
@@ -219,7 +219,7 @@ def top_k(df: DataFrame, is_query: Column, *, k: int = 5, id_col: str = "vec_id"
     needs = stored(asked.join(kth, "id", "left").select(
         "id", "vec", "row", F.coalesce("bound", F.lit(float("-inf"))).alias("bound"),
         F.when(useful, F.col("bound") / F.sqrt("norm")).otherwise(-1.0).alias("need")), "needs")
-    banded, _ = _grouped(needs, "need", BANDS, BLOCK, ("band", "block"))
+    banded, _ = _grouped(needs, "need", min(BANDS, -(-n_asked // BLOCK)), BLOCK, ("band", "block"))
     queries = stored(packs(banded.select("id", "vec", "bound", "need", "band", "block"), ["band", "block"], bounds=True), "queries")
     pairs = (_shipped(queries, tiles, buckets)
              .join(queries.select("band", "block", "bounds", *_side(queries, "q")), ["band", "block"])
