@@ -28,6 +28,12 @@ def _read_image() -> Column:
     return F.struct(parse_long(text).alias("cutoff"), parsed.isNotNull().alias("is_json"), text.alias("modified"), "image")
 
 
+def asked_images(commands: DataFrame, images: DataFrame) -> DataFrame:
+    """The images of records that any command asks for: `fill_lookup` finds the same among them, without reading and sorting the others. For
+    commands that are stored, since they are read once more."""
+    return images.join(commands.select(*_ON), _ON, "left_semi")
+
+
 def current_images(images: DataFrame) -> DataFrame:
     """One row per (entity_type, record_id): the latest image by `taken`. Without that column the image with the latest usable modification
     time, which is its `cutoff`; an image that is no JSON, or has no such time, is unusable (`cutoff` null) and stands only where there is
