@@ -116,3 +116,49 @@ def test_held_rows_as_they_came(spark, tmp_path):
     held = {(r.record_id, r.seq): (r.ts, r.payload, r.event_id) for r in engine.held_rows(spark, f"{tmp_path}/cp").collect()}
     want = {k for k, d in fold(rows)[0].items() if d == "pending"}
     assert want and held == {(r["record_id"], r["seq"]): (r["ts"], r["payload"], r["event_id"]) for r in rows if (r["record_id"], r["seq"]) in want}
+
+
+def test_a_record_is_parsed_in_calls_that_do_not_grow_with_its_rows(monkeypatch):
+    real, calls = json.loads, []
+    monkeypatch.setattr(processor.json, "loads", lambda text: calls.append(1) or real(text))
+    counts = []
+    for n in (10, 400):
+        handler = processor.PackedGapProcessor("strict")
+        handler.init(Counted())
+        calls.clear()
+        for rows in (texts("G" + "N" * n, 0), texts("F", 1, first=n + 1)):
+            assert [*handler.handleInputRows(("r",), iter(rows), None)]
+        counts.append(len(calls))
+    assert counts[0] == counts[1]
+
+
+@pytest.mark.parametrize("options", [{}, {"match": True}, {"max_buffer": 3}])
+def test_wanted_columns_and_decisions_alone(options):
+    """The same rules and the same state; only what is put out is less."""
+    def run(**wanted):
+        handler, out, size = processor.PackedGapProcessor("strict", **options, **wanted), [], 0
+        handler.init(Counted())
+        for kinds, rank, first in (("NGNNNNN", 0, 0), ("F", 1, 1), ("GNN", 0, 20)):
+            rows = [{"row": json.dumps(json.loads(x["row"]) | {"payload": "p" * 1_000})} for x in texts(kinds, rank, first)]
+            for r in handler.handleInputRows(("r",), iter(rows), None):
+                size += len(r.rows)
+                out += json.loads(r.rows)
+        return out, size, (handler.record_state.value, handler.held.value)
+
+    whole, size, state = run()
+    for columns in (engine.DECISION, ("seq", "decision", "ts", "emitted")):
+        some, less, same = run(columns=columns)
+        assert some == [{c: d[c] if c in d else d["row"].get(c) for c in columns} for d in whole]
+        assert less < size / 10 and same == state
+    routed, less, same = run(only=engine.ROUTED)
+    assert routed == [d for d in whole if d["decision"] in engine.ROUTED] and less < size and same == state
+    assert len(whole) > len(routed) > 0
+
+
+def test_columns_of_a_stream(spark, tmp_path):
+    rows = rand_rows("columns", 120)
+    written = deliver(frame(spark, rows), ["seq"], f"{tmp_path}/in", f"{tmp_path}/cp", f"{tmp_path}/out",
+                      lambda s: engine.gap_stream(s, columns=engine.DECISION), n=2)
+    assert written.columns == ["record_id", "seq", "decision"] and decisions(written) == fold(rows)[0]
+    held = {(r.record_id, r.seq): (r.ts, r.payload) for r in engine.held_rows(spark, f"{tmp_path}/cp").collect()}
+    assert held == {(r["record_id"], r["seq"]): (r["ts"], r["payload"]) for r in rows if fold(rows)[0][r["record_id"], r["seq"]] == "pending"}
