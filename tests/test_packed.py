@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fold import fold
+from mendline.operators import gaps
 from mendline.streaming import engine, processor
 from rows import frame, rand_rows, row
 from test_streaming import decisions, deliver
@@ -162,3 +163,17 @@ def test_columns_of_a_stream(spark, tmp_path):
     assert written.columns == ["record_id", "seq", "decision"] and decisions(written) == fold(rows)[0]
     held = {(r.record_id, r.seq): (r.ts, r.payload) for r in engine.held_rows(spark, f"{tmp_path}/cp").collect()}
     assert held == {(r["record_id"], r["seq"]): (r["ts"], r["payload"]) for r in rows if fold(rows)[0][r["record_id"], r["seq"]] == "pending"}
+
+
+def test_a_record_is_handed_over_in_one_row_beside_its_held_rows(spark):
+    rows = rand_rows("handed", 200)
+    decided = gaps.decide(frame(spark, rows))
+    initial = engine.handover(decided).collect()
+    assert len([r for r in initial if r.part != "held"]) == len({r["record_id"] for r in rows})
+    assert any(r.open_seq is not None for r in initial if r.part != "held")
+    handle = Counted()
+    handler = processor.PackedGapProcessor()
+    handler.init(handle)
+    handler.handleInitialState(("r",), {"part": "progress", "row": json.dumps({"emitted": 3, "opened_at": 5, "open_seq": 1, "handed": 0})}, None)
+    kept = json.loads(handler.record_state.value[0])
+    assert handle.calls == 1 and kept["emitted"] == 3 and kept["gap"]["open_seq"] == 1
